@@ -87,11 +87,12 @@ def alias_index(aliases: DataFrame, molecules: DataFrame, order: list[str]) -> D
     )
 
 
-def combination_index(combinations: DataFrame) -> DataFrame:
+def combination_index(combinations: DataFrame, order: list[str]) -> DataFrame:
     """Component rows of every pack with at least two components, with their order in the pack.
 
-    ``brand_key`` falls back to the normalised raw name; rows without key or molecule are skipped. Packs
-    stay in long form (a row per component), so no pack is gathered into one row.
+    ``brand_key`` falls back to the normalised raw name; rows without key or molecule are skipped. Name and
+    kind of a pack come from its first row in ``order``. Packs stay in long form (a row per component), so
+    no pack is gathered into one row.
     """
     staged = with_normalized(combinations, "brand_raw", ("normalized",), "__")
     key = F.coalesce(F.nullif(F.trim("brand_key"), F.lit("")), F.col("__normalized"))
@@ -102,17 +103,18 @@ def combination_index(combinations: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.trim("inn_name"), F.lit("")), F.col("molecule_id")).alias("inn_name"),
         F.coalesce(F.col("position").cast("int"), F.lit(0)).alias("position"),
         F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("brand")).alias("kind"),
+        *order,
     ).filter((F.col("brand_key") != "") & F.col("molecule_id").isNotNull())
     packs = (
         rows.groupBy("brand_key")
         .agg(
             F.count("*").alias("n_components"),
-            F.min_by(F.struct("brand_raw", "kind"), F.struct("position", "inn_name")).alias("b"),
+            F.min_by(F.struct("brand_raw", "kind"), F.struct(*order)).alias("b"),
         )
         .filter(F.col("n_components") >= 2)
         .select("brand_key", "n_components", F.col("b.brand_raw").alias("pack"), F.col("b.kind").alias("pack_kind"))
     )
-    return rows.drop("brand_raw", "kind").join(packs, "brand_key").select(
+    return rows.drop("brand_raw", "kind", *order).join(packs, "brand_key").select(
         "brand_key", F.col("pack").alias("brand_raw"), "molecule_id", "inn_name", "position",
         F.col("pack_kind").alias("kind"), "n_components",
     )
