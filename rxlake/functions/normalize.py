@@ -22,9 +22,14 @@ WORD_START, WORD_END = "(?<![^ ])", "(?![^ ])"
 
 
 def _alternatives(words) -> str:
-    """Longest first, so that a prefix never hides a longer spelling."""
-    ordered = sorted(words, key=lambda w: (-len(w), w))
-    return "|".join(w.replace("/", r"\/") for w in ordered)
+    """Regex for a word list that branches on shared prefixes, longer spellings first."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        heads.setdefault(word[:1], []).append(word[1:])
+    branches = [
+        head + (rest[0] if len(rest) == 1 else f"(?:{_alternatives(rest)})") for head, rest in heads.items() if head
+    ]
+    return "|".join(branches + ([""] if "" in heads else []))
 
 
 def _whole_word(body: str) -> str:
@@ -123,7 +128,7 @@ def _spelled(words: Column) -> Column:
 
 def _key_of(spelled: Column) -> Column:
     base = _squeeze(F.regexp_replace(spelled, SALT, ""))
-    return F.when(base == "", _squeeze(spelled)).otherwise(base)
+    return F.coalesce(F.nullif(base, F.lit("")), _squeeze(spelled), F.lit(""))
 
 
 def normalized_key(text: Column) -> Column:
@@ -181,7 +186,9 @@ def with_normalized(df: DataFrame, source: str, fields=("normalized",), prefix:
     """Add the chosen normaliser fields of column ``source`` as columns ``prefix + field``.
 
     The cleaned text and the spelled words are separate projections: each is read several times, and a
-    separate projection is computed once per row.
+    separate projection is computed once per row. The fields leave through a one-element ``inline``: filters
+    and join conditions on them then stay above it, where the optimizer would otherwise copy the whole
+    chain of expressions into every predicate.
     """
     clean, words, spelled = "__clean", "__words", "__spelled"
     keep = list(df.columns)
@@ -204,9 +211,9 @@ def with_normalized(df: DataFrame, source: str, fields=("normalized",), prefix:
         "strength_raw": lambda: strength_raw(c),
         "strength_hint": lambda: strength_hint(c),
     }
-    out = [build[f]().alias(prefix + f) for f in fields]
+    fields_of_row = F.struct(*[build[f]().alias(prefix + f) for f in fields])
     replaced = {prefix + f for f in fields}
-    return staged.select(*[F.col(k) for k in keep if k not in replaced], *out)
+    return staged.select(*[F.col(k) for k in keep if k not in replaced], F.inline(F.array(fields_of_row)))
 
 
 def normalize_names(df: DataFrame, source: str) -> DataFrame:

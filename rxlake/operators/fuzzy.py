@@ -231,23 +231,22 @@ def guard_candidates(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Apply both blocklist rules; adds ``reason`` and ``confusable_with`` (null for survivors).
 
     Rule 1 drops a candidate confusable with the query. Rule 2 drops both members of a confusable pair
-    that survive for one query: survivors are joined to their known partners and the partner is looked up
-    among the survivors, so the work is survivors x partners, never survivors x survivors.
+    that survive for one query: every survivor is listed under the pairs it belongs to, and a pair listed
+    under two names of one query is a conflict. That is survivors x known partners, in one pass over the
+    candidates and with no join of candidates to candidates.
     """
     partners = confusable_partners(pairs)
     direct = partners.select(F.col("key").alias("normalized"), F.col("partner").alias("inn_name"), F.lit(True).alias("__r1"))
-    first = scored.join(direct, ["normalized", "inn_name"], "left")
-    survivors = first.filter("__r1 IS NULL").select("normalized", "inn_name").distinct()
-    conflicts = (
-        survivors.join(partners, survivors["inn_name"] == partners["key"])
-        .select("normalized", "inn_name", "partner")
-        .join(
-            survivors.select(F.col("normalized"), F.col("inn_name").alias("partner")), ["normalized", "partner"], "left_semi"
-        )
-        .groupBy("normalized", "inn_name")
-        .agg(F.min("partner").alias("__r2"))
-    )
-    return first.join(conflicts, ["normalized", "inn_name"], "left").select(
+    known = partners.select(F.col("key").alias("inn_name"), F.col("partner").alias("__p"))
+    listed = scored.join(direct, ["normalized", "inn_name"], "left").join(known, "inn_name", "left")
+    name = F.col("inn_name")
+    pair = Window.partitionBy("normalized", F.least(name, "__p"), F.greatest(name, "__p"))
+    counted = F.col("__r1").isNull() & F.col("__p").isNotNull()
+    survivor = F.when(counted, name)
+    met = F.min(survivor).over(pair) != F.max(survivor).over(pair)
+    flagged = listed.select(*scored.columns, "__r1", F.when(counted & met, F.col("__p")).alias("__r2"))
+    merged = flagged.groupBy(*scored.columns).agg(F.max("__r1").alias("__r1"), F.min("__r2").alias("__r2"))
+    return merged.select(
         *scored.columns,
         F.when(F.col("__r1"), RULE_ONE).when(F.col("__r2").isNotNull(), RULE_TWO).alias("reason"),
         F.when(F.col("__r1"), F.col("normalized")).otherwise(F.col("__r2")).alias("confusable_with"),

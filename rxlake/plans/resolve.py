@@ -45,8 +45,10 @@ def identify(requests: DataFrame, index: DataFrame, column: str = "query") -> Da
     return keyed.join(index.withColumnRenamed("key", "normalized"), "normalized", "left")
 
 
-def missed_keys(identified: DataFrame) -> DataFrame:
-    return identified.filter("status IS NULL AND normalized <> ''").select("normalized").distinct()
+def missed_keys(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct keys nothing identifies. Equal strings are merged before they are normalised."""
+    keys = with_normalized(requests.select("query").distinct(), "query").select("normalized").filter("normalized <> ''")
+    return keys.join(index.select(F.col("key").alias("normalized")), "normalized", "left_anti").distinct()
 
 
 def guarded_candidates(vocabulary: Vocabulary, keys: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
@@ -62,8 +64,9 @@ def resolve(
 
     Requests need a ``query`` column. Similarity runs on the distinct keys nothing identified.
     """
-    identified = identify(requests, vocabulary.index())
-    guarded = guarded_candidates(vocabulary, missed_keys(identified), threshold)
+    index = vocabulary.index()
+    identified = identify(requests, index)
+    guarded = guarded_candidates(vocabulary, missed_keys(requests, index), threshold)
     counts = guarded.groupBy("normalized").agg(
         F.count(F.when(F.col("reason").isNull(), 1)).alias("__kept"), F.count("reason").alias("__dropped")
     )

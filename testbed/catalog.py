@@ -473,7 +473,7 @@ def _(d):
 
 
 def missed(d: Domain, v: resolve.Vocabulary) -> DataFrame:
-    return resolve.missed_keys(resolve.identify(d.requests.select("query"), v.index()))
+    return resolve.missed_keys(d.requests, v.index())
 
 
 @query("fuzzy_candidates", "SELECT normalized, rank, molecule_id, inn_name, score, matched_string, matched_on FROM f_candidates", ["f_candidates"])
@@ -560,3 +560,340 @@ def _(d):
 @query("suggest_confusable", "SELECT q, label, confusable_with FROM f_suggest WHERE confusable_with <> ''", ["f_suggest"])
 def _(d):
     return suggestions(d).filter("confusable_with <> ''").select("q", "label", "confusable_with")
+
+
+# --- products and substitution -------------------------------------------------------------------
+
+fragment("f_profile", """
+  SELECT p.*, c.molecule_count, coalesce(c.molecule_count, 0) > 1 AS is_fdc, c.molecule_id, c.strength, c.unit,
+         round_even(c.strength * CASE c.unit WHEN 'g' THEN 1000.0 WHEN 'mg' THEN 1.0 ELSE 1.0 END, 6) AS cvalue, CASE WHEN c.strength IS NOT NULL THEN CASE WHEN c.unit IN ('g', 'mg') THEN 'mg' ELSE c.unit END END AS cunit
+  FROM d_products p LEFT JOIN (SELECT product_id, count(*) AS molecule_count, min(molecule_id) AS molecule_id, arg_min(strength, molecule_id) AS strength, arg_min(unit, molecule_id) AS unit
+       FROM d_contains GROUP BY 1) c ON c.product_id = p.product_id""", ["d_products", "d_contains"])
+# Every pair of single-molecule products of one molecule with the first failed test: the long way round.
+fragment("f_pairs_of_products", """
+  SELECT r.product_id AS reference_id, r.molecule_id, r.mrp AS ref_mrp, c.product_id, c.mrp,
+         CASE WHEN r.form IS NULL OR c.form IS NULL THEN 'form unknown' WHEN r.form <> c.form THEN 'form differs'
+              WHEN r.cvalue IS NULL OR c.cvalue IS NULL THEN 'strength unknown' WHEN r.cvalue <> c.cvalue OR r.cunit <> c.cunit THEN 'strength differs'
+              WHEN r.mrp = 0 OR c.mrp = 0 THEN 'price not available' WHEN r.mrp <= c.mrp THEN 'not cheaper' END AS reason,
+         CAST(r.mrp AS DOUBLE) - CAST(c.mrp AS DOUBLE) AS diff
+  FROM f_profile r JOIN f_profile c ON c.molecule_id = r.molecule_id AND c.product_id <> r.product_id WHERE r.molecule_count = 1 AND c.molecule_count = 1""", ["f_profile"])
+fragment("f_product_summary", """
+  SELECT p.product_id, p.molecule_id, CAST(p.mrp AS DOUBLE) AS mrp,
+         CASE WHEN p.molecule_count IS NULL THEN 'no_products' WHEN p.is_fdc THEN 'out_of_scope_fdc' WHEN p.mrp = 0 THEN 'price_not_available' WHEN coalesce(s.n, 0) > 0 THEN 'ok' ELSE 'no_substitutes' END AS status,
+         coalesce(s.n, 0) AS n_substitutes, coalesce(n_form_unknown, 0) AS n_form_unknown, coalesce(n_form_differs, 0) AS n_form_differs, coalesce(n_strength_unknown, 0) AS n_strength_unknown,
+         coalesce(n_strength_differs, 0) AS n_strength_differs, coalesce(n_no_price, 0) AS n_no_price, coalesce(n_not_cheaper, 0) AS n_not_cheaper,
+         s.best AS best_product_id, CAST(s.best_mrp AS DOUBLE) AS best_mrp, round(CAST(p.mrp AS DOUBLE) - CAST(s.best_mrp AS DOUBLE), 2) AS best_savings_abs,
+         round_even(CAST(CAST(p.mrp - s.best_mrp AS DECIMAL(12,2)) AS DOUBLE) / CAST(p.mrp AS DOUBLE) * 100, 2) AS best_savings_pct
+  FROM f_profile p LEFT JOIN (
+    SELECT reference_id, count(*) FILTER (reason IS NULL) AS n, count(*) FILTER (reason = 'form unknown') AS n_form_unknown, count(*) FILTER (reason = 'form differs') AS n_form_differs,
+           count(*) FILTER (reason = 'strength unknown') AS n_strength_unknown, count(*) FILTER (reason = 'strength differs') AS n_strength_differs,
+           count(*) FILTER (reason = 'price not available') AS n_no_price, count(*) FILTER (reason = 'not cheaper') AS n_not_cheaper,
+           min(mrp) FILTER (reason IS NULL) AS best_mrp, (arg_min(product_id, (mrp, product_id)) FILTER (reason IS NULL)) AS best
+    FROM f_pairs_of_products GROUP BY 1) s ON s.reference_id = p.product_id""", ["f_profile", "f_pairs_of_products"])
+
+
+@query("products_for_molecule", """SELECT c.molecule_id, p.product_id, p.source, p.generic_name_raw, p.form, p.strength_raw, CAST(p.mrp AS DOUBLE) AS mrp, c.strength, c.unit, n.molecule_count
+  FROM d_contains c JOIN d_products p USING (product_id) JOIN (SELECT product_id, count(*) AS molecule_count FROM d_contains GROUP BY 1) n USING (product_id)""", ["d_contains", "d_products"])
+def _(d):
+    return products.products_for_molecule(d.contains, d.products, d.molecules).withColumn("mrp", F.col("mrp").cast("double"))
+
+
+@query("product_profile", "SELECT product_id, source, form, CAST(mrp AS DOUBLE) AS mrp, molecule_count, is_fdc, molecule_id, cvalue AS strength_value, cunit AS strength_unit FROM f_profile", ["f_profile"])
+def _(d):
+    return profile(d).select("product_id", "source", "form", *dbl("mrp"), "molecule_count", "is_fdc", "molecule_id", F.col("comparable.value").alias("strength_value"), F.col("comparable.unit").alias("strength_unit"))
+
+
+@query("substitute_candidates", """SELECT r.product_id, r.molecule_id, count(c.product_id) AS n_candidates, arg_min(c.product_id, (c.mrp, c.product_id)) AS first_candidate_id, CAST(min(c.mrp) AS DOUBLE) AS first_candidate_mrp
+  FROM f_profile r LEFT JOIN f_profile c ON c.molecule_id = r.molecule_id AND c.product_id <> r.product_id AND c.molecule_count = 1 WHERE r.molecule_count = 1 GROUP BY 1, 2""", ["f_profile"])
+def _(d):
+    return products.substitute_candidates(profile(d)).withColumn("first_candidate_mrp", F.col("first_candidate_mrp").cast("double"))
+
+
+SUMMARY = "product_id, molecule_id, status, mrp, n_substitutes, n_form_unknown, n_form_differs, n_strength_unknown, n_strength_differs, n_no_price, n_not_cheaper, best_product_id, best_mrp, best_savings_abs, best_savings_pct"
+
+
+def money_as_double(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+@query("substitutes_for_product", f"SELECT {SUMMARY} FROM f_product_summary", ["f_product_summary"])
+def _(d):
+    return money_as_double(products.substitutes_for_product(profile(d)))
+
+
+@query("substitute_exclusions", """SELECT molecule_id, reason, count(*) AS n_excluded FROM f_pairs_of_products WHERE reason IS NOT NULL GROUP BY 1, 2""", ["f_pairs_of_products"])
+def _(d):
+    return products.substitute_exclusions(products.substitutes_for_product(profile(d))).filter("n_excluded > 0")
+
+
+@query("substitutes_priced", """SELECT status, count(*) AS n, count(best_savings_pct) AS n_with_saving, count(*) FILTER (mrp = 0 AND best_savings_pct IS NOT NULL) AS n_zero_price_with_saving
+  FROM f_product_summary GROUP BY 1""", ["f_product_summary"])
+def _(d):
+    return products.substitutes_for_product(profile(d)).groupBy("status").agg(
+        F.count("*").alias("n"), F.count("best_savings_pct").alias("n_with_saving"),
+        F.count(F.when((F.col("mrp") == 0) & F.col("best_savings_pct").isNotNull(), 1)).alias("n_zero_price_with_saving"),
+    )
+
+
+norm_fragment("n_product", "SELECT generic_name_raw AS s FROM d_products", ["d_products"])
+fragment("f_sub_requests", """
+  SELECT DISTINCT i.molecule_id, n.form, n.sval AS strength_value, n.sunit AS strength_unit, n.hint AS strength_hint
+  FROM n_query n JOIN f_index i ON i.key = n.normalized WHERE i.status = 'resolved'
+  UNION SELECT molecule_id, NULL, NULL, NULL, NULL FROM d_molecules UNION SELECT DISTINCT molecule_id, NULL, NULL, NULL, NULL FROM d_contains_all""", ["n_query", "f_index", "d_molecules", "d_contains_all"])
+# The request with its pool of products, ranked by price; ties go to the smaller product id as text.
+fragment("f_pool", """
+  SELECT r.*, p.product_id, p.mrp, p.molecule_count, p.form AS p_form, p.cvalue, p.cunit, c.product_id IS NOT NULL AS has,
+         round_even(r.strength_value * CASE r.strength_unit WHEN 'g' THEN 1000.0 WHEN 'mcg' THEN 0.001 ELSE 1.0 END, 6) AS want, CASE WHEN r.strength_unit IN ('mg', 'g', 'mcg') THEN 'mg' ELSE r.strength_unit END AS want_unit
+  FROM f_sub_requests r LEFT JOIN d_contains c ON c.molecule_id = r.molecule_id LEFT JOIN f_profile p ON p.product_id = c.product_id""", ["f_sub_requests", "d_contains", "f_profile"])
+REQ = "molecule_id, form, strength_value, strength_unit, strength_hint"
+fragment("f_baseline", f"""
+  SELECT {REQ}, CASE WHEN n_all = 0 THEN 'no_products' WHEN n_single = 0 THEN 'out_of_scope_fdc' WHEN n_priced = 0 THEN 'price_not_available' WHEN coalesce(hinted, plain) IS NULL THEN 'no_substitutes' END AS status,
+         coalesce(hinted, plain) AS reference_id, hinted IS NOT NULL AS hint_used
+  FROM (SELECT {REQ}, count(*) FILTER (has) AS n_all, count(*) FILTER (has AND molecule_count = 1) AS n_single, count(*) FILTER (has AND molecule_count = 1 AND mrp > 0) AS n_priced,
+          arg_min(product_id, (-mrp, product_id)) FILTER (good AND strength_ok) AS plain,
+          arg_min(product_id, (-mrp, product_id)) FILTER (good AND want IS NULL AND cvalue = strength_hint AND cunit = 'mg') AS hinted
+        FROM (SELECT *, coalesce(has AND molecule_count = 1 AND mrp > 0 AND (form IS NULL OR p_form = form), false) AS good,
+                     coalesce(want IS NULL OR (cvalue = want AND cunit = want_unit), false) AS strength_ok FROM f_pool)
+        GROUP BY {REQ})""", ["f_pool"])
+
+
+def substitution_requests(d: Domain) -> DataFrame:
+    """Molecule, form and strength of every resolved drug string, and every molecule on its own."""
+    v = vocabulary(d)
+    named = N.with_normalized(d.requests.select("query").distinct(), "query", ("normalized", "form", "strength_value", "strength_unit", "strength_hint"))
+    index = v.index().filter("status = 'resolved'").select(F.col("key").alias("normalized"), "molecule_id")
+    stated = named.join(index, "normalized").select("molecule_id", "form", "strength_value", "strength_unit", "strength_hint")
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    bare = d.molecules.select("molecule_id").union(d.contains_all.select("molecule_id")).distinct().select(
+        "molecule_id", null("string", "form"), null("double", "strength_value"), null("string", "strength_unit"), null("double", "strength_hint")
+    )
+    return stated.unionByName(bare).distinct()
+
+
+@query("substitution_baseline", f"SELECT {REQ}, status, reference_id, hint_used FROM f_baseline", ["f_baseline"])
+def _(d):
+    return products.substitution_baseline(substitution_requests(d), profile(d), d.contains)
+
+
+@query("substitutes_for_molecule", f"""SELECT b.molecule_id, b.form, b.strength_value, b.strength_unit, b.strength_hint, coalesce(b.status, s.status) AS status, b.reference_id, s.mrp AS reference_mrp,
+  coalesce(s.n_substitutes, 0) AS n_substitutes, s.best_product_id, s.best_mrp, s.best_savings_abs, s.best_savings_pct, b.hint_used FROM f_baseline b LEFT JOIN f_product_summary s ON s.product_id = b.reference_id""",
+       ["f_baseline", "f_product_summary"])
+def _(d):
+    return money_as_double(products.substitutes_for_molecule(substitution_requests(d), profile(d), d.contains))
+
+
+fragment("f_listing", """
+  SELECT p.reference_id, p.molecule_id, p.product_id, CAST(p.mrp AS DOUBLE) AS mrp, p.reason, CASE WHEN p.reason IS NULL THEN round(p.diff, 2) END AS savings_abs,
+         CASE WHEN p.reason IS NULL THEN round_even(CAST(CAST(ref_mrp - p.mrp AS DECIMAL(12,2)) AS DOUBLE) / CAST(ref_mrp AS DOUBLE) * 100, 2) END AS savings_pct
+  FROM f_pairs_of_products p WHERE p.reference_id IN (SELECT reference_id FROM f_baseline WHERE form IS NULL AND strength_value IS NULL AND strength_hint IS NULL)""", ["f_pairs_of_products", "f_baseline"])
+
+
+def molecule_listing(d: Domain) -> DataFrame:
+    """The list behind one request per molecule: each product is listed once for its molecule."""
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    asked = d.molecules.select("molecule_id", null("string", "form"), null("double", "strength_value"), null("string", "strength_unit"), null("double", "strength_hint"))
+    base = products.substitution_baseline(asked, profile(d), d.contains).filter("reference_id IS NOT NULL")
+    return products.substitution_listing(base, profile(d))
+
+
+@query("substitution_listing", "SELECT reference_id, molecule_id, product_id, mrp, reason IS NULL AS accepted, savings_abs, savings_pct FROM f_listing", ["f_listing"])
+def _(d):
+    return money_as_double(molecule_listing(d)).select("reference_id", "molecule_id", "product_id", "mrp", F.col("exclusion_reason").isNull().alias("accepted"), "savings_abs", "savings_pct")
+
+
+@query("materialize_substitutes", "SELECT product_id AS substitute_product_id, reference_id AS product_id, savings_abs, savings_pct FROM f_listing WHERE reason IS NULL", ["f_listing"])
+def _(d):
+    root = work_folder(d.spark)
+    new = products.substitute_edges(molecule_listing(d)).withColumn("seq", F.lit(0))
+    return money_as_double(artifacts.upsert_snapshot(d.spark, root, 0, new, ["substitute_product_id", "product_id"], ["seq"]))
+
+
+# --- interactions --------------------------------------------------------------------------------
+
+
+@query("ingest_interactions", "SELECT molecule_id_a, molecule_id_b, severity, mechanism, provenance FROM f_pairs", ["f_pairs"])
+def _(d):
+    return ingest.ingest_interactions(d.raw_interactions, ROW)
+
+
+@query("interaction_ingest_report", "SELECT count(*) AS input_rows, count(*) FILTER (NOT usable) AS skipped, count(DISTINCT (a, b)) FILTER (usable) AS interactions FROM f_canonical", ["f_canonical"])
+def _(d):
+    return ingest.interaction_ingest_report(d.raw_interactions)
+
+
+@query("interaction_aliases", """SELECT raw_string, normalized_string, 'ddinter' AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY normalized_string ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, side) AS rn FROM (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS side, trim(drug_a) AS raw_string, key_a AS normalized_string FROM f_canonical WHERE usable
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, trim(drug_b), key_b FROM f_canonical WHERE usable)) WHERE rn = 1""", ["f_canonical"])
+def _(d):
+    return ingest.interaction_aliases(d.raw_interactions, ROW)
+
+
+@query("interaction_dedupe_stats", """SELECT sum(n) AS raw_rows, count(*) AS unique_pairs, sum(n) - count(*) AS rows_collapsed, count(*) FILTER (files > 1) AS pairs_in_several_files, count(*) FILTER (sevs > 1) AS severity_conflicts
+  FROM (SELECT a, b, count(*) AS n, count(DISTINCT source_file) AS files, count(DISTINCT sev) AS sevs FROM f_canonical WHERE usable GROUP BY 1, 2)""", ["f_canonical"])
+def _(d):
+    return ingest.interaction_dedupe_stats(d.raw_interactions, "source_file")
+
+
+@query("severity_distribution", "SELECT severity, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS pct FROM f_pairs GROUP BY 1", ["f_pairs"])
+def _(d):
+    return ingest.severity_distribution(ingest.ingest_interactions(d.raw_interactions, ROW))
+
+
+@query("rekey_interactions", "SELECT molecule_id_a, molecule_id_b, severity, mechanism, provenance FROM f_edges", ["f_edges"])
+def _(d):
+    return edges(d)
+
+
+@query("interactions_between", """SELECT * FROM f_edges WHERE molecule_id_a IN (SELECT molecule_id FROM d_coverage WHERE atc_group IN ('a', 'b', 'c')) AND molecule_id_b IN (SELECT molecule_id FROM d_coverage WHERE atc_group IN ('a', 'b', 'c'))""", ["f_edges", "d_coverage"])
+def _(d):
+    return interactions.interactions_between(d.coverage.filter(F.col("atc_group").isin("a", "b", "c")), edges(d))
+
+
+fragment("f_expand", """
+  SELECT key, 0 AS comp_pos, '' AS comp_name, molecule_id, inn_name, NULL AS from_combination FROM f_index WHERE status = 'resolved'
+  UNION ALL SELECT c.brand_key, c.position, c.listed_name, c.molecule_id, c.inn_name, c.brand_raw FROM f_components c JOIN f_index i ON i.key = c.brand_key AND i.status = 'combination'""", ["f_index", "f_components"])
+norm_fragment("n_line", "SELECT query AS s FROM d_lines", ["d_lines"])
+fragment("f_inputs", """
+  SELECT l.rx_id, l.pos, coalesce(e.comp_pos, 0) AS comp_pos, coalesce(e.comp_name, '') AS comp_name, l.query, e.molecule_id, e.inn_name, e.from_combination, upper(c.atc_group) AS atc_group,
+         coalesce(e.inn_name, l.query) AS label, row_number() OVER (PARTITION BY l.rx_id ORDER BY l.pos, coalesce(e.comp_pos, 0), coalesce(e.comp_name, ''), l.query, e.molecule_id) AS seq
+  FROM d_lines l JOIN n_line n ON n.s = l.query LEFT JOIN f_expand e ON e.key = n.normalized LEFT JOIN d_coverage c ON c.molecule_id = e.molecule_id""", ["d_lines", "n_line", "f_expand", "d_coverage"])
+fragment("f_gaps", """
+  SELECT *, CASE WHEN molecule_id IS NULL THEN CASE WHEN contains(query, '''') AND NOT contains(query, '"') THEN '"' || query || '"' ELSE '''' || replace(query, '''', '\\''') || '''' END || ' could not be resolved to a molecule'
+      WHEN atc_group IS NULL THEN label || ' has no ATC group in the coverage manifest'
+      WHEN atc_group NOT IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V') THEN label || ' is in ATC group ' || atc_group || ', which the ingested DDInter source does not cover' END AS gap FROM f_inputs""", ["f_inputs"])
+fragment("f_checked", """
+  SELECT rx_id, CAST(l.seq AS BIGINT) AS ls, CAST(r.seq AS BIGINT) AS rs, CASE WHEN e.severity IS NOT NULL THEN 'interaction' WHEN l.gap IS NOT NULL OR r.gap IS NOT NULL THEN 'not_checked' WHEN l.molecule_id = r.molecule_id THEN 'not_checked' ELSE 'no_known_interaction' END AS status,
+         l.query AS left_query, l.molecule_id AS left_molecule_id, l.inn_name AS left_inn_name, l.from_combination AS left_from_combination, l.atc_group AS left_atc_group, l.label AS left_label,
+         r.query AS right_query, r.molecule_id AS right_molecule_id, r.inn_name AS right_inn_name, r.from_combination AS right_from_combination, r.atc_group AS right_atc_group, r.label AS right_label,
+         e.severity, e.mechanism, e.provenance,
+         CASE WHEN e.severity IS NOT NULL THEN NULL WHEN l.gap IS NOT NULL OR r.gap IS NOT NULL THEN concat_ws('; ', l.gap, r.gap) WHEN l.molecule_id = r.molecule_id THEN 'the same molecule was supplied twice; no pairwise check applies'
+              ELSE 'both molecules are within ingested DDInter coverage and no edge exists' END AS reason
+  FROM f_gaps l JOIN f_gaps r USING (rx_id) LEFT JOIN f_edges e ON l.molecule_id <> r.molecule_id AND e.molecule_id_a = least(l.molecule_id, r.molecule_id) AND e.molecule_id_b = greatest(l.molecule_id, r.molecule_id)
+  WHERE l.seq < r.seq""", ["f_gaps", "f_edges"])
+SIDES = ", ".join(f"{s}_{c}" for s in ("left", "right") for c in ("query", "molecule_id", "inn_name", "from_combination", "atc_group", "label"))
+
+
+def checked(d: Domain) -> DataFrame:
+    return check.check_pairs(d.lines, vocabulary(d), edges(d), coverage_rows(d))
+
+
+@query("rx_pairs", """SELECT rx_id, left_query, right_query, CASE WHEN left_from_combination IS NOT NULL THEN left_inn_name || ' (in ' || left_from_combination || ')' ELSE left_label END AS left_display,
+  CASE WHEN right_from_combination IS NOT NULL THEN right_inn_name || ' (in ' || right_from_combination || ')' ELSE right_label END AS right_display FROM f_checked""", ["f_checked"])
+def _(d):
+    valid, _ = interactions.split_prescriptions(d.lines)
+    pairs = interactions.rx_pairs(check.rx_inputs(valid, vocabulary(d), coverage_rows(d)))
+    show = lambda s: interactions.input_display(F.col(f"{s}.inn_name"), F.col(f"{s}.label"), F.col(f"{s}.from_combination"))
+    return pairs.select("rx_id", F.col("l.query").alias("left_query"), F.col("r.query").alias("right_query"), show("l").alias("left_display"), show("r").alias("right_display"))
+
+
+@query("check_pairs", f"SELECT rx_id, status, {SIDES}, severity, mechanism, provenance, reason FROM f_checked", ["f_checked"])
+def _(d):
+    return checked(d).drop("pair_no")
+
+
+@query("check_summary", """SELECT o.rx_id, count(c.status) AS pairs_total, count(*) FILTER (c.status = 'interaction') AS interactions_found, count(*) FILTER (c.status = 'no_known_interaction') AS checked_no_interaction,
+  count(*) FILTER (c.status = 'not_checked') AS not_checked, count(*) FILTER (c.status = 'not_checked') = 0 AS coverage_complete FROM (SELECT o_orderkey AS rx_id FROM orders) o LEFT JOIN f_checked c ON c.rx_id = o.rx_id GROUP BY 1""", ["f_checked"])
+def _(d):
+    return interactions.check_summary(d.orders.select(F.col("o_orderkey").alias("rx_id")), checked(d))
+
+
+@query("check_report_order", """SELECT rx_id, left_label, right_label, status, severity, CASE status WHEN 'interaction' THEN 0 WHEN 'not_checked' THEN 1 ELSE 2 END AS status_rank,
+  CASE WHEN status <> 'interaction' THEN 0 WHEN severity LIKE '%major%' THEN 0 WHEN severity LIKE '%moderate%' THEN 1 ELSE 2 END AS severity_rank FROM f_checked""", ["f_checked"])
+def _(d):
+    ordered = interactions.report_order(checked(d)).orderBy("rx_id", "status_rank", "severity_rank", "pair_no")
+    return ordered.select("rx_id", "left_label", "right_label", "status", "severity", "status_rank", "severity_rank")
+
+
+@query("stream_check", f"SELECT rx_id, status, {SIDES}, severity, mechanism, provenance, reason FROM f_checked", ["f_checked"])
+def _(d):
+    """The streaming plan over all prescriptions, delivered by a file stream into a table."""
+    from rxlake.streaming import jobs
+
+    root = work_folder(d.spark)
+    arrays = d.lines.groupBy("rx_id").agg(F.array_sort(F.collect_list(F.struct("pos", "query"))).alias("r")).select("rx_id", F.transform("r", lambda x: x["query"]).alias("drugs"))
+    arrays.write.parquet(f"{root}/in")
+    stream = d.spark.readStream.schema("rx_id bigint, drugs array<string>").parquet(f"{root}/in")
+    jobs.stream_check(stream, vocabulary(d), edges(d), coverage_rows(d)).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.parquet(f"{root}/out")
+
+
+# --- coverage ------------------------------------------------------------------------------------
+
+fragment("f_partners_of", "SELECT drug_a AS drug, drug_b AS partner, f FROM (SELECT a AS drug_a, b AS drug_b, source_file AS f FROM f_canonical WHERE usable UNION ALL SELECT b, a, source_file FROM f_canonical WHERE usable)", ["f_canonical"])
+fragment("f_anchor", """
+  SELECT t.drug, t.f AS top_file, t.n AS n_in_top_file, p.n AS n_partners, t.n::DOUBLE / p.n AS anchor_concentration
+  FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY n DESC, f) AS rn FROM (SELECT drug, f, count(DISTINCT partner) AS n FROM f_partners_of GROUP BY 1, 2)) t
+  JOIN (SELECT drug, count(DISTINCT partner) AS n FROM f_partners_of GROUP BY 1) p ON p.drug = t.drug WHERE rn = 1""", ["f_partners_of"])
+fragment("f_stem", "SELECT molecule_id, CASE " + " ".join(f"WHEN regexp_matches(inn_name, '{p}') THEN '{g}'" for p, g in STEM_RULES if g not in "ABDHLPRV") + " END AS atc_group FROM d_molecules", ["d_molecules"])
+fragment("f_last_name", "SELECT inn_name AS key, max(molecule_id) AS molecule_id, inn_name FROM d_molecules GROUP BY inn_name", ["d_molecules"])
+norm_fragment("n_atc", "SELECT drug_name AS s FROM d_atc_rows", ["d_atc_rows"])
+# Anchor rows of the test: drug name, a file letter, a concentration of 1 for most rows.
+fragment("f_anchor_rows", "SELECT a.row_no, m.molecule_id, upper(substr(trim(atc_code), 1, 1)) AS atc_group, CASE WHEN row_no % 4 = 0 THEN 0.5 ELSE 1.0 END AS c FROM d_atc_rows a JOIN n_atc n ON n.s = a.drug_name JOIN f_last_name m ON m.key = n.normalized WHERE trim(atc_code) <> ''", ["d_atc_rows", "n_atc", "f_last_name"])
+fragment("f_groups", """
+  SELECT molecule_id, arg_min(atc_group, t) AS atc_group, arg_min(evidence, t) AS evidence FROM (
+    SELECT molecule_id, arg_min(atc_group, row_no) AS atc_group, 0 AS t, 'ddinter_anchor' AS evidence FROM f_anchor_rows WHERE c >= 1 GROUP BY 1
+    UNION ALL SELECT molecule_id, atc_group, 1, 'atc_stem_rule' FROM f_stem WHERE atc_group IS NOT NULL) GROUP BY 1""", ["f_anchor_rows", "f_stem"])
+
+
+def manifest(d: Domain) -> tuple[DataFrame, DataFrame]:
+    names = coverage.name_to_molecule(d.molecules, ["molecule_id"])
+    anchors = d.atc_rows.select(
+        "row_no", F.col("drug_name").alias("drug"), F.col("atc_code").alias("top_file"),
+        F.when(F.col("row_no") % 4 == 0, "0.5").otherwise("1").alias("anchor_concentration"),
+    )
+    tier1, rejected = coverage.tier_from_anchors(anchors, names, ["row_no"])
+    return coverage.coverage_groups(d.molecules, tier1, coverage.tier_from_stems(d.molecules, STEM_RULES)), rejected
+
+
+@query("coverage_manifest", "SELECT molecule_id, atc_group, evidence FROM f_groups", ["f_groups"])
+def _(d):
+    root = work_folder(d.spark)
+    groups, rejected = manifest(d)
+    artifacts.write_manifest(groups, coverage.coverage_stats(d.molecules, groups, rejected), root)
+    return d.spark.read.schema("molecule_id string, atc_group string, evidence string").json(f"{root}/groups")
+
+
+@query("coverage_stats", """SELECT count(*) AS molecules_total, count(atc_group) AS molecules_with_group, count(*) FILTER (atc_group IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V')) AS molecules_covered,
+  count(*) FILTER (atc_group NOT IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V')) AS molecules_not_covered, count(*) FILTER (atc_group IS NULL) AS molecules_unknown, count(*) FILTER (evidence = 'ddinter_anchor') AS by_anchor,
+  count(*) FILTER (evidence = 'atc_stem_rule') AS by_stem_rule, (SELECT count(*) FROM f_anchor_rows WHERE c < 1) AS partial_anchors_rejected FROM d_molecules LEFT JOIN f_groups USING (molecule_id)""", ["d_molecules", "f_groups", "f_anchor_rows"])
+def _(d):
+    groups, rejected = manifest(d)
+    return coverage.coverage_stats(d.molecules, groups, rejected)
+
+
+@query("observed_coverage", "SELECT DISTINCT upper(substr(trim(atc_code), 1, 1)) AS atc_group FROM d_atc_rows WHERE upper(substr(trim(atc_code), 1, 1)) IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V')", ["d_atc_rows"])
+def _(d):
+    return coverage.observed_coverage(coverage.atc_map(d.atc_rows, ["row_no"]))
+
+
+@query("rekey_coverage", """SELECT m.molecule_id, a.g AS atc_group FROM (SELECT n.normalized AS key, arg_max(upper(substr(trim(atc_code), 1, 1)), row_no) AS g FROM d_atc_rows JOIN n_atc n ON n.s = drug_name WHERE atc_code <> '' AND n.normalized <> '' GROUP BY 1) a
+  JOIN f_exact m ON m.key = a.key""", ["d_atc_rows", "n_atc", "f_exact"])
+def _(d):
+    ids = vocab.exact_index(d.molecules).select(F.col("key").alias("inn_name"), "molecule_id")
+    return bridge.rekey_coverage(coverage.atc_map(d.atc_rows, ["row_no"]), ids)
+
+
+@query("anchor_profile", "SELECT drug, top_file, n_in_top_file, n_partners, anchor_concentration FROM f_anchor", ["f_anchor"])
+def _(d):
+    rows = ingest.canonical_rows(d.raw_interactions).filter("usable")
+    return coverage.anchor_profile(rows, "key_a", "key_b", "source_file")
+
+
+@query("interaction_degree", """SELECT c.anchor_class, count(*) AS n_molecules, round_even(avg(degree), 1) AS mean_degree FROM (
+  SELECT m, count(*) AS degree, CASE WHEN m IN (SELECT molecule_id FROM f_groups WHERE evidence = 'ddinter_anchor') THEN 'anchored' ELSE 'partner_only' END AS anchor_class
+  FROM (SELECT molecule_id_a AS m FROM f_edges UNION ALL SELECT molecule_id_b FROM f_edges) GROUP BY 1) c GROUP BY 1""", ["f_edges", "f_groups"])
+def _(d):
+    groups, _ = manifest(d)
+    return coverage.degree_by_class(coverage.interaction_degree(edges(d)), groups.filter("evidence = 'ddinter_anchor'"))
+
+
+@query("pair_density", """WITH s AS (SELECT molecule_id, CASE WHEN molecule_id IN (SELECT molecule_id FROM f_groups WHERE evidence = 'ddinter_anchor') THEN 1 ELSE 0 END AS a FROM d_molecules),
+  possible AS (SELECT CASE x.a + y.a WHEN 2 THEN 'both_anchored' WHEN 1 THEN 'one_side_anchored' ELSE 'both_partner_only' END AS region, count(*) AS possible FROM s x JOIN s y ON x.molecule_id < y.molecule_id GROUP BY 1),
+  present AS (SELECT CASE x.a + y.a WHEN 2 THEN 'both_anchored' WHEN 1 THEN 'one_side_anchored' ELSE 'both_partner_only' END AS region, count(*) AS present FROM f_edges e JOIN s x ON x.molecule_id = e.molecule_id_a JOIN s y ON y.molecule_id = e.molecule_id_b GROUP BY 1)
+  SELECT region, possible, coalesce(present, 0) AS present, round_even(coalesce(present, 0) * 100.0::DOUBLE / possible, 2) AS coverage_pct FROM possible LEFT JOIN present USING (region)""".replace("WITH s AS", "SELECT * FROM (WITH s AS") + ")", ["f_groups", "d_molecules", "f_edges"])
+def _(d):
+    groups, _ = manifest(d)
+    return coverage.pair_density(d.molecules, groups.filter("evidence = 'ddinter_anchor'"), edges(d))
