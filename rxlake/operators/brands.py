@@ -29,7 +29,7 @@ def validate_brands(pack: DataFrame, names: DataFrame, alias_keys: DataFrame, pa
     rows = pack.select("row_no", F.trim("brand").alias("brand"), "ingredients", kind.alias("kind")).filter("brand <> ''")
     rows = with_normalized(rows, "brand", prefix="__").withColumnRenamed("__normalized", "brand_key")
     listed = F.filter(
-        F.transform(F.split(F.coalesce("ingredients", F.lit("")), r"\|"), F.trim), lambda x: x != ""
+        F.transform(F.split(F.coalesce("ingredients", F.lit("")), r"\|"), lambda p: F.trim(p)), lambda x: x != ""
     )
     rows = rows.withColumn("listed", listed).drop("ingredients")
 

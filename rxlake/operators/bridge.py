@@ -120,7 +120,7 @@ def product_components(products: DataFrame, names: DataFrame, aliases: DataFrame
     key -> molecule table used after the molecule names.
     """
     parts = lambda c, sep: F.filter(
-        F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), F.trim), lambda x: x != ""
+        F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda p: F.trim(p)), lambda x: x != ""
     )
     exploded = products.withColumn("__strengths", parts("strength_raw", ";")).select(
         "product_id", "strength_raw", "__strengths", F.posexplode(parts("components", r"\|")).alias("__at", "component")

@@ -15,7 +15,9 @@ from rxlake.functions import text as X
 from rxlake.operators import brands, bridge, coverage, dedupe, evaluate, explain, fdc, fuzzy, ingest, interactions, products, suggest, validate, vocab
 from rxlake.plans import build, check, resolve
 from rxlake.sources import artifacts, headers
-from testbed.domain import STEM_RULES, Domain
+from rxlake import wording as W
+from testbed.domain import STEM_RULES, Domain, mol
+from testbed.domain import TABLES as DOMAIN_TABLES
 from testbed.oracle import compose, fragment, norm_fragment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,7 +569,7 @@ def _(d):
 fragment("f_profile", """
   SELECT p.*, c.molecule_count, coalesce(c.molecule_count, 0) > 1 AS is_fdc, c.molecule_id, c.strength, c.unit,
          round_even(c.strength * CASE c.unit WHEN 'g' THEN 1000.0 WHEN 'mg' THEN 1.0 ELSE 1.0 END, 6) AS cvalue, CASE WHEN c.strength IS NOT NULL THEN CASE WHEN c.unit IN ('g', 'mg') THEN 'mg' ELSE c.unit END END AS cunit
-  FROM d_products p LEFT JOIN (SELECT product_id, count(*) AS molecule_count, min(molecule_id) AS molecule_id, arg_min(strength, molecule_id) AS strength, arg_min(unit, molecule_id) AS unit
+  FROM d_products p LEFT JOIN (SELECT product_id, count(*) AS molecule_count, min(molecule_id) AS molecule_id, (list(strength ORDER BY molecule_id))[1] AS strength, (list(unit ORDER BY molecule_id))[1] AS unit
        FROM d_contains GROUP BY 1) c ON c.product_id = p.product_id""", ["d_products", "d_contains"])
 # Every pair of single-molecule products of one molecule with the first failed test: the long way round.
 fragment("f_pairs_of_products", """
@@ -897,3 +899,559 @@ def _(d):
 def _(d):
     groups, _ = manifest(d)
     return coverage.pair_density(d.molecules, groups.filter("evidence = 'ddinter_anchor'"), edges(d))
+
+
+# --- bridging vocabularies -----------------------------------------------------------------------
+
+norm_fragment("n_raw_product", "SELECT trim(Generic_Name) AS s FROM d_raw_products", ["d_raw_products"])
+fragment("f_ingested", """
+  SELECT r.row_no, trim(Generic_Name) AS name, n.normalized, n.form, n.sraw, MRP, trim(Drug_Code) AS code,
+         TRY_CAST(trim(replace(replace(replace(MRP, '₹', ''), 'Rs', ''), ',', '')) AS DECIMAL(12,2)) AS price
+  FROM d_raw_products r JOIN n_raw_product n ON n.s = trim(Generic_Name)""", ["d_raw_products", "n_raw_product"])
+
+
+@query("ingest_products", """SELECT 'product' AS kind, CASE WHEN code = '' THEN 'PMBJP-' || CASE WHEN row_no < 1000000 THEN lpad(CAST(row_no AS VARCHAR), 6, '0') ELSE CAST(row_no AS VARCHAR) END ELSE code END AS id, name, form, sraw AS strength_raw, CAST(price AS DOUBLE) AS mrp, NULL AS reason FROM f_ingested WHERE name <> '' AND price IS NOT NULL
+  UNION ALL SELECT 'alias', normalized, arg_min(name, row_no), NULL, NULL, NULL, NULL FROM f_ingested WHERE name <> '' AND price IS NOT NULL AND normalized <> '' GROUP BY normalized
+  UNION ALL SELECT 'rejected', CAST(row_no AS VARCHAR), NULL, NULL, NULL, NULL, CASE WHEN name = '' THEN 'no generic name' ELSE 'unparseable MRP ''' || MRP || '''' END FROM f_ingested WHERE name = '' OR price IS NULL""", ["f_ingested"])
+def _(d):
+    rows = headers.map_columns(d.raw_products, headers.PRODUCT_HEADERS, headers.PRODUCT_REQUIRED, keep=("row_no",))
+    goods, aliases, rejected = ingest.ingest_products(rows)
+    null = lambda n, t="string": F.lit(None).cast(t).alias(n)
+    a = goods.select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), F.col("generic_name_raw").alias("name"), "form", "strength_raw", *dbl("mrp"), null("reason"))
+    b = aliases.select(F.lit("alias").alias("kind"), F.col("normalized_string").alias("id"), F.col("raw_string").alias("name"), null("form"), null("strength_raw"), null("mrp", "double"), null("reason"))
+    c = rejected.select(F.lit("rejected").alias("kind"), F.col("row_no").cast("string").alias("id"), null("name"), null("form"), null("strength_raw"), null("mrp", "double"), "reason")
+    return a.unionByName(b).unionByName(c)
+
+
+def ids_of(d: Domain) -> DataFrame:
+    return vocab.exact_index(d.molecules).select(F.col("key").alias("inn_name"), "molecule_id")
+
+
+@query("bridge_products", "SELECT product_id, molecule_id, sval AS strength, sunit AS unit FROM d_products JOIN n_product n ON n.s = generic_name_raw JOIN f_exact e ON e.key = n.normalized", ["d_products", "n_product", "f_exact"])
+def _(d):
+    return bridge.bridge_products(d.products, ids_of(d))[0]
+
+
+@query("bridge_unjoined", "SELECT product_id, generic_name_raw, normalized AS normalized_string, 'no exact match in the canonical vocabulary' AS reason FROM d_products JOIN n_product n ON n.s = generic_name_raw WHERE normalized NOT IN (SELECT key FROM f_exact)", ["d_products", "n_product", "f_exact"])
+def _(d):
+    return bridge.bridge_products(d.products, ids_of(d))[1]
+
+
+@query("bridge_aliases", """SELECT raw_string, normalized_string, source, e.molecule_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY normalized_string ORDER BY t, row_no) AS rn FROM (
+    SELECT raw_string, normalized_string, source, row_no, 0 AS t FROM f_aliases WHERE source = 'ddinter' UNION ALL SELECT raw_string, normalized_string, source, row_no, 1 FROM f_aliases WHERE source = 'manual'
+    UNION ALL SELECT generic_name_raw, n.normalized, 'pmbjp', CAST(substr(product_id, 4) AS BIGINT), 2 FROM d_products JOIN n_product n ON n.s = generic_name_raw) WHERE normalized_string <> '') x JOIN f_exact e ON e.key = x.normalized_string WHERE rn = 1""",
+       ["f_aliases", "d_products", "n_product", "f_exact"])
+def _(d):
+    loaded = vocab.load_aliases(d.aliases)
+    named = N.with_normalized(d.products, "generic_name_raw").select(
+        F.col("generic_name_raw").alias("raw_string"), F.col("normalized").alias("normalized_string"), F.lit("pmbjp").alias("source"), F.expr("CAST(substr(product_id, 4) AS BIGINT)").alias("row_no")
+    )
+    return bridge.bridge_aliases([loaded.filter("source = 'ddinter'"), loaded.filter("source = 'manual'"), named], ids_of(d), ["row_no"])
+
+
+fragment("f_seed_aliases", "SELECT drug_name AS raw_string, drug_name AS normalized_string, 'manual' AS source FROM d_atc_rows UNION ALL SELECT raw_string, raw_string, source FROM d_aliases", ["d_atc_rows", "d_aliases"])
+norm_fragment("n_seed", "SELECT normalized_string AS s FROM f_seed_aliases", ["f_seed_aliases"])
+
+
+@query("reconcile_aliases", "SELECT raw_string, s.source, m.molecule_id, m.molecule_id IS NOT NULL AS matched FROM f_seed_aliases s JOIN n_seed n ON n.s = s.normalized_string LEFT JOIN f_last_name m ON m.key = n.normalized", ["f_seed_aliases", "n_seed", "f_last_name"])
+def _(d):
+    names = coverage.name_to_molecule(d.molecules, ["molecule_id"])
+    rows = d.atc_rows.select(F.col("drug_name").alias("raw_string"), F.col("drug_name").alias("normalized_string"), F.lit("manual").alias("source")).unionByName(
+        d.aliases.select("raw_string", F.col("raw_string").alias("normalized_string"), "source")
+    )
+    good, bad = bridge.reconcile_aliases(rows, names)
+    return good.select("raw_string", "source", "molecule_id", F.lit(True).alias("matched")).unionByName(
+        bad.select("raw_string", "source", F.lit(None).cast("string").alias("molecule_id"), F.lit(False).alias("matched"))
+    )
+
+
+norm_fragment("n_request_pair", "SELECT query AS s FROM d_requests UNION SELECT drug_b FROM d_raw_interactions", ["d_requests", "d_raw_interactions"])
+fragment("f_named_pairs", """
+  SELECT r.query AS drug_a, i.drug_b, a.molecule_id AS ma, b.molecule_id AS mb
+  FROM d_requests r JOIN d_raw_interactions i ON (i.l_orderkey, i.l_linenumber, i.l_partkey, i.l_suppkey) = (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey)
+  JOIN n_request_pair x ON x.s = r.query JOIN n_request_pair y ON y.s = i.drug_b LEFT JOIN f_last_name a ON a.key = x.normalized LEFT JOIN f_last_name b ON b.key = y.normalized""",
+         ["d_requests", "d_raw_interactions", "n_request_pair", "f_last_name"])
+
+
+def named_pairs(d: Domain):
+    rows = d.requests.join(d.raw_interactions.select(*ROW, "drug_b", "source_file"), ROW).select(F.col("query").alias("drug_a"), "drug_b", "source_file")
+    return bridge.reconcile_interactions(rows, coverage.name_to_molecule(d.molecules, ["molecule_id"]))
+
+
+@query("unmatched_names", "SELECT name, count(*) AS n FROM (SELECT drug_a AS name FROM f_named_pairs WHERE ma IS NULL UNION ALL SELECT drug_b FROM f_named_pairs WHERE mb IS NULL) GROUP BY 1 ORDER BY n DESC, name LIMIT 100", ["f_named_pairs"])
+def _(d):
+    return bridge.unmatched_names(named_pairs(d)[2])
+
+
+@query("reconcile_interactions", """SELECT 'edge' AS part, least(ma, mb) AS a, greatest(ma, mb) AS b, count(*) AS n FROM f_named_pairs WHERE ma <> mb GROUP BY ALL
+  UNION ALL SELECT 'self_loop', ma, ma, count(*) FROM f_named_pairs WHERE ma = mb AND drug_a <> drug_b GROUP BY ALL""", ["f_named_pairs"])
+def _(d):
+    good, loops, _ = named_pairs(d)
+    return good.groupBy(F.lit("edge").alias("part"), F.col("molecule_id_a").alias("a"), F.col("molecule_id_b").alias("b")).agg(F.count("*").alias("n")).unionByName(
+        loops.groupBy(F.lit("self_loop").alias("part"), F.col("molecule_id").alias("a"), F.col("molecule_id").alias("b")).agg(F.count("*").alias("n"))
+    )
+
+
+fragment("f_component_rows", """
+  SELECT product_id, pos AS position, trim(comps[pos]) AS component, coalesce(ss[pos], strength_raw, '') AS stated FROM (
+    SELECT product_id, strength_raw, unnest(generate_series(1, len(comps))) AS pos, comps, ss FROM (
+      SELECT product_id, strength_raw, list_filter(list_transform(string_split(components, '|'), lambda x: trim(x)), lambda x: x <> '') AS comps,
+             list_filter(list_transform(string_split(coalesce(strength_raw, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM d_component_products))""", ["d_component_products"])
+norm_fragment("n_component", "SELECT component AS s FROM f_component_rows UNION SELECT component || ' ' || stated FROM f_component_rows UNION SELECT 'drug ' || stated FROM f_component_rows", ["f_component_rows"])
+
+
+@query("product_components", """SELECT r.product_id, CAST(r.position AS BIGINT) AS position, coalesce(m.molecule_id, a.molecule_id) AS molecule_id, CASE WHEN w.sval IS NOT NULL THEN w.sval ELSE o.sval END AS strength, CASE WHEN w.sval IS NOT NULL THEN w.sunit ELSE o.sunit END AS unit
+  FROM f_component_rows r JOIN n_component c ON c.s = r.component JOIN n_component w ON w.s = r.component || ' ' || r.stated JOIN n_component o ON o.s = 'drug ' || r.stated
+  LEFT JOIN f_last_name m ON m.key = c.normalized LEFT JOIN f_alias a ON a.key = c.normalized WHERE coalesce(m.molecule_id, a.molecule_id) IS NOT NULL""", ["f_component_rows", "n_component", "f_last_name", "f_alias"])
+def _(d):
+    v = vocabulary(d)
+    names = coverage.name_to_molecule(d.molecules, ["molecule_id"])
+    return bridge.product_components(d.component_products, names, vocab.alias_index(v.aliases, v.molecules, ["row_no"]))[0]
+
+
+@query("review_proposals", """SELECT product_id, unjoined_name, normalized_string, proposed_inn_name, score, 'PENDING_HUMAN_REVIEW' AS status FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, proposed_inn_name) AS rn FROM (
+    SELECT p.product_id, p.generic_name_raw AS unjoined_name, n.normalized AS normalized_string, v.key AS proposed_inn_name,
+           round_even((1.0::DOUBLE - levenshtein(n.normalized, v.key) / greatest(length(n.normalized), length(v.key))) * 100, 2) AS score
+    FROM d_products p JOIN n_product n ON n.s = p.generic_name_raw, f_exact v WHERE n.normalized NOT IN (SELECT key FROM f_exact) AND n.normalized <> ''
+      AND NOT EXISTS (SELECT 1 FROM f_partners b WHERE b.key = n.normalized AND b.partner = v.key))) WHERE rn <= 3 AND score >= 70""", ["d_products", "n_product", "f_exact", "f_partners"])
+def _(d):
+    unjoined = bridge.bridge_products(d.products, ids_of(d))[1]
+    return fuzzy.review_proposals(unjoined, ids_of(d).select("inn_name"), blocklist(d), threshold=70)
+
+
+fragment("f_left_vocab", "SELECT DISTINCT normalized AS key FROM n_query WHERE normalized <> ''", ["n_query"])
+
+
+@query("vocab_join_report", """SELECT 'left' AS side, outcome, count(*) AS n FROM (SELECT l.key, CASE WHEN e.key IS NOT NULL THEN 'exact' WHEN a.key IS NOT NULL THEN 'alias' ELSE 'unmatched' END AS outcome FROM f_left_vocab l LEFT JOIN f_exact e ON e.key = l.key LEFT JOIN f_alias a ON a.key = l.key) GROUP BY 2
+  UNION ALL SELECT 'right', outcome, count(*) FROM (SELECT e.key, CASE WHEN e.key IN (SELECT key FROM f_left_vocab) THEN 'exact' WHEN e.key IN (SELECT a.inn_name FROM f_alias a WHERE a.key IN (SELECT key FROM f_left_vocab) AND a.key NOT IN (SELECT key FROM f_exact)) THEN 'alias' ELSE 'unmatched' END AS outcome FROM f_exact e) GROUP BY 2""",
+       ["f_left_vocab", "f_exact", "f_alias"])
+def _(d):
+    v = vocabulary(d)
+    left = N.with_normalized(d.requests.select("query").distinct(), "query").select("normalized").filter("normalized <> ''")
+    return bridge.vocab_join_report(left, ids_of(d).select("inn_name"), vocab.alias_index(v.aliases, v.molecules, ["row_no"]))
+
+
+norm_fragment("n_ceiling", "SELECT molecule AS s FROM d_ceilings", ["d_ceilings"])
+
+
+@query("ceiling_coverage", """SELECT m.inn_name, c.n_formulations, c.n_priced, c.lo AS min_ceiling, c.hi AS max_ceiling, c.key IS NOT NULL AS matched FROM (SELECT DISTINCT inn_name FROM d_contains JOIN d_molecules USING (molecule_id)) m
+  LEFT JOIN (SELECT n.normalized AS key, count(*) AS n_formulations, count(ceiling_price) AS n_priced, min(ceiling_price) AS lo, max(ceiling_price) AS hi FROM d_ceilings JOIN n_ceiling n ON n.s = molecule GROUP BY 1) c ON c.key = m.inn_name""",
+       ["d_contains", "d_molecules", "d_ceilings", "n_ceiling"])
+def _(d):
+    used = d.contains.join(d.molecules, "molecule_id").select("inn_name")
+    hit, miss = bridge.ceiling_coverage(used, d.ceilings)
+    null = lambda n, t: F.lit(None).cast(t).alias(n)
+    return hit.withColumn("matched", F.lit(True)).unionByName(
+        miss.select("inn_name", null("n_formulations", "bigint"), null("n_priced", "bigint"), null("min_ceiling", "double"), null("max_ceiling", "double"), F.lit(False).alias("matched"))
+    )
+
+
+norm_fragment("n_direction", "SELECT raw_string AS s FROM d_alias_seed UNION SELECT target_string FROM d_alias_seed", ["d_alias_seed"])
+
+
+@query("alias_direction", """SELECT raw_string, target_string, CASE WHEN ri AND NOT ti THEN tk ELSE rk END AS alias_key, CASE WHEN ri AND NOT ti THEN rk ELSE tk END AS target_key,
+  CASE WHEN ri AND ti THEN 'both_present' WHEN ti THEN 'as_given' WHEN ri THEN 'flipped' ELSE 'not_in_vocabulary' END AS direction FROM (
+  SELECT a.*, r.normalized AS rk, t.normalized AS tk, r.normalized IN (SELECT key FROM f_exact) AS ri, t.normalized IN (SELECT key FROM f_exact) AS ti FROM d_alias_seed a JOIN n_direction r ON r.s = a.raw_string JOIN n_direction t ON t.s = a.target_string)""", ["d_alias_seed", "n_direction", "f_exact"])
+def _(d):
+    return bridge.alias_direction(d.alias_seed, ids_of(d).select("inn_name"))
+
+
+# --- brand packs ---------------------------------------------------------------------------------
+
+fragment("f_pack_parts", """SELECT row_no, pos, trim(parts[pos]) AS ingredient FROM (SELECT row_no, unnest(generate_series(1, len(parts))) AS pos, parts FROM (
+  SELECT row_no, list_filter(list_transform(string_split(ingredients, '|'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM d_brand_pack))""", ["d_brand_pack"])
+norm_fragment("n_ingredient", "SELECT ingredient AS s FROM f_pack_parts", ["f_pack_parts"])
+fragment("f_pack", """
+  SELECT b.row_no, trim(b.brand) AS brand, n.normalized AS brand_key, lower(CASE WHEN trim(kind) = '' THEN 'brand' ELSE trim(kind) END) AS kind, coalesce(i.n, 0) AS n_parts, i.missing, i.ids
+  FROM d_brand_pack b JOIN n_brand n ON n.s = trim(b.brand) LEFT JOIN (
+    SELECT p.row_no, count(*) AS n, coalesce(string_agg(CASE WHEN m.molecule_id IS NULL THEN p.ingredient END, ', ' ORDER BY pos), '') AS missing, string_agg(coalesce(m.molecule_id, '?'), '|' ORDER BY pos) AS ids
+    FROM f_pack_parts p JOIN n_ingredient n ON n.s = p.ingredient LEFT JOIN f_last_name m ON m.key = n.normalized GROUP BY 1) i ON i.row_no = b.row_no WHERE trim(b.brand) <> ''""",
+         ["d_brand_pack", "n_brand", "f_pack_parts", "n_ingredient", "f_last_name"])
+fragment("f_pack_checked", """
+  SELECT p.*, CASE WHEN brand_key = '' THEN 'normalizes to an empty key' WHEN brand_key IN (SELECT key FROM f_last_name) AND kind <> 'synonym' THEN 'collides with a molecule name'
+       WHEN n_parts = 0 THEN 'no ingredients listed' WHEN missing <> '' THEN 'ingredient not in catalogue' END AS row_reason,
+       brand_key IN (SELECT normalized_string FROM f_aliases) AS claimed,
+       (SELECT min(q.partner) FROM f_partners q WHERE q.key = p.brand_key AND q.partner IN (SELECT key FROM f_last_name)) AS look_alike FROM f_pack p""", ["f_pack", "f_last_name", "f_aliases", "f_partners"])
+fragment("f_brands", """
+  SELECT c.row_no, c.brand, c.brand_key, c.kind, c.ids, c.n_parts,
+    CASE WHEN row_reason IS NOT NULL THEN row_reason WHEN f.row_no < c.row_no AND f.ids <> c.ids THEN 'duplicate brand with different ingredients' WHEN f.row_no < c.row_no THEN NULL
+         WHEN claimed THEN 'already in the alias table' WHEN look_alike IS NOT NULL THEN 'blocklisted confusable' END AS reason,
+    row_reason IS NULL AND coalesce(f.row_no < c.row_no, false) AS later
+  FROM f_pack_checked c LEFT JOIN (SELECT brand_key, min(row_no) AS row_no, arg_min(ids, row_no) AS ids FROM f_pack_checked WHERE row_reason IS NULL AND NOT claimed AND look_alike IS NULL GROUP BY 1) f ON f.brand_key = c.brand_key""", ["f_pack_checked"])
+
+
+def validated(d: Domain) -> DataFrame:
+    names = coverage.name_to_molecule(d.molecules, ["molecule_id"])
+    claimed = vocab.load_aliases(d.aliases).select("normalized_string")
+    return brands.validate_brands(d.brand_pack, names, claimed, blocklist(d))
+
+
+@query("brand_validation", "SELECT row_no, brand, brand_key, kind, reason, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN later THEN 'skipped' WHEN n_parts = 1 THEN 'alias' ELSE 'combination' END AS outcome FROM f_brands", ["f_brands"])
+def _(d):
+    return validated(d).select("row_no", "brand", "brand_key", "kind", "reason", "outcome")
+
+
+@query("brand_aliases", "SELECT brand AS raw_string, brand_key AS normalized_string, 'manual' AS source, ids AS molecule_id FROM f_brands WHERE reason IS NULL AND NOT later AND n_parts = 1", ["f_brands"])
+def _(d):
+    return brands.brand_aliases(validated(d)).drop("inn_name")
+
+
+@query("brand_combinations", "SELECT brand_key, brand AS brand_raw, CAST(unnest(generate_series(1, n_parts)) AS BIGINT) AS position, unnest(string_split(ids, '|')) AS molecule_id, kind FROM f_brands WHERE reason IS NULL AND NOT later AND n_parts > 1", ["f_brands"])
+def _(d):
+    return brands.brand_combinations(validated(d)).drop("inn_name")
+
+
+@query("brand_rejections", "SELECT reason, count(*) AS n FROM f_brands WHERE reason IS NOT NULL GROUP BY 1", ["f_brands"])
+def _(d):
+    return brands.brand_rejections(validated(d))
+
+
+# --- names: combination products and look-alikes -------------------------------------------------
+
+PACK_RE = fdc.PACK_SIZE.replace("'", "''")
+fragment("f_guarded_names", rf"""
+  SELECT product_id, generic_name_raw AS name, CASE WHEN fired THEN generic_name_raw ELSE regexp_replace(generic_name_raw, '(?i){PACK_RE}', '') END AS trimmed, fired FROM (
+    SELECT *, lost <> '' AND regexp_matches(lost, '(?i){fdc.DOSE}|,|\band\b') AS fired FROM (SELECT *, regexp_extract(generic_name_raw, '(?i){PACK_RE}', 0) AS lost FROM d_fdc_products))""", ["d_fdc_products"])
+# Commas in brackets: the test names have one bracket, so text is cut at it and put together again.
+fragment("f_parts", rf"""
+  SELECT product_id, name, pos AS position, trim(replace(parts[pos], chr(2), ',')) AS component FROM (
+    SELECT product_id, name, unnest(generate_series(1, len(parts))) AS pos, parts FROM (
+      SELECT product_id, name, string_split(regexp_replace(masked, '(?i)({fdc.DOSE}){fdc.SEPARATOR}', '\1' || chr(1), 'g'), chr(1)) AS parts FROM (
+        SELECT product_id, name, CASE WHEN contains(trimmed, '(') THEN regexp_extract(trimmed, '^[^(]*') || replace(regexp_extract(trimmed, '\([^)]*\)'), ',', chr(2)) || regexp_extract(trimmed, '\)(.*)$', 1) ELSE trimmed END AS masked FROM f_guarded_names)))""", ["f_guarded_names"])
+norm_fragment("n_part", "SELECT component AS s FROM f_parts", ["f_parts"])
+fragment("f_decomposed", "SELECT p.product_id, CAST(p.position AS BIGINT) AS position, p.component, n.normalized, n.sraw AS strength_raw FROM f_parts p JOIN n_part n ON n.s = p.component", ["f_parts", "n_part"])
+
+
+@query("fdc_pack_guard", "SELECT product_id, name AS generic_name_raw, trimmed AS trimmed_name, fired AS guard_fired FROM f_guarded_names", ["f_guarded_names"])
+def _(d):
+    return fdc.fdc_pack_guard(d.fdc_products)
+
+
+@query("fdc_decompose", "SELECT product_id, position, component, normalized, strength_raw FROM f_decomposed", ["f_decomposed"])
+def _(d):
+    return fdc.fdc_decompose(d.fdc_products)
+
+
+@query("fdc_residue", rf"""SELECT residue_reason, count(*) AS n FROM (
+  SELECT CASE WHEN lower(name) LIKE '%insulin%' THEN '{fdc.INSULIN}' WHEN n = 0 THEN '{fdc.NOTHING}' WHEN shortest < 4 THEN '{fdc.TOO_SHORT}' WHEN longest > 60 THEN '{fdc.TOO_LONG}' WHEN n = 1 AND doses >= 2 THEN '{fdc.FUSION}' WHEN n = 1 THEN '{fdc.OPAQUE}' END AS residue_reason
+  FROM (SELECT f.generic_name_raw AS name, len(regexp_extract_all(lower(f.generic_name_raw), '{fdc.DOSE}')) AS doses, c.* FROM d_fdc_products f JOIN (SELECT product_id, count(*) FILTER (normalized <> '') AS n, min(length(normalized)) FILTER (normalized <> '') AS shortest, max(length(normalized)) AS longest FROM f_decomposed GROUP BY 1) c USING (product_id))
+  WHERE doses >= 2 OR regexp_matches(lower(name), '\band\b|,|\+')) WHERE residue_reason IS NOT NULL GROUP BY 1""", ["d_fdc_products", "f_decomposed"])
+def _(d):
+    return fdc.fdc_residue(d.fdc_products, fdc.fdc_decompose(d.fdc_products)).groupBy("residue_reason").agg(F.count("*").alias("n"))
+
+
+# Part names and the folded words of the benchmark texts: a vocabulary large enough to show the blocking.
+fragment("f_scan_names", "SELECT p_name AS name FROM d_names UNION SELECT DISTINCT replace(lower(strip_accents(w)), 'ß', 'ss') FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS w FROM benchmark) WHERE length(w) > 0", ["d_names"])
+fragment("f_scan", "SELECT a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name) AS edit_distance FROM f_scan_names a JOIN f_scan_names b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(a.name, b.name) <= 2", ["f_scan_names"])
+
+
+def scan_names(d: Domain) -> DataFrame:
+    words = d.benchmark.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).select(N.fold_text(F.col("w")).alias("name")).filter("name <> ''")
+    return d.names.select(F.col("p_name").alias("name")).union(words).distinct()
+
+
+@query("confusable_scan", "SELECT name_a, name_b, edit_distance FROM f_scan", ["f_scan"])
+def _(d):
+    return fuzzy.confusable_scan(scan_names(d))
+
+
+@query("confusable_classify", f"""SELECT name_a, name_b, edit_distance, CASE WHEN ra = rb THEN 'benign' ELSE 'dangerous' END AS verdict, CASE WHEN ra = rb THEN '{fdc.BENIGN_REASON}' WHEN least(length(name_a), length(name_b)) <= 10 THEN '{fdc.SHORT_REASON}' ELSE '{fdc.OTHER_REASON}' END AS reason FROM (
+  SELECT *, {{red_a}} AS ra, {{red_b}} AS rb FROM (SELECT a.p_name AS name_a, b.p_name AS name_b, levenshtein(a.p_name, b.p_name) AS edit_distance FROM d_names a JOIN d_names b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 2))""".format(
+    **{f"red_{x}": "replace(replace(replace(replace(replace(replace(replace(replace(name_X, 'ph', 'f'), 'oe', 'e'), 'ae', 'e'), 'y', 'i'), 'k', 'c'), ' ', ''), 'll', 'l'), 'zz', 'z')".replace("X", x) for x in "ab"}), ["d_names"])
+def _(d):
+    return fdc.confusable_classify(fuzzy.confusable_scan(d.names))
+
+
+RED = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, 'ph', 'f'), 'oe', 'e'), 'ae', 'e'), 'y', 'i'), 'k', 'c'), ' ', ''), 'll', 'l'), 'zz', 'z'), 'xx', 'x'), 'dd', 'd')"
+
+
+@query("orthographic_bridge", f"""SELECT s.name, t.target FROM (SELECT DISTINCT replace(replace(p_name, 'ol', 'oll'), 'i', 'y') AS name FROM part) s
+  JOIN (SELECT {RED.format(x='key')} AS r, min(key) AS target FROM f_exact GROUP BY 1 HAVING count(*) = 1) t ON t.r = {RED.format(x='s.name')}
+  WHERE s.name NOT IN (SELECT key FROM f_exact) AND NOT EXISTS (SELECT 1 FROM f_partners p WHERE p.key = s.name AND p.partner = t.target)""", ["f_exact", "f_partners"])
+def _(d):
+    spelled = d.part.select(F.regexp_replace(F.regexp_replace("p_name", "ol", "oll"), "i", "y").alias("name"))
+    return fdc.orthographic_bridge(spelled, ids_of(d).select("inn_name"), blocklist(d))
+
+
+fragment("f_category", """SELECT molecule_id, inn_name, CASE WHEN regexp_matches(inn_name, '\\b(vaccine|vaccines|toxoid|bcg)\\b') THEN 'vaccine' WHEN inn_name LIKE '%mab' OR regexp_matches(inn_name, '\\binsulin\\b') THEN 'biologic'
+  WHEN inn_name LIKE '% ring' THEN 'herbal' ELSE 'small_molecule' END AS category FROM (
+  SELECT molecule_id, CASE WHEN inn_name LIKE '%bolt' THEN inn_name || 'mab' WHEN inn_name LIKE 'blue%' THEN inn_name || ' vaccine' WHEN inn_name LIKE 'hot%' THEN 'insulin ' || inn_name ELSE inn_name END AS inn_name FROM d_molecules)""", ["d_molecules"])
+
+
+def categories(d: Domain) -> DataFrame:
+    name = F.col("inn_name")
+    shaped = d.molecules.select("molecule_id", F.when(name.endswith("bolt"), F.concat(name, F.lit("mab"))).when(name.startswith("blue"), F.concat(name, F.lit(" vaccine"))).when(
+        name.startswith("hot"), F.concat(F.lit("insulin "), name)).otherwise(name).alias("inn_name"))
+    return fdc.classify_category(shaped, d.names.filter("p_name LIKE '% ring'").select(F.col("p_name").alias("inn_name")))
+
+
+@query("classify_category", "SELECT molecule_id, inn_name, category FROM f_category", ["f_category"])
+def _(d):
+    return categories(d)
+
+
+@query("category_counts", "SELECT category, count(*) AS n_all, count(*) FILTER (molecule_id IN (SELECT molecule_id FROM d_contains)) AS n_subset FROM f_category GROUP BY 1", ["f_category", "d_contains"])
+def _(d):
+    return fdc.category_counts(categories(d), d.contains)
+
+
+# --- plain-language reports ----------------------------------------------------------------------
+
+
+def fill_sql(template: str, **values: str) -> str:
+    """The same template with SQL expressions in its places."""
+    if template is None:
+        return "NULL"
+    out, rest = [], template
+    while "{" in rest:
+        head, rest = rest.split("{", 1)
+        name, rest = rest.split("}", 1)
+        out += ["'" + head.replace("'", "''") + "'", f"({values[name]})"]
+    return " || ".join(out + ["'" + rest.replace("'", "''") + "'"])
+
+
+def cases_sql(cases: list[tuple[str | None, tuple]], **values: str) -> str:
+    columns = []
+    for i, name in enumerate(("headline", "detail", "action")):
+        arms = " ".join(f"WHEN {c} THEN {fill_sql(t[i], **values)}" for c, t in cases if c)
+        columns.append(f"CASE {arms} ELSE {fill_sql(cases[-1][1][i], **values)} END AS {name}")
+    return ", ".join(columns)
+
+
+fragment("f_component_names", """SELECT brand_key, count(*) AS n, CASE WHEN count(*) > 1 THEN array_to_string((list(inn_name ORDER BY position, listed_name))[1:count(*) - 1], ', ') || ' and ' || (list(inn_name ORDER BY position, listed_name))[count(*)] END AS names FROM f_components GROUP BY 1""", ["f_components"])
+fragment("f_close", "SELECT normalized, string_agg(inn_name, ', ' ORDER BY rank) FILTER (rank <= 3) AS close FROM f_candidates GROUP BY 1", ["f_candidates"])
+
+
+@query("explain_resolution", "SELECT query, status, " + cases_sql([
+    ("status = 'resolved' AND coalesce(alias_raw_string, '') <> '' AND lower(trim(alias_raw_string)) <> lower(inn_name)", W.BRAND), ("status = 'resolved'", W.INGREDIENT), ("status = 'combination'", W.COMBINATION),
+    ("status = 'needs_review'", W.NEEDS_REVIEW), (None, W.UNRESOLVED)], query="query", name="inn_name", n="n", names="names", close="close",
+    note="CASE WHEN r.normalized <> '' AND r.normalized <> lower(query) THEN ' We read it as “' || r.normalized || '”.' ELSE '' END")
+    + " FROM f_resolved r LEFT JOIN f_component_names c ON c.brand_key = r.normalized AND r.status = 'combination' LEFT JOIN f_close k ON k.normalized = r.normalized", ["f_resolved", "f_component_names", "f_close"])
+def _(d):
+    v = vocabulary(d)
+    resolved = resolve.resolve(d.requests.select("query"), v)
+    # Names of one pack and of the few candidates of one query, as they are printed in one sentence.
+    parts = v.components().groupBy(F.col("brand_key").alias("normalized")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "listed_name", "inn_name"))), lambda c: c["inn_name"]).alias("component_names"))
+    close = fuzzy.fuzzy_candidates(resolve.guarded_candidates(v, missed(d, v))).groupBy("normalized").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "inn_name"))), lambda c: c["inn_name"]).alias("candidate_names"))
+    return explain.explain_resolution(resolved.join(parts, "normalized", "left").join(close, "normalized", "left")).select("query", "status", "headline", "detail", "action")
+
+
+OUT = lambda g: f"coalesce({g} NOT IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V'), false)"
+BUCKET = "CASE WHEN severity LIKE '%major%' THEN 'major' WHEN severity LIKE '%moderate%' THEN 'moderate' WHEN severity LIKE '%minor%' THEN 'minor' ELSE 'unknown' END"
+
+
+def _severity_sql(i: int) -> str:
+    return f"CASE {BUCKET} " + " ".join(f"WHEN '{k}' THEN '{t[i]}'" for k, t in W.SEVERITY.items()) + " END"
+
+
+@query("explain_pairs", "SELECT rx_id, left_label, right_label, status, " + cases_sql([
+    ("status = 'interaction'", ("{sev}", "{sevtext}{effect}", W.FOUND_ACTION)), ("status = 'no_known_interaction'", W.CLEAR), ("left_molecule_id IS NULL OR right_molecule_id IS NULL", W.UNIDENTIFIED),
+    (f"{OUT('left_atc_group')} OR {OUT('right_atc_group')}", W.OUTSIDE), (None, W.NOT_CHECKED)],
+    sev=_severity_sql(0), sevtext=_severity_sql(1), left="left_label", right="right_label",
+    effect="CASE WHEN coalesce(mechanism, '') <> '' THEN ' Recorded effect: ' || regexp_replace(trim(mechanism), '\\.+$', '') || '.' ELSE '' END",
+    unnamed="concat_ws(' and ', CASE WHEN left_molecule_id IS NULL THEN '“' || left_label || '”' END, CASE WHEN right_molecule_id IS NULL THEN '“' || right_label || '”' END)",
+    kind=_label_case(f"CASE WHEN {OUT('left_atc_group')} THEN left_atc_group ELSE right_atc_group END", "medicines in group "), who=f"CASE WHEN {OUT('left_atc_group')} THEN left_label ELSE right_label END") + " FROM f_checked", ["f_checked"])
+def _(d):
+    return explain.explain_pairs(checked(d)).select("rx_id", "left_label", "right_label", "status", "headline", "detail", "action")
+
+
+fragment("f_summary", """SELECT o.rx_id, count(c.status) AS total, count(*) FILTER (c.status = 'interaction') AS found, count(*) FILTER (c.status = 'no_known_interaction') AS clear,
+  count(*) FILTER (c.status = 'not_checked') AS gaps FROM (SELECT o_orderkey AS rx_id FROM orders) o LEFT JOIN f_checked c ON c.rx_id = o.rx_id GROUP BY 1""", ["f_checked"])
+FOUND_SQL = "CASE WHEN found = 1 THEN '1 known interaction' ELSE found || ' known interactions' END"
+
+
+@query("explain_coverage", "SELECT rx_id, " + cases_sql([
+    ("total = 0", W.NOTHING), ("found > 0", W.FOUND), ("gaps > 0 AND clear > 0", W.PARTLY), ("gaps > 0 AND total = 1", W.ONE_GAP), ("gaps > 0", W.ALL_GAPS), ("total = 1", W.ONE_CLEAR), (None, W.ALL_CLEAR)],
+    total="total", clear="clear", gaps="gaps", pairs="CASE WHEN total = 1 THEN 'combination' ELSE 'combinations' END", found=FOUND_SQL,
+    more="CASE WHEN gaps > 0 THEN ' ' || gaps || ' of them could not be checked at all, so there may be more that we did not see.' ELSE '' END") + " FROM f_summary", ["f_summary"])
+def _(d):
+    summary = interactions.check_summary(d.orders.select(F.col("o_orderkey").alias("rx_id")), checked(d))
+    return explain.explain_coverage(summary).select("rx_id", "headline", "detail", "action")
+
+
+RUPEES = lambda c: f"'₹' || format('{{:,.2f}}', CAST({c} AS DOUBLE))"
+
+
+@query("explain_substitution", "SELECT product_id, s.status, " + cases_sql([
+    ("s.status = 'out_of_scope_fdc'", W.SWAP_FDC), ("s.status = 'no_products'", W.SWAP_NO_PRODUCTS), ("s.status = 'price_not_available'", W.SWAP_NO_PRICE), ("s.status = 'no_substitutes'", W.SWAP_NONE), (None, W.SWAP_OK)],
+    name="m.inn_name", n="n_substitutes", options="CASE WHEN n_substitutes = 1 THEN 'option' ELSE 'options' END",
+    saving=f"' The cheapest is about ' || CAST(round_even(best_savings_pct, 0) AS BIGINT) || '% less — ' || {RUPEES('best_mrp')} || ' against ' || {RUPEES('s.mrp')} || '.'")
+    + " FROM f_product_summary s LEFT JOIN d_molecules m ON m.molecule_id = s.molecule_id", ["f_product_summary", "d_molecules"])
+def _(d):
+    named = products.substitutes_for_product(profile(d)).join(d.molecules.select("molecule_id", "inn_name"), "molecule_id", "left").withColumnRenamed("mrp", "reference_mrp")
+    return explain.explain_substitution(named).select("product_id", "status", "headline", "detail", "action")
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+# Labelled cases: names, swapped names, names with one wrong letter, and nonsense, with some wrong labels.
+DOMAIN_TABLES["golden"] = f"""
+    SELECT DISTINCT upper(p_name) || ' 5mg tab' AS query, 'exact' AS expected_path, CASE WHEN p_name LIKE 'small%' THEN 'MOL_none' ELSE {mol('p_name')} END AS expected_molecule_id, CAST(NULL AS STRING) AS forbidden_molecules, '' AS note FROM {{names}}
+    UNION ALL SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), 'alias', {mol('p_name')}, 'MOL_red_ring | inn:blue rod', '' FROM {{names}}
+    UNION ALL SELECT substr(p_name, 1, 2) || 'x' || substr(p_name, 4), CASE WHEN p_name LIKE 'red%' THEN 'unresolved' ELSE 'needs_review' END, CASE WHEN p_name LIKE 'hot%' THEN NULL ELSE {mol('p_name')} END, CASE WHEN p_name LIKE 'blue%' THEN 'inn:' || p_name ELSE '' END, '' FROM {{names}}
+    UNION ALL SELECT 'zzz ' || p_name || ' zzz', CASE WHEN p_name LIKE 'blue%' THEN 'exact' ELSE 'unresolved' END, NULL, '', '' FROM {{names}}"""
+fragment("d_golden", DOMAIN_TABLES["golden"].format(names="d_names"), ["d_names"])
+fragment("f_cases", """SELECT * FROM d_golden UNION ALL SELECT key_a, 'any', NULL, 'inn:' || key_b, 'blocklist: ' || reason FROM f_blocklist UNION ALL SELECT key_b, 'any', NULL, 'inn:' || key_a, 'blocklist: ' || reason FROM f_blocklist""", ["d_golden", "f_blocklist"])
+norm_fragment("n_case", "SELECT query AS s FROM f_cases", ["f_cases"])
+fragment("f_case_missed", "SELECT DISTINCT normalized FROM n_case WHERE normalized <> '' AND normalized NOT IN (SELECT key FROM f_index)", ["n_case", "f_index"])
+for _t in (70, 88, 95):
+    fragment(f"f_case_scored_{_t}", scored_sql("f_case_missed", _t), ["f_case_missed", "f_surfaces"])
+    fragment(f"f_case_guarded_{_t}", guarded_sql(f"f_case_scored_{_t}"), [f"f_case_scored_{_t}", "f_partners"])
+    fragment(f"f_case_candidates_{_t}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized ORDER BY score DESC, inn_name, molecule_id) AS rank FROM f_case_guarded_{_t} WHERE reason IS NULL) WHERE rank <= 5", [f"f_case_guarded_{_t}"])
+    fragment(f"f_outcomes_{_t}", f"""
+      SELECT *, CASE WHEN violation THEN 'violation' WHEN expected_path = 'any' THEN 'guard_held' WHEN expected_path IN ('exact', 'alias') AND accepted AND path = expected_path AND molecule_id = expected_molecule_id THEN 'correct_accept'
+          WHEN accepted THEN 'false_accept' WHEN expected_path IN ('exact', 'alias') THEN 'missed_accept' WHEN path = expected_path THEN 'as_expected' ELSE 'unexpected' END AS outcome FROM (
+        SELECT x.*, status = 'resolved' AS accepted, coalesce(path0, status) AS path,
+          len(list_filter(list_transform(string_split(coalesce(forbidden_molecules, ''), '|'), lambda z: trim(z)), lambda z: z <> '' AND (coalesce(z = x.molecule_id, false) OR coalesce(z = 'inn:' || x.inn_name, false) OR list_contains(coalesce(ids, []), z) OR list_contains(coalesce(names, []), z)))) > 0 AS violation,
+          (SELECT min(rank) FROM f_case_candidates_{_t} k WHERE k.normalized = x.normalized AND x.expected_path = 'needs_review' AND (x.expected_molecule_id IS NULL OR k.molecule_id = x.expected_molecule_id)) AS rnk
+        FROM (SELECT c.*, n.normalized, i.molecule_id, i.inn_name, i.path AS path0, coalesce(i.status, CASE WHEN k.ids IS NOT NULL THEN 'needs_review' ELSE 'unresolved' END) AS status, k.ids, k.names
+              FROM f_cases c JOIN n_case n ON n.s = c.query LEFT JOIN f_index i ON i.key = n.normalized LEFT JOIN (SELECT normalized, list(molecule_id) AS ids, list('inn:' || inn_name) AS names FROM f_case_candidates_{_t} GROUP BY 1) k ON k.normalized = n.normalized) x)""",
+             ["f_cases", "n_case", "f_index", f"f_case_candidates_{_t}"])
+    fragment(f"f_metrics_{_t}", f"""
+      SELECT total, total - guards AS labelled_total, guards AS guard_cases, CASE WHEN guards = 0 THEN 0 ELSE round_even((guards - violations)::DOUBLE / guards, 4) END AS guard_pass_rate, auto_accepted, review AS routed_to_review, unresolved,
+        round_even(auto_accepted::DOUBLE / (total - guards), 4) AS accept_coverage, round_even(correct::DOUBLE / auto_accepted, 4) AS accept_precision, round_even(correct::DOUBLE / (correct + missed), 4) AS accept_recall, falses AS false_accepts,
+        round_even(falses::DOUBLE / total, 4) AS false_accept_rate, violations AS blocklist_violations, CASE WHEN opp = 0 THEN 0 ELSE round_even(hits::DOUBLE / opp, 4) END AS candidate_recall, coalesce(round_even(mean_rank, 2), 0) AS mean_candidate_rank, passed
+      FROM (SELECT count(*) AS total, count(*) FILTER (expected_path = 'any') AS guards, count(*) FILTER (expected_path <> 'any' AND accepted) AS auto_accepted, count(*) FILTER (expected_path <> 'any' AND status = 'needs_review') AS review,
+          count(*) FILTER (expected_path <> 'any' AND status NOT IN ('resolved', 'needs_review')) AS unresolved, count(*) FILTER (outcome = 'correct_accept') AS correct, count(*) FILTER (outcome = 'false_accept') AS falses, count(*) FILTER (outcome = 'missed_accept') AS missed,
+          count(*) FILTER (outcome = 'violation') AS violations, count(*) FILTER (expected_path = 'needs_review' AND outcome NOT IN ('violation', 'false_accept')) AS opp,
+          count(rnk) FILTER (outcome NOT IN ('violation', 'false_accept')) AS hits, avg(rnk) FILTER (outcome NOT IN ('violation', 'false_accept')) AS mean_rank, bool_and(outcome IN ('guard_held', 'correct_accept', 'as_expected')) AS passed FROM f_outcomes_{_t})""", [f"f_outcomes_{_t}"])
+
+
+def scored_cases(d: Domain, threshold: float = 88) -> DataFrame:
+    v = vocabulary(d)
+    cases = evaluate.golden_cases(d.golden, v.pairs).withColumn("case_id", F.concat_ws("|", "query", "expected_path", "expected_molecule_id", "forbidden_molecules"))
+    asked = cases.select("query").distinct()
+    answers = resolve.resolve(asked, v, threshold)
+    offered = fuzzy.fuzzy_candidates(resolve.guarded_candidates(v, resolve.missed_keys(asked, v.index()), threshold))
+    return evaluate.score_resolution(cases, answers, offered)
+
+
+@query("golden_cases", "SELECT query, expected_path, expected_molecule_id, forbidden_molecules, note FROM f_cases", ["f_cases"])
+def _(d):
+    return evaluate.golden_cases(d.golden, blocklist(d))
+
+
+@query("eval_resolution", "SELECT * FROM f_metrics_88", ["f_metrics_88"])
+def _(d):
+    return evaluate.resolution_metrics(scored_cases(d))
+
+
+fragment("f_sub_cases", "SELECT *, molecule_id || '/' || coalesce(form, 'any') AS case_id FROM (SELECT DISTINCT molecule_id, form, NULL::DOUBLE AS strength_value, NULL AS strength_unit, NULL::DOUBLE AS strength_hint FROM f_profile WHERE molecule_id IS NOT NULL)", ["f_profile"])
+fragment("f_sub_labels", """
+  SELECT c.*, CASE WHEN form IS NULL THEN 'no_substitutes' ELSE 'ok' END AS expected_status, CASE WHEN molecule_id LIKE 'MOL_red%' THEN 'PRD1' END AS expected_reference_id, CASE WHEN form = 'syrup' THEN 10.0 END AS expected_best_savings_abs,
+         CASE WHEN form = 'tablet' THEN 'PRD0|PRD2 | PRD11|PRD25|PRD36|PRD47' ELSE '' END AS forbidden_product_ids FROM f_sub_cases c""", ["f_sub_cases"])
+fragment("f_sub_header", """
+  SELECT c.*, CASE WHEN n_all = 0 THEN 'no_products' WHEN n_single = 0 THEN 'out_of_scope_fdc' WHEN n_priced = 0 THEN 'price_not_available' WHEN ref IS NULL THEN 'no_substitutes' END AS status0, ref AS reference_id FROM (
+    SELECT l.*, count(p.product_id) AS n_all, count(p.product_id) FILTER (p.molecule_count = 1) AS n_single, count(p.product_id) FILTER (p.molecule_count = 1 AND p.mrp > 0) AS n_priced,
+      arg_min(p.product_id, (-p.mrp, p.product_id)) FILTER (p.molecule_count = 1 AND p.mrp > 0 AND (l.form IS NULL OR p.form = l.form)) AS ref
+    FROM f_sub_labels l JOIN d_contains c ON c.molecule_id = l.molecule_id JOIN f_profile p ON p.product_id = c.product_id GROUP BY ALL) c""", ["f_sub_labels", "d_contains", "f_profile"])
+fragment("f_sub_outcomes", """
+  SELECT h.case_id, v AS critical, NOT v AND coalesce(coalesce(status0, s.status) = expected_status, false) AS status_ok, NOT v AND expected_reference_id IS NOT NULL AND coalesce(reference_id = expected_reference_id, false) AS reference_ok,
+         NOT v AND expected_best_savings_abs IS NOT NULL AND abs(coalesce(best_savings_abs, 0) - expected_best_savings_abs) < 0.01 AS savings_ok, expected_reference_id, expected_best_savings_abs
+  FROM (SELECT h.*, EXISTS (SELECT 1 FROM f_pairs_of_products p WHERE p.reference_id = h.reference_id AND p.reason IS NULL AND list_contains(list_transform(string_split(h.forbidden_product_ids, '|'), lambda z: trim(z)), p.product_id)) AS v FROM f_sub_header h) h
+  LEFT JOIN f_product_summary s ON s.product_id = h.reference_id""", ["f_sub_header", "f_pairs_of_products", "f_product_summary"])
+fragment("f_sub_metrics", """SELECT count(*) AS total, round_even(count(*) FILTER (status_ok)::DOUBLE / count(*), 4) AS status_accuracy, round_even(count(*) FILTER (reference_ok)::DOUBLE / count(*), 4) AS reference_accuracy,
+  round_even(count(*) FILTER (savings_ok)::DOUBLE / count(*), 4) AS savings_accuracy, count(*) FILTER (critical) AS forbidden_product_offered,
+  bool_and(NOT critical AND status_ok AND (expected_reference_id IS NULL OR reference_ok) AND (expected_best_savings_abs IS NULL OR savings_ok)) AS passed FROM f_sub_outcomes""", ["f_sub_outcomes"])
+
+
+def substitution_outcomes(d: Domain) -> DataFrame:
+    p = profile(d)
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    cases = p.filter("molecule_id IS NOT NULL").select("molecule_id", "form").distinct().select(
+        "molecule_id", "form", null("double", "strength_value"), null("string", "strength_unit"), null("double", "strength_hint"),
+        F.concat("molecule_id", F.lit("/"), F.coalesce("form", F.lit("any"))).alias("case_id"),
+        F.when(F.col("form").isNull(), "no_substitutes").otherwise("ok").alias("expected_status"), F.when(F.col("molecule_id").startswith("MOL_red"), "PRD1").alias("expected_reference_id"),
+        F.when(F.col("form") == "syrup", F.lit(10.0)).alias("expected_best_savings_abs"), F.when(F.col("form") == "tablet", "PRD0|PRD2 | PRD11|PRD25|PRD36|PRD47").otherwise("").alias("forbidden_product_ids"),
+    )
+    header = products.substitutes_for_molecule(cases, p, d.contains)
+    return evaluate.score_substitution(cases, header, products.substitution_listing(header.filter("reference_id IS NOT NULL"), p))
+
+
+@query("eval_substitution", "SELECT * FROM f_sub_metrics", ["f_sub_metrics"])
+def _(d):
+    return evaluate.substitution_metrics(substitution_outcomes(d))
+
+
+# Expected statuses of a prescription: its first pair is called an interaction, the others unchecked.
+fragment("f_rx_outcomes", """
+  SELECT rx_id, count(status) AS n_pairs, count(*) FILTER (status = 'interaction') AS n_i, count(*) FILTER (status = 'no_known_interaction') AS n_c, count(*) FILTER (status = 'not_checked') AS n_n,
+         coalesce(bool_or(pair_no > 1 AND status = 'no_known_interaction' AND pair_no <= n_expected), false) AS critical,
+         coalesce(bool_and(CASE WHEN pair_no = 1 THEN status = 'interaction' ELSE status = 'not_checked' END), n_expected = 0) AND coalesce(count(status) = max(n_expected), max(n_expected) = 0) AS same, n_expected
+  FROM (SELECT o.rx_id, c.status, row_number() OVER (PARTITION BY o.rx_id ORDER BY c.ls, c.rs) AS pair_no, o.n_expected
+        FROM (SELECT rx_id, count(*) * (count(*) - 1) // 2 AS n_expected FROM d_lines GROUP BY 1) o LEFT JOIN f_checked c ON c.rx_id = o.rx_id) GROUP BY rx_id, n_expected""", ["d_lines", "f_checked"])
+fragment("f_rx_metrics", """SELECT count(*) AS total_cases, sum(n_pairs) AS total_pairs, round_even(count(*) FILTER (same AND NOT critical)::DOUBLE / count(*), 4) AS case_accuracy, sum(n_i) AS interactions_found, sum(n_c) AS checked_no_interaction, sum(n_n) AS not_checked,
+  round_even(sum(n_n)::DOUBLE / sum(n_pairs), 4) AS coverage_gap_rate, count(*) FILTER (critical) AS gap_misreported_as_clean, bool_and(same AND NOT critical) AS passed FROM f_rx_outcomes""", ["f_rx_outcomes"])
+
+
+def rx_outcomes(d: Domain) -> DataFrame:
+    sizes = d.lines.groupBy("rx_id").agg((F.count("*") * (F.count("*") - 1) / 2).cast("int").alias("n"))
+    expected = F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.when(i == 1, "interaction").otherwise("not_checked"))
+    cases = sizes.select("rx_id", F.when(F.col("n") > 0, F.array_join(expected, "|")).otherwise("").alias("expected_statuses"))
+    return evaluate.score_interaction(cases, checked(d))
+
+
+@query("eval_interaction", "SELECT * FROM f_rx_metrics", ["f_rx_metrics"])
+def _(d):
+    return evaluate.interaction_metrics(rx_outcomes(d))
+
+
+@query("eval_run", " UNION ALL ".join(f"""SELECT {t}.0::DOUBLE AS threshold, 'resolution' AS stage, false_accepts + blocklist_violations AS critical, passed AND false_accepts + blocklist_violations = 0 AS passed FROM f_metrics_{t}""" for t in (70, 88, 95))
+       + " UNION ALL SELECT 88.0::DOUBLE, 'substitution', forbidden_product_offered, passed AND forbidden_product_offered = 0 FROM f_sub_metrics UNION ALL SELECT 88.0::DOUBLE, 'interaction', gap_misreported_as_clean, passed AND gap_misreported_as_clean = 0 FROM f_rx_metrics",
+       ["f_metrics_70", "f_metrics_88", "f_metrics_95", "f_sub_metrics", "f_rx_metrics"])
+def _(d):
+    """Resolution over a sweep of thresholds; the other stages do not depend on the threshold."""
+    runs = [evaluate.run_verdict({"resolution": evaluate.resolution_metrics(scored_cases(d, t))}, t) for t in (70, 88, 95)]
+    rest = evaluate.run_verdict({"substitution": evaluate.substitution_metrics(substitution_outcomes(d)), "interaction": evaluate.interaction_metrics(rx_outcomes(d))}, 88)
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(rest)
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+@query("stream_resolve", "SELECT query, normalized, status, path, molecule_id, n_candidates, n_suppressed, note FROM f_resolved", ["f_resolved"])
+def _(d):
+    from rxlake.streaming import jobs
+
+    root = work_folder(d.spark)
+    d.requests.select("query").write.parquet(f"{root}/in")
+    stream = d.spark.readStream.schema("query string").parquet(f"{root}/in")
+    jobs.stream_resolve(stream, lambda: vocabulary(d), f"{root}/out", f"{root}/state").awaitTermination()
+    return d.spark.read.parquet(f"{root}/out").select("query", "normalized", "status", "path", "molecule_id", "n_candidates", "n_suppressed", "note")
+
+
+@query("stream_upsert", """SELECT product_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN mrp + 1 ELSE mrp END AS DOUBLE) AS mrp FROM d_products JOIN part ON product_id = 'PRD' || p_partkey""", ["d_products"])
+def _(d):
+    from rxlake.streaming import jobs
+
+    root = work_folder(d.spark)
+    artifacts.upsert_snapshot(d.spark, f"{root}/table", 0, d.products.select("product_id", "mrp", F.lit(0).alias("seq")), ["product_id"], ["seq"])
+    changed = d.products.filter("source = 'PMBJP'").select("product_id", (F.col("mrp") + 1).cast("decimal(12,2)").alias("mrp"), F.lit(1).alias("seq"))
+    changed.write.parquet(f"{root}/in")
+    stream = d.spark.readStream.schema("product_id string, mrp decimal(12,2), seq int").parquet(f"{root}/in")
+    jobs.stream_upsert(stream, f"{root}/table", f"{root}/state", ["product_id"], ["seq"]).awaitTermination()
+    return d.spark.read.parquet(f"{root}/table/v=1").select("product_id", *dbl("mrp"))
+
+
+# Events of a user belong together until 30 minutes pass without one. The last session of the data is
+# closed by a line of its own a day later, which stays open itself.
+fragment("f_sessions", """
+  SELECT user_id, min(ts) AS start_ts, count(*) AS n_drugs, string_agg(drug, '|' ORDER BY ts, drug) AS drugs FROM (
+    SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT user_id, ts, event_type || ' ' || event_id AS drug, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""", [])
+
+
+@query("stream_rx_sessions", "SELECT CAST(user_id AS VARCHAR) || '@' || strftime(start_ts, '%Y-%m-%d %H:%M:%S.%f') AS rx_id, n_drugs, drugs FROM f_sessions", ["f_sessions"])
+def _(d):
+    from rxlake.streaming import jobs
+
+    root = work_folder(d.spark)
+    lines = d.events.select(F.col("user_id").alias("rx_key"), F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("drug"))
+    lines.write.parquet(f"{root}/in/part=1")
+    lines.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(-1).cast("bigint").alias("rx_key"), "ts", F.lit("end").alias("drug")).write.parquet(f"{root}/in/part=2")
+    stream = d.spark.readStream.schema("rx_key bigint, ts timestamp, drug string").option("maxFilesPerTrigger", 100000).parquet(f"{root}/in/part=*")
+    jobs.stream_rx_sessions(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = d.spark.read.parquet(f"{root}/out")
+    return out.select("rx_id", F.size("drugs").cast("bigint").alias("n_drugs"), F.array_join("drugs", "|").alias("drugs"))
