@@ -51,7 +51,10 @@ SALT = _whole_word(_alternatives(V.SALTS))
 
 @functools.cache
 def _combining_class() -> str:
-    """Regex class of every character with a non-zero combining class, built as ranges."""
+    """Regex class of every character with a non-zero combining class, built as ranges.
+
+    The cheap test for "any mark" comes first, so other characters never walk through the ranges.
+    """
     marks = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
     ranges: list[list[int]] = []
     for code in marks:
@@ -59,7 +62,7 @@ def _combining_class() -> str:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    return r"[\p{M}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]]"
 
 
 @functools.cache
@@ -118,7 +121,9 @@ def spelling(words: Column) -> Column:
     return variants(out)
 
 
-_NEEDS_SPELLING = "|".join(list(V.WORD_VARIANTS) + [old for _, old, _ in V.SPELLING_RULES])
+_NEEDS_SPELLING = "|".join(
+    [*V.WORD_VARIANTS, *[(WORD_START if where == "start" else "") + old for where, old, _ in V.SPELLING_RULES]]
+)
 
 
 def _spelled(words: Column) -> Column:

@@ -98,7 +98,7 @@ def similar_strings(queries: DataFrame, forms: DataFrame, threshold: float = V.F
 
     parts_of = lambda size: _allowed(longest_of(size), threshold) + 1
     keyed = right.select(
-        "right_text", v.alias("form_length"), F.explode(_segments(F.col("right_text"), v, parts_of(v))).alias("s")
+        "right_text", v.alias("form_length"), F.explode_outer(_segments(F.col("right_text"), v, parts_of(v))).alias("s")
     ).select("right_text", "form_length", "s.no", "s.text")
     shortest = F.greatest(F.lit(1), F.ceil(n * (1 - slack)).cast("int"))
     sized = left.select("left_text", F.explode(F.sequence(shortest, longest_of(n))).alias("form_length"))
@@ -106,7 +106,7 @@ def similar_strings(queries: DataFrame, forms: DataFrame, threshold: float = V.F
     shift = _allowed(F.greatest(n, other), threshold)
     probes = sized.select(
         "left_text", "form_length",
-        F.explode(_probe(F.col("left_text"), n, other, parts_of(other), shift)).alias("s"),
+        F.explode_outer(_probe(F.col("left_text"), n, other, parts_of(other), shift)).alias("s"),
     ).select("left_text", "form_length", "s.no", "s.text")
     verify = F.levenshtein(F.col("left_text"), F.col("right_text")) <= _allowed(
         F.greatest(F.char_length("left_text"), F.char_length("right_text")), threshold
@@ -127,7 +127,7 @@ def confusable_scan(names: DataFrame, max_distance: int = 2) -> DataFrame:
     own = F.when(v >= parts, _segments(F.col("name"), v, parts)).otherwise(
         F.array(F.struct(F.lit(-1).alias("no"), F.lit(0).alias("at"), F.lit("").alias("text")))
     )
-    forms = base.select(F.col("name").alias("right_text"), v.alias("form_length"), F.explode(own).alias("s")).select(
+    forms = base.select(F.col("name").alias("right_text"), v.alias("form_length"), F.explode_outer(own).alias("s")).select(
         "right_text", "form_length", "s.no", "s.text"
     )
     lengths = F.sequence(F.greatest(F.lit(1), v - max_distance), v + max_distance)
@@ -136,7 +136,7 @@ def confusable_scan(names: DataFrame, max_distance: int = 2) -> DataFrame:
     cut = F.when(other >= parts, _probe(F.col("name"), v, other, parts, F.lit(max_distance))).otherwise(
         F.array(F.struct(F.lit(-1).alias("no"), F.lit("").alias("text")))
     )
-    probes = sized.select(F.col("name").alias("left_text"), "form_length", F.explode(cut).alias("s")).select(
+    probes = sized.select(F.col("name").alias("left_text"), "form_length", F.explode_outer(cut).alias("s")).select(
         "left_text", "form_length", "s.no", "s.text"
     )
     a, b = F.col("left_text"), F.col("right_text")

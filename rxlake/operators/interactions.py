@@ -44,7 +44,8 @@ def split_prescriptions(
     return lines.join(too_long, "rx_id", "left_anti"), too_long
 
 
-def _missing_reason(query, label, molecule_id, group, covered: Column, manifest_missing: Column) -> Column:
+def coverage_gap(query, label, molecule_id, group, covered: Column, manifest_missing: Column) -> Column:
+    """Why a drug cannot be checked; null when it can."""
     return (
         F.when(molecule_id.isNull(), F.concat(quoted(query), F.lit(" could not be resolved to a molecule")))
         .when(manifest_missing, NO_MANIFEST)
@@ -78,7 +79,7 @@ def with_coverage(
     group = F.col("atc_group")
     covered = F.coalesce(group.isin(list(covered_groups)), F.lit(False))
     label = F.coalesce(F.nullif(F.col("inn_name"), F.lit("")), F.col("query"))
-    reason = _missing_reason(F.col("query"), label, F.col("molecule_id"), group, covered, F.lit(coverage is None))
+    reason = coverage_gap(F.col("query"), label, F.col("molecule_id"), group, covered, F.lit(coverage is None))
     return joined.select(*inputs.columns, "atc_group", label.alias("label"), reason.alias("gap"))
 
 

@@ -58,7 +58,7 @@ def matches(queries: DataFrame, labels: DataFrame) -> DataFrame:
     key = F.col("label_key")
     pieces = labels.select(
         "folded", "label_key",
-        F.explode(F.concat(_grams(key, 1), _grams(key, 2), _grams(key, GRAM))).alias("piece"),
+        F.explode_outer(F.concat(_grams(key, 1), _grams(key, 2), _grams(key, GRAM))).alias("piece"),
     )
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     q = F.col("query_key")
@@ -66,7 +66,7 @@ def matches(queries: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = queries.select("query_key").filter("query_key <> ''").distinct()
     cut = F.when(size == 1, _grams(q, 1)).when(size == 2, _grams(q, 2)).otherwise(_grams(q, GRAM))
     rarest = (
-        wanted.select("query_key", F.explode(cut).alias("piece"))
+        wanted.select("query_key", F.explode_outer(cut).alias("piece"))
         .join(frequency, "piece", "left")
         .groupBy("query_key")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from rxlake import vocab_constants as V
 from rxlake.functions.normalize import with_normalized
 from rxlake.operators import fuzzy
 from rxlake.operators import vocab
+from rxlake.sources.artifacts import stored
 
 EMPTY_NOTE = "input normalized to an empty key"
 REVIEW_NOTE = "fuzzy candidates require human review; none has been accepted"
@@ -19,7 +20,10 @@ UNGUARDED_NOTE = "confusable-pair blocklist is not loaded — fuzzy output is un
 
 @dataclass
 class Vocabulary:
-    """The tables that answer resolutions. ``combinations`` is a ``combination_index``."""
+    """The tables that answer resolutions. ``combinations`` is a ``combination_index``.
+
+    The lookups below are derived on demand; :meth:`prepare` writes them once, for many queries.
+    """
 
     molecules: DataFrame
     aliases: DataFrame
@@ -27,16 +31,34 @@ class Vocabulary:
     pairs: DataFrame
     alias_order: list[str]
     blocklist_missing: bool = False
+    prepared: dict[str, DataFrame] = field(default_factory=dict)
 
     def index(self) -> DataFrame:
+        """key -> outcome."""
+        if "index" in self.prepared:
+            return self.prepared["index"]
         return vocab.resolution_index(self.molecules, self.aliases, self.combinations, self.alias_order)
 
     def surfaces(self) -> DataFrame:
+        """Every name a molecule can be found under."""
+        if "surfaces" in self.prepared:
+            return self.prepared["surfaces"]
         return vocab.surface_forms(self.molecules, self.aliases, self.alias_order)
 
     def components(self) -> DataFrame:
+        """Components of the packs that are complete."""
+        if "components" in self.prepared:
+            return self.prepared["components"]
         return vocab.combination_components(self.combinations, self.molecules)
 
+    def prepare(self, folder: str) -> Vocabulary:
+        """The same vocabulary with its lookups stored in ``folder``."""
+        tables = {
+            name: stored(make(), folder, name)
+            for name, make in (("index", self.index), ("surfaces", self.surfaces), ("components", self.components))
+        }
+        return replace(self, pairs=stored(self.pairs, folder, "pairs"), prepared=tables)
+
 
 def identify(requests: DataFrame, index: DataFrame, column: str = "query") -> DataFrame:
     """Requests with their key and identification. No shuffle of the requests when the index is small

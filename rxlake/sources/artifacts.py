@@ -125,6 +125,18 @@ def write_manifest(groups: DataFrame, stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(f"{path}/stats")
 
 
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The table written to ``folder/name`` and read back.
+
+    Later plans then know its real size, which decides whether a join with a large table moves that table
+    at all; an estimate over a chain of joins and aggregates is far too high for that. A lost executor
+    costs a re-read, not a recomputation.
+    """
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert(existing: DataFrame | None, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keyed upsert: a new row replaces the old row of its key; loading the same rows again changes nothing."""
     fresh = last_wins(new, keys, order).drop(*order) if order else new

@@ -24,13 +24,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+@functools.cache
+def domain_of(spark: SparkSession, application: str, sf_dir: str) -> Domain:
+    """One domain per session and folder: queries of a session share its stored lookups."""
+    return Domain(spark, sf_dir)
+
+
 def query(name: str, sql: str | None = None, needs: list[str] = ()):
     """Register a query; the function gets the domain of a folder."""
 
     def wrap(fn: Callable[[Domain], DataFrame]):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Domain(spark, sf_dir))
+            return fn(domain_of(spark, spark.sparkContext.applicationId, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:
@@ -64,11 +70,14 @@ def blocklist(d: Domain) -> DataFrame:
     return fuzzy.blocklist_pairs(scanned.unionByName(d.typo_pairs))
 
 
+@functools.cache
 def vocabulary(d: Domain) -> resolve.Vocabulary:
-    return resolve.Vocabulary(
+    """The vocabulary with its lookups stored, as every query of a session would share it."""
+    made = resolve.Vocabulary(
         molecules=vocab.load_molecules(d.molecules), aliases=vocab.load_aliases(d.aliases),
         combinations=vocab.combination_index(d.combinations, ["row_no"]), pairs=blocklist(d), alias_order=["row_no"],
     )
+    return made.prepare(work_folder(d.spark))
 
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -81,10 +90,20 @@ def edges(d: Domain) -> DataFrame:
     return bridge.rekey_interactions(pairs, ids)[0]
 
 
+@functools.cache
+def stored_edges(d: Domain) -> DataFrame:
+    return artifacts.stored(edges(d), work_folder(d.spark), "edges")
+
+
 def coverage_rows(d: Domain) -> DataFrame:
     return interactions.coverage_table(d.coverage)
 
 
+@functools.cache
+def stored_coverage(d: Domain) -> DataFrame:
+    return artifacts.stored(coverage_rows(d), work_folder(d.spark), "coverage")
+
+
 def profile(d: Domain) -> DataFrame:
     return products.product_profile(d.products, d.contains)
 
@@ -777,14 +796,14 @@ SIDES = ", ".join(f"{s}_{c}" for s in ("left", "right") for c in ("query", "mole
 
 
 def checked(d: Domain) -> DataFrame:
-    return check.check_pairs(d.lines, vocabulary(d), edges(d), coverage_rows(d))
+    return check.check_pairs(d.lines, vocabulary(d), stored_edges(d), stored_coverage(d))
 
 
 @query("rx_pairs", """SELECT rx_id, left_query, right_query, CASE WHEN left_from_combination IS NOT NULL THEN left_inn_name || ' (in ' || left_from_combination || ')' ELSE left_label END AS left_display,
   CASE WHEN right_from_combination IS NOT NULL THEN right_inn_name || ' (in ' || right_from_combination || ')' ELSE right_label END AS right_display FROM f_checked""", ["f_checked"])
 def _(d):
     valid, _ = interactions.split_prescriptions(d.lines)
-    pairs = interactions.rx_pairs(check.rx_inputs(valid, vocabulary(d), coverage_rows(d)))
+    pairs = interactions.rx_pairs(check.rx_inputs(valid, vocabulary(d), stored_coverage(d)))
     show = lambda s: interactions.input_display(F.col(f"{s}.inn_name"), F.col(f"{s}.label"), F.col(f"{s}.from_combination"))
     return pairs.select("rx_id", F.col("l.query").alias("left_query"), F.col("r.query").alias("right_query"), show("l").alias("left_display"), show("r").alias("right_display"))
 
@@ -816,7 +835,8 @@ def _(d):
     arrays = d.lines.groupBy("rx_id").agg(F.array_sort(F.collect_list(F.struct("pos", "query"))).alias("r")).select("rx_id", F.transform("r", lambda x: x["query"]).alias("drugs"))
     arrays.write.parquet(f"{root}/in")
     stream = d.spark.readStream.schema("rx_id bigint, drugs array<string>").parquet(f"{root}/in")
-    jobs.stream_check(stream, vocabulary(d), edges(d), coverage_rows(d)).writeStream.format("parquet").option("path", f"{root}/out").option(
+    lookup = artifacts.stored(check.prescription_lookup(vocabulary(d), stored_coverage(d)), root, "lookup")
+    jobs.stream_check(stream, lookup, stored_edges(d)).writeStream.format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/state"
     ).trigger(availableNow=True).start().awaitTermination()
     return d.spark.read.parquet(f"{root}/out")
