@@ -98,23 +98,20 @@ def coverage_stats(molecules: DataFrame, groups: DataFrame, rejected: DataFrame)
         n(F.col("atc_group").isNull()).alias("molecules_unknown"),
         n(F.col("evidence") == V.TIER_ANCHOR).alias("by_anchor"), n(F.col("evidence") == V.TIER_STEM).alias("by_stem_rule"),
     )
+    names = counts.columns
     refused = rejected.agg(F.count("*").alias("partial_anchors_rejected"))
-    # Both sides are single rows of aggregates.
-    return counts.withColumn("k", F.lit(1)).join(refused.withColumn("k", F.lit(1)), "k").drop("k")
+    # Two rows of aggregates, added up.
+    both = counts.unionByName(refused, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in [*names, "partial_anchors_rejected"]])
 
 
 def observed_coverage(atc: DataFrame) -> DataFrame:
     """Covered groups that were observed; all covered groups when none was."""
-    spark = atc.sparkSession
-    covered = spark.createDataFrame([(g,) for g in V.COVERED_ATC_GROUPS], "atc_group string")
-    seen = atc.select("atc_group").filter("atc_group <> ''").distinct()
-    flagged = covered.join(seen.withColumn("seen", F.lit(1)), "atc_group", "left")
-    any_seen = flagged.agg(F.count("seen").alias("n_seen")).withColumn("k", F.lit(1))
-    return (
-        flagged.withColumn("k", F.lit(1)).join(any_seen, "k")
-        .filter((F.col("seen") == 1) | (F.col("n_seen") == 0))
-        .select("atc_group")
-    )
+    covered = F.col("atc_group").isin(V.COVERED_ATC_GROUPS)
+    # At most one letter per covered group.
+    seen = atc.agg(F.collect_set(F.when(covered, F.col("atc_group"))).alias("seen"))
+    every = F.array(*[F.lit(g) for g in V.COVERED_ATC_GROUPS])
+    return seen.select(F.explode(F.when(F.size("seen") == 0, every).otherwise(F.col("seen"))).alias("atc_group"))
 
 
 def atc_map(rows: DataFrame, order: list[str]) -> DataFrame:

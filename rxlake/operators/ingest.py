@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from rxlake.functions.normalize import with_normalized
 from rxlake.functions.text import blank_to_null, money, stated_severity
@@ -118,7 +119,6 @@ def interaction_dedupe_stats(rows: DataFrame, file: str) -> DataFrame:
 def severity_distribution(edges: DataFrame) -> DataFrame:
     """Pairs per severity with their share in percent."""
     counted = edges.groupBy("severity").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total")).withColumn("k", F.lit(1))
-    return counted.withColumn("k", F.lit(1)).join(total, "k").select(
-        "severity", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("pct")
-    )
+    # The window holds one row per severity, not per pair.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counted.select("severity", "n", F.bround(F.col("n") * 100.0 / total, 2).alias("pct"))
