@@ -116,8 +116,11 @@ def classify_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("molecule_id_a").alias("__a"), F.col("molecule_id_b").alias("__b"), "severity", "mechanism",
         "provenance", F.lit(True).alias("__edge"),
     )
-    keyed = pairs.withColumn("__ka", F.when(left != right, F.least(left, right))).withColumn(
-        "__kb", F.when(left != right, F.greatest(left, right))
+    # Pairs that cannot have an edge get a key of their own prescription that no edge carries: a null key
+    # would send all of them to one task when the edges are too large to broadcast.
+    nowhere = F.concat(F.lit("\u0000"), F.col("rx_id").cast("string"))
+    keyed = pairs.withColumn("__ka", F.when(left != right, F.least(left, right)).otherwise(nowhere)).withColumn(
+        "__kb", F.when(left != right, F.greatest(left, right)).otherwise(F.lit(""))
     )
     joined = keyed.join(edge, (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
     found = F.coalesce(F.col("__edge"), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ class Vocabulary:
     alias_order: list[str]
     blocklist_missing: bool = False
     prepared: dict[str, DataFrame] = field(default_factory=dict)
+    folder: str | None = None
 
     def index(self) -> DataFrame:
         """key -> outcome."""
@@ -51,13 +53,29 @@ class Vocabulary:
             return self.prepared["components"]
         return vocab.combination_components(self.combinations, self.molecules)
 
+    def expansions(self) -> DataFrame:
+        """key -> what it contributes to a prescription: one molecule, or each component of a pack."""
+        if "expansions" in self.prepared:
+            return self.prepared["expansions"]
+        index, components = self.index(), self.components()
+        single = index.filter("status = 'resolved'").select(
+            "key", F.lit(0).alias("comp_pos"), F.lit("").alias("comp_name"), "molecule_id", "inn_name",
+            F.lit(None).cast("string").alias("from_combination"),
+        )
+        complete = index.filter("status = 'combination'").select("key")
+        parts = components.join(complete, components["brand_key"] == complete["key"], "left_semi").select(
+            F.col("brand_key").alias("key"), F.col("position").alias("comp_pos"), F.col("listed_name").alias("comp_name"),
+            "molecule_id", "inn_name", F.col("brand_raw").alias("from_combination"),
+        )
+        return single.unionByName(parts)
+
     def prepare(self, folder: str) -> Vocabulary:
-        """The same vocabulary with its lookups stored in ``folder``."""
-        tables = {
-            name: stored(make(), folder, name)
-            for name, make in (("index", self.index), ("surfaces", self.surfaces), ("components", self.components))
-        }
-        return replace(self, pairs=stored(self.pairs, folder, "pairs"), prepared=tables)
+        """The same vocabulary with its lookups stored in ``folder``; each is made from the stored ones
+        before it."""
+        made = replace(self, pairs=stored(self.pairs, folder, "pairs"), prepared={}, folder=folder)
+        for name in ("index", "surfaces", "components", "expansions"):
+            made.prepared[name] = stored(getattr(made, name)(), folder, name)
+        return made
 
 
 def identify(requests: DataFrame, index: DataFrame, column: str = "query") -> DataFrame:
@@ -78,22 +96,35 @@ def guarded_candidates(vocabulary: Vocabulary, keys: DataFrame, threshold: float
     return fuzzy.guard_candidates(scored, vocabulary.pairs)
 
 
+def outcome_index(requests: DataFrame, vocabulary: Vocabulary, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
+    """The index extended by the missed keys of the requests that have similar names, with their counts.
+
+    Holds vocabulary entries and distinct missed keys only, never request rows.
+    """
+    index = vocabulary.index()
+    guarded = guarded_candidates(vocabulary, missed_keys(requests, index), threshold)
+    similar = guarded.groupBy(F.col("normalized").alias("key")).agg(
+        F.count(F.when(F.col("reason").isNull(), 1)).alias("n_kept"), F.count("reason").alias("n_dropped")
+    )
+    return index.unionByName(similar, allowMissingColumns=True)
+
+
 def resolve(
     requests: DataFrame, vocabulary: Vocabulary, threshold: float = V.FUZZY_THRESHOLD,
     max_candidates: int = V.MAX_CANDIDATES,
 ) -> DataFrame:
     """Every request with its status; fuzzy hits only ever raise ``needs_review``.
 
-    Requests need a ``query`` column. Similarity runs on the distinct keys nothing identified.
+    Requests need a ``query`` column. Similarity runs on the distinct keys nothing identified, and what it
+    finds is added to the index, so the requests themselves meet one join. A prepared vocabulary stores
+    that extended index first: its real size then decides whether the requests are moved at all.
     """
-    index = vocabulary.index()
-    identified = identify(requests, index)
-    guarded = guarded_candidates(vocabulary, missed_keys(requests, index), threshold)
-    counts = guarded.groupBy("normalized").agg(
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("__kept"), F.count("reason").alias("__dropped")
-    )
-    joined = identified.join(counts, "normalized", "left")
-    kept = F.coalesce("__kept", F.lit(0).cast("bigint"))
+    outcomes = outcome_index(requests, vocabulary, threshold)
+    if vocabulary.folder is not None:
+        outcomes = stored(outcomes, vocabulary.folder, f"outcomes-{uuid.uuid4().hex}")
+    joined = identify(requests, outcomes)
+    zero = F.lit(0).cast("bigint")
+    kept = F.coalesce("n_kept", zero)
     open_ = F.col("status").isNull()
     status = F.coalesce("status", F.when(kept > 0, "needs_review").otherwise("unresolved"))
     guard = F.when(open_ & (F.col("normalized") != "") & F.lit(vocabulary.blocklist_missing), UNGUARDED_NOTE)
@@ -107,7 +138,7 @@ def resolve(
         *requests.columns, "normalized", status.alias("status"), "path", "molecule_id", "inn_name", "category",
         "alias_raw_string", "alias_source", "brand_raw", "n_components",
         F.least(kept, F.lit(max_candidates).cast("bigint")).alias("n_candidates"),
-        F.coalesce("__dropped", F.lit(0).cast("bigint")).alias("n_suppressed"), note.alias("note"),
+        F.coalesce("n_dropped", zero).alias("n_suppressed"), note.alias("note"),
     )
 
 
