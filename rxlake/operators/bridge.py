@@ -25,7 +25,8 @@ def bridge_aliases(tables: list[DataFrame], ids: DataFrame, order: list[str]) ->
     """Aliases of all tables that join the vocabulary; of a key the earliest table and row wins."""
     ranked = None
     for rank, table in enumerate(tables):
-        rows = table.select("raw_string", "normalized_string", "source", *order, F.lit(rank).alias("__table"))
+        extra = [c for c in order if c not in ("raw_string", "normalized_string", "source")]
+        rows = table.select("raw_string", "normalized_string", "source", *extra, F.lit(rank).alias("__table"))
         ranked = rows if ranked is None else ranked.unionByName(rows)
     chosen = first_wins(ranked.filter("normalized_string <> ''"), ["normalized_string"], ["__table", *order])
     return chosen.join(

@@ -129,7 +129,7 @@ class Built:
 
 def build_tables(
     raw_products: DataFrame, raw_interactions: DataFrame, raw_atc: DataFrame, manual_aliases: DataFrame,
-    order: list[str], money_style: str = "in",
+    order: list[str], atc_order: list[str], money_style: str = "in",
 ) -> Built:
     """Raw product list, interaction rows and ATC rows to loadable tables.
 
@@ -144,7 +144,7 @@ def build_tables(
     aliases = bridge.bridge_aliases([names, manual_aliases, product_aliases], ids, ["raw_string"])
     contains, unjoined = bridge.bridge_products(products, ids)
     edges, dropped = bridge.rekey_interactions(pairs, ids)
-    by_name = coverage.atc_map(raw_atc, order)
+    by_name = coverage.atc_map(raw_atc, atc_order)
     return Built(
         molecules, products, contains, aliases, edges, bridge.rekey_coverage(by_name, ids), unjoined, dropped, rejected
     )

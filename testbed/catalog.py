@@ -1475,3 +1475,27 @@ def _(d):
     jobs.stream_rx_sessions(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     out = d.spark.read.parquet(f"{root}/out")
     return out.select("rx_id", F.size("drugs").cast("bigint").alias("n_drugs"), F.array_join("drugs", "|").alias("drugs"))
+
+
+# --- from raw tables to the loaded set -----------------------------------------------------------
+
+fragment("f_built_keys", "SELECT key_a AS key FROM f_canonical WHERE usable UNION SELECT key_b FROM f_canonical WHERE usable UNION SELECT normalized_string FROM f_aliases WHERE source = 'manual' AND normalized_string <> ''", ["f_canonical", "f_aliases"])
+
+
+@query("build_tables", """SELECT 'molecules' AS stage, count(*) AS n FROM f_built_keys UNION ALL SELECT 'aliases', count(*) FROM f_built_keys
+  UNION ALL SELECT 'contains', count(*) FROM f_ingested WHERE name <> '' AND price IS NOT NULL AND normalized IN (SELECT key FROM f_built_keys)
+  UNION ALL SELECT 'unjoined', count(*) FROM f_ingested WHERE name <> '' AND price IS NOT NULL AND normalized NOT IN (SELECT key FROM f_built_keys)
+  UNION ALL SELECT 'rejected_products', count(*) FROM f_ingested WHERE name = '' OR price IS NULL
+  UNION ALL SELECT 'products', count(*) FROM f_ingested WHERE name <> '' AND price IS NOT NULL
+  UNION ALL SELECT 'interactions', count(*) FROM f_pairs UNION ALL SELECT 'dropped_interactions', 0
+  UNION ALL SELECT 'coverage', count(DISTINCT n.normalized) FROM d_atc_rows JOIN n_atc n ON n.s = drug_name WHERE atc_code <> '' AND n.normalized IN (SELECT key FROM f_built_keys)""",
+       ["f_built_keys", "f_ingested", "f_pairs", "d_atc_rows", "n_atc"])
+def _(d):
+    manual = vocab.load_aliases(d.aliases).filter("source = 'manual'").select("raw_string", "normalized_string", "source")
+    goods = headers.map_columns(d.raw_products, headers.PRODUCT_HEADERS, headers.PRODUCT_REQUIRED, keep=("row_no",))
+    made = build.build_tables(goods, d.raw_interactions, d.atc_rows, manual, ROW, ["row_no"])
+    out = None
+    for stage in ("molecules", "products", "contains", "aliases", "interactions", "coverage", "unjoined", "dropped_interactions", "rejected_products"):
+        row = getattr(made, stage).agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

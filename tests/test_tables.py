@@ -148,3 +148,22 @@ def test_alias_rules(spark):
     assert {r["key"]: r["molecule_id"] for r in index.collect()} == {"chlorthalidone": "MOL001", "b": "MOL003"}
     both = vocab.load_aliases(rows, index_raw_strings=True)
     assert "chlorthalidon" in {r["normalized_string"] for r in both.collect()}
+
+
+def test_raw_files_to_tables(spark):
+    products = spark.createDataFrame(
+        [(1, "1", "Warfarin Sodium 5mg Tablet", "10's", "₹8.00"), (2, "2", "Metformin 500mg Tablet", "10's", "1,200.00"), (3, "3", "", "10's", "5"), (4, "4", "Aspirin", "10's", "not-a-price"), (5, "", "Zinc mystery tab", "1", "2")],
+        "row_no bigint, `Drug Code` string, `Generic Name` string, `Unit Size` string, MRP string")
+    pairs = spark.createDataFrame([(0, "Warfarin", "Aspirin", "Major", "x"), (1, "aspirin", "WARFARIN", "Minor", ""), (2, "Aspirin", "aspirin", "", ""), (3, "Metformin", "Warfarin", "", None)],
+                                  "row_no bigint, drug_a string, drug_b string, severity string, mechanism string")
+    atc = spark.createDataFrame([(0, "Warfarin", "b01aa03"), (1, "Nobody", "A01")], "row_no bigint, drug_name string, atc_code string")
+    manual = spark.createDataFrame([], "raw_string string, normalized_string string, source string")
+    rows = headers.map_columns(products, headers.PRODUCT_HEADERS, headers.PRODUCT_REQUIRED, keep=("row_no",))
+    made = build.build_tables(rows, pairs, atc, manual, ["row_no"], ["row_no"])
+    ids = {r["inn_name"]: r["molecule_id"] for r in made.molecules.collect()}
+    assert ids == {"aspirin": "MOL000001", "metformin": "MOL000002", "warfarin": "MOL000003"}
+    assert sorted((r["molecule_id_a"], r["molecule_id_b"], r["severity"]) for r in made.interactions.collect()) == [("MOL000001", "MOL000003", "minor"), ("MOL000002", "MOL000003", "unknown")]
+    assert {(r["product_id"], r["molecule_id"], r["strength"]) for r in made.contains.collect()} == {("1", "MOL000003", 5.0), ("2", "MOL000002", 500.0)}
+    assert [(r["product_id"], r["generic_name_raw"]) for r in made.unjoined.collect()] == [("PMBJP-000005", "Zinc mystery tab")]
+    assert sorted(r["reason"] for r in made.rejected_products.collect()) == ["no generic name", "unparseable MRP 'not-a-price'"]
+    assert [tuple(r) for r in made.coverage.collect()] == [("MOL000003", "B")]
