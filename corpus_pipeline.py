@@ -25,18 +25,35 @@ def as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*like.columns)
 
 
+KNOWN = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def guarded(stage):
+    """The stage with all further columns under names of its own, so that none clashes with an operator's."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"further_column_{i}" for i, c in enumerate(docs.columns) if c not in KNOWN}
+        result = stage(ready(spark), docs.withColumnsRenamed(names), sf_dir)
+        return result.withColumnsRenamed({v: k for k, v in names.items()})
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
+@guarded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    labels = ready(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     rest = [c for c in docs.columns if c != "text"]
     judged = classify_quality(docs, labels, bad, F.col("source"), F.col("lang"), rest, with_text=True)
     return judged.where(~F.col("rejected")).withColumnRenamed("kept_text", "text").select(*docs.columns)
 
 
+@guarded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class of near duplicates; of rows with that id, one."""
-    classes = near_duplicates(ready(spark) and docs)
+    classes = near_duplicates(docs)
     one = F.xxhash64("text")
     goes = classes.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.coalesce("class_id", F.col("doc_id") - 1))).select("doc_id")
     kept = docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti")
@@ -49,22 +66,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
+@guarded
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated 100-byte strings; a document of which nothing is left goes."""
     rest = [c for c in docs.columns if c != "text"]
-    done = suffix_dedup(ready(spark) and docs, rest, with_text=True)
+    done = suffix_dedup(docs, rest, with_text=True)
     done = done.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0)).withColumnRenamed("kept_text", "text")
     return as_documents(done, docs)
 
 
+@guarded
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
     return as_documents(redact(docs), docs)
 
 
+@guarded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
-    return pack(ready(spark) and docs, BYTE_VOCABULARY)
+    return pack(docs, BYTE_VOCABULARY)
 
 
 STAGES = [
