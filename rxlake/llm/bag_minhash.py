@@ -11,7 +11,9 @@ document costs little more than one point per shingle.
 Signatures are banded (32 bands of 4; a pair at 0.8 is missed with probability 5e-8). Candidates are kept if the
 signatures agree often enough, and what decides is the overlap of the multisets. Classes are the components of the
 pairs at the threshold or above: the best partner of each document is verified first, and then every candidate pair
-whose members are still apart. A bucket of many members is compared in bounded blocks, and only across components.
+whose members are still apart. A bucket of many members is first compared with its head, the member with the least
+share of shingles that nobody else has; then in bounded blocks, only across components, and only where the shingles
+that others have leave room for the threshold.
 """
 
 from __future__ import annotations
@@ -134,6 +136,34 @@ def shingle_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(bags, pa.binary())], ["id", "bag"])
 
 
+def distinct_batches(batches):
+    """Each document's distinct shingles with their multiplicities."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            found = [np.unique(np.frombuffer(v.as_buffer(), np.int64), return_counts=True) for v in part.column("bag")]
+            sizes = pa.array(np.repeat(np.arange(len(found)), [len(v) for v, _ in found]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(sizes), pa.array(np.concatenate([v for v, _ in found])), pa.array(np.concatenate([n for _, n in found]))],
+                ["id", "shingle", "times"],
+            )
+
+
+def freshness(bags: DataFrame) -> DataFrame:
+    """For each document its number of shingles (``total``) and of those that no other of these documents has."""
+    each = bags.mapInArrow(distinct_batches, "id long, shingle long, times long")
+    single = each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("id").alias("id"), F.min("times").alias("times"))
+    alone = single.where("docs = 1").groupBy("id").agg(F.sum("times").alias("fresh"))
+    totals = bags.select("id", (F.length("bag") / 8).cast("long").alias("total"))
+    return totals.join(alone, "id", "left").select("id", "total", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+
+
+def bags_of(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingle bags of the documents with these ids."""
+    found = keyed.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(shingle_batches, "id long, bag binary")
+    return stored(found.groupBy("id").agg(F.min("bag").alias("bag")), "bags")
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted bags."""
     a, n = np.unique(x, return_counts=True)
@@ -170,15 +200,18 @@ def agreeing(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same.astype(np.int32))], ["a", "b", "same"])
 
 
-def across_blocks(least: int):
+def across_blocks(least: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
         short = np.frombuffer(b"".join(x.as_py() for x in table.column("short")), np.uint8).reshape(-1, SIZE)
+        total, old = table.column("total").to_numpy(), table.column("old").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_a, out_b = [], []
         for i in left:
-            near = right[(labels[right] != labels[i])]
+            near = right[labels[right] != labels[i]]
+            most = np.minimum(old[near], old[i])  # no more shingles can be common
+            near = near[most >= threshold * (total[near] + total[i] - most) - 1e-9]
             near = near[(short[near] == short[i]).sum(1) >= least]
             out_a.append(np.minimum(ids[near], ids[i]))
             out_b.append(np.maximum(ids[near], ids[i]))
@@ -209,7 +242,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = in_small.select(
         F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")
     ).select("p.*")
-    heads = rows.where(F.col("n") > SMALL).where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    # crowded buckets: what a document shares with nobody bounds its likeness to any other, and the head of a bucket is
+    # the member with the least of that
+    crowd = stored(rows.where(F.col("n") > SMALL).select("band", "id", "n"), "crowd")
+    crowd_bags = bags_of(keyed, crowd.select("id").distinct())
+    fresh = stored(freshness(crowd_bags), "fresh")
+    head = crowd.join(fresh, "id").groupBy("band").agg(F.min_by("id", F.struct(F.col("fresh") / F.col("total"), "id")).alias("head"))
+    heads = crowd.join(head, "band").where("id != head").select(
+        F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
     shorts = firsts.select("id", "short")
     least = agreement(threshold)
 
@@ -219,20 +259,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return both.mapInArrow(agreeing, "a long, b long, same int").where(F.col("same") >= least)
 
     likely = stored(compared(pairs.union(heads).distinct()), "likely")
-    crowd = rows.where(F.col("n") > SMALL).select("id")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).union(crowd).distinct()
-    bags = stored(
-        keyed.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(shingle_batches, "id long, bag binary")
-        .groupBy("id").agg(F.first("bag").alias("bag")), "bags",
-    )
+    partners = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    bags = bags_of(keyed, partners.join(crowd_bags.select("id"), "id", "left_anti")).unionByName(crowd_bags)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
         both = both.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
         return both.mapInArrow(verify_batches(threshold), "a long, b long, likeness double").select("a", "b")
 
-    best = likely.groupBy("b").agg(F.max_by("a", "same").alias("a"))
-    links = stored(verified(best.select("a", "b")), "links")
+    both_ways = likely.union(likely.select("b", "a", "same"))
+    best = both_ways.groupBy("a").agg(F.max_by("b", "same").alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(verified(best), "links")
     first_labels = components(links)
 
     def labelled(ids: DataFrame) -> DataFrame:
@@ -242,17 +280,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     apart = apart.join(first_labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    crowded = stored(labelled(rows.where(F.col("n") > SMALL).select("band", "id", "n")), "crowded")
+    crowded = stored(labelled(crowd), "crowded")
     sizes = crowded.groupBy("band", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    members = stored(crowded.join(main, "band").join(shorts, "id"), "members")
+    members = stored(crowded.join(main, "band").join(shorts, "id").join(fresh, "id").withColumn("old", F.col("total") - F.col("fresh")), "members")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "short")
+    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "short", "total", "old")
     busy = members.where("label != main").select("band", own.alias("i")).distinct()
-    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "short").join(busy, "band")
-    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(least), "a long, b long").distinct()
+    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "short", "total", "old").join(busy, "band")
+    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(least, threshold), "a long, b long").distinct()
     more = verified(apart.union(far).distinct())
 
     labels = components(links.union(more))
