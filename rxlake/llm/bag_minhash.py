@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,7 @@ SIZE = 128
 BANDS = 32
 SMALL = 24  # buckets of up to so many members are compared whole at once, larger ones in blocks
 BLOCK = 256
+LONG = 512  # components by which members of crowded buckets are compared
 NO_ID = -(1 << 63)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -106,7 +106,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def sign_batches(batches):
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        ids = batch.column("id")
+        ids, docs = batch.column("id"), batch.column("doc")
         for a, b in row_blocks(offsets):
             part, off = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
             row, value, weight = shingles(part, off)
@@ -114,13 +114,12 @@ def sign_batches(batches):
             keys = band_keys(least)
             has_words = np.bincount(row, minlength=b - a) > 0
             short = (mixed(least.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-            digests = [xxhash.xxh3_128_digest(part[x:y].tobytes()) for x, y in zip(off[:-1], off[1:])]
             bands = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(has_words * BANDS)]).astype(np.int32)), pa.array(keys[has_words].ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(digests, pa.binary()), bands, pa.array([x.tobytes() for x in short], pa.binary())],
-                ["id", "digest", "bands", "short"],
+                [docs.slice(a, b - a), ids.slice(a, b - a), bands, pa.array([x.tobytes() for x in short], pa.binary())],
+                ["doc", "id", "bands", "short"],
             )
 
 
@@ -187,9 +186,22 @@ def verify_batches(threshold: float):
     return run
 
 
-def agreement(threshold: float) -> int:
+def agreement(threshold: float, size: int = SIZE) -> int:
     """Agreeing components a pair at the threshold reaches but for four and a half standard deviations."""
-    return int(SIZE * threshold - 4.5 * (SIZE * threshold * (1 - threshold)) ** 0.5)
+    return int(size * threshold - 4.5 * (size * threshold * (1 - threshold)) ** 0.5)
+
+
+def long_batches(batches):
+    """Longer signatures, a byte for each component, from bags of shingles."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            found = [np.unique(np.frombuffer(v.as_buffer(), np.uint64), return_counts=True) for v in part.column("bag")]
+            row = np.repeat(np.arange(len(found)), [len(v) for v, _ in found])
+            value, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            least = signatures(row, value, weight, len(found), LONG)
+            short = (mixed(least.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "long"])
 
 
 def agreeing(batches):
@@ -204,7 +216,7 @@ def across_blocks(least: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        short = np.frombuffer(b"".join(x.as_py() for x in table.column("short")), np.uint8).reshape(-1, SIZE)
+        long = np.frombuffer(b"".join(x.as_py() for x in table.column("long")), np.uint8).reshape(-1, LONG)
         total, old = table.column("total").to_numpy(), table.column("old").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_a, out_b = [], []
@@ -212,7 +224,7 @@ def across_blocks(least: int, threshold: float):
             near = right[labels[right] != labels[i]]
             most = np.minimum(old[near], old[i])  # no more shingles can be common
             near = near[most >= threshold * (total[near] + total[i] - most) - 1e-9]
-            near = near[(short[near] == short[i]).sum(1) >= least]
+            near = near[(long[near] == long[i]).sum(1) >= least]
             out_a.append(np.minimum(ids[near], ids[i]))
             out_b.append(np.maximum(ids[near], ids[i]))
         none = np.zeros(0, np.int64)
@@ -229,11 +241,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     to each other and to nothing else. A null id is reported as null and comes before all others; rows that share an
     id are one node. An empty table gives an empty result.
     """
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text")
-    signed = stored(keyed.mapInArrow(sign_batches, "id long, digest binary, bands array<long>, short binary"), "signed")
-    firsts = signed.groupBy("digest").agg(F.min(F.struct("id", "bands", "short")).alias("first"))
-    firsts = stored(firsts.select("digest", "first.*"), "firsts")
-    copies = signed.select("id", "digest").join(firsts.select("digest", F.col("id").alias("first")), "digest").select("id", "first")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("id"), text.alias("text"))
+    keyed = rows.select("id", "text")  # a node is a text, so equal texts are one
+    signed = stored(rows.mapInArrow(sign_batches, "doc long, id long, bands array<long>, short binary"), "signed")
+    owners = signed.select("doc", "id")
+    firsts = stored(signed.groupBy("id").agg(F.min(F.struct("bands", "short")).alias("s")).select("id", "s.*"), "firsts")
 
     rows = firsts.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
@@ -247,6 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowd = stored(rows.where(F.col("n") > SMALL).select("band", "id", "n"), "crowd")
     crowd_bags = bags_of(keyed, crowd.select("id").distinct())
     fresh = stored(freshness(crowd_bags), "fresh")
+    longs = stored(crowd_bags.mapInArrow(long_batches, "id long, long binary"), "longs")
     head = crowd.join(fresh, "id").groupBy("band").agg(F.min_by("id", F.struct(F.col("fresh") / F.col("total"), "id")).alias("head"))
     heads = crowd.join(head, "band").where("id != head").select(
         F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
@@ -283,25 +297,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = stored(labelled(crowd), "crowded")
     sizes = crowded.groupBy("band", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    members = stored(crowded.join(main, "band").join(shorts, "id").join(fresh, "id").withColumn("old", F.col("total") - F.col("fresh")), "members")
+    members = stored(crowded.join(main, "band").join(longs, "id").join(fresh, "id").withColumn("old", F.col("total") - F.col("fresh")), "members")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "short", "total", "old")
+    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "long", "total", "old")
     busy = members.where("label != main").select("band", own.alias("i")).distinct()
-    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "short", "total", "old").join(busy, "band")
-    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(least, threshold), "a long, b long").distinct()
+    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "long", "total", "old").join(busy, "band")
+    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(agreement(threshold, LONG), threshold), "a long, b long").distinct()
     more = verified(apart.union(far).distinct())
 
     labels = components(links.union(more))
-    classes = copies.join(labels.select(F.col("node").alias("first"), "label"), "first", "left").select(
-        "id", F.coalesce("label", "first").alias("class_id"))
+    classes = owners.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least_doc = classes.groupBy("label").agg(F.min("doc").alias("class_id"))
+    classes = stored(classes.join(least_doc, "label").groupBy("doc", "class_id").agg(F.count("*")).select("doc", "class_id"), "classes")
     # an id with several texts joins their classes
-    several = classes.groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    bridges = stored(several.where("low != high").select(F.col("low").alias("a"), F.col("high").alias("b")), "bridges")
-    classes = several.select("id", F.col("low").alias("class_id"))
+    result = classes.groupBy("doc").agg(F.min("class_id").alias("class_id"))
+    bridges = classes.join(result.select("doc", F.col("class_id").alias("low")), "doc").where("class_id != low")
+    bridges = stored(bridges.select(F.col("class_id").alias("a"), F.col("low").alias("b")).distinct(), "bridges")
     if not bridges.isEmpty():
         joined = components(bridges).select(F.col("node").alias("class_id"), "label")
-        classes = classes.join(joined, "class_id", "left").select("id", F.coalesce("label", "class_id").alias("class_id"))
-    clean = [F.when(F.col(c) != NO_ID, F.col(c)) for c in ("id", "class_id")]
-    return classes.select(clean[0].alias("doc_id"), clean[1].alias("class_id"))
+        result = result.join(joined, "class_id", "left").select("doc", F.coalesce("label", "class_id").alias("class_id"))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return result.select(known("doc").alias("doc_id"), known("class_id").alias("class_id"))

@@ -68,13 +68,26 @@ def features(words: np.ndarray, row: np.ndarray, shape: np.ndarray, lexicon: np.
     return np.column_stack([shape, np.log1p(hits), hits > 0])
 
 
-def telling_words(words: np.ndarray, row: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Words whose document frequency among bad documents is far above that among the others."""
-    values, of = np.unique(words, return_inverse=True)
-    in_bad = np.bincount(of, bad[row], len(values))
-    in_all = np.bincount(of, minlength=len(values))
-    share, total = max(bad.mean(), 1e-6), in_all
-    odds = (in_bad + 0.5) / (total - in_bad + 0.5) / (share / max(1 - share, 1e-6))
+def families(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each row that near copies mostly share: its least word hash among words that are not common."""
+    values, of, count = np.unique(words, return_inverse=True, return_counts=True)
+    key = np.arange(rows, dtype=np.uint64) | np.uint64(1 << 63)
+    rare = count[of] <= max(50, rows // 20)
+    np.minimum.at(key, row[rare], words[rare] >> np.uint64(1))
+    return key
+
+
+def telling_words(words: np.ndarray, row: np.ndarray, bad: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """Words whose document frequency among bad documents is far above that among the others; a family counts once."""
+    order = np.lexsort((family[row], bad[row], words))
+    w, b, f = words[order], bad[row][order], family[row][order]
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = (w[1:] != w[:-1]) | (b[1:] != b[:-1]) | (f[1:] != f[:-1])
+    values, of = np.unique(w[fresh], return_inverse=True)
+    in_bad = np.bincount(of, b[fresh], len(values))
+    total = np.bincount(of, minlength=len(values))
+    share = min(max(bad.mean() if len(bad) else 0.0, 1e-6), 1 - 1e-6)
+    odds = (in_bad + 0.5) / (total - in_bad + 0.5) / (share / (1 - share))
     z = (in_bad - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     least = max(4, LEAST_SHARE * bad.sum())
     return values[(in_bad >= least) & (odds >= 6) & (z >= 5)]
@@ -85,7 +98,8 @@ def fit(texts: pa.Array, bad: np.ndarray) -> Model:
     data, offsets = utf8(texts)
     words, row, shape = words_and_shape(data, offsets)
     half = np.arange(len(bad)) % 2 == 0
-    lexicon = telling_words(words[half[row]], row[half[row]], bad)
+    family = families(words, row, len(bad))
+    lexicon = telling_words(words[half[row]], row[half[row]], bad, family)
     x = features(words, row, shape, lexicon)
     mean, scale = x.mean(0) if len(x) else np.zeros(x.shape[1]), x.std(0) + 1e-6
     z, y = ((x - mean) / scale)[~half], bad[~half].astype(float)
@@ -99,7 +113,7 @@ def fit(texts: pa.Array, bad: np.ndarray) -> Model:
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    lexicon = telling_words(words, row, bad)
+    lexicon = telling_words(words, row, bad, family)
     return Model(lexicon, mean, scale, w[:-1], float(w[-1]))
 
 
