@@ -9,8 +9,6 @@ from rxlake import vocab_constants as V
 from rxlake.functions.normalize import lenient_double, with_normalized
 from rxlake.operators.dedupe import first_wins, last_wins
 
-MAX_STEM_RULES = 1000
-
 
 def name_to_molecule(molecules: DataFrame, order: list[str]) -> DataFrame:
     """key -> molecule for build jobs: the last molecule of a name wins."""
@@ -47,14 +45,6 @@ def accepted_stem_rules(rules: list[tuple[str, str]]) -> tuple[list[tuple[str, s
     )
 
 
-def stem_rules_from_table(rules: DataFrame, order: list[str]) -> list[tuple[str, str]]:
-    """Rules of a curated table in their order. The size is checked: a rule is a compiled expression."""
-    rows = rules.orderBy(*order).select("stem_pattern", "atc_group").limit(MAX_STEM_RULES + 1).collect()
-    if len(rows) > MAX_STEM_RULES:
-        raise ValueError(f"more than {MAX_STEM_RULES} stem rules")
-    return [(r[0] or "", r[1] or "") for r in rows]
-
-
 def stem_group(name: Column, rules: list[tuple[str, str]]) -> Column:
     """Group of the first matching rule, as one expression: no join with the rules."""
     usable, _ = accepted_stem_rules(rules)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxlake import vocab_constants as V
@@ -36,8 +36,8 @@ def interactions_between(ids: DataFrame, edges: DataFrame) -> DataFrame:
 def split_prescriptions(
     lines: DataFrame, max_drugs: int = V.MAX_DRUGS_PER_PRESCRIPTION
 ) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejected)``: prescription lines within the accepted size, and the ids beyond it with
-    their size. The size is counted before anything is gathered per prescription.
+    """``(valid, rejected)``: prescription lines within the size a request accepts, and the ids beyond it with their
+    size. Batch checks do not use it: they check every prescription in full.
     """
     sizes = lines.groupBy("rx_id").agg(F.count("*").alias("n_drugs"))
     too_long = sizes.filter(F.col("n_drugs") > max_drugs)
@@ -86,26 +86,24 @@ def with_coverage(
 INPUT_FIELDS = ["query", "molecule_id", "inn_name", "from_combination", "atc_group", "label", "gap"]
 
 
-def all_pairs(items: Column) -> Column:
-    """Unordered pairs of an array, each once, in order; built inside the row."""
-    one = lambda x, i: F.transform(
-        F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("l"), y.alias("r"))
-    )
-    return F.flatten(F.transform(items, one))
-
-
 def rx_pairs(inputs: DataFrame) -> DataFrame:
     """Pairs of every prescription: ``rx_id, pair_no, left struct, right struct``.
 
-    ``inputs`` has ``rx_id, pos, comp_pos, comp_name`` and the input fields. A prescription is bounded by
-    :func:`split_prescriptions`, so its inputs fit one row; the pairs come out of that row without a
-    self-join.
+    ``inputs`` has ``rx_id, pos, comp_pos, comp_name`` and the input fields. The inputs of a prescription are numbered
+    and joined with those that follow, so a prescription of any length is checked in full and none is gathered in a
+    row; the join splits a very long one among tasks.
     """
     order = ["pos", "comp_pos", "comp_name"]
+    mine = Window.partitionBy("rx_id")
     item = F.struct(*[F.col(c) for c in order + INPUT_FIELDS])
-    grouped = inputs.groupBy("rx_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return grouped.select("rx_id", F.posexplode(all_pairs(F.col("items"))).alias("pair_no", "p")).select(
-        "rx_id", "pair_no", F.col("p.l").alias("l"), F.col("p.r").alias("r")
+    numbered = inputs.withColumn("__at", F.row_number().over(mine.orderBy(*order, *INPUT_FIELDS)) - 1)
+    numbered = numbered.withColumn("__n", F.count("*").over(mine))
+    left = numbered.select("rx_id", F.col("__at").cast("bigint").alias("__i"), "__n", item.alias("l"))
+    right = numbered.select(F.col("rx_id").alias("__rx"), F.col("__at").cast("bigint").alias("__j"), item.alias("r"))
+    i, j = F.col("__i"), F.col("__j")
+    before = F.floor(i * (2 * F.col("__n") - i - 1) / 2).cast("bigint")
+    return left.join(right, (F.col("rx_id") == F.col("__rx")) & (i < j)).select(
+        "rx_id", (before + j - i - 1).cast("int").alias("pair_no"), "l", "r"
     )
 
 

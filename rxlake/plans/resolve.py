@@ -111,7 +111,6 @@ def outcome_index(requests: DataFrame, vocabulary: Vocabulary, threshold: float
 
 def resolve(
     requests: DataFrame, vocabulary: Vocabulary, threshold: float = V.FUZZY_THRESHOLD,
-    max_candidates: int = V.MAX_CANDIDATES,
 ) -> DataFrame:
     """Every request with its status; fuzzy hits only ever raise ``needs_review``.
 
@@ -137,7 +136,7 @@ def resolve(
     return joined.select(
         *requests.columns, "normalized", status.alias("status"), "path", "molecule_id", "inn_name", "category",
         "alias_raw_string", "alias_source", "brand_raw", "n_components",
-        F.least(kept, F.lit(max_candidates).cast("bigint")).alias("n_candidates"),
+        kept.alias("n_candidates"),
         F.coalesce("n_dropped", zero).alias("n_suppressed"), note.alias("note"),
     )
 

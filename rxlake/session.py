@@ -26,6 +26,13 @@ def build_session(app: str = "rxlake", master: str | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
+def local_folder(context) -> str:
+    """A temporary folder, only where driver and executors are one machine; anywhere else it must be named."""
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder named by ``spark.checkpoint.dir``.
 
@@ -37,5 +44,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
             "spark.checkpoint.dir", None
         )
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(folder or local_folder(context))
     return df.checkpoint(eager=True)

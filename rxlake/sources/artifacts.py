@@ -40,7 +40,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def _clean_strings(df: DataFrame) -> DataFrame:
     """Values stripped; empty text becomes null."""
-    return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip().removeprefix(BOM)) for c in df.columns])
+    return df.select(*[F.nullif(F.regexp_replace(F.col(f"`{c}`"), r"^\s+|\s+$", ""), F.lit("")).alias(c.strip().removeprefix(BOM)) for c in df.columns])
 
 
 def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def scan_commented_csv(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "row_no bigint")
     names = [n.strip().strip('"') for n in header[0].removeprefix(BOM).split(",")]
     schema = ", ".join(f"`{n}` string" for n in names)
-    numbered = number_rows(lines.filter(F.col("value") != header[0]), "row_no")
+    numbered = number_rows(lines, "row_no", start=0).filter("row_no > 0")  # row 0 is the header; equal rows stay
     parsed = numbered.select("row_no", F.from_csv("value", schema, {"escape": '"'}).alias("r"))
     return parsed.select(
         "row_no", *[F.coalesce(F.trim(F.col(f"r.`{n}`")), F.lit("")).alias(n) for n in names]
@@ -106,12 +106,11 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
         return None
     schema = "covered_atc_groups array<string>, molecule_atc_groups map<string,string>"
     df = spark.read.schema(schema).option("multiLine", True).json(path)
-    # At most one letter per ATC first level.
-    groups = df.select(F.explode("covered_atc_groups").alias("g")).select(F.upper(F.trim("g")).alias("g")).distinct().limit(26)
+    head = df.select(F.transform("covered_atc_groups", lambda g: F.upper(F.trim(g))).alias("g")).first()  # one row: the file is one object
     rows = df.select(F.explode("molecule_atc_groups").alias("molecule_id", "atc_group")).select(
         "molecule_id", F.upper(F.trim("atc_group")).alias("atc_group")
     ).filter("atc_group <> ''")
-    return rows, sorted(r["g"] for r in groups.collect() if r["g"])
+    return rows, sorted({g for g in (head["g"] if head and head["g"] else []) if g})
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -153,6 +152,8 @@ def upsert_snapshot(spark: SparkSession, root: str, version: int, new: DataFrame
     own version from the same input: the result does not depend on how often it ran.
     """
     previous = f"{root}/v={version - 1}"
-    existing = spark.read.parquet(previous) if version > 0 and path_exists(spark, previous) else None
+    if version > 0 and not path_exists(spark, previous):
+        raise ValueError(f"snapshot {version - 1} is missing under {root}: version {version} would lose its rows")
+    existing = spark.read.parquet(previous) if version > 0 else None
     upsert(existing, new, keys, order).write.mode("overwrite").parquet(f"{root}/v={version}")
     return spark.read.parquet(f"{root}/v={version}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rxlake.functions import normalize as N
 from rxlake.functions import text as X
+from rxlake.session import local_folder
 from rxlake.operators import brands, bridge, coverage, dedupe, evaluate, explain, fdc, fuzzy, ingest, interactions, products, suggest, validate, vocab
 from rxlake.plans import build, check, resolve
 from rxlake.sources import artifacts, headers
@@ -49,7 +49,9 @@ def query(name: str, sql: str | None = None, needs: list[str] = ()):
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint space; a temporary one where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-work-")
+    if not root:
+        root = local_folder(spark.sparkContext)
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
 def dbl(*names: str):
@@ -482,7 +484,7 @@ def _(d):
 
 fragment("f_resolved", """
   SELECT i.* EXCLUDE (status, note), coalesce(status, CASE WHEN coalesce(kept, 0) > 0 THEN 'needs_review' ELSE 'unresolved' END) AS status,
-         least(coalesce(kept, 0), 5) AS n_candidates, coalesce(dropped, 0) AS n_suppressed,
+         coalesce(kept, 0) AS n_candidates, coalesce(dropped, 0) AS n_suppressed,
          CASE WHEN i.normalized = '' THEN 'input normalized to an empty key' WHEN status IS NULL AND kept > 0 THEN 'fuzzy candidates require human review; none has been accepted' ELSE note END AS note
   FROM f_identified i LEFT JOIN (SELECT normalized, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS dropped FROM f_guarded GROUP BY 1) g ON g.normalized = i.normalized""",
          ["f_identified", "f_guarded"])
@@ -802,8 +804,7 @@ def checked(d: Domain) -> DataFrame:
 @query("rx_pairs", """SELECT rx_id, left_query, right_query, CASE WHEN left_from_combination IS NOT NULL THEN left_inn_name || ' (in ' || left_from_combination || ')' ELSE left_label END AS left_display,
   CASE WHEN right_from_combination IS NOT NULL THEN right_inn_name || ' (in ' || right_from_combination || ')' ELSE right_label END AS right_display FROM f_checked""", ["f_checked"])
 def _(d):
-    valid, _ = interactions.split_prescriptions(d.lines)
-    pairs = interactions.rx_pairs(check.rx_inputs(valid, vocabulary(d), stored_coverage(d)))
+    pairs = interactions.rx_pairs(check.rx_inputs(d.lines, vocabulary(d), stored_coverage(d)))
     show = lambda s: interactions.input_display(F.col(f"{s}.inn_name"), F.col(f"{s}.label"), F.col(f"{s}.from_combination"))
     return pairs.select("rx_id", F.col("l.query").alias("left_query"), F.col("r.query").alias("right_query"), show("l").alias("left_display"), show("r").alias("right_display"))
 

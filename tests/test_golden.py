@@ -124,7 +124,8 @@ def test_array_form_equals_line_form(spark, world):
     vocabulary, _, _, edges, coverage = world
     arrays = spark.createDataFrame([(rx, drugs) for rx, (drugs, _) in RX.items()] + [(99, ["Warfarin"] * 51)], "rx_id bigint, drugs array<string>")
     a = check.check_arrays(arrays, check.prescription_lookup(vocabulary, coverage), edges)
-    b = check.check_pairs(lines(spark), vocabulary, edges, coverage).drop("pair_no")
+    long = spark.range(51).select(F.lit(99).cast("bigint").alias("rx_id"), F.col("id").cast("int").alias("pos"), F.lit("Warfarin").alias("query"))
+    b = check.check_pairs(lines(spark).unionByName(long), vocabulary, edges, coverage).drop("pair_no")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
 
 

@@ -167,3 +167,47 @@ def test_raw_files_to_tables(spark):
     assert [(r["product_id"], r["generic_name_raw"]) for r in made.unjoined.collect()] == [("PMBJP-000005", "Zinc mystery tab")]
     assert sorted(r["reason"] for r in made.rejected_products.collect()) == ["no generic name", "unparseable MRP 'not-a-price'"]
     assert [tuple(r) for r in made.coverage.collect()] == [("MOL000003", "B")]
+
+
+def test_long_prescriptions_are_checked_in_full(spark):
+    """60 and 500 lines: every pair has a status, numbered without gaps, and nothing is reported complete unchecked."""
+    from pyspark.sql import functions as F
+
+    from rxlake.operators import interactions as I
+
+    lines = spark.createDataFrame([(rx, p) for rx, n in ((1, 60), (2, 500), (3, 1)) for p in range(n)], "rx_id long, pos int")
+    null = F.lit(None).cast("string")
+    inputs = lines.select("rx_id", "pos", F.lit(0).alias("comp_pos"), F.lit("").alias("comp_name"), F.concat(F.lit("drug "), "pos").alias("query"),
+                          *[null.alias(c) for c in I.INPUT_FIELDS if c not in ("query", "gap")], F.lit("unknown").alias("gap"))
+    edges = spark.createDataFrame([], "molecule_id_a string, molecule_id_b string, severity string, mechanism string, provenance string")
+    pairs = I.classify_pairs(I.rx_pairs(inputs), edges)
+    found = {r.rx_id: r for r in pairs.groupBy("rx_id").agg(F.count("*").alias("n"), F.max("pair_no").alias("top"), F.countDistinct("pair_no").alias("d")).collect()}
+    assert {k: (v.n, v.top, v.d) for k, v in found.items()} == {1: (1770, 1769, 1770), 2: (124750, 124749, 124750)}
+    summary = {r.rx_id: r.coverage_complete for r in I.check_summary(lines, pairs).collect()}
+    assert summary == {1: False, 2: False, 3: True}
+
+
+def test_snapshot_gap_is_an_error(spark, tmp_path):
+    import pytest
+
+    from rxlake.sources import artifacts
+
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    artifacts.upsert_snapshot(spark, str(tmp_path), 0, rows, ["k"], [])
+    with pytest.raises(ValueError):
+        artifacts.upsert_snapshot(spark, str(tmp_path), 2, rows, ["k"], [])
+
+
+def test_rows_equal_to_the_header_and_many_groups(spark, tmp_path):
+    import json
+
+    from rxlake.sources import artifacts
+
+    (tmp_path / "p.csv").write_text("# note\nbrand,kind\nA,x\nbrand,kind\nB,y\n")
+    rows = artifacts.scan_commented_csv(spark, str(tmp_path / "p.csv")).orderBy("row_no").collect()
+    assert [tuple(r) for r in rows] == [(1, "A", "x"), (2, "brand", "kind"), (3, "B", "y")]
+    groups = [f"G{i:02}" for i in range(40)]
+    (tmp_path / "m.json").write_text(json.dumps({"covered_atc_groups": groups, "molecule_atc_groups": {"M1": "A"}}))
+    assert artifacts.read_manifest(spark, str(tmp_path / "m.json"))[1] == groups
+    (tmp_path / "t.csv").write_text('a,b\n"\tx\t",y\n')
+    assert artifacts.scan_csv(spark, str(tmp_path / "t.csv")).first()["a"] == "x"
