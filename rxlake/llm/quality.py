@@ -70,7 +70,7 @@ def features(words: np.ndarray, row: np.ndarray, shape: np.ndarray, lexicon: np.
 
 def families(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """A key for each row that near copies mostly share: its least word hash among words that are not common."""
-    values, of, count = np.unique(words, return_inverse=True, return_counts=True)
+    _, of, count = np.unique(words, return_inverse=True, return_counts=True)
     key = np.arange(rows, dtype=np.uint64) | np.uint64(1 << 63)
     rare = count[of] <= max(50, rows // 20)
     np.minimum.at(key, row[rare], words[rare] >> np.uint64(1))
@@ -96,7 +96,11 @@ def telling_words(words: np.ndarray, row: np.ndarray, bad: np.ndarray, family: n
 def fit(texts: pa.Array, bad: np.ndarray) -> Model:
     """Lexicon from one half of the sample, weights from the other, so that the lexicon is not trusted too far."""
     data, offsets = utf8(texts)
-    words, row, shape = words_and_shape(data, offsets)
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, len(CLASSES) + 3)))]
+    for a, b in row_blocks(offsets, 1 << 19):  # a block at a time, for the driver's memory
+        w, r, x = words_and_shape(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        parts.append((w, r + a, x))
+    words, row, shape = (np.concatenate(x) for x in zip(*parts))
     half = np.arange(len(bad)) % 2 == 0
     family = families(words, row, len(bad))
     lexicon = telling_words(words[half[row]], row[half[row]], bad, family)
@@ -135,7 +139,7 @@ def score_batches(model: Model, keep_text: bool):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             logit = np.zeros(batch.num_rows)
-            for a, b in row_blocks(offsets, 4 << 20):
+            for a, b in row_blocks(offsets):
                 part = data[offsets[a]:offsets[b]]
                 x = features(*words_and_shape(part, offsets[a:b + 1] - offsets[a]), model.lexicon)
                 logit[a:b] = ((x - model.mean) / model.scale) @ model.weight + model.bias
