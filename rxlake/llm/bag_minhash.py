@@ -12,8 +12,8 @@ Signatures are banded (32 bands of 4; a pair at 0.8 is missed with probability 5
 signatures agree often enough, and what decides is the overlap of the multisets. Classes are the components of the
 pairs at the threshold or above: the best partner of each document is verified first, and then every candidate pair
 whose members are still apart. A bucket of many members is first compared with its head, the member with the least
-share of shingles that nobody else has; then in bounded blocks, only across components, and only where the shingles
-that others have leave room for the threshold.
+share of shingles that nobody else has; then in bounded blocks, whole bags against whole bags and only across components; a block reports one link from a document
+to a component.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ SIZE = 128
 BANDS = 32
 SMALL = 24  # buckets of up to so many members are compared whole at once, larger ones in blocks
 BLOCK = 256
-LONG = 512  # components by which members of crowded buckets are compared
 NO_ID = -(1 << 63)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -186,22 +185,20 @@ def verify_batches(threshold: float):
     return run
 
 
-def agreement(threshold: float, size: int = SIZE) -> int:
+def agreement(threshold: float) -> int:
     """Agreeing components a pair at the threshold reaches but for four and a half standard deviations."""
-    return int(size * threshold - 4.5 * (size * threshold * (1 - threshold)) ** 0.5)
+    return int(SIZE * threshold - 4.5 * (SIZE * threshold * (1 - threshold)) ** 0.5)
 
 
-def long_batches(batches):
-    """Longer signatures, a byte for each component, from bags of shingles."""
+def item_batches(batches):
+    """Bags as sets of 32-bit items, the second occurrence of a shingle being an item of its own, and so on."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            part = batch.slice(a, 200)
-            found = [np.unique(np.frombuffer(v.as_buffer(), np.uint64), return_counts=True) for v in part.column("bag")]
-            row = np.repeat(np.arange(len(found)), [len(v) for v, _ in found])
-            value, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            least = signatures(row, value, weight, len(found), LONG)
-            short = (mixed(least.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "long"])
+        items = []
+        for bag in batch.column("bag"):
+            value = np.frombuffer(bag.as_buffer(), np.uint64)
+            first = np.searchsorted(value, value, "left")
+            items.append((mixed(value + (np.arange(len(value)) - first).astype(np.uint64) * ODD) >> np.uint64(32)).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(items, pa.binary())], ["id", "items"])
 
 
 def agreeing(batches):
@@ -212,23 +209,44 @@ def agreeing(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same.astype(np.int32))], ["a", "b", "same"])
 
 
-def across_blocks(least: int, threshold: float):
+COLUMNS = 8_192
+
+
+def common_items(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common items of each left with each right bag, by products over slices of the items."""
+    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    _, code, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, code = row[keep], number[code[keep]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for a in range(0, int(shared.sum()), COLUMNS):
+        some = slice(*np.searchsorted(code, [a, a + COLUMNS]))
+        holds = np.zeros((len(bags), COLUMNS), np.float32)
+        holds[row[some], code[some] - a] = 1
+        both += holds[left] @ holds[right].T
+    return both
+
+
+def across_blocks(threshold: float):
+    """Links between two blocks of a crowded bucket: for each document one to each other component it reaches."""
+
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        long = np.frombuffer(b"".join(x.as_py() for x in table.column("long")), np.uint8).reshape(-1, LONG)
-        total, old = table.column("total").to_numpy(), table.column("old").to_numpy()
+        side, ids, labels = (table.column(c).to_numpy() for c in ("side", "id", "label"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for i in left:
-            near = right[labels[right] != labels[i]]
-            most = np.minimum(old[near], old[i])  # no more shingles can be common
-            near = near[most >= threshold * (total[near] + total[i] - most) - 1e-9]
-            near = near[(long[near] == long[i]).sum(1) >= least]
-            out_a.append(np.minimum(ids[near], ids[i]))
-            out_b.append(np.maximum(ids[near], ids[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+        if not len(left) or not len(right):
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        bags = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("items").combine_chunks()]
+        size = np.array([len(b) for b in bags], float)
+        both = common_items(bags, left, right)
+        total = size[left][:, None] + size[right][None, :] - both
+        i, j = np.nonzero((both >= threshold * total - 1e-6) & (labels[left][:, None] != labels[right][None, :]))
+        _, first = np.unique(np.stack([left[i], labels[right[j]]]), axis=1, return_index=True)
+        a, b = ids[left[i[first]]], ids[right[j[first]]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -260,7 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowd = stored(rows.where(F.col("n") > SMALL).select("band", "id", "n"), "crowd")
     crowd_bags = bags_of(keyed, crowd.select("id").distinct())
     fresh = stored(freshness(crowd_bags), "fresh")
-    longs = stored(crowd_bags.mapInArrow(long_batches, "id long, long binary"), "longs")
+    items = stored(crowd_bags.mapInArrow(item_batches, "id long, items binary"), "items")
     head = crowd.join(fresh, "id").groupBy("band").agg(F.min_by("id", F.struct(F.col("fresh") / F.col("total"), "id")).alias("head"))
     heads = crowd.join(head, "band").where("id != head").select(
         F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
@@ -272,7 +290,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(shorts.select(F.col("id").alias("b"), F.col("short").alias("short_b")), "b")
         return both.mapInArrow(agreeing, "a long, b long, same int").where(F.col("same") >= least)
 
-    likely = stored(compared(pairs.union(heads).distinct()), "likely")
+    likely = stored(compared(stored(pairs.union(heads).distinct(), "pairs")), "likely")
     partners = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     bags = bags_of(keyed, partners.join(crowd_bags.select("id"), "id", "left_anti")).unionByName(crowd_bags)
 
@@ -297,15 +315,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = stored(labelled(crowd), "crowded")
     sizes = crowded.groupBy("band", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    members = stored(crowded.join(main, "band").join(longs, "id").join(fresh, "id").withColumn("old", F.col("total") - F.col("fresh")), "members")
+    members = stored(crowded.join(main, "band").join(fresh, "id"), "members")
+    # a document of which too much is its own is near to none
+    members = members.where(F.col("total") - F.col("fresh") >= threshold * F.col("total") - 1e-9).join(items, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "long", "total", "old")
+    left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "items")
     busy = members.where("label != main").select("band", own.alias("i")).distinct()
-    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "long", "total", "old").join(busy, "band")
-    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(agreement(threshold, LONG), threshold), "a long, b long").distinct()
-    more = verified(apart.union(far).distinct())
+    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "items").join(busy, "band")
+    far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(threshold), "a long, b long").distinct()
+    more = stored(verified(apart).union(far), "more")
 
     labels = components(links.union(more))
     classes = owners.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
