@@ -95,7 +95,7 @@ SQL: dict[str, str] = {
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.e, c.e)])::BIGINT AS score
