@@ -32,6 +32,7 @@ SIZE = 128
 BANDS = 32
 SMALL = 24  # buckets of up to so many members are compared whole at once, larger ones in blocks
 BLOCK = 256
+SPREAD = 1_024  # members of a bucket that look up their bucket's row under one key
 NO_ID = -(1 << 63)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -172,6 +173,13 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
     return both / total if total else 0.0
 
 
+def of_bucket(members: DataFrame, table: DataFrame) -> DataFrame:
+    """Members (``band``, ``id``, ``n``) with their bucket's row of ``table``; crowded buckets are dealt over several keys."""
+    parts = F.ceil(F.col("n") / SPREAD).cast("int")
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return members.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(copies, ["band", "part"]).drop("part")
+
+
 def verify_batches(threshold: float):
     def run(batches):
         for batch in batches:
@@ -277,11 +285,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the member with the least of that
     crowd = stored(rows.where(F.col("n") > SMALL).select("band", "id", "n"), "crowd")
     crowd_bags = bags_of(keyed, crowd.select("id").distinct())
-    fresh = stored(freshness(crowd_bags), "fresh")
+    # joins on the document take one row each, with its buckets (one a band at most) in a list
+    places = crowd.groupBy("id").agg(F.collect_list(F.struct("band", "n")).alias("places"))
+    weighed = stored(places.join(freshness(crowd_bags), "id"), "weighed")
+    each_place = F.inline("places")
     items = stored(crowd_bags.mapInArrow(item_batches, "id long, items binary"), "items")
-    head = crowd.join(fresh, "id").groupBy("band").agg(F.min_by("id", F.struct(F.col("fresh") / F.col("total"), "id")).alias("head"))
-    heads = crowd.join(head, "band").where("id != head").select(
-        F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
+    head = weighed.select("id", (F.col("fresh") / F.col("total")).alias("share"), each_place).groupBy("band").agg(
+        F.min_by("id", F.struct("share", "id")).alias("head"), F.max("n").alias("n"))
+    heads = of_bucket(crowd, head).where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
     shorts = firsts.select("id", "short")
     least = agreement(threshold)
 
@@ -312,12 +323,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     apart = apart.join(first_labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    crowded = stored(labelled(crowd), "crowded")
-    sizes = crowded.groupBy("band", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("band").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    members = stored(crowded.join(main, "band").join(fresh, "id"), "members")
+    crowded = stored(labelled(weighed), "crowded")
+    sizes = crowded.select("label", each_place).groupBy("band", "label").agg(F.count("*").alias("size"), F.max("n").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels"), F.max("n").alias("n"))
+    main = main.where("labels > 1").drop("labels")
     # a document of which too much is its own is near to none
-    members = members.where(F.col("total") - F.col("fresh") >= threshold * F.col("total") - 1e-9).join(items, "id")
+    able = crowded.where(F.col("total") - F.col("fresh") >= threshold * F.col("total") - 1e-9)
+    members = of_bucket(able.select("id", "label", each_place), main)
+    members = members.groupBy("id", "label").agg(F.collect_list(F.struct("band", "n", "main")).alias("places"))
+    members = stored(members.join(items, "id"), "members").select("id", "label", "items", each_place)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
