@@ -12,8 +12,8 @@ Signatures are banded (32 bands of 4; a pair at 0.8 is missed with probability 5
 signatures agree often enough, and what decides is the overlap of the multisets. Classes are the components of the
 pairs at the threshold or above: the best partner of each document is verified first, and then every candidate pair
 whose members are still apart. A bucket of many members is first compared with its head, the member with the least
-share of shingles that nobody else has; then in bounded blocks, whole bags against whole bags and only across components; a block reports one link from a document
-to a component.
+share of shingles that nobody else has; then in bounded blocks, whole bags against whole bags and only across components; two blocks
+report as many links as join their components.
 """
 
 from __future__ import annotations
@@ -239,8 +239,26 @@ def common_items(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return both
 
 
+def spanning(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of edges (u, v) that join the nodes into trees with the same components as all edges."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    edge = np.full((len(nodes), len(nodes)), -1)
+    edge[ends[: len(u)], ends[len(u):]] = edge[ends[len(u):], ends[: len(u)]] = np.arange(len(u))
+    left, chosen = np.ones(len(nodes), bool), []
+    for root in range(len(nodes)):
+        reached = [root] if left[root] else []
+        left[root] = False
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(left & (edge[at] >= 0))
+            left[new] = False
+            chosen.append(edge[at, new])
+            reached += new.tolist()
+    return np.concatenate([np.zeros(0, np.int64), *chosen])
+
+
 def across_blocks(threshold: float):
-    """Links between two blocks of a crowded bucket: for each document one to each other component it reaches."""
+    """Links between two blocks of a crowded bucket: as many as join the components that the blocks' near pairs join."""
 
     def run(table: pa.Table) -> pa.Table:
         side, ids, labels = (table.column(c).to_numpy() for c in ("side", "id", "label"))
@@ -252,8 +270,8 @@ def across_blocks(threshold: float):
         both = common_items(bags, left, right)
         total = size[left][:, None] + size[right][None, :] - both
         i, j = np.nonzero((both >= threshold * total - 1e-6) & (labels[left][:, None] != labels[right][None, :]))
-        _, first = np.unique(np.stack([left[i], labels[right[j]]]), axis=1, return_index=True)
-        a, b = ids[left[i[first]]], ids[right[j[first]]]
+        some = spanning(labels[left[i]], labels[right[j]])
+        a, b = ids[left[i[some]]], ids[right[j[some]]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -337,7 +355,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     left = members.where("label != main").select("band", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "label", "items")
     busy = members.where("label != main").select("band", own.alias("i")).distinct()
-    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "items").join(busy, "band")
+    right = members.select("band", own.alias("j"), F.lit(1).alias("side"), "id", "label", "items", "main").join(busy, "band")
+    right = right.where("label = main or j >= i").drop("main")  # two blocks of documents outside the main component meet once
     far = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(across_blocks(threshold), "a long, b long").distinct()
     more = stored(verified(apart).union(far), "more")
 

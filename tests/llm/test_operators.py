@@ -83,6 +83,22 @@ def test_signature_is_unbiased():
     assert abs((sig[0] == sig[1]).mean() - expected) < 0.03
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_spanning_links(seed):
+    rng = np.random.default_rng(seed)
+    u, v = rng.integers(0, 12, 15), rng.integers(6, 20, 15)
+
+    def groups(edges):
+        label = list(range(20))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return len(set(label)), [[x == y for y in label] for x in label]
+
+    some = bag_minhash.spanning(u, v)
+    assert groups(zip(u, v)) == groups(zip(u[some], v[some]))
+    assert len(some) == 20 - groups(zip(u, v))[0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 999), (7, 7), (2000, 1000)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
