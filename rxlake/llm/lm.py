@@ -1,12 +1,15 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Counts of all tokens of the training texts come from one grouped sum over token hashes. N-grams over the most frequent
-tokens become states: a history is a state, an arc carries the discounted log-probability of the next token, and a
-failure arc carries the backoff weight to the next shorter history; the root holds smoothed unigrams, which give an
-unseen token its share. A text is scored by one traversal from left to right that carries the state.
-
-The automaton and the table of frequent tokens are bounded by parameters whatever the corpus, so tasks may hold them.
-Tokens outside the table leave the traversal as (document, token) rows and meet the whole count table in a join.
+"""Language-model scoring with a weighted backoff model over all n-grams of up to three tokens.
+
+A history backs off to the next shorter one: a seen n-gram has its discounted share, and what the discount leaves goes
+to the others in proportion to the shorter history's probabilities; at the root stand smoothed unigrams, which give an
+unseen token its share. No token, count or number of n-grams is left out: counts lie in a written table and grow with
+the training texts.
+
+A text's score is a plain sum over its n-grams. Each token pays its unigram and, as a history, the backoff weight; a
+seen pair or triple adds what it differs by from backing off, and its own backoff weight as a history. So each seen
+n-gram has one weight, found by joins of counts, and a text meets its weights in one more join. The most frequent
+n-grams are held by tasks, since they occur in every text; that changes no result. ``Automaton`` is the same model for
+few words in memory.
 """
 
 from __future__ import annotations
@@ -20,14 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxlake.llm.bag_minhash import NOT_SPACE
-from rxlake.llm.common import LOWER, RangeHash, row_blocks, stored, tokens_of, utf8
+from rxlake.llm.common import LOWER, ODD, RangeHash, mixed, row_blocks, stored, tokens_of, utf8
 
 END = np.uint64(0x656E64)
-FREQUENT = 300_000  # tokens whose counts every task holds
-PAIR_WORDS = 2_048  # most frequent tokens that form bigrams
-TRIPLE_WORDS = 256  # most frequent tokens that form trigrams
-ARCS = 300_000  # n-grams kept, the most frequent ones
-LEAST = 3  # occurrences of an n-gram kept
+FREQUENT = 300_000  # n-grams whose weights every task holds
+PAIR_WORDS = 2_048  # most words of an automaton
 DISCOUNT = 0.5
 FLUSH = 2_000_000
 
@@ -46,57 +46,64 @@ def summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
-def count_batches(codes_of):
-    """Counts of codes, combined within the task."""
-
-    def run(batches):
-        held, size = [], 0
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in summed(held)], ["code", "n"])
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in row_blocks(offsets):
-                codes = codes_of(*token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
-                held.append(codes.view(np.int64))
-                size += len(codes)
-                if size > FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return run
-
+def count_batches(batches):
+    """Counts of tokens, combined within the task."""
+    held, size = [], 0
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in summed(held)], ["code", "n"])
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for a, b in row_blocks(offsets):
+            held.append(token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0].view(np.int64))
+            size += len(held[-1])
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its first tokens and of its last."""
+    return mixed(mixed(x * ODD + np.uint64(1)) + y)
+
+
+def ngrams_of(words: np.ndarray, row: np.ndarray) -> tuple[tuple, tuple]:
+    """Hash, history, shorter n-gram (without the first token) and row of each pair and of each triple."""
+    same = row[:-1] == row[1:]
+    pair = joined(words[:-1], words[1:])
+    run = same[:-1] & same[1:]
+    triple = joined(pair[:-1], words[2:])
+    return (
+        (pair[same], words[:-1][same], words[1:][same], row[1:][same]),
+        (triple[run], pair[:-1][run], pair[1:][run], row[2:][run]),
+    )
 
-@dataclass
-class Lookup:
-    """Sorted hashes of tokens, with a number for each."""
 
-    hashes: np.ndarray
-    number: np.ndarray
+def ngram_batches(batches):
+    """Counts of pairs and triples with their histories and shorter n-grams, combined within the task."""
+    held, size = [], 0
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.number[at], -1)
-
-
-def ngram_codes(lookup: Lookup):
-    def run(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-        code = lookup.of(words)
-        a, b = code[:-1], code[1:]
-        pair = (a >= 0) & (b >= 0) & (row[:-1] == row[1:])
-        two = (a[pair] * PAIR_WORDS + b[pair]).astype(np.uint64)
-        c = code[2:]
-        few = pair[:-1] & pair[1:] & (np.maximum(np.maximum(a[:-1], b[:-1]), c) < TRIPLE_WORDS)
-        three = ((a[:-1][few] * PAIR_WORDS + b[:-1][few]) * PAIR_WORDS + c[few]).astype(np.uint64) + np.uint64(1 << 40)
-        return np.concatenate([two, three])
+    def flush():
+        for three in (False, True):
+            gram, history, shorter = (np.concatenate([h[three][i] for h in held]) for i in range(3))
+            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
+            longs = [gram.view(np.int64), history[at].view(np.int64), shorter[at].view(np.int64), n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), three)), *map(pa.array, longs)], ["three", "code", "history", "shorter", "n"])
 
-    return run
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for a, b in row_blocks(offsets):
+            held.append(ngrams_of(*token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])))
+            size += len(held[-1][0][0])
+            if size > FLUSH:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
 
 
 class Automaton:
-    """States are histories: 0 is the root, then one per token, then one per pair that begins a kept triple."""
+    """The model for few words. States are histories: 0 is the root, then one per token, then one per pair that begins a kept triple."""
 
     def __init__(self, unigram: np.ndarray, counts: np.ndarray, ngrams: dict[int, int]):
         """``unigram``: log10 probability of each word; ``counts``: its occurrences; ``ngrams``: code -> count."""
@@ -171,58 +178,54 @@ class Automaton:
 
 
 @dataclass
-class Model:
-    frequent: Lookup  # number: occurrences
-    coded: Lookup  # number: code of the tokens in the automaton
-    automaton: Automaton
-    unit: float  # log10(N + V + 1)
+class Weights:
+    """Sorted hashes of n-grams, with the share of each in the score and in the base score."""
+
+    hashes: np.ndarray
+    weight: np.ndarray
+    single: np.ndarray
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each n-gram and whether it is held."""
+        if not len(self.hashes):
+            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        return at, self.hashes[at] == grams
 
 
-def score_batches(model_of):
+def score_batches(held_by_tasks):
     def run(batches):
         from pyspark import TaskContext
 
-        model = model_of.value
+        model = held_by_tasks.value
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in row_blocks(offsets):
                 words, row = token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 rows = b - a
-                seen, code = model.frequent.of(words), model.coded.of(words)
-                known = seen >= 0
-                single = np.where(known, np.log10(np.maximum(seen, 0) + 1.0) - model.unit, 0.0)
-                base = np.bincount(row, single, rows)
-                score = np.bincount(row, np.where(code < 0, single, 0.0), rows)
-                cuts = np.searchsorted(row, np.arange(rows + 1))
-                codes = code.tolist()
-                score += [model.automaton.score(codes[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+                pairs, triples = ngrams_of(words, row)
+                gram, of = np.concatenate([words, pairs[0], triples[0]]), np.concatenate([row, pairs[3], triples[3]])
+                at, known = model.of(gram)
+                totals = [np.zeros(rows)] * 3
+                if known.any():
+                    single = model.single[at[known]]
+                    totals = [np.bincount(of[known], x, rows) for x in (single > 0, single, model.weight[at[known]])]
                 keys = key + np.arange(rows)
                 key += rows
                 none = pa.nulls(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys), none, none, batch.column("doc_id").slice(a, rows), batch.column("held_out").slice(a, rows),
-                        pa.array(np.diff(cuts)), pa.array(np.bincount(row, known & (seen > 0), rows).astype(np.int64)),
-                        pa.array(base), pa.array(score),
+                        pa.array(np.bincount(row, minlength=rows)), pa.array(totals[0].astype(np.int64)), pa.array(totals[1]), pa.array(totals[2]),
                     ],
                     NAMES,
                 )
-                order = np.lexsort((words[~known], row[~known]))
-                w, r = words[~known][order], row[~known][order]
-                first = np.ones(len(w), bool)
-                first[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
-                at = np.flatnonzero(first)
-                n = len(at)
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[r[at]]), pa.array(w[at].view(np.int64)), pa.array(np.diff(np.append(at, len(w)))),
-                            pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                            pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()),
-                        ],
-                        NAMES,
-                    )
+                gram, of = gram[~known], of[~known]
+                _, at, n = np.unique(mixed(gram + of.astype(np.uint64) * ODD), return_index=True, return_counts=True)
+                if len(n):
+                    nothing = [pa.nulls(len(n), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[of[at]]), pa.array(gram[at].view(np.int64)), pa.array(n), *nothing], NAMES)
 
     return run
 
@@ -231,10 +234,53 @@ NAMES = ["key", "code", "times", "doc_id", "held_out", "n_tokens", "n_known", "b
 SCHEMA = "key long, code long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def lookup_of(rows: list, numbers: np.ndarray) -> Lookup:
-    hashes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
+def ngram_weights(training: DataFrame, counts: DataFrame, unit: float) -> DataFrame:
+    """``weight`` of each n-gram (``code``) of the training texts, how often it occurs (``n``), and ``single``, what a
+    token has in the base score (0 for pairs and triples). ``unit`` is left out of both; each token pays it once."""
+    grams = training.mapInArrow(ngram_batches, "three boolean, code long, history long, shorter long, n long").groupBy("code").agg(
+        F.first("three").alias("three"), F.first("history").alias("history"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
+    grams = stored(grams, "grams")
+
+    def histories(seen: DataFrame) -> DataFrame:
+        """Occurrences of each history and its backoff weight; ``p`` is the shorter history's probability."""
+        summed_up = seen.groupBy("history").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum("p").alias("lower"))
+        left, rest = F.lit(DISCOUNT) * F.col("kinds") / F.col("all"), F.greatest(F.lit(1.0) - F.col("lower"), F.lit(1e-15))
+        return stored(summed_up.select("history", "all", F.log10(left / rest).alias("back")), "histories")
+
+    share = (F.col("n") - DISCOUNT) / F.col("all")
+    more = F.log10(share) - F.col("back") - F.log10("p")
+    last = counts.select(F.col("code").alias("shorter"), ((F.col("n") + 1.0) / F.lit(10.0**unit)).alias("p"))
+    pairs = stored(grams.where("NOT three").join(last, "shorter").select("code", "history", "n", "p"), "pairs")
+    after_one = histories(pairs)
+    pairs = stored(pairs.join(after_one, "history").select("code", "n", share.alias("share"), more.alias("more")), "pairs")
+    triples = stored(grams.where("three").join(pairs.select(F.col("code").alias("shorter"), F.col("share").alias("p")), "shorter")
+                     .select("code", "history", "n", "p"), "triples")
+    after_two = histories(triples)
+    triples = triples.join(after_two, "history").select("code", "n", more.alias("weight"), F.lit(0.0).alias("single"))
+
+    def with_back(seen: DataFrame, weight: Column, single: Column, after: DataFrame) -> DataFrame:
+        back = after.select(F.col("history").alias("code"), "back")
+        return seen.join(back, "code", "left").select("code", "n", (weight + F.coalesce("back", F.lit(0.0))).alias("weight"), single.alias("single"))
+
+    single = F.log10(F.col("n") + 1.0)
+    ones = with_back(counts, single, single, after_one)
+    twos = with_back(pairs, F.col("more"), F.lit(0.0), after_two)
+    return stored(ones.unionByName(twos).unionByName(triples), "weights")
+
+
+def most_frequent(weights: DataFrame) -> Weights:
+    """The weights of up to FREQUENT n-grams: all that occur at least so often."""
+    room, least = FREQUENT, None
+    for n, size in weights.where("n > 1").groupBy("n").count().orderBy(F.desc("n")).limit(FREQUENT).collect():
+        if size > room:
+            break
+        room, least = room - size, n
+    if least is None:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    found = weights.where(F.col("n") >= least).select("code", "weight", "single").toArrow()  # bounded by a parameter
+    hashes = found.column("code").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Lookup(hashes[order], numbers[order])
+    return Weights(hashes[order], found.column("weight").to_numpy()[order], found.column("single").to_numpy()[order])
 
 
 def score_texts(docs: DataFrame, trains: Column) -> DataFrame:
@@ -247,27 +293,21 @@ def score_texts(docs: DataFrame, trains: Column) -> DataFrame:
     marked = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"),
                          (~F.coalesce(trains, F.lit(False))).alias("held_out"))
     training = marked.where(~F.col("held_out")).select("text")
-    counted = lambda codes_of: training.mapInArrow(count_batches(codes_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = stored(counted(lambda words, row: words), "counts")
+    counts = stored(training.mapInArrow(count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()  # bounded by a parameter
-    rows = [{"code": c} for c in top.column("code").to_pylist()]
-    seen = np.array(top.column("n").to_pylist(), np.int64)
     unit = math.log10(total + kinds + 1)
-    frequent, few = lookup_of(rows, seen), rows[:PAIR_WORDS]
-    coded = lookup_of(few, np.arange(len(few)))
-    ngrams = counted(ngram_codes(coded)).where(F.col("n") >= LEAST)
-    kept = ngrams.orderBy(F.desc("n"), "code").limit(ARCS).toArrow()  # bounded by a parameter
-    automaton = Automaton(np.log10(seen[: len(few)] + 1.0) - unit, seen[: len(few)],
-                          dict(zip(kept.column("code").to_pylist(), kept.column("n").to_pylist())))
-    model = docs.sparkSession.sparkContext.broadcast(Model(frequent, coded, automaton, unit))
-    scored = stored(marked.mapInArrow(score_batches(model), SCHEMA), "scored")
-    rare = scored.where(F.col("code").isNotNull()).select("key", "code", "times").join(counts, "code", "left").groupBy("key").agg(
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - F.lit(unit))).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also_known"),
+    weights = ngram_weights(training, counts, unit)
+    held_by_tasks = docs.sparkSession.sparkContext.broadcast(most_frequent(weights))
+    scored = stored(marked.mapInArrow(score_batches(held_by_tasks), SCHEMA), "scored")
+    times = F.col("times")
+    rare = scored.where(F.col("code").isNotNull()).select("key", "code", "times").join(weights.drop("n"), "code").groupBy("key").agg(
+        F.sum(times * F.col("weight")).alias("more"), F.sum(times * F.col("single")).alias("more_base"),
+        F.sum(F.when(F.col("single") > 0, times).otherwise(0)).alias("also_known"),
     )
-    more = F.coalesce("more", F.lit(0.0))
+    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0))
+    paid = F.col("n_tokens") * F.lit(unit)
     return scored.where(F.col("code").isNull()).join(rare, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        "doc_id", "held_out", "n_tokens", plus("n_known", "also_known").cast("long").alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (plus("base", "more_base") - paid).alias("base_score"),
+        (plus("score", "more") - paid).alias("score"),
     )

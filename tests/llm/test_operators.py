@@ -343,6 +343,41 @@ def test_scores(sample, rows, empty, monkeypatch, frequent):
     assert lm.score_texts(empty, fold(7) != 2).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [300_000, 50])
+def test_scores_use_every_ngram(spark, monkeypatch, frequent):
+    """More words than any table of frequent ones held before, n-grams seen once, unseen words, an empty text."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3_000, 80)) for _ in range(60)]
+    texts += [" ".join(t.split()[5:40]) for t in texts[:20]] + ["w1 w2 w1 w2 w1 w2", "never w1 w2 seen", "", None]
+    rows = list(enumerate(texts))
+    trains = lambda i: i % 4 != 1 and i < 82
+    tokens = {i: (t or "").split() + [None] for i, t in rows}
+    count = [collections.Counter(tuple(ws[j:j + n]) for i, ws in tokens.items() if trains(i) for j in range(len(ws) - n + 1)) for n in (1, 2, 3)]
+    unit = sum(count[0].values()) + len(count[0]) + 1
+    after = collections.defaultdict(list)
+    for c in count[1:]:
+        for g in c:
+            after[g[:-1]].append(g[-1])
+
+    def p(history, x):
+        if not history:
+            return (count[0][(x,)] + 1) / unit
+        if history not in after:
+            return p(history[1:], x)
+        seen = count[len(history)]
+        total = sum(seen[(*history, y)] for y in after[history])
+        if (*history, x) in seen:
+            return (seen[(*history, x)] - 0.5) / total
+        rest = 1 - sum(p(history[1:], y) for y in after[history])
+        return 0.5 * len(after[history]) / total / rest * p(history[1:], x)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, (F.col("doc_id") % 4 != 1) & (F.col("doc_id") < 82)).collect()}
+    for i, ws in tokens.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(ws[max(0, j - 2):j]), x)) for j, x in enumerate(ws)), abs=1e-6)
+
+
 def test_automaton_is_a_distribution():
     unigram = np.log10(np.array([5, 3, 2, 1]) / 12)
     pair = lambda a, b: a * lm.PAIR_WORDS + b
