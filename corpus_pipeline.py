@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxlake.llm.bag_minhash import near_duplicates
+from rxlake.llm.bag_minhash import NO_ID, near_duplicates
 from rxlake.llm.common import documents, ready, stored
 from rxlake.llm.packing import pack
 from rxlake.llm.pii import redact
@@ -52,18 +52,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @guarded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near duplicates; of rows with that id, one."""
+    """Keeps one row of each class of near duplicates, the one with the least id (of equal ids the least text hash)."""
     classes = near_duplicates(docs)
-    one = F.xxhash64("text")
-    goes = classes.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.coalesce("class_id", F.col("doc_id") - 1))).select("doc_id")
-    kept = docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti")
-    twice = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(one).alias("least")).where("n > 1"), "twice")
+    row = lambda doc: F.coalesce(doc, F.lit(NO_ID)).cast("long").alias("row_doc")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_id") == F.col("class_text"))
+    goes = classes.where(~stays).select(row("doc_id"), F.col("text_id").alias("row_text"))
+    rows = docs.select("*", row("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_text"))
+    kept = rows.join(goes.hint("shuffle_hash"), ["row_doc", "row_text"], "left_anti")
+    # rows equal in id and text are one member of their class
+    twice = stored(rows.groupBy("row_doc", "row_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    single = kept.join(twice.select("doc_id"), kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
-    several = kept.join(twice.select(F.col("doc_id").alias("same"), "least"), F.col("doc_id").eqNullSafe(F.col("same")))
-    several = several.where(one == F.col("least")).dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    single = kept.join(twice, ["row_doc", "row_text"], "left_anti")
+    several = kept.join(twice, ["row_doc", "row_text"], "left_semi").dropDuplicates(["row_doc", "row_text"])
+    return single.unionByName(several).select(*docs.columns)
 
 
 @guarded

@@ -278,12 +278,13 @@ def across_blocks(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Each distinct ``doc_id`` with the least id of its class of near duplicates as ``class_id``.
+    """Each distinct ``doc_id`` and text (``text_id``, its hash) with the class of near duplicates it belongs to.
 
-    Two documents are linked if their texts are equal or the multisets of their five-word shingles have a weighted
-    Jaccard similarity of ``threshold`` or more; classes are the connected components. Null and empty texts are equal
-    to each other and to nothing else. A null id is reported as null and comes before all others; rows that share an
-    id are one node. An empty table gives an empty result.
+    A class is named by its least member: ``class_id`` is that one's id and ``class_text`` its ``text_id``. Two texts
+    are linked if the multisets of their five-word shingles have a weighted Jaccard similarity of ``threshold`` or
+    more; classes are the connected components. Null and empty texts are equal to each other and to nothing else. Only
+    texts link rows: different texts without an id, or under one id, are rows of their own. A null id is reported as
+    null and comes before all others. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("id"), text.alias("text"))
@@ -362,14 +363,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     labels = components(links.union(more))
     classes = owners.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least_doc = classes.groupBy("label").agg(F.min("doc").alias("class_id"))
-    classes = stored(classes.join(least_doc, "label").groupBy("doc", "class_id").agg(F.count("*")).select("doc", "class_id"), "classes")
-    # an id with several texts joins their classes
-    result = classes.groupBy("doc").agg(F.min("class_id").alias("class_id"))
-    bridges = classes.join(result.select("doc", F.col("class_id").alias("low")), "doc").where("class_id != low")
-    bridges = stored(bridges.select(F.col("class_id").alias("a"), F.col("low").alias("b")).distinct(), "bridges")
-    if not bridges.isEmpty():
-        joined = components(bridges).select(F.col("node").alias("class_id"), "label")
-        result = result.join(joined, "class_id", "left").select("doc", F.coalesce("label", "class_id").alias("class_id"))
+    least_row = classes.groupBy("label").agg(F.min(F.struct("doc", "id")).alias("least"))
+    columns = ["doc", F.col("id").alias("text_id"), F.col("least.doc").alias("class_id"), F.col("least.id").alias("class_text")]
+    result = stored(classes.join(least_row, "label").select(*columns).distinct(), "classes")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return result.select(known("doc").alias("doc_id"), known("class_id").alias("class_id"))
+    return result.select(known("doc").alias("doc_id"), "text_id", known("class_id").alias("class_id"), "class_text")

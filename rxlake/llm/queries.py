@@ -29,7 +29,7 @@ def fold(buckets: int) -> Column:
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class of each document."""
+    """Near-duplicate class of each document and text."""
     return near_duplicates(documents(spark, sf_dir))
 
 

@@ -54,6 +54,21 @@ def test_near_duplicates(sample, rows, empty):
     assert bag_minhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_without_an_id_are_linked_by_text_only(spark):
+    """Null and repeated ids: unrelated texts stay apart, near copies of one of them do not join those of another."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (7, text("c")), (7, text("d")), (7, text("d"))]
+    rows += [(1, text("a") + " more"), (2, text("b") + " more"), (3, text("c") + " more"), (9, text("d") + " more"), (None, None), (4, "")]
+    got = bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len({(r.doc_id, r.text_id) for r in got}) == len({(i, t or "") for i, t in rows})
+    classes = collections.defaultdict(list)
+    for r in got:
+        classes[(r.class_id, r.class_text)].append(r.doc_id)
+    order = lambda ids: sorted(ids, key=lambda i: -1 if i is None else i)
+    assert sorted(map(str, map(order, classes.values()))) == sorted(map(str, [[None, 1], [None, 2], [3, 7], [7, 9], [None, 4]]))
+    assert all(i == order(ids)[0] for (i, _), ids in classes.items())
+
+
 def test_crowded_bucket(spark):
     """Many copies of one text that are near it but not near each other, and chains of copies."""
     rng = np.random.default_rng(1)

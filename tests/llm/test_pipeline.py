@@ -41,3 +41,15 @@ def test_empty_and_odd_tables(spark, sample):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), name)
             assert name == "packing" or docs.columns == columns
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    """Different texts without an id or under one id stay; of near copies, and of equal rows, one stays."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d"))]
+    rows += [(8, text("a") + " more"), (9, text("e")), (10, text("d") + " more"), (None, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_doc", F.lit("x"))
+    kept = corpus_pipeline.near_dedup(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns
+    expected = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e")), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, expected))
