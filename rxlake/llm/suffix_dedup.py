@@ -213,7 +213,7 @@ def find_segments(length: int):
     return run
 
 
-FOUND = "kind byte, deal long, whole long, id long, copy short, start int, count short"
+FOUND = "kind byte, deal long, whole long, id long, copy long, start int, count short"
 
 
 def settle(batches):
@@ -446,7 +446,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
     keyed = docs.select(
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)],
         F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"),
-        F.pmod(F.xxhash64("text"), F.lit(32768)).cast("short").alias("copy"), "text",
+        F.xxhash64("text").alias("copy"), "text",
     )
     found = keyed.select("id", "copy", "text").mapInArrow(find_segments(length), FOUND)
     order = ["deal", "whole", "id", "copy", "start"]
@@ -462,9 +462,9 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
         return texts.join(wanted.hint("shuffle_hash"), ["id", "copy"]).select("id", "copy", "text", "asked")
 
     cold = (
-        asked(ASK).mapInArrow(cut_segments(length), "deal long, id long, copy short, start int, bytes binary")
+        asked(ASK).mapInArrow(cut_segments(length), "deal long, id long, copy long, start int, bytes binary")
         .repartition("deal").sortWithinPartitions("deal")
-        .mapInArrow(sort_shards(length), "id long, copy short, start int, count short")
+        .mapInArrow(sort_shards(length), "id long, copy long, start int, count short")
     )
     single = (
         asked(HOT).mapInArrow(single_windows(length), FOUND).repartition("deal").sortWithinPartitions(*order)

@@ -227,6 +227,19 @@ def test_repeated_strings(sample, rows, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_repeated_strings_under_one_id(spark):
+    """Thousands of different texts without an id and under one id, some with a repeated passage, the short ones without."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 9))
+    passage = " ".join(word() for _ in range(20))
+    texts = [" ".join(word() for _ in range(11)) + (passage + word() if k % 2 else "") for k in range(3_000)]
+    docs = spark.createDataFrame([(None if k % 3 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    ordered = [r.text for r in docs.orderBy("doc_id", F.xxhash64("text")).collect()]
+    got = {r.own: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs.withColumn("own", F.col("text")), ["own"]).collect()}
+    expected = brute_removal(list(enumerate(ordered)), 100)
+    assert got == {text: expected[k] for k, text in enumerate(ordered)}
+
+
 @pytest.mark.parametrize("limits", [(2_000, 1 << 20), (3, 1 << 20), (2_000, 400)])
 def test_repeated_strings_hot_and_cut(spark, monkeypatch, limits):
     """A passage amid ever new words, runs of one byte, texts cut into pieces; also with every anchor taken as hot."""
