@@ -5,8 +5,8 @@ byte, a group closes. Most groups hold one token of each, and along such a stret
 ``aligned_groups`` therefore compares slices of the two arrays at the current distance, twice as long each time, halves
 them at the first difference, and only then walks the irregular group token by token, which sets the next distance.
 
-Texts are cut at single spaces, where neither tokenizer joins tokens, and each word is tokenized once while a bounded
-cache holds it. A first table holds, per document, its figures and its distinct linked pairs. Pairs are counted over
+Texts are cut at single spaces, where neither tokenizer joins tokens, so a token of each ends there. Words that no bounded
+cache holds are tokenized together and aligned as one stretch; a text is put together from its words. A first table holds, per document, its figures and its distinct linked pairs. Pairs are counted over
 the corpus by documents; tasks hold the most frequent pairs, all others are met in a join.
 """
 
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxlake.llm.common import ragged, ready, stored, utf8
-from rxlake.llm.packing import byte_letters
+from rxlake.llm.packing import PATTERN, UNUSUAL, byte_letters, encoder
 
 FREQUENT = 1 << 18  # pairs that every task holds; the path of a pair, not its result, depends on it
-CACHE = 200_000  # words in each of two generations
+CACHE = 100_000  # words in each of two generations
 LONG_WORD = 200  # characters; longer words are not cached
 GROUP = 1 << 14  # links of one group beyond which its equal tokens are counted first
 TEXTS = 64  # rows tokenized together, or fewer of 4 MiB
-BREAK = re.compile(r"(?<=\S) (?=\S)")
+BREAK, TWO_BLANKS = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 Runs = list[tuple[int, int, int, int]]
 
@@ -69,15 +71,43 @@ def aligned_groups(a: list[int], b: list[int]) -> Runs:
     return out
 
 
-class Words(dict):
-    """Token ids of words (each with a space before it) in both vocabularies, in two bounded generations."""
+class PairText(dict):
+    """The text of a group of one token each, by pair; bounded."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, radix: int):
         super().__init__()
+        self.radix = radix
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= 2 * CACHE:
+            self.clear()
+        text = self[pair] = f"{pair // self.radix}|{pair % self.radix}"
+        return text
+
+
+class Aligned(NamedTuple):
+    """What is held of words: their groups as text, their linked pairs, and how many tokens, groups and links they have."""
+
+    text: dict[str, str]
+    pairs: dict[str, bytes]
+    figures: dict[str, bytes]
+
+
+class Words:
+    """Aligned words, each with a space before it, in two bounded generations.
+
+    ``bad`` has words whose bytes a vocabulary does not give back, ``large`` the distinct pairs and their counts of words
+    with a group of very many links.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.before: dict[str, tuple[list[int], list[int]]] = {}
+        self.now, self.before = Aligned({}, {}, {}), Aligned({}, {}, {})
+        self.bad: set[str] = set()
+        self.large: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.piece_ids = encoder(a_path).core._core_bpe.encode_single_piece
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.no_truncation()
         self.a.no_padding()
@@ -91,6 +121,7 @@ class Words(dict):
         b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.tables = [self.table(t) for t in (a_bytes, b_bytes)]
         self.radix = len(pieces)
+        self.pair_text = PairText(self.radix)
 
     @staticmethod
     def table(entries: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,29 +130,12 @@ class Words(dict):
         sizes = np.array([len(r) for r in rows])
         return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes, sizes
 
-    def encoded(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        whole = [" " + w for w in words]
-        first = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        return list(zip(first, self.b.encode(words, num_threads=1)))
-
-    def all_of(self, words: list[list[str]]) -> dict[str, tuple[list[int], list[int]]]:
-        """The ids of all these words; those not held are tokenized together."""
-        found, missing = {}, []
-        for w in set().union(*words):
-            ids = self.get(w) or self.before.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                found[w] = ids
-        fresh = dict(zip(missing, self.encoded(missing)))
-        found.update(fresh)
-        for w, ids in fresh.items():
-            if len(w) <= LONG_WORD:
-                self[w] = ids
-        if len(self) > CACHE:
-            self.before = dict(self)
-            self.clear()
-        return found
+    def first_ids(self, word: str, given: bytes) -> list[int]:
+        if word.isascii() and word.isalpha():
+            return self.piece_ids(given)
+        if UNUSUAL.search(word):
+            return self.a.encode(" " + word, add_special_tokens=False).ids
+        return [i for piece in PATTERN.findall(" " + word) for i in self.piece_ids(piece.encode())]
 
     def spelled(self, which: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of tokens joined, and the length of each."""
@@ -130,30 +144,109 @@ class Words(dict):
         run, place = ragged(size)
         return data[start[ids][run] + place], size
 
+    def given_back(self, given: list[bytes], which: int, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each word spell its bytes."""
+        wanted = np.fromiter(map(len, given), np.int64, len(given))
+        spelled, size = self.spelled(which, ids)
+        found = np.bincount(np.repeat(np.arange(len(given)), counts), size, len(given)).astype(np.int64)
+        given, ends, starts = np.frombuffer(b"".join(given), np.uint8), np.cumsum(wanted), np.cumsum(found) - found
+        if np.array_equal(found, wanted):
+            differs = np.concatenate([[0], np.cumsum(spelled != given)])
+            return differs[ends] == differs[ends - wanted]
+        return np.array([n == m and np.array_equal(spelled[i:i + n], given[j - m:j]) for n, m, i, j in zip(found, wanted, starts, ends)])
+
+    def hold(self, words: Iterable[str]) -> None:
+        """Aligns those of the words that are not held."""
+        if max(len(self.now.text), len(self.bad)) > CACHE:
+            self.before, self.now = (self.now if len(self.bad) <= CACHE else Aligned({}, {}, {})), Aligned({}, {}, {})
+            self.bad = self.bad if len(self.bad) <= CACHE else set()
+        missing = []
+        for w in set(words).difference(self.now.text):
+            if w in self.before.text:
+                for held, kept in zip(self.now, self.before):
+                    held[w] = kept[w]
+            else:
+                missing.append(w)
+        if missing:
+            self.align(missing)
+
+    def align(self, words: list[str]) -> None:
+        ids, counts, given = [], [], [(" " + w).encode() for w in words]
+        for rows in (list(map(self.first_ids, words, given)), self.b.encode(words, num_threads=1)):
+            counts.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(counts[-1].sum())))
+        good = self.given_back(given, 0, ids[0], counts[0]) & self.given_back(given, 1, ids[1], counts[1])
+        if not good.all():
+            odd = [words[k] for k in np.flatnonzero(~good)]
+            self.bad.update(odd)
+            for held, nothing in zip(self.now, ("", b"", b"")):
+                held.update(dict.fromkeys(odd, nothing))
+            words = [words[k] for k in np.flatnonzero(good)]
+            ids, counts = [i[np.repeat(good, n)] for i, n in zip(ids, counts)], [n[good] for n in counts]
+            if not words:
+                return
+        # all these words as one text: each ends with a token of both
+        a, b = ids
+        groups = in_single_groups(aligned_groups(*(np.cumsum(self.tables[which][2][i]).tolist() for which, i in enumerate(ids))))
+        ends = np.searchsorted(groups[:, 0], np.cumsum(counts[0]), "left")
+        starts = np.concatenate([[0], ends[:-1]])
+        n_links = groups[:, 1] * groups[:, 3]
+        cuts = list(map(slice, starts.tolist(), ends.tolist()))
+        texts = group_texts(a, b, groups, self.pair_text)
+        self.now.text.update(zip(words, map(";".join, map(texts.__getitem__, cuts))))
+        totals = np.concatenate([[0], np.cumsum(n_links)])
+        figures = np.stack([*counts, ends - starts, totals[ends] - totals[starts]], axis=1)
+        self.now.figures.update(zip(words, map(bytes, figures.astype("<i8"))))
+        crowded = np.unique(np.searchsorted(ends, np.flatnonzero(n_links > GROUP), "right"))
+        for k in crowded.tolist():
+            self.large[words[k]] = counted_links(a, b, groups[cuts[k]], self.radix)
+            n_links[cuts[k]] = 0
+        pairs = link_codes(a, b, groups[n_links > 0], self.radix).astype("<i8").tobytes()
+        totals = 8 * np.concatenate([[0], np.cumsum(n_links)])
+        self.now.pairs.update(zip(words, map(pairs.__getitem__, map(slice, totals[starts].tolist(), totals[ends].tolist()))))
+
+    def release(self, words: Iterable[str]) -> None:
+        """Forgets very long words."""
+        for w in words:
+            for held in self.now:
+                held.pop(w, None)
+            self.bad.discard(w)
+            self.large.pop(w, None)
+
+    def figures_of(self, parts: list[str]) -> tuple:
+        """Figures and pairs of a text of these words."""
+        n_a, n_b, n_groups, n_links = np.frombuffer(b"".join(map(self.now.figures.__getitem__, parts)), "<i8").reshape(-1, 4).sum(axis=0).tolist()
+        digest = hashlib.sha256(";".join(map(self.now.text.__getitem__, parts)).encode()).hexdigest()
+        pairs, times = np.unique(np.frombuffer(b"".join(map(self.now.pairs.__getitem__, parts)), "<i8"), return_counts=True)
+        if self.large:
+            more = [self.large[w] for w in parts if w in self.large]
+            pairs, back = np.unique(np.concatenate([pairs, *(p for p, _ in more)]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, *(t for _, t in more)]), len(pairs)).astype(np.int64)
+        return n_a, n_b, n_groups, n_links, digest, pairs, times
+
 
 @functools.cache
 def words_of(a_path: str, b_path: str) -> Words:
     return Words(a_path, b_path)
 
 
-def links(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, radix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked pairs (a * radix + b) and how often each is linked."""
+def link_codes(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, radix: int) -> np.ndarray:
+    """All links of these groups as pairs (a * radix + b), group by group."""
     i, m, j, n = groups.T
-    large = m * n > GROUP
+    run, place = ragged(m * n)
+    return ids_a[i[run] + place // n[run]] * radix + ids_b[j[run] + place % n[run]]
+
+
+def counted_links(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, radix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct linked pairs of these groups and how often each is linked, by the distinct tokens of each side."""
     code, times = [], []
-    if (~large).any():
-        i, m, j, n = i[~large], m[~large], j[~large], n[~large]
-        run, place = ragged(m * n)
-        code.append(ids_a[i[run] + place // n[run]] * radix + ids_b[j[run] + place % n[run]])
-        times.append(np.ones(len(run), np.int64))
-    for i, m, j, n in groups[large]:
+    for i, m, j, n in groups:
         a, x = np.unique(ids_a[i:i + m], return_counts=True)
         b, y = np.unique(ids_b[j:j + n], return_counts=True)
         code.append((a[:, None] * radix + b).ravel())
         times.append((x[:, None] * y).ravel())
-    code, times = np.concatenate(code), np.concatenate(times)
-    pairs, back = np.unique(code, return_inverse=True)
-    return pairs, np.bincount(back, times).astype(np.int64)
+    pairs, back = np.unique(np.concatenate(code), return_inverse=True)
+    return pairs, np.bincount(back, np.concatenate(times)).astype(np.int64)
 
 
 def in_single_groups(runs: Runs) -> np.ndarray:
@@ -169,45 +262,40 @@ def in_single_groups(runs: Runs) -> np.ndarray:
     return out
 
 
-def written(ids_a: list[int], ids_b: list[int], runs: Runs) -> str:
-    """The groups as text: ids of each side, joined."""
-    a, b, out = [*map(str, ids_a)], [*map(str, ids_b)], []
-    for i, m, j, n in runs:
-        if n < 0:
-            out += [f"{x}|{y}" for x, y in zip(a[i:i + m], b[j:j + m])]
-        else:
-            out.append(f"{','.join(a[i:i + m])}|{','.join(b[j:j + n])}")
-    return ";".join(out)
+def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, pair_text: PairText) -> list[str]:
+    """Each group as text: the ids of both sides."""
+    out = list(map(pair_text.__getitem__, (ids_a[groups[:, 0]] * pair_text.radix + ids_b[groups[:, 2]]).tolist()))
+    odd = np.flatnonzero((groups[:, 1] > 1) | (groups[:, 3] > 1))
+    a, b = ids_a.tolist(), ids_b.tolist()
+    for k, (i, m, j, n) in zip(odd.tolist(), groups[odd].tolist()):
+        out[k] = f"{str(a[i:i + m])[1:-1]}|{str(b[j:j + n])[1:-1]}".replace(" ", "")
+    return out
 
 
 NOTHING = (0, 0, 0, 0, "", [], [])
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
 
 
+def words_in(text: str) -> list[str]:
+    """The text cut at its single spaces between other characters."""
+    if TWO_BLANKS.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return BREAK.split(text)
+    return text.split(" ") if text else []
+
+
 def tokenized(words: Words, texts: list[str]) -> Iterator[tuple]:
     """Figures and pairs of each text, in order."""
-    cut = [BREAK.split(t) if t else [] for t in texts]
-    known = words.all_of(cut)
-    for text, parts in zip(texts, cut):
-        ids_a, ids_b = [], []
-        for part in parts:
-            a, b = known[part]
-            ids_a += a
-            ids_b += b
-        if not ids_a or not ids_b:
-            yield NOTHING
-            continue
-        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        (bytes_a, size_a), (bytes_b, size_b) = words.spelled(0, a), words.spelled(1, b)
-        given = np.frombuffer(b" " + text.encode(), np.uint8)
-        if not (np.array_equal(bytes_a, given) and np.array_equal(bytes_b, given)):
-            yield NOTHING
-            continue
-        runs = aligned_groups(np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist())
-        groups = in_single_groups(runs)
-        pairs, times = links(a, b, groups, words.radix)
-        digest = hashlib.sha256(written(ids_a, ids_b, runs).encode()).hexdigest()
-        yield len(a), len(b), len(groups), int(times.sum()), digest, pairs, times
+    cut = list(map(words_in, texts))
+    words.hold(itertools.chain.from_iterable(cut))
+    odd = [k for k, parts in enumerate(cut) if not words.bad.isdisjoint(parts)]
+    if odd:  # such a text is judged whole, as one word
+        cut = [[t] if k in odd and t else parts for k, (t, parts) in enumerate(zip(texts, cut))]
+        held = list(itertools.chain.from_iterable(cut[k] for k in odd))
+        words.release([w for w in held if len(w) > LONG_WORD])
+        words.hold(itertools.chain.from_iterable(cut))
+    for parts in cut:
+        yield words.figures_of(parts) if parts and words.bad.isdisjoint(parts) else NOTHING
+    words.release({w for parts in cut for w in parts if len(w) > LONG_WORD})
 
 
 def alignment(a_path: str, b_path: str):

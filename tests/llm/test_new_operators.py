@@ -79,10 +79,11 @@ ODD = st.text(max_size=30) | st.text("ab tzé \n\t.,'1<|>▁\u00a0\u3000\u2028\x
 @given(ODD)
 def test_words_are_tokenized_like_whole_texts(libraries, text):
     first, second, words = libraries
-    parts = alignment.BREAK.split(text) if text else []
-    known = words.all_of([parts])
-    assert [i for p in parts for i in known[p][0]] == (first.encode(" " + text, add_special_tokens=False).ids if text else [])
-    assert [i for p in parts for i in known[p][1]] == second.encode(text)
+    parts = alignment.words_in(text)
+    assert parts == (alignment.BREAK.split(text) if text else [])
+    assert [i for p in parts for i in words.first_ids(p, (" " + p).encode())] == (first.encode(" " + text, add_special_tokens=False).ids if text else [])
+    if "▁" not in text:  # not given back, so never aligned
+        assert [i for ids in words.b.encode(parts) for i in ids] == second.encode(text)
 
 
 def merged_groups(a, b):
@@ -143,6 +144,18 @@ def brute_alignment(rows, first, second):
     return out
 
 
+def test_bounded_words(libraries, monkeypatch):
+    """Generations come and go, long words are not kept, and odd words stay marked."""
+    monkeypatch.setattr(alignment, "CACHE", 5)
+    words = alignment.Words(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    for turn in range(30):
+        texts = [f"w{turn + k} é{turn % 3} x▁y {'long' * 80}{k}" for k in range(4)]
+        found = list(alignment.tokenized(words, texts))
+        assert found == [alignment.NOTHING] * 4 and len(words.now.text) < 40 and not any(len(w) > 200 for w in [*words.now.text, *words.bad])
+        again = list(alignment.tokenized(words, [t.replace("▁", "") for t in texts]))
+        assert [r[0] for r in again] == [len(libraries[0].encode(" " + t.replace("▁", "")).ids) for t in texts]
+
+
 @pytest.mark.parametrize(("frequent", "group"), [(1 << 18, 1 << 14), (30, 2)])
 def test_alignment(spark, sample, empty, libraries, monkeypatch, frequent, group):
     """Odd texts too; also with few pairs held by tasks, and with every larger group counted by distinct tokens."""
