@@ -253,6 +253,35 @@ def guard_candidates(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def threshold_ranges(scored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For which thresholds a candidate survives both blocklist rules: those above ``low`` (null: any) up to its score.
+
+    ``scored`` holds the candidates of the lowest threshold. A candidate of Rule 1 never survives. Rule 2 drops a
+    candidate as long as a confusable partner is in the set, that is up to the partner's best score; so one pass over
+    the candidates answers every threshold.
+    """
+    partners = confusable_partners(pairs)
+    direct = partners.select(F.col("key").alias("normalized"), F.col("partner").alias("inn_name"))
+    known = partners.select(F.col("key").alias("inn_name"), F.col("partner").alias("__p"))
+    name = F.col("inn_name")
+    listed = scored.join(direct, ["normalized", "inn_name"], "left_anti").join(known, "inn_name", "left")
+    pair = Window.partitionBy("normalized", F.least(name, "__p"), F.greatest(name, "__p"))
+    first = name == F.least(name, F.col("__p"))
+    score = F.col("score")
+    partner = F.when(first, F.max(F.when(~first, score)).over(pair)).otherwise(F.max(F.when(first, score)).over(pair))
+    flagged = listed.select(*scored.columns, F.when(F.col("__p").isNotNull(), partner).alias("__low"))
+    return flagged.groupBy(*scored.columns).agg(F.max("__low").alias("low")).filter(F.col("low").isNull() | (F.col("low") < score))
+
+
+def candidates_by_threshold(ranges: DataFrame, thresholds: list[float], max_candidates: int = V.MAX_CANDIDATES) -> DataFrame:
+    """Ranked survivors for each of the thresholds: ``threshold`` and the columns of :func:`fuzzy_candidates`."""
+    asked = F.array(*[F.lit(float(t)) for t in thresholds])
+    fits = F.filter(asked, lambda t: (t <= F.col("score")) & (F.col("low").isNull() | (t > F.col("low"))))
+    order = Window.partitionBy("threshold", "normalized").orderBy(F.desc("score"), "inn_name", "molecule_id")
+    rows = ranges.withColumn("threshold", F.explode(fits)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_candidates)
+    return rows.select("threshold", "normalized", "rank", "molecule_id", "inn_name", "score", "matched_string", "matched_on")
+
+
 def suppressed_candidates(guarded: DataFrame) -> DataFrame:
     return guarded.filter("reason IS NOT NULL").select(
         "normalized", "molecule_id", "inn_name", "score", "reason", "confusable_with"

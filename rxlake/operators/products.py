@@ -7,11 +7,14 @@ it, so one aggregate of the products per class and price carries the answer for
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rxlake.functions.normalize import canonical_strength
+from rxlake.operators.dedupe import number_in_order
 
 ANY = "*"
 
@@ -331,35 +334,91 @@ def substitutes_for_molecule(
     )
 
 
-def substitution_listing(
-    references: DataFrame, profile: DataFrame, price_guard: bool = True, include_costlier: bool = False
-) -> DataFrame:
-    """Every other single-molecule product of each reference's molecule: substitute, or excluded with reason.
+@dataclass
+class Ladders:
+    """Single-molecule products in one global order: by class, those with a price first, then price, then id.
 
-    ``references`` has ``reference_id`` and is the set of prescribed products being asked about, one
-    output row per reference and other product. Sort by ``reference_id, savings_abs desc, mrp,
-    product_id`` to read it as a report.
+    ``rows`` (``row_no, product_id, mrp, priced, class_no, below_no``): a class is the range of numbers from its
+    ``class_no``, and the substitutes of a product are the range from there to ``below_no``, the first row of its
+    price. ``classes`` has a row per class (``class_no, priced_end, class_end`` beside its molecule, form and
+    strength). Both are as long as the products; whatever is listed for a product is a few ranges of numbers.
     """
+
+    rows: DataFrame
+    classes: DataFrame
+
+
+RUNG_BLOCK = 1_024
+
+
+def price_ladders(profile: DataFrame, price_guard: bool = True) -> Ladders:
+    """The order behind every ranked list, made by one sort; a class of any size is spread over all tasks."""
     singles = single_products(profile, price_guard)
+    order = ["molecule_id", "form", "strength_key", F.desc("priced"), "mrp", "product_id"]
+    rows = number_in_order(singles, order, "row_no")
+    classes = rows.groupBy("molecule_id", "form", "strength_key").agg(
+        F.min("row_no").alias("class_no"), F.count("*").alias("n"), F.count(F.when(F.col("priced"), 1)).alias("n_priced"),
+        F.first("comparable").alias("comparable"),
+    ).select(
+        "molecule_id", "form", "strength_key", "comparable", "class_no",
+        (F.col("class_no") + F.col("n_priced")).alias("priced_end"), (F.col("class_no") + F.col("n")).alias("class_end"),
+    )
+    prices = rows.groupBy("molecule_id", "form", "strength_key", "priced", "mrp").agg(F.min("row_no").alias("below_no"))
+    same = lambda *names: F.expr(" AND ".join(f"x.{c} <=> y.{c}" for c in names))
+    placed = rows.alias("x").join(prices.alias("y"), same("molecule_id", "form", "strength_key", "priced", "mrp")).select("x.*", "y.below_no")
+    placed = placed.alias("x").join(classes.alias("y"), same("molecule_id", "form", "strength_key"))
+    return Ladders(placed.select("row_no", "product_id", "x.molecule_id", "mrp", "priced", "class_no", "below_no"), classes)
+
+
+def listed_ranges(references: DataFrame, ladders: Ladders, include_costlier: bool = False) -> DataFrame:
+    """For each reference the ranges of numbers that its list consists of, each with its exclusion reason (null:
+    substitutes). References are joined with the classes of their molecule, never with its products.
+    """
     wanted = references.select("reference_id").distinct()
-    ref = singles.join(wanted, singles["product_id"] == wanted["reference_id"]).select(
-        "reference_id", "molecule_id", F.col("mrp").alias("ref_mrp"), F.col("form").alias("ref_form"),
-        F.col("comparable").alias("ref_comparable"), F.col("priced").alias("ref_priced"),
+    ref = ladders.rows.join(wanted, ladders.rows["product_id"] == wanted["reference_id"]).select(
+        "reference_id", F.col("row_no").alias("ref_no"), "molecule_id", F.col("mrp").alias("ref_mrp"), F.col("priced").alias("ref_priced"),
+        F.col("class_no").alias("own_no"), "below_no",
     )
-    pairs = ref.join(singles, "molecule_id").filter(F.col("product_id") != F.col("reference_id"))
+    own = ladders.classes.select(F.col("class_no").alias("own_no"), F.col("form").alias("ref_form"), F.col("comparable").alias("ref_comparable"))
+    met = ref.join(own, "own_no").join(ladders.classes, "molecule_id")
+    why = exclusion_reason(F.col("ref_form"), F.col("form"), F.col("ref_comparable"), F.col("comparable"), F.lit(False))
+    part = lambda first, end, reason: F.struct(first.alias("first"), end.alias("end"), reason.alias("reason"))
+    first, priced_end, class_end = F.col("class_no"), F.col("priced_end"), F.col("class_end")
+    none = F.lit(None).cast("string")
+    best = priced_end if include_costlier else F.col("below_no")
+    comparable = F.array(
+        part(first, F.when(F.col("ref_priced"), best).otherwise(first), none),
+        part(F.when(F.col("ref_priced"), best).otherwise(priced_end), priced_end, F.lit(R_NOT_CHEAPER)),
+        part(F.when(F.col("ref_priced"), priced_end).otherwise(first), class_end, F.lit(R_NO_PRICE)),
+    )
+    parts = F.when(why.isNull(), comparable).otherwise(F.array(part(first, class_end, why)))
+    return met.select("reference_id", "ref_no", "molecule_id", "ref_mrp", F.inline(parts)).filter(F.col("first") < F.col("end"))
+
+
+def substitution_listing(
+    references: DataFrame, profile: DataFrame, price_guard: bool = True, include_costlier: bool = False,
+    ladders: Ladders | None = None, substitutes_only: bool = False,
+) -> DataFrame:
+    """Every other single-molecule product of each reference's molecule: ranked substitute, or excluded with reason.
+
+    ``references`` has ``reference_id`` and is the set of prescribed products being asked about; one output row per
+    reference and other product. ``rank`` counts substitutes by falling saving, then price and id. The list is cut
+    out of the ladders: ranges of numbers meet the rows of their blocks, so exactly the listed rows come out.
+    """
+    ladders = ladders or price_ladders(profile, price_guard)
+    ranges = listed_ranges(references, ladders, include_costlier)
+    if substitutes_only:
+        ranges = ranges.filter("reason IS NULL")
+    block = lambda c: F.floor(c / RUNG_BLOCK)
+    spread = ranges.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("end") - 1))))
+    rungs = ladders.rows.select("row_no", "product_id", "mrp", block(F.col("row_no")).alias("block"))
+    inside = (F.col("row_no") >= F.col("first")) & (F.col("row_no") < F.col("end")) & (F.col("row_no") != F.col("ref_no"))
+    kept = F.col("reason").isNull()
     saving = savings_abs(F.col("ref_mrp"), F.col("mrp"))
-    reason = F.coalesce(
-        exclusion_reason(
-            F.col("ref_form"), F.col("form"), F.col("ref_comparable"), F.col("comparable"), F.lit(False)
-        ),
-        F.when(~(F.col("ref_priced") & F.col("priced")), R_NO_PRICE),
-        F.when((saving <= 0) & F.lit(not include_costlier), R_NOT_CHEAPER),
-    )
-    kept = reason.isNull()
-    return pairs.select(
-        "reference_id", "molecule_id", "product_id", "mrp", reason.alias("exclusion_reason"),
-        F.when(kept, saving).alias("savings_abs"),
-        F.when(kept, savings_pct(F.col("ref_mrp"), F.col("mrp"))).alias("savings_pct"),
+    place = F.col("row_no") - F.col("first") + F.when((F.col("ref_no") >= F.col("first")) & (F.col("ref_no") < F.col("row_no")), 0).otherwise(1)
+    return spread.join(rungs, "block").filter(inside).select(
+        "reference_id", "molecule_id", "product_id", "mrp", F.col("reason").alias("exclusion_reason"), F.when(kept, place).alias("rank"),
+        F.when(kept, saving).alias("savings_abs"), F.when(kept, savings_pct(F.col("ref_mrp"), F.col("mrp"))).alias("savings_pct"),
     )
 
 

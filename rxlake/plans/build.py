@@ -78,8 +78,7 @@ def load_folder(spark: SparkSession, directory: str, strict: bool = False) -> Lo
     """Load the files of a folder; the position of a row decides between rows of one key."""
     stages = {}
     for stage in STAGES:
-        rows = read_stage(spark, directory, stage)
-        stages[stage] = None if rows is None else rows.withColumn("row_no", F.monotonically_increasing_id())
+        stages[stage] = read_stage(spark, directory, stage, order="row_no")
     return load_tables(stages, ["row_no"], strict)
 
 

@@ -307,15 +307,18 @@ def _(d):
     return artifacts.scan_json(d.spark, path, artifacts.STAGE_COLUMNS["molecules"], lines=True)
 
 
-@query("scan_commented_csv", """SELECT brand, ingredients, kind, count(*) AS n FROM (SELECT trim(brand) AS brand, trim(ingredients) AS ingredients, trim(kind) AS kind FROM d_brand_pack) GROUP BY 1, 2, 3""", ["d_brand_pack"])
+@query("scan_commented_csv", """SELECT 3 * row_number() OVER (ORDER BY row_no) + 1 AS row_no, trim(brand) AS brand, trim(ingredients) AS ingredients, trim(kind) AS kind FROM d_brand_pack""", ["d_brand_pack"])
 def _(d):
+    """A folder of files of unequal size, each with notes and blank lines, in the order of one sequential reading."""
     path = work_folder(d.spark) + "/pack"
     text = d.brand_pack.select(
-        F.explode(F.array(F.lit("  # note, with comma"), F.lit(" "), F.concat_ws(",", "brand", "ingredients", "kind"))).alias("value")
+        F.col("row_no").alias("at"), F.posexplode(F.array(F.lit("  # note, with comma"), F.lit(" "), F.concat_ws(",", "brand", "ingredients", "kind"))).alias("no", "value")
     )
-    head = d.spark.createDataFrame([("# brands",), ("brand,ingredients,kind",)], "value string").coalesce(1)
-    head.unionByName(text).coalesce(1).write.text(path)
-    return artifacts.scan_commented_csv(d.spark, path).groupBy("brand", "ingredients", "kind").agg(F.count("*").alias("n"))
+    head = d.spark.createDataFrame([(-1, 0, "# brands"), (-1, 1, "brand,ingredients,kind")], "at bigint, no int, value string")
+    sizes = F.floor(F.log2(F.col("at") + 2))
+    files = head.unionByName(text).repartitionByRange(12, sizes).sortWithinPartitions("at", "no")
+    files.select("value").write.text(path)
+    return artifacts.scan_commented_csv(d.spark, path)
 
 
 @query("map_columns", "SELECT row_no, Drug_Code AS product_id, Generic_Name AS generic_name_raw, CAST(NULL AS VARCHAR) AS form, CAST(NULL AS VARCHAR) AS strength_raw, MRP AS mrp FROM d_raw_products", ["d_raw_products"])
@@ -595,6 +598,7 @@ fragment("f_profile", """
 # Every pair of single-molecule products of one molecule with the first failed test: the long way round.
 fragment("f_pairs_of_products", """
   SELECT r.product_id AS reference_id, r.molecule_id, r.mrp AS ref_mrp, c.product_id, c.mrp,
+         'dosage form differs (' || r.form || ' vs ' || c.form || ')' AS form_text, 'strength differs (' || r.cvalue || r.cunit || ' vs ' || c.cvalue || c.cunit || ')' AS strength_text,
          CASE WHEN r.form IS NULL OR c.form IS NULL THEN 'form unknown' WHEN r.form <> c.form THEN 'form differs'
               WHEN r.cvalue IS NULL OR c.cvalue IS NULL THEN 'strength unknown' WHEN r.cvalue <> c.cvalue OR r.cunit <> c.cunit THEN 'strength differs'
               WHEN r.mrp = 0 OR c.mrp = 0 THEN 'price not available' WHEN r.mrp <= c.mrp THEN 'not cheaper' END AS reason,
@@ -705,29 +709,48 @@ def _(d):
     return money_as_double(products.substitutes_for_molecule(substitution_requests(d), profile(d), d.contains))
 
 
-fragment("f_listing", """
-  SELECT p.reference_id, p.molecule_id, p.product_id, CAST(p.mrp AS DOUBLE) AS mrp, p.reason, CASE WHEN p.reason IS NULL THEN round(p.diff, 2) END AS savings_abs,
+fragment("f_listing", f"""
+  SELECT p.reference_id, p.molecule_id, p.product_id, CAST(p.mrp AS DOUBLE) AS mrp, p.reason,
+         CASE p.reason WHEN 'form unknown' THEN '{products.R_FORM_UNKNOWN}' WHEN 'form differs' THEN form_text WHEN 'strength unknown' THEN '{products.R_STRENGTH_UNKNOWN}'
+              WHEN 'strength differs' THEN strength_text WHEN 'price not available' THEN '{products.R_NO_PRICE}' WHEN 'not cheaper' THEN '{products.R_NOT_CHEAPER}' END AS exclusion_reason,
+         CASE WHEN p.reason IS NULL THEN row_number() OVER (PARTITION BY p.reference_id, p.reason IS NULL ORDER BY p.diff DESC, p.mrp, p.product_id) END AS rank,
+         CASE WHEN p.reason IS NULL THEN round(p.diff, 2) END AS savings_abs,
          CASE WHEN p.reason IS NULL THEN round_even(CAST(CAST(ref_mrp - p.mrp AS DECIMAL(12,2)) AS DOUBLE) / CAST(ref_mrp AS DOUBLE) * 100, 2) END AS savings_pct
-  FROM f_pairs_of_products p WHERE p.reference_id IN (SELECT reference_id FROM f_baseline WHERE form IS NULL AND strength_value IS NULL AND strength_hint IS NULL)""", ["f_pairs_of_products", "f_baseline"])
+  FROM f_pairs_of_products p""", ["f_pairs_of_products"])
 
 
-def molecule_listing(d: Domain) -> DataFrame:
-    """The list behind one request per molecule: each product is listed once for its molecule."""
-    null = lambda t, n: F.lit(None).cast(t).alias(n)
-    asked = d.molecules.select("molecule_id", null("string", "form"), null("double", "strength_value"), null("string", "strength_unit"), null("double", "strength_hint"))
-    base = products.substitution_baseline(asked, profile(d), d.contains).filter("reference_id IS NOT NULL")
-    return products.substitution_listing(base, profile(d))
+@functools.cache
+def ladders(d: Domain) -> products.Ladders:
+    """The ladders of the catalogue, stored as every query of a session would share them."""
+    made, folder = products.price_ladders(profile(d)), work_folder(d.spark)
+    return products.Ladders(artifacts.stored(made.rows, folder, "rungs"), artifacts.stored(made.classes, folder, "classes"))
+
 
+def every_product(d: Domain) -> DataFrame:
+    return d.products.select(F.col("product_id").alias("reference_id"))
 
-@query("substitution_listing", "SELECT reference_id, molecule_id, product_id, mrp, reason IS NULL AS accepted, savings_abs, savings_pct FROM f_listing", ["f_listing"])
+
+@query("substitution_listing", "SELECT reference_id, molecule_id, product_id, mrp, exclusion_reason, rank, savings_abs, savings_pct FROM f_listing", ["f_listing"])
 def _(d):
-    return money_as_double(molecule_listing(d)).select("reference_id", "molecule_id", "product_id", "mrp", F.col("exclusion_reason").isNull().alias("accepted"), "savings_abs", "savings_pct")
+    """The ranked list, with the reasons of what is left out, of every product."""
+    return money_as_double(products.substitution_listing(every_product(d), profile(d), ladders=ladders(d)))
+
+
+@query("substitution_ranges", "SELECT reference_id, coalesce(exclusion_reason, 'substitutes') AS reason, count(*) AS n FROM f_listing GROUP BY 1, 2", ["f_listing"])
+def _(d):
+    """The same lists unexpanded: how many products each part of a list has, the reference itself not counted."""
+    parts = products.listed_ranges(every_product(d), ladders(d))
+    own = (F.col("ref_no") >= F.col("first")) & (F.col("ref_no") < F.col("end"))
+    size = F.sum(F.col("end") - F.col("first")) - F.max(own.cast("bigint"))
+    return parts.groupBy("reference_id", F.coalesce("reason", F.lit("substitutes")).alias("reason")).agg(size.alias("n")).filter("n > 0")
 
 
 @query("materialize_substitutes", "SELECT product_id AS substitute_product_id, reference_id AS product_id, savings_abs, savings_pct FROM f_listing WHERE reason IS NULL", ["f_listing"])
 def _(d):
+    """SUBSTITUTE_FOR of every product."""
     root = work_folder(d.spark)
-    new = products.substitute_edges(molecule_listing(d)).withColumn("seq", F.lit(0))
+    listing = products.substitution_listing(every_product(d), profile(d), ladders=ladders(d), substitutes_only=True)
+    new = products.substitute_edges(listing).withColumn("seq", F.lit(0))
     return money_as_double(artifacts.upsert_snapshot(d.spark, root, 0, new, ["substitute_product_id", "product_id"], ["seq"]))
 
 
@@ -1188,11 +1211,11 @@ def _(d):
 RED = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, 'ph', 'f'), 'oe', 'e'), 'ae', 'e'), 'y', 'i'), 'k', 'c'), ' ', ''), 'll', 'l'), 'zz', 'z'), 'xx', 'x'), 'dd', 'd')"
 
 
-@query("orthographic_bridge", f"""SELECT s.name, t.target FROM (SELECT DISTINCT replace(replace(p_name, 'ol', 'oll'), 'i', 'y') AS name FROM part) s
+@query("orthographic_bridge", f"""SELECT s.name, t.target FROM (SELECT DISTINCT replace(replace(p_name, 'ol', 'oll'), 'i', 'y') AS name FROM d_names) s
   JOIN (SELECT {RED.format(x='key')} AS r, min(key) AS target FROM f_exact GROUP BY 1 HAVING count(*) = 1) t ON t.r = {RED.format(x='s.name')}
-  WHERE s.name NOT IN (SELECT key FROM f_exact) AND NOT EXISTS (SELECT 1 FROM f_partners p WHERE p.key = s.name AND p.partner = t.target)""", ["f_exact", "f_partners"])
+  WHERE s.name NOT IN (SELECT key FROM f_exact) AND NOT EXISTS (SELECT 1 FROM f_partners p WHERE p.key = s.name AND p.partner = t.target)""", ["d_names", "f_exact", "f_partners"])
 def _(d):
-    spelled = d.part.select(F.regexp_replace(F.regexp_replace("p_name", "ol", "oll"), "i", "y").alias("name"))
+    spelled = d.names.select(F.regexp_replace(F.regexp_replace("p_name", "ol", "oll"), "i", "y").alias("name"))
     return fdc.orthographic_bridge(spelled, ids_of(d).select("inn_name"), blocklist(d))
 
 
@@ -1310,14 +1333,14 @@ def _(d):
 # Labelled cases: names, swapped names, names with one wrong letter, and nonsense, with some wrong labels.
 DOMAIN_TABLES["golden"] = f"""
     SELECT DISTINCT upper(p_name) || ' 5mg tab' AS query, 'exact' AS expected_path, CASE WHEN p_name LIKE 'small%' THEN 'MOL_none' ELSE {mol('p_name')} END AS expected_molecule_id, CAST(NULL AS STRING) AS forbidden_molecules, '' AS note FROM {{names}}
-    UNION ALL SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), 'alias', {mol('p_name')}, 'MOL_red_ring | inn:blue rod', '' FROM {{names}}
+    UNION ALL SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), 'alias', {mol('p_name')}, CASE WHEN p_name LIKE 'cold%' THEN 'MOL_none | inn:' || p_name ELSE 'MOL_none' END, '' FROM {{names}}
     UNION ALL SELECT substr(p_name, 1, 2) || 'x' || substr(p_name, 4), CASE WHEN p_name LIKE 'red%' THEN 'unresolved' ELSE 'needs_review' END, CASE WHEN p_name LIKE 'hot%' THEN NULL ELSE {mol('p_name')} END, CASE WHEN p_name LIKE 'blue%' THEN 'inn:' || p_name ELSE '' END, '' FROM {{names}}
     UNION ALL SELECT 'zzz ' || p_name || ' zzz', CASE WHEN p_name LIKE 'blue%' THEN 'exact' ELSE 'unresolved' END, NULL, '', '' FROM {{names}}"""
 fragment("d_golden", DOMAIN_TABLES["golden"].format(names="d_names"), ["d_names"])
 fragment("f_cases", """SELECT * FROM d_golden UNION ALL SELECT key_a, 'any', NULL, 'inn:' || key_b, 'blocklist: ' || reason FROM f_blocklist UNION ALL SELECT key_b, 'any', NULL, 'inn:' || key_a, 'blocklist: ' || reason FROM f_blocklist""", ["d_golden", "f_blocklist"])
 norm_fragment("n_case", "SELECT query AS s FROM f_cases", ["f_cases"])
 fragment("f_case_missed", "SELECT DISTINCT normalized FROM n_case WHERE normalized <> '' AND normalized NOT IN (SELECT key FROM f_index)", ["n_case", "f_index"])
-for _t in (70, 88, 95):
+for _t in (70, 88):
     fragment(f"f_case_scored_{_t}", scored_sql("f_case_missed", _t), ["f_case_missed", "f_surfaces"])
     fragment(f"f_case_guarded_{_t}", guarded_sql(f"f_case_scored_{_t}"), [f"f_case_scored_{_t}", "f_partners"])
     fragment(f"f_case_candidates_{_t}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized ORDER BY score DESC, inn_name, molecule_id) AS rank FROM f_case_guarded_{_t} WHERE reason IS NULL) WHERE rank <= 5", [f"f_case_guarded_{_t}"])
@@ -1419,14 +1442,55 @@ def _(d):
     return evaluate.interaction_metrics(rx_outcomes(d))
 
 
-@query("eval_run", " UNION ALL ".join(f"""SELECT {t}.0::DOUBLE AS threshold, 'resolution' AS stage, false_accepts + blocklist_violations AS critical, passed AND false_accepts + blocklist_violations = 0 AS passed FROM f_metrics_{t}""" for t in (70, 88, 95))
-       + " UNION ALL SELECT 88.0::DOUBLE, 'substitution', forbidden_product_offered, passed AND forbidden_product_offered = 0 FROM f_sub_metrics UNION ALL SELECT 88.0::DOUBLE, 'interaction', gap_misreported_as_clean, passed AND gap_misreported_as_clean = 0 FROM f_rx_metrics",
-       ["f_metrics_70", "f_metrics_88", "f_metrics_95", "f_sub_metrics", "f_rx_metrics"])
+SWEEP = [70.0 + 1.5 * k for k in range(20)]
+fragment("f_thresholds", f"SELECT unnest({SWEEP}::DOUBLE[]) AS threshold", [])
+fragment("f_sweep_scored", "SELECT t.threshold, s.* FROM f_case_scored_70 s JOIN f_thresholds t ON s.score >= t.threshold", ["f_case_scored_70", "f_thresholds"])
+fragment("f_sweep_direct", "SELECT x.* FROM f_sweep_scored x WHERE NOT EXISTS (SELECT 1 FROM f_partners d WHERE d.key = x.normalized AND d.partner = x.inn_name)", ["f_sweep_scored", "f_partners"])
+fragment("f_sweep_candidates", """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY threshold, normalized ORDER BY score DESC, inn_name, molecule_id) AS rank FROM f_sweep_direct a
+    WHERE NOT EXISTS (SELECT 1 FROM f_partners p JOIN f_sweep_direct b ON b.inn_name = p.partner WHERE p.key = a.inn_name AND b.normalized = a.normalized AND b.threshold = a.threshold)) WHERE rank <= 5""",
+         ["f_sweep_direct", "f_partners"])
+fragment("f_sweep_outcomes", """
+  SELECT *, CASE WHEN violation THEN 'violation' WHEN expected_path = 'any' THEN 'guard_held' WHEN expected_path IN ('exact', 'alias') AND accepted AND path = expected_path AND molecule_id = expected_molecule_id THEN 'correct_accept'
+      WHEN accepted THEN 'false_accept' WHEN expected_path IN ('exact', 'alias') THEN 'missed_accept' WHEN path = expected_path THEN 'as_expected' ELSE 'unexpected' END AS outcome FROM (
+    SELECT x.*, status = 'resolved' AS accepted, coalesce(path0, status) AS path,
+      len(list_filter(list_transform(string_split(coalesce(forbidden_molecules, ''), '|'), lambda z: trim(z)), lambda z: z <> '' AND (coalesce(z = x.molecule_id, false) OR coalesce(z = 'inn:' || x.inn_name, false) OR list_contains(coalesce(ids, []), z) OR list_contains(coalesce(names, []), z)))) > 0 AS violation,
+      CASE WHEN expected_path = 'needs_review' AND ids IS NOT NULL THEN CASE WHEN expected_molecule_id IS NULL THEN 1 ELSE list_position(ids, expected_molecule_id) END END AS rnk
+    FROM (SELECT t.threshold, c.*, n.normalized, i.molecule_id, i.inn_name, i.path AS path0, coalesce(i.status, CASE WHEN k.ids IS NOT NULL THEN 'needs_review' ELSE 'unresolved' END) AS status, k.ids, k.names
+          FROM f_cases c JOIN f_thresholds t ON true JOIN n_case n ON n.s = c.query LEFT JOIN f_index i ON i.key = n.normalized
+          LEFT JOIN (SELECT threshold, normalized, list(molecule_id ORDER BY rank) AS ids, list('inn:' || inn_name ORDER BY rank) AS names FROM f_sweep_candidates GROUP BY 1, 2) k ON k.normalized = n.normalized AND k.threshold = t.threshold) x)""",
+         ["f_cases", "n_case", "f_index", "f_sweep_candidates", "f_thresholds"])
+fragment("f_sweep_metrics", """
+  SELECT threshold, total, auto_accepted, review AS routed_to_review, unresolved, falses AS false_accepts, violations AS blocklist_violations,
+    round_even(auto_accepted::DOUBLE / (total - guards), 4) AS accept_coverage, CASE WHEN opp = 0 THEN 0 ELSE round_even(hits::DOUBLE / opp, 4) END AS candidate_recall, coalesce(round_even(mean_rank, 2), 0) AS mean_candidate_rank, passed
+  FROM (SELECT threshold, count(*) AS total, count(*) FILTER (expected_path = 'any') AS guards, count(*) FILTER (expected_path <> 'any' AND accepted) AS auto_accepted, count(*) FILTER (expected_path <> 'any' AND status = 'needs_review') AS review,
+      count(*) FILTER (expected_path <> 'any' AND status NOT IN ('resolved', 'needs_review')) AS unresolved, count(*) FILTER (outcome = 'false_accept') AS falses, count(*) FILTER (outcome = 'violation') AS violations,
+      count(*) FILTER (expected_path = 'needs_review' AND outcome NOT IN ('violation', 'false_accept')) AS opp, count(rnk) FILTER (outcome NOT IN ('violation', 'false_accept')) AS hits,
+      avg(rnk) FILTER (outcome NOT IN ('violation', 'false_accept')) AS mean_rank, bool_and(outcome IN ('guard_held', 'correct_accept', 'as_expected')) AS passed FROM f_sweep_outcomes GROUP BY 1)""", ["f_sweep_outcomes"])
+
+
+def swept(d: Domain) -> DataFrame:
+    """Metrics at twenty thresholds; names meet in one similarity join."""
+    v = vocabulary(d)
+    cases = evaluate.golden_cases(d.golden, v.pairs).withColumn("case_id", F.concat_ws("|", "query", "expected_path", "expected_molecule_id", "forbidden_molecules"))
+    asked = cases.select("query").distinct()
+    scored = fuzzy.score_molecules(resolve.missed_keys(asked, v.index()), v.surfaces(), min(SWEEP))
+    offered = fuzzy.candidates_by_threshold(fuzzy.threshold_ranges(scored, v.pairs), SWEEP)
+    return evaluate.resolution_sweep(cases, resolve.identify(asked, v.index()), artifacts.stored(offered, work_folder(d.spark), "offered"), SWEEP)
+
+
+@query("eval_threshold_sweep", "SELECT * FROM f_sweep_metrics", ["f_sweep_metrics"])
+def _(d):
+    return swept(d).select("threshold", "total", "auto_accepted", "routed_to_review", "unresolved", "false_accepts", "blocklist_violations", "accept_coverage", "candidate_recall", "mean_candidate_rank", "passed")
+
+
+@query("eval_run", """SELECT threshold, 'resolution' AS stage, false_accepts + blocklist_violations AS critical, passed AND false_accepts + blocklist_violations = 0 AS passed FROM f_sweep_metrics
+  UNION ALL SELECT 88.0::DOUBLE, 'substitution', forbidden_product_offered, passed AND forbidden_product_offered = 0 FROM f_sub_metrics UNION ALL SELECT 88.0::DOUBLE, 'interaction', gap_misreported_as_clean, passed AND gap_misreported_as_clean = 0 FROM f_rx_metrics""",
+       ["f_sweep_metrics", "f_sub_metrics", "f_rx_metrics"])
 def _(d):
     """Resolution over a sweep of thresholds; the other stages do not depend on the threshold."""
-    runs = [evaluate.run_verdict({"resolution": evaluate.resolution_metrics(scored_cases(d, t))}, t) for t in (70, 88, 95)]
     rest = evaluate.run_verdict({"substitution": evaluate.substitution_metrics(substitution_outcomes(d)), "interaction": evaluate.interaction_metrics(rx_outcomes(d))}, 88)
-    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(rest)
+    return evaluate.sweep_verdict(swept(d)).unionByName(rest)
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -1443,17 +1507,76 @@ def _(d):
     return d.spark.read.parquet(f"{root}/out").select("query", "normalized", "status", "path", "molecule_id", "n_candidates", "n_suppressed", "note")
 
 
-@query("stream_upsert", """SELECT product_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN mrp + 1 ELSE mrp END AS DOUBLE) AS mrp FROM d_products JOIN part ON product_id = 'PRD' || p_partkey""", ["d_products"])
-def _(d):
+# Three rounds of price changes: every second product dearer by one, then every fifth cheaper, then two prices for every
+# seventh, the later of which counts. Last, the first molecules are found that no round touches.
+fragment("f_round", """
+  SELECT product_id, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 3 WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS last_round,
+         CASE WHEN p_partkey % 7 = 0 THEN mrp + 7 WHEN p_partkey % 5 = 0 THEN CAST(mrp / 2 AS DECIMAL(12,2)) WHEN p_partkey % 2 = 0 THEN mrp + 1 ELSE mrp END AS new_mrp
+  FROM (SELECT *, CAST(substr(product_id, 4) AS BIGINT) AS p_partkey FROM d_products WHERE CAST(substr(product_id, 4) AS BIGINT) % 64 < 48)""", ["d_products"])
+fragment("f_prices", "SELECT p.product_id, p.source, p.generic_name_raw, p.form, p.strength_raw, coalesce(r.new_mrp, p.mrp)::DECIMAL(12,2) AS mrp, coalesce(r.last_round, 0) AS last_round FROM d_products p LEFT JOIN f_round r USING (product_id)", ["d_products", "f_round"])
+
+
+def changed_prices(d: Domain, step: int) -> DataFrame:
+    """The changes of one round; the places of 16 of 64 product numbers are never touched."""
+    key = F.substring("product_id", 4, 20).cast("bigint")
+    rows = d.products.withColumn("k", key).filter(f"k % 64 < 48 AND k % {(2, 5, 7)[step]} = 0").drop("k")
+    if step == 2:
+        rows = rows.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+        return rows.withColumn("mrp", (F.col("mrp") + F.when(F.col("seq") == 2, 7).otherwise(3)).cast("decimal(12,2)"))
+    price = F.col("mrp") + 1 if step == 0 else F.col("mrp") / 2
+    return rows.withColumn("mrp", price.cast("decimal(12,2)")).withColumn("seq", F.lit(1))
+
+
+@functools.cache
+def streamed_prices(d: Domain) -> str:
+    """Runs the three rounds as three micro-batches, then delivers the last one once more."""
     from rxlake.streaming import jobs
 
     root = work_folder(d.spark)
-    artifacts.upsert_snapshot(d.spark, f"{root}/table", 0, d.products.select("product_id", "mrp", F.lit(0).alias("seq")), ["product_id"], ["seq"])
-    changed = d.products.filter("source = 'PMBJP'").select("product_id", (F.col("mrp") + 1).cast("decimal(12,2)").alias("mrp"), F.lit(1).alias("seq"))
-    changed.write.parquet(f"{root}/in")
-    stream = d.spark.readStream.schema("product_id string, mrp decimal(12,2), seq int").parquet(f"{root}/in")
-    jobs.stream_upsert(stream, f"{root}/table", f"{root}/state", ["product_id"], ["seq"]).awaitTermination()
-    return d.spark.read.parquet(f"{root}/table/v=1").select("product_id", *dbl("mrp"))
+    contains = artifacts.stored(d.contains, root, "contains")
+    keep = jobs.keep_substitutes(contains, f"{root}/substitutes")
+    start = artifacts.upsert_parts(d.spark, f"{root}/products", 0, d.products, ["product_id"], [])
+    first = products.substitutes_for_product(products.product_profile(start, contains)).withColumn("computed_in", F.lit(0))
+    artifacts.upsert_parts(d.spark, f"{root}/substitutes", 0, first, ["product_id"], [])
+    schema = changed_prices(d, 0).schema
+    for step in range(3):
+        changed_prices(d, step).write.mode("append").parquet(f"{root}/in")
+        stream = d.spark.readStream.schema(schema).parquet(f"{root}/in")
+        jobs.stream_upsert(stream, f"{root}/products", f"{root}/state", ["product_id"], ["seq"], keep).awaitTermination()
+    again = changed_prices(d, 2)
+    keep(artifacts.upsert_parts(d.spark, f"{root}/products", 3, again, ["product_id"], ["seq"]), again, 3)
+    return root
+
+
+@query("stream_upsert", "SELECT product_id, CAST(mrp AS DOUBLE) AS mrp FROM f_prices", ["f_prices"])
+def _(d):
+    return artifacts.read_parts(d.spark, f"{streamed_prices(d)}/products", 3).select("product_id", *dbl("mrp"))
+
+
+# Substitutes at the final prices, and the last round that touched a product's molecule; only those are recomputed.
+fragment("f_new_profile", """
+  SELECT p.*, c.molecule_count, coalesce(c.molecule_count, 0) > 1 AS is_fdc, c.molecule_id, round_even(c.strength * CASE c.unit WHEN 'g' THEN 1000.0 ELSE 1.0 END, 6) AS cvalue,
+         CASE WHEN c.strength IS NOT NULL THEN CASE WHEN c.unit IN ('g', 'mg') THEN 'mg' ELSE c.unit END END AS cunit
+  FROM f_prices p LEFT JOIN (SELECT product_id, count(*) AS molecule_count, min(molecule_id) AS molecule_id, (list(strength ORDER BY molecule_id))[1] AS strength, (list(unit ORDER BY molecule_id))[1] AS unit
+       FROM d_contains GROUP BY 1) c ON c.product_id = p.product_id""", ["f_prices", "d_contains"])
+fragment("f_touched", """
+  SELECT product_id, max(step) AS step FROM (
+    SELECT DISTINCT c.product_id, r.step FROM d_contains c JOIN (
+      SELECT DISTINCT c.molecule_id, s.step FROM d_contains c JOIN (
+        SELECT product_id, unnest(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 1 END, CASE WHEN p_partkey % 5 = 0 THEN 2 END, CASE WHEN p_partkey % 7 = 0 THEN 3 END], lambda x: x IS NOT NULL)) AS step
+        FROM f_round) s USING (product_id)) r USING (molecule_id)) GROUP BY 1""", ["d_contains", "f_round"])
+fragment("f_new_summary", """
+  SELECT p.product_id, CASE WHEN p.molecule_count IS NULL THEN 'no_products' WHEN p.is_fdc THEN 'out_of_scope_fdc' WHEN p.mrp = 0 THEN 'price_not_available' WHEN count(c.product_id) > 0 THEN 'ok' ELSE 'no_substitutes' END AS status,
+         count(c.product_id) AS n_substitutes, arg_min(c.product_id, (c.mrp, c.product_id)) AS best_product_id, CAST(min(c.mrp) AS DOUBLE) AS best_mrp
+  FROM f_new_profile p LEFT JOIN f_new_profile c ON c.molecule_id = p.molecule_id AND p.molecule_count = 1 AND c.molecule_count = 1 AND c.form = p.form AND c.cvalue = p.cvalue AND c.cunit = p.cunit
+    AND c.mrp > 0 AND c.mrp < p.mrp GROUP BY p.product_id, p.molecule_count, p.is_fdc, p.mrp""", ["f_new_profile"])
+
+
+@query("stream_substitutes", "SELECT s.*, coalesce(t.step, 0)::INTEGER AS computed_in FROM f_new_summary s LEFT JOIN f_touched t USING (product_id)", ["f_new_summary", "f_touched"])
+def _(d):
+    """Substitutes kept up to date over the rounds: which molecules each round recomputed, and what came out."""
+    kept = artifacts.read_parts(d.spark, f"{streamed_prices(d)}/substitutes", 3)
+    return money_as_double(kept).select("product_id", "status", "n_substitutes", "best_product_id", "best_mrp", "computed_in")
 
 
 # Events of a user belong together until 30 minutes pass without one. The last session of the data is
