@@ -18,7 +18,6 @@ import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxlake.llm.common import ragged, ready, stored, utf8
-from rxlake.llm.packing import PATTERN, UNUSUAL, byte_letters, encoder
+from rxlake.llm.packing import UNUSUAL, byte_letters, encoder
 
 FREQUENT = 1 << 18  # pairs that every task holds; the path of a pair, not its result, depends on it
-CACHE = 100_000  # words in each of two generations
+CACHE = 200_000  # words in each of two generations
+LONG_PAIRS = 1 << 22  # pairs held, beyond which long words end both generations
 LONG_WORD = 200  # characters; longer words are not cached
 GROUP = 1 << 14  # links of one group beyond which its equal tokens are counted first
 TEXTS = 64  # rows tokenized together, or fewer of 4 MiB
 BREAK, TWO_BLANKS = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
+TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 Runs = list[tuple[int, int, int, int]]
 
 
@@ -85,12 +87,34 @@ class PairText(dict):
         return text
 
 
-class Aligned(NamedTuple):
-    """What is held of words: their groups as text, their linked pairs, and how many tokens, groups and links they have."""
-
-    text: dict[str, str]
-    pairs: dict[str, bytes]
-    figures: dict[str, bytes]
+class Held:
+    """Aligned words by number: their groups as text, their linked pairs, and how many tokens, groups and links they have."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.figures = np.zeros((1_024, 4), np.int64)
+        self.place = np.zeros((1_024, 2), np.int64)  # where a word's pairs begin, and how many they are
+        self.pairs, self.used = np.zeros(4_096, np.int64), 0
+
+    def add(self, words: list[str], texts: Iterable[str], figures: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> None:
+        first, last, end = len(self.text), len(self.text) + len(words), self.used + len(pairs)
+        self.number.update(zip(words, range(first, last)))
+        self.text.extend(texts)
+        if last > len(self.figures):
+            more = np.zeros((last, self.figures.shape[1]), np.int64)
+            self.figures, self.place = np.concatenate([self.figures, more]), np.concatenate([self.place, more[:, :2]])
+        if end > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros(end, np.int64)])
+        self.figures[first:last] = figures
+        self.place[first:last, 0], self.place[first:last, 1] = self.used + np.cumsum(counts) - counts, counts
+        self.pairs[self.used:end] = pairs
+        self.used = end
+
+    def pairs_of(self, numbers: np.ndarray) -> np.ndarray:
+        first, count = self.place[numbers].T
+        run, place = ragged(count)
+        return self.pairs[first[run] + place]
 
 
 class Words:
@@ -102,12 +126,15 @@ class Words:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.now, self.before = Aligned({}, {}, {}), Aligned({}, {}, {})
+        self.now, self.before = Held(), Held()
         self.bad: set[str] = set()
         self.large: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.piece_ids = encoder(a_path).core._core_bpe.encode_single_piece
+        core = encoder(a_path).core
+        self.piece_ids = core._core_bpe.encode_single_piece
+        self.text_ids = tiktoken.Encoding("texts", pat_str=TOKEN, mergeable_ranks=core._mergeable_ranks, special_tokens={}).encode_ordinary
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.no_truncation()
         self.a.no_padding()
@@ -130,12 +157,24 @@ class Words:
         sizes = np.array([len(r) for r in rows])
         return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes, sizes
 
-    def first_ids(self, word: str, given: bytes) -> list[int]:
-        if word.isascii() and word.isalpha():
-            return self.piece_ids(given)
-        if UNUSUAL.search(word):
-            return self.a.encode(" " + word, add_special_tokens=False).ids
-        return [i for piece in PATTERN.findall(" " + word) for i in self.piece_ids(piece.encode())]
+    def first_ids(self, words: list[str], given: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has. Usual words are tokenized as one text."""
+        plain = [not (w[:1].isspace() or w[-1:].isspace() or UNUSUAL.search(w)) for w in words]
+        ids = np.array(self.text_ids("".join([" " + w for w, p in zip(words, plain) if p])), np.int64)
+        ends = np.cumsum(self.tables[0][2][ids])
+        wanted = np.cumsum([len(g) for g, p in zip(given, plain) if p])
+        counts = np.diff(np.searchsorted(ends, wanted, "left") + 1, prepend=0)
+        if all(plain):
+            return ids, counts
+        out, counts, at = [], iter(counts.tolist()), 0
+        for word, usual in zip(words, plain):
+            if usual:
+                n = next(counts)
+                out.append(ids[at:at + n])
+                at += n
+            else:
+                out.append(np.array(self.a.encode(" " + word, add_special_tokens=False).ids, np.int64))
+        return np.concatenate(out), np.array([len(x) for x in out])
 
     def spelled(self, which: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of tokens joined, and the length of each."""
@@ -146,10 +185,11 @@ class Words:
 
     def given_back(self, given: list[bytes], which: int, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Whether the tokens of each word spell its bytes."""
-        wanted = np.fromiter(map(len, given), np.int64, len(given))
+        whole = b"".join(given)
         spelled, size = self.spelled(which, ids)
+        wanted = np.fromiter(map(len, given), np.int64, len(given))
         found = np.bincount(np.repeat(np.arange(len(given)), counts), size, len(given)).astype(np.int64)
-        given, ends, starts = np.frombuffer(b"".join(given), np.uint8), np.cumsum(wanted), np.cumsum(found) - found
+        given, ends, starts = np.frombuffer(whole, np.uint8), np.cumsum(wanted), np.cumsum(found) - found
         if np.array_equal(found, wanted):
             differs = np.concatenate([[0], np.cumsum(spelled != given)])
             return differs[ends] == differs[ends - wanted]
@@ -158,29 +198,29 @@ class Words:
     def hold(self, words: Iterable[str]) -> None:
         """Aligns those of the words that are not held."""
         if max(len(self.now.text), len(self.bad)) > CACHE:
-            self.before, self.now = (self.now if len(self.bad) <= CACHE else Aligned({}, {}, {})), Aligned({}, {}, {})
+            self.before, self.now = (self.now if len(self.bad) <= CACHE else Held()), Held()
             self.bad = self.bad if len(self.bad) <= CACHE else set()
-        missing = []
-        for w in set(words).difference(self.now.text):
-            if w in self.before.text:
-                for held, kept in zip(self.now, self.before):
-                    held[w] = kept[w]
-            else:
-                missing.append(w)
+        known, missing = [], []
+        for w in set(words).difference(self.now.number):
+            (known if w in self.before.number else missing).append(w)
+        if known:
+            old = np.fromiter(map(self.before.number.__getitem__, known), np.int64, len(known))
+            texts = map(self.before.text.__getitem__, old.tolist())
+            self.now.add(known, texts, self.before.figures[old], self.before.pairs_of(old), self.before.place[old, 1])
         if missing:
             self.align(missing)
 
     def align(self, words: list[str]) -> None:
-        ids, counts, given = [], [], [(" " + w).encode() for w in words]
-        for rows in (list(map(self.first_ids, words, given)), self.b.encode(words, num_threads=1)):
-            counts.append(np.fromiter(map(len, rows), np.int64, len(rows)))
-            ids.append(np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(counts[-1].sum())))
+        given = [(" " + w).encode() for w in words]
+        rows = self.b.encode(words, num_threads=1)
+        second = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids, counts = map(list, zip(self.first_ids(words, given), (np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(second.sum())), second)))
         good = self.given_back(given, 0, ids[0], counts[0]) & self.given_back(given, 1, ids[1], counts[1])
         if not good.all():
             odd = [words[k] for k in np.flatnonzero(~good)]
             self.bad.update(odd)
-            for held, nothing in zip(self.now, ("", b"", b"")):
-                held.update(dict.fromkeys(odd, nothing))
+            nothing = np.zeros(len(odd), np.int64)
+            self.now.add(odd, [""] * len(odd), np.zeros((len(odd), 4), np.int64), nothing[:0], nothing)
             words = [words[k] for k in np.flatnonzero(good)]
             ids, counts = [i[np.repeat(good, n)] for i, n in zip(ids, counts)], [n[good] for n in counts]
             if not words:
@@ -193,31 +233,33 @@ class Words:
         n_links = groups[:, 1] * groups[:, 3]
         cuts = list(map(slice, starts.tolist(), ends.tolist()))
         texts = group_texts(a, b, groups, self.pair_text)
-        self.now.text.update(zip(words, map(";".join, map(texts.__getitem__, cuts))))
         totals = np.concatenate([[0], np.cumsum(n_links)])
         figures = np.stack([*counts, ends - starts, totals[ends] - totals[starts]], axis=1)
-        self.now.figures.update(zip(words, map(bytes, figures.astype("<i8"))))
         crowded = np.unique(np.searchsorted(ends, np.flatnonzero(n_links > GROUP), "right"))
         for k in crowded.tolist():
             self.large[words[k]] = counted_links(a, b, groups[cuts[k]], self.radix)
             n_links[cuts[k]] = 0
-        pairs = link_codes(a, b, groups[n_links > 0], self.radix).astype("<i8").tobytes()
-        totals = 8 * np.concatenate([[0], np.cumsum(n_links)])
-        self.now.pairs.update(zip(words, map(pairs.__getitem__, map(slice, totals[starts].tolist(), totals[ends].tolist()))))
+        pairs = link_codes(a, b, groups[n_links > 0], self.radix)
+        totals = np.concatenate([[0], np.cumsum(n_links)])
+        self.now.add(words, map(";".join, map(texts.__getitem__, cuts)), figures, pairs, totals[ends] - totals[starts])
 
     def release(self, words: Iterable[str]) -> None:
-        """Forgets very long words."""
+        """Forgets very long words; what is held of them goes with the generation, which they end."""
+        ended = False
         for w in words:
-            for held in self.now:
-                held.pop(w, None)
+            ended |= self.now.number.pop(w, None) is not None
             self.bad.discard(w)
             self.large.pop(w, None)
+        if ended and self.now.used > LONG_PAIRS:
+            self.before, self.now = Held(), Held()
 
     def figures_of(self, parts: list[str]) -> tuple:
         """Figures and pairs of a text of these words."""
-        n_a, n_b, n_groups, n_links = np.frombuffer(b"".join(map(self.now.figures.__getitem__, parts)), "<i8").reshape(-1, 4).sum(axis=0).tolist()
-        digest = hashlib.sha256(";".join(map(self.now.text.__getitem__, parts)).encode()).hexdigest()
-        pairs, times = np.unique(np.frombuffer(b"".join(map(self.now.pairs.__getitem__, parts)), "<i8"), return_counts=True)
+        numbers = list(map(self.now.number.__getitem__, parts))
+        at = np.array(numbers, np.int64)
+        n_a, n_b, n_groups, n_links = self.now.figures[at].sum(axis=0).tolist()
+        digest = hashlib.sha256(";".join(map(self.now.text.__getitem__, numbers)).encode()).hexdigest()
+        pairs, times = np.unique(self.now.pairs_of(at), return_counts=True)
         if self.large:
             more = [self.large[w] for w in parts if w in self.large]
             pairs, back = np.unique(np.concatenate([pairs, *(p for p, _ in more)]), return_inverse=True)
