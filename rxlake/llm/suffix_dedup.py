@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ LENGTH = 100
 GRAM = 32
 PLACE = np.uint64((1 << 24) - 1)
 SPAN, ASK, HOT = 0, 1, 2
-PIECE = 1 << 20  # window starts of a long text handled at once; no window is lost between pieces
+PIECE = 1 << 18  # window starts of a long text handled at once; no window is lost between pieces
+BATCH = 8 << 20  # bytes of texts whose equal segments are settled together before the shuffle
+CUT = 1 << 20  # bytes of segments cut at once
 SYMBOLS = 7  # 9-bit symbols of a sort word
 NO_ID = -(1 << 63)
 
@@ -182,33 +185,46 @@ def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.nd
                 yield np.array([first]), np.array([at]), np.array([min(at + PIECE + length - 1, int(offsets[last]))])
 
 
+def differs(*columns: np.ndarray) -> np.ndarray:
+    """For sorted rows, which differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def collapsed(deal: np.ndarray, whole: np.ndarray, doc: np.ndarray, copy: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """One row for each different segment; later equal ones are settled as spans, and rows of one place are one."""
+    order = np.lexsort((start, copy, doc, whole, deal))
+    deal, whole, doc, copy, start, count = (x[order] for x in (deal, whole, doc, copy, start, count))
+    once = differs(deal, whole, doc, copy, start)
+    deal, whole, doc, copy, start, count = (x[once] for x in (deal, whole, doc, copy, start, count))
+    later = ~differs(deal, whole)
+    kind = np.where(later, SPAN, ASK).astype(np.int8)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (kind, np.where(later, whole ^ doc ^ start, deal), whole, doc, copy, start.astype(np.int32), count.astype(np.int16))],
+        ["kind", "deal", "whole", "id", "copy", "start", "count"],
+    )
+
+
 def find_segments(length: int):
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            data, every = utf8(batch.column("text"))
             ids, copies = batch.column("id").to_numpy(), batch.column("copy").to_numpy()
-            found = []
-            for rows, begin, end in pieces(offsets, length):
-                block = data[begin[0]:end[-1]]
-                if len(block) < length:
-                    continue
-                start, count, gram, whole, owner = segments_of(block, end - begin[0], length)
-                row = rows[owner]
-                found.append((gram, whole, ids[row], copies[row], start + begin[0] - offsets[row], count))
-            if not found:
-                continue
-            gram, whole, doc, copy, start, count = (np.concatenate(x) for x in zip(*found))
-            # one row for each different segment of the batch; the others are settled
-            order = np.lexsort((start, copy, doc, whole, gram))
-            gram, whole, doc, copy, start, count = (x[order] for x in (gram, whole, doc, copy, start, count))
-            later = np.zeros(len(gram), bool)
-            later[1:] = (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])
-            deal = np.where(later, whole ^ doc ^ start, gram)
-            kind = np.where(later, SPAN, ASK).astype(np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (kind, deal, whole, doc, copy, start.astype(np.int32), count.astype(np.int16))],
-                ["kind", "deal", "whole", "id", "copy", "start", "count"],
-            )
+            for top, bottom in row_blocks(every, BATCH):
+                offsets, found = every[top:bottom + 1], []
+                for rows, begin, end in pieces(offsets, length):
+                    block = data[begin[0]:end[-1]]
+                    if len(block) < length:
+                        continue
+                    start, count, gram, whole, owner = segments_of(block, end - begin[0], length)
+                    row = rows[owner]
+                    found.append((gram, whole, ids[top + row], copies[top + row], start + begin[0] - offsets[row], count))
+                    if sum(len(f[0]) for f in found) > BATCH // 16:  # a long text
+                        yield collapsed(*(np.concatenate(x) for x in zip(*found)))
+                        found = []
+                if found:
+                    yield collapsed(*(np.concatenate(x) for x in zip(*found)))
 
     return run
 
@@ -218,14 +234,22 @@ FOUND = "kind byte, deal long, whole long, id long, copy long, start int, count
 
 def settle(batches):
     """Rows sorted by anchor, segment and place: repeats of equal segments become spans, different segments of an
-    anchor are asked for. Holds one unfinished anchor, and of a hot one only its last row."""
+    anchor are asked for. Rows of one place (equal documents) are one. Holds one unfinished anchor, and of a hot one only
+    its last row."""
     held, hot = None, None  # rows of the unfinished anchor; the last row of one already found hot
+    previous = None
     for batch in batches:
         deal, whole, kind = (batch.column(c).to_numpy() for c in ("deal", "whole", "kind"))
         plain = kind == SPAN
         if plain.any():
             yield batch.filter(pa.array(plain))
             batch = batch.filter(pa.array(~plain))
+        if batch.num_rows:
+            place = [batch.column(c).to_numpy() for c in ("deal", "whole", "id", "copy", "start")]
+            once = differs(*place)
+            once[0] = [c[0] for c in place] != previous
+            previous = [c[-1] for c in place]
+            batch = batch.filter(pa.array(once))
         rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         held = None
         if not rows.num_rows:
@@ -301,18 +325,7 @@ def single_windows(length: int):
                 at = offsets[row[a:b]][of] + start[a:b][of] + place - offsets[first]
                 whole = RangeHash(data[offsets[first]:offsets[last]]).of(at, at + length).view(np.int64)
                 doc, copy, begin = ids[row[a:b]][of], copies[row[a:b]][of], start[a:b][of] + place
-                order = np.lexsort((begin, copy, doc, whole))
-                whole, doc, copy, begin = whole[order], doc[order], copy[order], begin[order]
-                later = np.zeros(len(whole), bool)
-                later[1:] = whole[1:] == whole[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.where(later, SPAN, ASK).astype(np.int8)), pa.array(np.where(later, whole ^ doc ^ begin, whole)),
-                        pa.array(whole), pa.array(doc), pa.array(copy), pa.array(begin.astype(np.int32)),
-                        pa.array(np.ones(len(whole), np.int16)),
-                    ],
-                    ["kind", "deal", "whole", "id", "copy", "start", "count"],
-                )
+                yield collapsed(whole, whole, doc, copy, begin, np.ones(len(whole), np.int64))
 
     return run
 
@@ -329,8 +342,7 @@ def cut_segments(length: int):
             row = np.repeat(np.arange(len(sizes)), sizes)
             start, count = (values.field(c).to_numpy().astype(np.int64) for c in ("start", "count"))
             begin, size = offsets[row] + start, count + length - 1
-            for a in range(0, len(row), 50_000):
-                b = min(a + 50_000, len(row))
+            for a, b in row_blocks(np.concatenate([[0], np.cumsum(size)]), CUT):
                 run_of, place = ragged(size[a:b])
                 cut = data[begin[a:b][run_of] + place]
                 bounds = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
@@ -353,7 +365,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def sort_shards(length: int):
@@ -362,6 +374,7 @@ def sort_shards(length: int):
     def spans(table: pa.Table):
         doc, copy, start = (table.column(c).to_numpy() for c in ("id", "copy", "start"))
         order = np.lexsort((start, copy, doc))
+        order = order[differs(doc[order], copy[order], start[order])]  # equal documents are one
         cuts = table.column("bytes").combine_chunks().take(pa.array(order))
         segments = [np.frombuffer(x.as_buffer(), np.uint8) for x in cuts]
         out = []
@@ -399,37 +412,40 @@ def remove_spans(length: int, with_text: bool):
     import hashlib
 
     def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            spans = batch.column("spans")
-            sizes = np.where(spans.is_null().to_numpy(False), 0, np.diff(spans.offsets.to_numpy()))
-            values = spans.flatten()
-            start, count = (values.field(c).to_numpy().astype(np.int64) for c in ("start", "count"))
-            at, removed, found, digest, texts = 0, [], [], [], []
-            for row, size in enumerate(sizes):
-                text = data[offsets[row]:offsets[row + 1]]
-                if size:
-                    edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, start[at:at + size], 1)
-                    np.add.at(edge, start[at:at + size] + count[at:at + size] + length - 1, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    text = text[~gone]
-                    removed.append(int(gone.sum()))
-                    found.append(len(runs_of(gone)[0]))
-                else:
-                    removed.append(0)
-                    found.append(0)
-                at += size
-                raw = text.tobytes()
-                digest.append(hashlib.sha256(raw).hexdigest())
-                texts.append(raw.decode("utf-8", "ignore") if with_text else None)
-            new = {
-                "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(found, pa.int64()), "kept_sha256": pa.array(digest, pa.string()),
-                "kept_text": pa.array(texts, pa.string()),
-            }
-            rest = [(n, batch.column(n)) for n in batch.schema.names if n not in ("text", "spans", "id", "copy", *new)]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), *new.values()], [*(n for n, _ in rest), *new])
+        for whole in batches:
+            for top, bottom in row_blocks(utf8(whole.column("text"))[1], BATCH):
+                yield removed(whole.slice(top, bottom - top))
+
+    def removed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = utf8(batch.column("text"))
+        spans = batch.column("spans")
+        sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+        values = spans.flatten()
+        start, count = (values.field(c).to_numpy().astype(np.int64) for c in ("start", "count"))
+        at, taken, found, digest, texts = 0, [], [], [], []
+        for row, size in enumerate(sizes):
+            text = data[offsets[row]:offsets[row + 1]]
+            if size:
+                edge = np.zeros(len(text) + 1, np.int32)
+                np.add.at(edge, start[at:at + size], 1)
+                np.add.at(edge, start[at:at + size] + count[at:at + size] + length - 1, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                text = text[~gone]
+                taken.append(int(gone.sum()))
+                found.append(len(runs_of(gone)[0]))
+            else:
+                taken.append(0)
+                found.append(0)
+            at += size
+            raw = text.tobytes()
+            digest.append(hashlib.sha256(raw).hexdigest())
+            texts.append(raw.decode("utf-8", "ignore") if with_text else None)
+        new = {
+            "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(taken, pa.int64()), "n_spans": pa.array(found, pa.int64()),
+            "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(texts, pa.string()),
+        }
+        rest = [(n, batch.column(n)) for n in batch.schema.names if n not in ("text", "spans", "id", "copy", *new)]
+        return pa.RecordBatch.from_arrays([*(c for _, c in rest), *new.values()], [*(n for n, _ in rest), *new])
 
     return run
 
@@ -440,8 +456,9 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
     Needs ``doc_id`` and ``text``; returns the ``carry`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` and
     ``kept_sha256``, and with ``with_text`` the remaining text in ``kept_text`` (a character that lost some of its
     bytes goes whole). Null text is empty; a null id comes before all others. Rows that share an id are ordered by a
-    hash of their texts; rows equal in id and text are one document and get equal results. A text under ``length``
-    bytes keeps everything; an empty table gives an empty result.
+    hash of their texts; rows equal in id and text are one document: none is earlier than another, so each of them
+    keeps what the first keeps. Texts of any length are read whole, in pieces that overlap. A text under ``length`` bytes
+    keeps everything; an empty table gives an empty result.
     """
     keyed = docs.select(
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)],
@@ -459,7 +476,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
         wanted = settled.where(F.col("kind") == kind).groupBy("id", "copy").agg(
             F.collect_list(F.struct("deal", "start", "count")).alias("asked")
         )
-        return texts.join(wanted.hint("shuffle_hash"), ["id", "copy"]).select("id", "copy", "text", "asked")
+        return texts.join(wanted, ["id", "copy"]).select("id", "copy", "text", "asked")
 
     cold = (
         asked(ASK).mapInArrow(cut_segments(length), "deal long, id long, copy long, start int, bytes binary")
@@ -475,7 +492,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
         .groupBy("id", "copy").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     )
     kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    result = texts.join(spans.hint("shuffle_hash"), ["id", "copy"], "left").mapInArrow(
+    result = texts.join(spans, ["id", "copy"], "left").mapInArrow(
         remove_spans(length, with_text),
         f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
     )

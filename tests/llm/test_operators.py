@@ -240,6 +240,29 @@ def test_repeated_strings_under_one_id(spark):
     assert got == {text: expected[k] for k, text in enumerate(ordered)}
 
 
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_equal_rows_keep_their_text(spark, monkeypatch, hot):
+    """Rows equal in id and text are one document, in one batch or in several, under a hot anchor, and without an id."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", hot)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 9))
+    passage = " ".join(word() for _ in range(15))
+    text = [" ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(20)) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (3, text[1]), (2, text[1]), (None, text[2]), (None, text[2]), (5, text[2]), (6, text[3]), (6, text[3]), (6, text[4]), (9, passage)]
+    one_of_each = sorted({(-(1 << 63) if i is None else i, t) for i, t in rows})
+    copies = {t: c for t, c in spark.createDataFrame([(t,) for t in text + [passage]], "t string").select("t", F.xxhash64("t")).collect()}
+    ordered = sorted(one_of_each, key=lambda r: (r[0], copies[r[1]]))
+    judged = brute_removal([(n, t) for n, (_, t) in enumerate(ordered)], 100)
+    expected = {r: judged[n] for n, r in enumerate(ordered)}
+    assert expected[1, text[0]][1] == len(passage) and expected[2, text[1]][1] < len(text[1]) == expected[3, text[1]][1]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).withColumn("own", F.col("text"))
+        got = suffix_dedup.suffix_dedup(docs, ["doc_id", "own"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert tuple(r)[2:] == expected[-(1 << 63) if r.doc_id is None else r.doc_id, r.own], (parts, r.doc_id)
+
+
 @pytest.mark.parametrize("limits", [(2_000, 1 << 20), (3, 1 << 20), (2_000, 400)])
 def test_repeated_strings_hot_and_cut(spark, monkeypatch, limits):
     """A passage amid ever new words, runs of one byte, texts cut into pieces; also with every anchor taken as hot."""
