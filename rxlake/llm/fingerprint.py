@@ -2,7 +2,9 @@
 
 Every window of 64 bytes gets a rarity from its Shannon entropy: entropies near that of running text are common,
 others are rare, and near-empty ones are left out. In each run of 64 neighbouring windows the rarest one (the leftmost
-of equals) scores a point, and windows with at least 16 points are features. A feature sets five bits of a Bloom
+of equals) scores a point, and windows with at least 16 points are features. A text in which these are few, because it is
+short or regular, also has the features found in the same way among its windows of 8 bytes, so that every text but the
+empty one has some and a changed word leaves most of them. A feature sets five bits of a Bloom
 filter of 2,048 bits; a filter holds up to 160 features, then the next one of the chain begins. Two digests are
 compared filter by filter: the overlap of bits beyond what chance gives, over the most that could overlap.
 """
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxlake.llm.common import RangeHash, mixed, row_blocks, sliding_min, stored
+from rxlake.llm.common import RangeHash, mixed, ragged, row_blocks, sliding_min, stored
 
 WINDOW = 64
 RUN = 64
@@ -24,6 +26,9 @@ POPULAR = 16
 BITS = 2048
 HASHES = 5
 FULL = 160
+FEW = 16  # features of long windows up to which short windows count as well
+SMALL_WINDOW, SMALL_RUN, SMALL_POPULAR = 8, 8, 2
+SMALL_TYPICAL, SMALL_SPREAD = 2.6, 0.2  # entropy of an 8-byte window of running text, in bits
 TYPICAL, SPREAD = 3.6, 0.25  # entropy of a 64-byte window of running text, in bits
 LEAST_ENTROPY = 1.0
 NO_ID = -(1 << 63)
@@ -67,12 +72,56 @@ def entropy_sums(data: np.ndarray) -> np.ndarray:
     return first + np.concatenate([[0], np.cumsum(change)])
 
 
+def small_entropies(data: np.ndarray) -> np.ndarray:
+    """Entropy of each short window."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, SMALL_WINDOW)
+    out = np.empty(len(windows))
+    logs = np.log2(np.arange(1, SMALL_WINDOW + 1))
+    for a in range(0, len(windows), 1 << 14):
+        part = windows[a:a + (1 << 14)]
+        equal = (part[:, :, None] == part[:, None, :]).sum(axis=2)
+        out[a:a + len(part)] = np.log2(SMALL_WINDOW) - logs[equal - 1].sum(axis=1) / SMALL_WINDOW
+    return out
+
+
+def small_features(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the features of these rows among their short windows. A text with fewer of those than a run
+    has one run; one shorter than a window is one feature as a whole. Where no window wins twice, as in a text of one
+    byte over and over, the winner of the first run is the feature."""
+    size = np.diff(offsets)[rows]
+    tiny = rows[(size < SMALL_WINDOW) & (size > 0)]
+    found = [(tiny, offsets[tiny], offsets[tiny + 1])]
+    rows, size = rows[size >= SMALL_WINDOW], size[size >= SMALL_WINDOW]
+    if len(rows):
+        ends = np.cumsum(size)
+        starts = ends - size
+        of, place = ragged(size)
+        joined = data[offsets[rows][of] + place]
+        away = np.abs(small_entropies(joined) - SMALL_TYPICAL) / SMALL_SPREAD
+        key = (np.rint(1000 * np.exp(-0.5 * away**2)).astype(np.uint64) << np.uint64(40)) | np.arange(len(away), dtype=np.uint64)
+        # a run never crosses into the next text: windows that do are the least rare of all
+        crossing = place[:len(away)] + SMALL_WINDOW > size[of[:len(away)]]
+        key[crossing] |= np.uint64(1 << 60)
+        key = np.concatenate([key, np.full(SMALL_RUN - 1, np.uint64(1 << 60))])
+        winner = (sliding_min(key, SMALL_RUN) & np.uint64((1 << 40) - 1)).astype(np.int64)
+        windows = size - SMALL_WINDOW + 1
+        runs = np.maximum(1, windows - SMALL_RUN + 1)
+        run_of, at = ragged(runs)
+        winner = winner[starts[run_of] + at]
+        points = np.bincount(winner, minlength=len(joined))
+        least = np.minimum(SMALL_POPULAR, runs)
+        chosen = np.flatnonzero((points > 0) & (points >= least[of]))
+        without = np.flatnonzero(np.bincount(of[chosen], minlength=len(rows)) == 0)
+        chosen = np.sort(np.append(chosen, winner[(np.cumsum(runs) - runs)[without]]))
+        found.append((rows[of[chosen]], offsets[rows][of[chosen]] + place[chosen], offsets[rows][of[chosen]] + place[chosen] + SMALL_WINDOW))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of the features of each row, in order of place. A shorter text is one feature as a whole."""
+    """Row and hash of the features of each row, those of long windows first, in order of place."""
     hashes = RangeHash(data)
-    size = np.diff(offsets)
-    short = np.flatnonzero((size < WINDOW + RUN - 1) & (size > 0))
-    rows, starts, ends = [short], [offsets[short]], [offsets[short + 1]]
+    none = np.zeros(0, np.int64)
+    rows, starts, ends = [none], [none], [none]
     sums = entropy_sums(data)
     if len(sums) >= RUN:
         entropy = np.log2(WINDOW) - sums / (UNIT * WINDOW)
@@ -91,8 +140,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         rows.append(np.searchsorted(offsets, chosen, "right") - 1)
         starts.append(chosen)
         ends.append(chosen + WINDOW)
+    few = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=len(offsets) - 1) < FEW)
+    for column, values in zip((rows, starts, ends), small_features(data, offsets, few)):
+        column.append(values)
     row, start, end = (np.concatenate(x) for x in (rows, starts, ends))
-    order = np.lexsort((start, row))
+    order = np.lexsort((start, start - end, row))
     row, start, end = row[order], start[order], end[order]
     return row, hashes.of(start, end)
 
@@ -216,8 +268,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next document in
     ascending id; after the last comes the first, so a lone document follows itself. Null text is empty, a null id
-    comes first; rows that share an id are ordered by text. Equal texts have equal fingerprints and a likeness of 1; an
-    empty text has the empty fingerprint and a likeness of 0 to others. An empty table gives an empty result.
+    comes first; rows that share an id are ordered by text. Equal texts have equal fingerprints and a likeness of 1; only
+    an empty text has the empty fingerprint, with a likeness of 0 to others. Texts of any length are read whole. An empty
+    table gives an empty result.
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

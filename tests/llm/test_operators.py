@@ -464,6 +464,52 @@ def test_fingerprints(sample, rows, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def brute_digest(text):
+    """Features by direct counting, then the bits they set; the hash of a feature is the operator's own."""
+    def ranked(w, run, popular, typical, spread, steps):
+        rarity = []
+        for i in range(len(text) - w + 1):
+            c = np.array(list(collections.Counter(text[i:i + w]).values()))
+            entropy = math.log2(w) - float((c * np.log2(c)).sum()) / w
+            level = round(entropy * steps) / steps if steps else entropy
+            rarity.append(2000 if steps and entropy < fingerprint.LEAST_ENTROPY else round(1000 * math.exp(-0.5 * ((level - typical) / spread) ** 2)))
+        runs = len(rarity) - run + 1 if steps or len(rarity) >= run else min(1, len(rarity))
+        points = collections.Counter(min(range(i, min(i + run, len(rarity))), key=lambda k: (rarity[k], k)) for i in range(runs))
+        won = [(i, i + w) for i in sorted(points) if points[i] >= (popular if steps else min(popular, runs)) and rarity[i] < 2000]
+        return won or ([] if steps else [(i, i + w) for i in sorted(points)][:1])  # winners never go back, so this is the first run's
+
+    found = ranked(64, 64, 16, fingerprint.TYPICAL, fingerprint.SPREAD, 128)
+    if len(found) < fingerprint.FEW:
+        found += ranked(8, 8, 2, fingerprint.SMALL_TYPICAL, fingerprint.SMALL_SPREAD, 0) if len(text) >= 8 else [(0, len(text))] * bool(text)
+    values = []
+    for a, b in found:
+        value = int(fingerprint.RangeHash(np.frombuffer(text, np.uint8)).of(np.array([a]), np.array([b]))[0])
+        if value not in values:
+            values.append(value)
+    filters = np.zeros((-(-len(values) // 160), 2048), bool)
+    for n, value in enumerate(values):
+        for j in range(5):
+            filters[n // 160, int(fingerprint.mixed(np.array([value], np.uint64) + np.uint64(j))[0]) % 2048] = True
+    return fingerprint.digest(filters)
+
+
+def test_digests_by_counting(rows):
+    texts = [(t or "").encode() for _, t in rows if len(t or "") < 3_000][:80]
+    texts += [b"", b"a", b"abc", b"12345678", b"ab" * 200, b"xyz" * 150, b"q" * 300, bytes(range(256)) * 3]
+    assert [fingerprint.digest(f) for f in fingerprint.filters_of(texts)] == [brute_digest(t) for t in texts]
+
+
+def test_short_and_regular_texts():
+    like = lambda a, b: fingerprint.likeness(*fingerprint.filters_of([a.encode(), b.encode()]))
+    short = "a short line of ordinary words that is under the length of one long run, 77."
+    assert like(short, short.replace("ordinary", "uncommon")) > 0.5
+    assert like("ab" * 200, "xyz" * 150) < 0.2 and like("", "ab" * 200) == 0 and like("", "") == 1
+    assert like("ab" * 200, "ab" * 190) > 0.9 and like("tiny", "tiny") == 1 and like("tiny", "tine") < 0.5
+    words = ("the quick brown fox jumps over a lazy dog while seven wizards box and mix vials of jade potion " * 3).split()
+    changed = " ".join("other" if i == 20 else w for i, w in enumerate(words))
+    assert like(" ".join(words), changed) > 0.6
+
+
 def test_rolling_entropy():
     data = np.random.default_rng(0).integers(97, 105, 70_000).astype(np.uint8)
     sums = fingerprint.entropy_sums(data)
