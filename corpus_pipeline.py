@@ -58,7 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_id") == F.col("class_text"))
     goes = classes.where(~stays).select(row("doc_id"), F.col("text_id").alias("row_text"))
     rows = docs.select("*", row("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_text"))
-    kept = rows.join(goes.hint("shuffle_hash"), ["row_doc", "row_text"], "left_anti")
+    kept = rows.join(goes, ["row_doc", "row_text"], "left_anti")
     # rows equal in id and text are one member of their class
     twice = stored(rows.groupBy("row_doc", "row_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
     if twice.isEmpty():
