@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxlake.llm.common import ODD, RangeHash, mixed, row_blocks, stored, tokens_of, utf8
+from rxlake.llm.common import ODD, RangeHash, mixed, released, row_blocks, stored, tokens_of, utf8
 from rxlake.llm.components import components
 
 WORDS = 5
@@ -150,7 +150,7 @@ def distinct_batches(batches):
 
 def freshness(bags: DataFrame) -> DataFrame:
     """For each document its number of shingles (``total``) and of those that no other of these documents has."""
-    each = bags.mapInArrow(distinct_batches, "id long, shingle long, times long")
+    each = bags.mapInArrow(released(distinct_batches), "id long, shingle long, times long")
     single = each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("id").alias("id"), F.min("times").alias("times"))
     alone = single.where("docs = 1").groupBy("id").agg(F.sum("times").alias("fresh"))
     totals = bags.select("id", (F.length("bag") / 8).cast("long").alias("total"))
@@ -159,7 +159,7 @@ def freshness(bags: DataFrame) -> DataFrame:
 
 def bags_of(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingle bags of the documents with these ids."""
-    found = keyed.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(shingle_batches, "id long, bag binary")
+    found = keyed.join(ids, "id", "left_semi").mapInArrow(released(shingle_batches), "id long, bag binary")
     return stored(found.groupBy("id").agg(F.min("bag").alias("bag")), "bags")
 
 
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("id"), text.alias("text"))
     keyed = rows.select("id", "text")  # a node is a text, so equal texts are one
-    signed = stored(rows.mapInArrow(sign_batches, "doc long, id long, bands array<long>, short binary"), "signed")
+    signed = stored(rows.mapInArrow(released(sign_batches), "doc long, id long, bands array<long>, short binary"), "signed")
     owners = signed.select("doc", "id")
     firsts = stored(signed.groupBy("id").agg(F.min(F.struct("bands", "short")).alias("s")).select("id", "s.*"), "firsts")
 
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = crowd.groupBy("id").agg(F.collect_list(F.struct("band", "n")).alias("places"))
     weighed = stored(places.join(freshness(crowd_bags), "id"), "weighed")
     each_place = F.inline("places")
-    items = stored(crowd_bags.mapInArrow(item_batches, "id long, items binary"), "items")
+    items = stored(crowd_bags.mapInArrow(released(item_batches), "id long, items binary"), "items")
     head = weighed.select("id", (F.col("fresh") / F.col("total")).alias("share"), each_place).groupBy("band").agg(
         F.min_by("id", F.struct("share", "id")).alias("head"), F.max("n").alias("n"))
     heads = of_bucket(crowd, head).where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.join(shorts.select(F.col("id").alias("a"), F.col("short").alias("short_a")), "a")
         both = both.join(shorts.select(F.col("id").alias("b"), F.col("short").alias("short_b")), "b")
-        return both.mapInArrow(agreeing, "a long, b long, same int").where(F.col("same") >= least)
+        return both.mapInArrow(released(agreeing), "a long, b long, same int").where(F.col("same") >= least)
 
     likely = stored(compared(stored(pairs.union(heads).distinct(), "pairs")), "likely")
     partners = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
         both = both.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-        return both.mapInArrow(verify_batches(threshold), "a long, b long, likeness double").select("a", "b")
+        return both.mapInArrow(released(verify_batches(threshold)), "a long, b long, likeness double").select("a", "b")
 
     both_ways = likely.union(likely.select("b", "a", "same"))
     best = both_ways.groupBy("a").agg(F.max_by("b", "same").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -39,6 +41,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def released(run):
+    """The batch function, after which its worker gives freed memory back to the machine: workers are kept between
+    stages, and what one stage needed at its peak would stay with them."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not this C library
+            pass
+
+    return wrapped
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Written as a table into the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

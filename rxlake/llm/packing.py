@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxlake.llm.common import stored
+from rxlake.llm.common import released, stored
 
 SEQUENCE = 2048
 END = 0
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     table gives an empty result.
     """
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_pieces(tokenizer, size), kinds)
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cut_pieces(tokenizer, size)), kinds)
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
     pieces = stored(pieces.withColumn("salt", salt), "pieces")
     parts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxlake.llm.common import LOWER, RangeHash, row_blocks, stored, tokens_of, utf8
+from rxlake.llm.common import LOWER, RangeHash, released, row_blocks, stored, tokens_of, utf8
 
 SAMPLE = 6_000  # labelled documents the classifier is fitted on, about
 LEAST_SHARE = 0.01  # of the bad documents of the sample must hold a word of the lexicon
@@ -211,7 +211,7 @@ def classify_quality(
     def scored(columns: list[str], keep_text: bool) -> DataFrame:
         part = named.select(*columns, "text")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if keep_text or f.name != "text")
-        return part.mapInArrow(score_batches(model, keep_text), f"{kinds}, doc_logit double")
+        return part.mapInArrow(released(score_batches(model, keep_text)), f"{kinds}, doc_logit double")
 
     columns = [*[f"keep_{i}" for i in range(len(carry))], "host", "path"]
     if not with_text:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxlake.llm.common import RangeHash, gram_hashes, ragged, row_blocks, sliding_min, stored, utf8
+from rxlake.llm.common import RangeHash, gram_hashes, ragged, released, row_blocks, sliding_min, stored, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -465,10 +465,10 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
         F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"),
         F.xxhash64("text").alias("copy"), "text",
     )
-    found = keyed.select("id", "copy", "text").mapInArrow(find_segments(length), FOUND)
+    found = keyed.select("id", "copy", "text").mapInArrow(released(find_segments(length)), FOUND)
     order = ["deal", "whole", "id", "copy", "start"]
     settled = stored(
-        found.repartition("deal").sortWithinPartitions(*order).mapInArrow(settle, FOUND).drop("whole"), "segments"
+        found.repartition("deal").sortWithinPartitions(*order).mapInArrow(released(settle), FOUND).drop("whole"), "segments"
     )
     texts = keyed.repartition("id", "copy")
 
@@ -479,13 +479,13 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
         return texts.join(wanted, ["id", "copy"]).select("id", "copy", "text", "asked")
 
     cold = (
-        asked(ASK).mapInArrow(cut_segments(length), "deal long, id long, copy long, start int, bytes binary")
+        asked(ASK).mapInArrow(released(cut_segments(length)), "deal long, id long, copy long, start int, bytes binary")
         .repartition("deal").sortWithinPartitions("deal")
-        .mapInArrow(sort_shards(length), "id long, copy long, start int, count short")
+        .mapInArrow(released(sort_shards(length)), "id long, copy long, start int, count short")
     )
     single = (
-        asked(HOT).mapInArrow(single_windows(length), FOUND).repartition("deal").sortWithinPartitions(*order)
-        .mapInArrow(settle, FOUND).select("id", "copy", "start", "count")
+        asked(HOT).mapInArrow(released(single_windows(length)), FOUND).repartition("deal").sortWithinPartitions(*order)
+        .mapInArrow(released(settle), FOUND).select("id", "copy", "start", "count")
     )
     spans = (
         settled.where(F.col("kind") == SPAN).select("id", "copy", "start", "count").unionByName(cold).unionByName(single)
@@ -493,7 +493,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] = ("doc_id",), with_text: boo
     )
     kinds = ", ".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     result = texts.join(spans, ["id", "copy"], "left").mapInArrow(
-        remove_spans(length, with_text),
+        released(remove_spans(length, with_text)),
         f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
     )
     result = result.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(carry)})
