@@ -99,9 +99,10 @@ def scan_commented_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with ``#`` lines and blank lines anywhere, also indented; the first other line is the header.
 
     A folder of files is read as one text in the order of their paths; where a further file begins with the header
-    again, that line is no row. Adds ``row_no``, the position of the line, for rules that depend on order.
+    again, that line is no row. Adds ``row_no``, the place of the row from 1, for rules that depend on order.
     """
-    lines = in_file_order(spark.read.text(path), "row_no").filter((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    plain = (F.trim("value") != "") & ~F.ltrim("value").startswith("#")
+    lines = in_file_order(spark.read.text(path).filter(plain), "row_no")  # the header is row 0
     first = lines.groupBy("__file").agg(F.min(F.struct("row_no", "value")).alias("first"))
     header = first.agg(F.min("first")).first()[0]
     if header is None:

@@ -307,7 +307,7 @@ def _(d):
     return artifacts.scan_json(d.spark, path, artifacts.STAGE_COLUMNS["molecules"], lines=True)
 
 
-@query("scan_commented_csv", """SELECT 3 * row_number() OVER (ORDER BY row_no) + 1 AS row_no, trim(brand) AS brand, trim(ingredients) AS ingredients, trim(kind) AS kind FROM d_brand_pack""", ["d_brand_pack"])
+@query("scan_commented_csv", """SELECT row_number() OVER (ORDER BY row_no) AS row_no, trim(brand) AS brand, trim(ingredients) AS ingredients, trim(kind) AS kind FROM d_brand_pack""", ["d_brand_pack"])
 def _(d):
     """A folder of files of unequal size, each with notes and blank lines, in the order of one sequential reading."""
     path = work_folder(d.spark) + "/pack"
