@@ -94,7 +94,7 @@ STAGES = [
     ("personal_data", personal_data), ("packing", packing),
 ]
 
-#: The classifier, the signatures and the tokenizer have no SQL; tests compare the stages with brute force.
+#: The classifier, the signatures and the tokenizer have no SQL; the operators behind the stages have tests of their own.
 ORACLE_SQL = None
 
 
