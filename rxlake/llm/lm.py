@@ -1,21 +1,23 @@
-"""Language-model scoring with a weighted backoff model over all n-grams of up to three tokens.
-
-A history backs off to the next shorter one: a seen n-gram has its discounted share, and what the discount leaves goes
-to the others in proportion to the shorter history's probabilities; at the root stand smoothed unigrams, which give an
-unseen token its share. No token, count or number of n-grams is left out: counts lie in a written table and grow with
-the training texts.
-
-A text's score is a plain sum over its n-grams. Each token pays its unigram and, as a history, the backoff weight; a
-seen pair or triple adds what it differs by from backing off, and its own backoff weight as a history. So each seen
-n-gram has one weight, found by joins of counts, and a text meets its weights in one more join. The most frequent
-n-grams are held by tasks, since they occur in every text; that changes no result. ``Automaton`` is the same model for
-few words in memory.
+"""Language-model scoring with a weighted backoff automaton over all n-grams of up to three tokens.
+
+Model: a token's share after a history is smoothed with its share after the shorter one,
+p(x | h) = (n(h x) + PRIOR * p(x | shorter h)) / (n(h) + PRIOR); at the root stand (n + 1) / (N + V + 1), which give an
+unseen token its share. No token, count or number of n-grams is left out.
+
+Automaton: the root, every token and every pair seen in training are states. A seen n-gram is an arc from its history
+with that share; its end is the longest state that ends the text so far. Where a state has no arc for the next token,
+its failure arc leads to the shorter history and costs PRIOR / (n(h) + PRIOR). A text is read once from left to right.
+
+At scale: texts are taken in groups of about GROUP tokens. A group asks once for the count of each of its n-grams, in
+buckets by hash, and gets the counts in the order in which it asked, so that the answers are mere numbers. From those it
+builds the part of the automaton that its texts can meet, and reads them. As a group names each n-gram once, none is
+asked for more often than there are groups, however frequent: no bucket is hot. Codes of tokens are ranks by frequency
+for the FREQUENT ones that all tasks hold, else hashes; blocks of sorted codes compress to a few bytes an n-gram.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxlake.llm.bag_minhash import NOT_SPACE
-from rxlake.llm.common import LOWER, ODD, RangeHash, mixed, row_blocks, stored, tokens_of, utf8
+from rxlake.llm.common import LOWER, ODD, RangeHash, mixed, released, row_blocks, stored, tokens_of, utf8
 
 END = np.uint64(0x656E64)
-FREQUENT = 300_000  # n-grams whose weights every task holds
-PAIR_WORDS = 2_048  # most words of an automaton
-DISCOUNT = 0.5
+FREQUENT = 300_000  # tokens whose codes and counts every task holds
+PRIOR = 4.0
 FLUSH = 2_000_000
+GROUP = 1_500_000  # tokens of a group of texts; a longer text is a group by itself
+PIECE = 256  # tokens read at a stretch, many stretches side by side
+RARE = np.uint64(1 << 63)
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +46,18 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.insert(words, at, END), np.insert(row, at, np.arange(rows))
 
 
-def summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
-
-
 def count_batches(batches):
     """Counts of tokens, combined within the task."""
     held, size = [], 0
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in summed(held)], ["code", "n"])
+
+    def flush():
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for a, b in row_blocks(offsets):
-            held.append(token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0].view(np.int64))
+            held.append(token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0])
             size += len(held[-1])
             if size > FLUSH:
                 yield flush()
@@ -62,252 +66,311 @@ def count_batches(batches):
         yield flush()
 
 
-def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from those of its first tokens and of its last."""
-    return mixed(mixed(x * ODD + np.uint64(1)) + y)
+class Frequent:
+    """The most frequent tokens: sorted hashes, code of each (1 and on, by falling count) and count by code."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        by_count = np.lexsort((hashes, -counts))
+        rank = np.empty(len(hashes), np.uint64)
+        rank[by_count] = np.arange(1, len(hashes) + 1)
+        order = np.argsort(hashes)
+        self.hashes, self.rank, self.counts = hashes[order], rank[order], np.append(0, counts[by_count])
 
-def ngrams_of(words: np.ndarray, row: np.ndarray) -> tuple[tuple, tuple]:
-    """Hash, history, shorter n-gram (without the first token) and row of each pair and of each triple."""
-    same = row[:-1] == row[1:]
-    pair = joined(words[:-1], words[1:])
-    run = same[:-1] & same[1:]
-    triple = joined(pair[:-1], words[2:])
-    return (
-        (pair[same], words[:-1][same], words[1:][same], row[1:][same]),
-        (triple[run], pair[:-1][run], pair[1:][run], row[2:][run]),
-    )
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return words | RARE
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.rank[at], words | RARE)
+
+
+class Grams:
+    """Distinct tokens, pairs and triples of some texts, and which of them ends at each position (-1: none)."""
+
+    def __init__(self, codes: np.ndarray, row: np.ndarray):
+        self.vocab, self.word = np.unique(codes, return_inverse=True)
+        words, size = len(self.vocab), len(codes)
+        same = row[1:] == row[:-1]
+        self.pair, self.triple = np.full(size, -1), np.full(size, -1)
+        self.pairs, self.pair[1:][same] = np.unique((self.word[:-1] * words + self.word[1:])[same], return_inverse=True)
+        run = same[1:] & same[:-1]
+        self.triples, self.triple[2:][run] = np.unique((self.pair[1:-1] * words + self.word[2:])[run], return_inverse=True)
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of what to ask for: triples, pairs (after a 0) and rare tokens (after two), each sorted."""
+        words = max(len(self.vocab), 1)
+        pair, last = np.divmod(self.triples, words)
+        first, second = np.divmod(self.pairs, words)
+        rare = self.vocab[self.vocab >= RARE]
+        none = lambda n: np.zeros(n, np.uint64)
+        return (
+            np.concatenate([self.vocab[first[pair]], none(len(first) + len(rare))]),
+            np.concatenate([self.vocab[second[pair]], self.vocab[first], none(len(rare))]),
+            np.concatenate([self.vocab[last], self.vocab[second], rare]),
+        )
+
+    def times(self, trains: np.ndarray) -> np.ndarray:
+        """How often each n-gram asked for ends at a position that trains."""
+        count = lambda at, n: np.bincount(at[trains & (at >= 0)], minlength=n)
+        return np.concatenate([count(self.triple, len(self.triples)), count(self.pair, len(self.pairs)),
+                               count(self.word, len(self.vocab))[self.vocab >= RARE]])
 
 
-def ngram_batches(batches):
-    """Counts of pairs and triples with their histories and shorter n-grams, combined within the task."""
-    held, size = [], 0
+class Automaton:
+    """The part of the automaton that the given n-grams can meet. States: 0 the root, then the tokens, then the pairs."""
+
+    def __init__(self, grams: Grams, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, unit: float):
+        """``words``, ``pairs``, ``triples``: training counts of each; ``unit``: N + V + 1."""
+        size = max(len(grams.vocab), 1)
+        self.tokens = len(grams.vocab)
+        first, second = np.divmod(grams.pairs, size)
+        history = grams.triples // size
+        shorter = np.full(len(grams.triples), -1)  # a triple's last two tokens
+        ends = grams.triple >= 0
+        shorter[grams.triple[ends]] = grams.pair[ends]
+        p1 = (words + 1) / unit
+        p2 = (pairs + PRIOR * p1[second]) / (words[first] + PRIOR)
+        p3 = (triples + PRIOR * p2[shorter]) / (pairs[history] + PRIOR) if len(triples) else np.zeros(0)
+        self.fail = np.concatenate([np.zeros(1 + self.tokens, np.int64), 1 + second])
+        self.back = np.log10(PRIOR / (np.concatenate([[0], words, pairs]) + PRIOR))
+        state = 1 + np.arange(self.tokens)
+        # arcs from the root, from tokens and from pairs: weight, end (-1 where there is no arc)
+        self.weight = [np.log10(p1), np.log10(p2), np.log10(p3)]
+        pair_state = 1 + self.tokens + np.arange(len(pairs))
+        self.end = [np.where(words > 0, state, 0), np.where(pairs > 0, pair_state, -1), np.where(triples > 0, pair_state[shorter] if len(triples) else 0, -1)]
+
+    def read(self, grams: Grams, offsets: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text (``offsets``: its first token), read from left to right in stretches side by
+        side. A stretch within a text starts two tokens earlier at the root: no state looks back further."""
+        lengths = np.diff(offsets)
+        stretches = -(-lengths // PIECE)
+        text = np.repeat(np.arange(len(lengths)), stretches)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        begin = offsets[text] + nth * PIECE
+        stop = np.minimum(begin + PIECE, offsets[text + 1])
+        start = np.maximum(begin - 2, offsets[text])
+        order = np.argsort(start - stop, kind="stable")
+        start, begin, stop = start[order], begin[order], stop[order]
+        total, state = np.zeros(len(start)), np.zeros(len(start), np.int64)
+        met = [grams.word, grams.pair, grams.triple]
+        live = len(start)
+        for step in range(int((stop - start).max(initial=0))):
+            while start[live - 1] + step >= stop[live - 1]:
+                live -= 1
+            at, s = start[:live] + step, state[:live]
+            cost, open_ = np.zeros(live), np.ones(live, bool)
+            for depth, least in ((2, self.tokens), (1, 0), (0, -1)):
+                here = np.flatnonzero(open_ & (s > least))
+                arc = met[depth][at[here]]
+                end = self.end[depth][arc] if len(here) else arc
+                hit = end >= 0
+                there, gone = here[hit], here[~hit]
+                cost[there] += self.weight[depth][arc[hit]]
+                s[there] = end[hit]
+                open_[there] = False
+                cost[gone] += self.back[s[gone]]
+                s[gone] = self.fail[s[gone]]
+            total[:live] += np.where(at >= begin[:live], cost, 0.0)
+        return np.bincount(text[order], total, len(lengths))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns as one compressed block, first bytes first, since the high bytes are mostly zero."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def unpacked(block: bytes, *columns: tuple[type, int]) -> list[np.ndarray]:
+    sizes = [np.dtype(t).itemsize * n for t, n in columns]
+    raw, found, at = np.frombuffer(pa.decompress(block, sum(sizes), "zstd"), np.uint8), [], 0
+    for (t, n), size in zip(columns, sizes):
+        found.append(np.ascontiguousarray(raw[at:at + size].reshape(np.dtype(t).itemsize, n).T).view(t).ravel())
+        at += size
+    return found
+
+
+def short_codes(codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """32-bit codes: rare tokens by their place in ``rare``, from the top."""
+    short = codes.astype(np.uint32)
+    at = codes >= RARE
+    short[at] = np.uint32(1 << 31) + np.searchsorted(rare, codes[at]).astype(np.uint32)
+    return short
+
+
+def long_codes(short: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    codes = short.astype(np.uint64)
+    at = short >= np.uint32(1 << 31)
+    codes[at] = rare[short[at] - np.uint32(1 << 31)]
+    return codes
+
+
+def gram_hash(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return mixed(mixed(mixed(x * ODD + np.uint64(1)) + y) * ODD + z)
+
+
+def groups_of(batches, frequent: Frequent):
+    """Groups of texts: number, codes and rows of the tokens, ids, and the columns ``held_out`` and ``trains``."""
+    number, held, size = None, [], 0
 
     def flush():
-        for three in (False, True):
-            gram, history, shorter = (np.concatenate([h[three][i] for h in held]) for i in range(3))
-            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
-            longs = [gram.view(np.int64), history[at].view(np.int64), shorter[at].view(np.int64), n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), three)), *map(pa.array, longs)], ["three", "code", "history", "shorter", "n"])
+        codes, lengths = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        return number, codes, np.repeat(np.arange(len(lengths)), lengths), lengths, pa.concat_tables(h[2] for h in held)
 
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
+        rest = pa.Table.from_batches([batch.select(["doc_id", "held_out", "trains"])])
+        if number is None and len(batch):
+            number = batch.column("part")[0].as_py() << 32
         for a, b in row_blocks(offsets):
-            held.append(ngrams_of(*token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])))
-            size += len(held[-1][0][0])
-            if size > FLUSH:
-                yield from flush()
-                held, size = [], 0
+            words, row = token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            if held and size + len(words) > GROUP:
+                yield flush()
+                number, held, size = number + 1, [], 0
+            held.append((frequent.codes(words), np.bincount(row, minlength=b - a), rest.slice(a, b - a)))
+            size += len(words)
     if held:
-        yield from flush()
+        yield flush()
 
 
-class Automaton:
-    """The model for few words. States are histories: 0 is the root, then one per token, then one per pair that begins a kept triple."""
-
-    def __init__(self, unigram: np.ndarray, counts: np.ndarray, ngrams: dict[int, int]):
-        """``unigram``: log10 probability of each word; ``counts``: its occurrences; ``ngrams``: code -> count."""
-        words = len(unigram)
-        pairs, triples = {}, {}
-        for code, n in ngrams.items():
-            if code >> 40:
-                code -= 1 << 40
-                triples.setdefault(code // PAIR_WORDS, {})[code % PAIR_WORDS] = n
-            else:
-                pairs.setdefault(code // PAIR_WORDS, {})[code % PAIR_WORDS] = n
-        p_uni = 10.0 ** unigram
-        self.fail, self.back, self.drop = [0] * (words + 1), [0.0] * (words + 1), [0.0] * (words + 1)
-        self.arc: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.target: list[int] = []
-        state = {}
-        for code in sorted(triples):
-            u, w = divmod(code, PAIR_WORDS)
-            if w in pairs.get(u, {}):
-                state[code] = len(self.fail)
-                self.fail.append(1 + w)
-                self.back.append(0.0)
-                self.drop.append(0.0)
-        for x in range(words):
-            self.add(0, x, float(unigram[x]), 1 + x)
-        given = {}
-        for u, after in pairs.items():
-            p = {x: (n - DISCOUNT) / max(counts[u], n) for x, n in after.items()}
-            given[u] = p
-            left = max(1 - sum(p.values()), 1e-9)
-            rest = max(1 - sum(p_uni[x] for x in p), 1e-9)
-            self.back[1 + u] = math.log10(left / rest)
-            for x, q in p.items():
-                self.add(1 + u, x, math.log10(q), state.get(u * PAIR_WORDS + x, 1 + x))
-        for code, s in state.items():
-            u, w = divmod(code, PAIR_WORDS)
-            total = pairs[u][w]
-            p = {x: (n - DISCOUNT) / max(total, n) for x, n in triples[code].items()}
-            lower = sum(given[w][x] if x in given.get(w, {}) else p_uni[x] * 10 ** self.back[1 + w] for x in p)
-            self.back[s] = math.log10(max(1 - sum(p.values()), 1e-9) / max(1 - lower, 1e-9))
-            for x, q in p.items():
-                self.add(s, x, math.log10(q), state.get(w * PAIR_WORDS + x, 1 + x))
-        for s in range(1, len(self.fail)):
-            at = s
-            while at:
-                self.drop[s] += self.back[at]
-                at = self.fail[at]
-
-    def add(self, state: int, word: int, weight: float, target: int) -> None:
-        self.arc[state * PAIR_WORDS + word] = len(self.weight)
-        self.weight.append(weight)
-        self.target.append(target)
-
-    def score(self, codes: list[int]) -> float:
-        """Log10 probability; a word without a code (-1) adds only the failure weights on the way to the root."""
-        total, state = 0.0, 0
-        arc, weight, target, back, fail, drop = self.arc, self.weight, self.target, self.back, self.fail, self.drop
-        for x in codes:
-            if x < 0:
-                total += drop[state]
-                state = 0
-                continue
-            hit = arc.get(state * PAIR_WORDS + x)
-            while hit is None:
-                total += back[state]
-                state = fail[state]
-                hit = arc.get(state * PAIR_WORDS + x)
-            total += weight[hit]
-            state = target[hit]
-        return total
-
-
-@dataclass
-class Weights:
-    """Sorted hashes of n-grams, with the share of each in the score and in the base score."""
-
-    hashes: np.ndarray
-    weight: np.ndarray
-    single: np.ndarray
-
-    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each n-gram and whether it is held."""
-        if not len(self.hashes):
-            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
-        return at, self.hashes[at] == grams
+def checksum(codes: np.ndarray) -> int:
+    """Of codes and their order: both readings of the texts must have formed the same groups."""
+    return int(mixed(codes + np.arange(len(codes), dtype=np.uint64) * ODD).sum(dtype=np.uint64).view(np.int64))
 
 
-def score_batches(held_by_tasks):
-    def run(batches):
-        from pyspark import TaskContext
-
-        model = held_by_tasks.value
-        key = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in row_blocks(offsets):
-                words, row = token_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                rows = b - a
-                pairs, triples = ngrams_of(words, row)
-                gram, of = np.concatenate([words, pairs[0], triples[0]]), np.concatenate([row, pairs[3], triples[3]])
-                at, known = model.of(gram)
-                totals = [np.zeros(rows)] * 3
-                if known.any():
-                    single = model.single[at[known]]
-                    totals = [np.bincount(of[known], x, rows) for x in (single > 0, single, model.weight[at[known]])]
-                keys = key + np.arange(rows)
-                key += rows
-                none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys), none, none, batch.column("doc_id").slice(a, rows), batch.column("held_out").slice(a, rows),
-                        pa.array(np.bincount(row, minlength=rows)), pa.array(totals[0].astype(np.int64)), pa.array(totals[1]), pa.array(totals[2]),
-                    ],
-                    NAMES,
-                )
-                gram, of = gram[~known], of[~known]
-                _, at, n = np.unique(mixed(gram + of.astype(np.uint64) * ODD), return_index=True, return_counts=True)
-                if len(n):
-                    nothing = [pa.nulls(len(n), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[of[at]]), pa.array(gram[at].view(np.int64)), pa.array(n), *nothing], NAMES)
+BLOCKS = "bucket int, grp long, sum long, n int, rare int, docs int, data binary"
 
-    return run
 
+def blocks(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names)
 
-NAMES = ["key", "code", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-SCHEMA = "key long, code long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
+def bucket_order(asked: tuple, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is asked for in order of buckets, and where each bucket begins."""
+    bucket = (gram_hash(*asked) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
 
-def ngram_weights(training: DataFrame, counts: DataFrame, unit: float) -> DataFrame:
-    """``weight`` of each n-gram (``code``) of the training texts, how often it occurs (``n``), and ``single``, what a
-    token has in the base score (0 for pairs and triples). ``unit`` is left out of both; each token pays it once."""
-    grams = training.mapInArrow(ngram_batches, "three boolean, code long, history long, shorter long, n long").groupBy("code").agg(
-        F.first("three").alias("three"), F.first("history").alias("history"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
-    grams = stored(grams, "grams")
 
-    def histories(seen: DataFrame) -> DataFrame:
-        """Occurrences of each history and its backoff weight; ``p`` is the shorter history's probability."""
-        summed_up = seen.groupBy("history").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum("p").alias("lower"))
-        left, rest = F.lit(DISCOUNT) * F.col("kinds") / F.col("all"), F.greatest(F.lit(1.0) - F.col("lower"), F.lit(1e-15))
-        return stored(summed_up.select("history", "all", F.log10(left / rest).alias("back")), "histories")
+def ask_batches(held_by_tasks, buckets: int):
+    """A block a bucket: the n-grams of a group and how often each occurs in its training texts."""
 
-    share = (F.col("n") - DISCOUNT) / F.col("all")
-    more = F.log10(share) - F.col("back") - F.log10("p")
-    last = counts.select(F.col("code").alias("shorter"), ((F.col("n") + 1.0) / F.lit(10.0**unit)).alias("p"))
-    pairs = stored(grams.where("NOT three").join(last, "shorter").select("code", "history", "n", "p"), "pairs")
-    after_one = histories(pairs)
-    pairs = stored(pairs.join(after_one, "history").select("code", "n", share.alias("share"), more.alias("more")), "pairs")
-    triples = stored(grams.where("three").join(pairs.select(F.col("code").alias("shorter"), F.col("share").alias("p")), "shorter")
-                     .select("code", "history", "n", "p"), "triples")
-    after_two = histories(triples)
-    triples = triples.join(after_two, "history").select("code", "n", more.alias("weight"), F.lit(0.0).alias("single"))
+    def run(batches):
+        for number, codes, row, _, rest in groups_of(batches, held_by_tasks.value):
+            grams = Grams(codes, row)
+            asked, times = grams.asked(), grams.times(rest.column("trains").to_numpy()[row]).astype(np.uint32)
+            order, begin = bucket_order(asked, buckets)
+            rows, total = [], checksum(codes)
+            for bucket in np.flatnonzero(np.diff(begin)):
+                of = order[begin[bucket]:begin[bucket + 1]]
+                part = [c[of] for c in asked]
+                rare = np.unique(np.concatenate([c[c >= RARE] for c in part]))
+                x, y, z = (short_codes(c, rare) for c in part)
+                data = packed(np.diff(x, prepend=np.uint32(0)), y, z, times[of], rare)
+                rows.append((int(bucket), number, total, len(of), len(rare), 0, data))
+            yield blocks(rows)
+
+    return released(run)
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """All blocks of a bucket, each answered by the counts of its n-grams over all groups."""
+    parts, rows = [], table.to_pylist()
+    for r in rows:
+        n, rare = r["n"], r["rare"]
+        step, y, z, times, words = unpacked(r["data"], (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint64, rare))
+        r["data"] = None
+        x = np.cumsum(step, dtype=np.uint32)
+        parts.append((gram_hash(*(long_codes(c, words) for c in (x, y, z))), times))
+    _, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.uint64)[of]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return pa.Table.from_batches([blocks([
+        (r["bucket"], r["grp"], r["sum"], r["n"], 0, 0, packed(count[end - r["n"]:end])) for r, end in zip(rows, ends)])])
+
+
+def text_batches(held_by_tasks):
+    """A block a group: the codes of its tokens, the lengths of its texts, their ids and marks."""
 
-    def with_back(seen: DataFrame, weight: Column, single: Column, after: DataFrame) -> DataFrame:
-        back = after.select(F.col("history").alias("code"), "back")
-        return seen.join(back, "code", "left").select("code", "n", (weight + F.coalesce("back", F.lit(0.0))).alias("weight"), single.alias("single"))
+    def run(batches):
+        for number, codes, _, lengths, rest in groups_of(batches, held_by_tasks.value):
+            rare = np.unique(codes[codes >= RARE])
+            ids = rest.column("doc_id")
+            marks = rest.column("held_out").to_numpy().astype(np.uint8) + 2 * ids.is_null().to_numpy().astype(np.uint8)
+            data = packed(short_codes(codes, rare), rare, lengths.astype(np.int64), ids.fill_null(0).to_numpy(), marks)
+            yield blocks([(-1, number, checksum(codes), len(codes), len(rare), len(lengths), data)])
+
+    return released(run)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def read_group(held_by_tasks, buckets: int, unit: float):
+    """The texts of a group read by the automaton of its n-grams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        texts = [r for r in rows if r["bucket"] < 0]
+        if len(texts) != 1 or {r["sum"] for r in rows} != {texts[0]["sum"]}:
+            raise RuntimeError("the texts were not read twice in the same order: score a stored table")
+        n, rare, docs = texts[0]["n"], texts[0]["rare"], texts[0]["docs"]
+        short, words, lengths, ids, marks = unpacked(texts[0]["data"], (np.uint32, n), (np.uint64, rare), (np.int64, docs), (np.int64, docs), (np.uint8, docs))
+        codes, offsets = long_codes(short, words), np.append(0, np.cumsum(lengths))
+        row = np.repeat(np.arange(docs), lengths)
+        grams = Grams(codes, row)
+        order, begin = bucket_order(grams.asked(), buckets)
+        counts = np.zeros(len(order), np.uint64)
+        for r in rows:
+            if r["bucket"] >= 0:
+                counts[order[begin[r["bucket"]]:begin[r["bucket"] + 1]]] = unpacked(r["data"], (np.uint64, r["n"]))[0]
+        triples, pairs, few = np.split(counts.astype(np.float64), np.cumsum([len(grams.triples), len(grams.pairs)]))
+        usual = grams.vocab[grams.vocab < RARE].astype(np.int64)
+        single = np.concatenate([held_by_tasks.value.counts[usual].astype(np.float64), few])
+        automaton = Automaton(grams, single, pairs, triples, unit)
+        sums = lambda x: np.bincount(row, x[grams.word], docs)
+        return pa.table({
+            "doc_id": pa.array(ids, mask=marks >= 2), "held_out": pa.array((marks & 1).astype(bool)), "n_tokens": pa.array(lengths),
+            "n_known": pa.array(sums((single > 0).astype(float)).astype(np.int64)),
+            "base_score": pa.array(sums(np.log10((single + 1) / unit))), "score": pa.array(automaton.read(grams, offsets)),
+        })
 
-    single = F.log10(F.col("n") + 1.0)
-    ones = with_back(counts, single, single, after_one)
-    twos = with_back(pairs, F.col("more"), F.lit(0.0), after_two)
-    return stored(ones.unionByName(twos).unionByName(triples), "weights")
+    return run
 
 
-def most_frequent(weights: DataFrame) -> Weights:
-    """The weights of up to FREQUENT n-grams: all that occur at least so often."""
+def most_frequent(counts: DataFrame) -> Frequent:
+    """Up to FREQUENT tokens: all that occur at least so often."""
     room, least = FREQUENT, None
-    for n, size in weights.where("n > 1").groupBy("n").count().orderBy(F.desc("n")).limit(FREQUENT).collect():
+    for n, size in counts.where("n > 1").groupBy("n").count().orderBy(F.desc("n")).limit(FREQUENT).collect():
         if size > room:
             break
         room, least = room - size, n
     if least is None:
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    found = weights.where(F.col("n") >= least).select("code", "weight", "single").toArrow()  # bounded by a parameter
-    hashes = found.column("code").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return Weights(hashes[order], found.column("weight").to_numpy()[order], found.column("single").to_numpy()[order])
+        return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = counts.where(F.col("n") >= least).select("code", "n").toArrow()  # bounded by a parameter
+    return Frequent(found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy())
 
 
 def score_texts(docs: DataFrame, trains: Column) -> DataFrame:
-    """Each document with ``held_out`` (it did not train), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    and ``score``, the model's log10 probability of the text.
-
-    Null text is empty and consists of the end token alone. Every row gets a result, also repeated ones and those with
-    a null id (which do not train). Without training texts all scores are 0. An empty table gives an empty result.
+    """Each document with ``held_out`` (``trains`` is false), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
+    and ``score``, the automaton's log10 probability of the text.
+
+    ``docs`` is read three times and must give the same rows in the same order, as a table does; else it fails.
+    Null text is empty and consists of the end token alone. Every row gets a result, also repeated ones. Where
+    ``trains`` is null, as for a null id, a row neither trains nor counts as held out. Without training texts all tokens
+    are unknown and share 1. A text of any length is read whole; a group holds it and its n-grams in memory. An empty
+    table gives an empty result.
     """
     marked = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"),
-                         (~F.coalesce(trains, F.lit(False))).alias("held_out"))
-    training = marked.where(~F.col("held_out")).select("text")
-    counts = stored(training.mapInArrow(count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts")
+                         F.coalesce(~trains, F.lit(False)).alias("held_out"), F.coalesce(trains, F.lit(False)).alias("trains"),
+                         F.spark_partition_id().alias("part"))
+    training = marked.where("trains").select("text")
+    counts = stored(training.mapInArrow(released(count_batches), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    unit = math.log10(total + kinds + 1)
-    weights = ngram_weights(training, counts, unit)
-    held_by_tasks = docs.sparkSession.sparkContext.broadcast(most_frequent(weights))
-    scored = stored(marked.mapInArrow(score_batches(held_by_tasks), SCHEMA), "scored")
-    times = F.col("times")
-    rare = scored.where(F.col("code").isNotNull()).select("key", "code", "times").join(weights.drop("n"), "code").groupBy("key").agg(
-        F.sum(times * F.col("weight")).alias("more"), F.sum(times * F.col("single")).alias("more_base"),
-        F.sum(F.when(F.col("single") > 0, times).otherwise(0)).alias("also_known"),
-    )
-    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0))
-    paid = F.col("n_tokens") * F.lit(unit)
-    return scored.where(F.col("code").isNull()).join(rare, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "also_known").cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (plus("base", "more_base") - paid).alias("base_score"),
-        (plus("score", "more") - paid).alias("score"),
-    )
+    unit = float(total + kinds + 1)
+    buckets = total // (1 << 20) + 1
+    held_by_tasks = docs.sparkSession.sparkContext.broadcast(most_frequent(counts))
+    asked = marked.mapInArrow(ask_batches(held_by_tasks, buckets), BLOCKS).repartition(buckets, "bucket")
+    answers = asked.groupBy("bucket").applyInArrow(answer, BLOCKS)
+    texts = marked.mapInArrow(text_batches(held_by_tasks), BLOCKS)
+    grouped = answers.unionByName(texts).repartition(buckets, "grp").groupBy("grp")
+    return grouped.applyInArrow(read_group(held_by_tasks, buckets, unit), SCORES).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -385,7 +385,7 @@ def test_scores(sample, rows, empty, monkeypatch, frequent):
     count = collections.Counter(w for i, ws in tokens if trains(i) for w in ws)
     total, kinds = sum(count.values()), len(count)
     expected = collections.Counter(
-        (-1 if i is None else i, not trains(i), len(ws), sum(count[w] > 0 for w in ws), total, round(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws), 3))
+        (-1 if i is None else i, i is not None and not trains(i), len(ws), sum(count[w] > 0 for w in ws), total, round(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws), 3))
         for i, ws in tokens
     )
     got = lm.score_texts(sample, fold(7) != 2).collect()
@@ -406,22 +406,12 @@ def test_scores_use_every_ngram(spark, monkeypatch, frequent):
     tokens = {i: (t or "").split() + [None] for i, t in rows}
     count = [collections.Counter(tuple(ws[j:j + n]) for i, ws in tokens.items() if trains(i) for j in range(len(ws) - n + 1)) for n in (1, 2, 3)]
     unit = sum(count[0].values()) + len(count[0]) + 1
-    after = collections.defaultdict(list)
-    for c in count[1:]:
-        for g in c:
-            after[g[:-1]].append(g[-1])
 
     def p(history, x):
         if not history:
             return (count[0][(x,)] + 1) / unit
-        if history not in after:
-            return p(history[1:], x)
-        seen = count[len(history)]
-        total = sum(seen[(*history, y)] for y in after[history])
-        if (*history, x) in seen:
-            return (seen[(*history, x)] - 0.5) / total
-        rest = 1 - sum(p(history[1:], y) for y in after[history])
-        return 0.5 * len(after[history]) / total / rest * p(history[1:], x)
+        seen, shares = count[len(history)], count[len(history) - 1][history]
+        return (seen[(*history, x)] + lm.PRIOR * p(history[1:], x)) / (shares + lm.PRIOR)
 
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score_texts(docs, (F.col("doc_id") % 4 != 1) & (F.col("doc_id") < 82)).collect()}
@@ -430,15 +420,37 @@ def test_scores_use_every_ngram(spark, monkeypatch, frequent):
 
 
 def test_automaton_is_a_distribution():
-    unigram = np.log10(np.array([5, 3, 2, 1]) / 12)
-    pair = lambda a, b: a * lm.PAIR_WORDS + b
-    ngrams = {pair(0, 1): 3, pair(1, 0): 2, pair(1, 2): 1, (1 << 40) + pair(pair(0, 1), 2): 2}
-    model = lm.Automaton(unigram, np.array([5, 3, 2, 1]), ngrams)
-    for history in ([], [0], [1], [0, 1], [2], [3]):
-        start = model.score(history)
-        known = sum(10 ** (model.score([*history, x]) - start) for x in range(4))
-        unseen = 10 ** (model.score([*history, -1]) - start) / 12
-        assert abs(known + unseen - 1) < 1e-9
+    """After any history the shares of all tokens and of the unseen one sum to 1."""
+    training = [[0, 1, 2, 3], [0, 1, 0, 1, 3], [2, 0, 3], [1, 1, 3]]  # 3 ends a text
+    counts = [collections.Counter(tuple(t[j:j + n]) for t in training for j in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    unit = sum(counts[0].values()) + len(counts[0]) + 1
+    for history in ([], [0], [1], [0, 1], [2], [4], [1, 2], [1, 1], [4, 0]):
+        texts = [[*history, x] for x in range(5)] + [history or [0]]
+        offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+        grams = lm.Grams(np.concatenate(texts).astype(np.uint64) + np.uint64(1), np.repeat(np.arange(6), np.diff(offsets)))
+        asked = [counts[2 - (x == 0) - (y == 0)][tuple(int(c) - 1 for c in (x, y, z) if c)] for x, y, z in zip(*grams.asked())]
+        triples, pairs = np.split(np.array(asked, float), [len(grams.triples)])
+        words = np.array([counts[0][(int(c) - 1,)] for c in grams.vocab], float)
+        scores = lm.Automaton(grams, words, pairs, triples, unit).read(grams, offsets)
+        start = scores[5] if history else 0.0
+        assert sum(10 ** (s - start) for s in scores[:5]) == pytest.approx(1, abs=1e-9)
+
+
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes, lengths = rng.integers(1, 20, 900).astype(np.uint64), np.array([1, 500, 2, 0, 397])
+    grams = lm.Grams(codes, np.repeat(np.arange(5), lengths))
+    counts = [rng.integers(0, 4, len(x)).astype(float) for x in (grams.vocab, grams.pairs, grams.triples)]
+    ends = grams.triple >= 0
+    low = np.zeros(len(grams.triples))
+    low[grams.triple[ends]] = counts[1][grams.pair[ends]]
+    counts[2] *= (low > 0) & (counts[1][grams.triples // len(grams.vocab)] > 0)
+    automaton = lm.Automaton(grams, counts[0], counts[1], counts[2], 100.0)
+    whole = []
+    for size in (7, 256, 1_000):
+        monkeypatch.setattr(lm, "PIECE", size)
+        whole.append(automaton.read(grams, np.append(0, np.cumsum(lengths))))
+    assert np.allclose(whole[0], whole[2]) and np.allclose(whole[1], whole[2]) and whole[2][3] == 0
 
 
 # --- 10 fingerprints -----------------------------------------------------------------------------
