@@ -441,6 +441,8 @@ def test_long_texts_are_read_in_stretches(monkeypatch):
     codes, lengths = rng.integers(1, 20, 900).astype(np.uint64), np.array([1, 500, 2, 0, 397])
     grams = lm.Grams(codes, np.repeat(np.arange(5), lengths))
     counts = [rng.integers(0, 4, len(x)).astype(float) for x in (grams.vocab, grams.pairs, grams.triples)]
+    for tokens in np.divmod(grams.pairs, len(grams.vocab)):  # what is seen has seen parts
+        counts[1] *= counts[0][tokens] > 0
     ends = grams.triple >= 0
     low = np.zeros(len(grams.triples))
     low[grams.triple[ends]] = counts[1][grams.pair[ends]]
