@@ -24,10 +24,10 @@ from rxlake.llm.common import row_blocks, utf8
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-CLASSES = 128  # the bytes most frequent in the sample; the others, and padding, share class 0
+CLASSES = 256  # every byte has its own, by frequency in the sample; padding shares class 0 with one that UTF-8 never has
 PER_LANGUAGE = 300  # training documents of each language, about
 PER_TEXT = 6  # training windows of each document
-LANGUAGES = 256  # most languages learned, the most frequent ones
+LANGUAGES = 10_000  # more names of languages than this are refused, as the column then holds something else
 EPOCHS = 8
 
 
@@ -62,7 +62,8 @@ def trained(texts: list[str], labels: list[str], languages: list[str], seed: int
     """Adam on minibatches; only the winning place of each filter passes a gradient."""
     rng = np.random.default_rng(seed)
     data, offsets = utf8(pc.utf8_lower(pa.array(texts, pa.string())))
-    frequent = np.argsort(-np.bincount(data, minlength=256), kind="stable")[: CLASSES - 1]
+    frequent = np.argsort(-np.bincount(data, minlength=256), kind="stable")
+    frequent = frequent[frequent != 0xFF][: CLASSES - 1]
     byte_class = np.zeros(256, np.int64)
     byte_class[frequent] = np.arange(1, len(frequent) + 1)
     start, end, row = windows_of(data, offsets)
@@ -168,7 +169,9 @@ def predict_batches(network: Network):
 def sample(docs: DataFrame, trains: Column) -> tuple[list[str], list[str], list[str]]:
     """Texts and languages to learn from, and the languages."""
     usable = docs.where(trains & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not counts:
         return [], [], []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(1_000_000 * min(1.0, PER_LANGUAGE / r["n"])) + 1)])
@@ -183,7 +186,8 @@ def identify(docs: DataFrame, trains: Column, carry: list[str] = ("doc_id",)) ->
 
     Learns from rows where ``trains`` holds, ``lang`` is not null and the text has a letter. Null texts and texts
     without a letter are ``und`` with score 0; so is everything if nothing can be learned. Every row gets a result,
-    also repeated ones and those with a null id. An empty table gives an empty result.
+    also repeated ones and those with a null id. A text of any length is read whole, window by window. More than
+    LANGUAGES languages are an error; none is left out. An empty table gives an empty result.
     """
     texts, labels, languages = sample(docs, trains)
     kept = docs.select(

@@ -181,6 +181,21 @@ def test_language(spark, empty):
     assert langid.identify(empty, F.lit(True)).count() == 0
 
 
+def test_every_language_and_byte_counts(spark, monkeypatch):
+    """Bytes that few texts hold are told apart; more languages than allowed are an error, not left out."""
+    latin = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which"
+    few = {"el": "αβγδεζηθικλμν", "he": "אבגדהוזחטיכלמ"}
+    rng = np.random.default_rng(8)
+    words = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40))
+    rows = [(i, f"{latin} {i} {latin}", "en") for i in range(200)] + [(200 + i, words(few[x]), x) for i, x in enumerate(["el", "he"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, F.col("doc_id") % 4 != 2, ["doc_id", "lang"]).collect()
+    assert len(got) == len(rows) and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.identify(docs, F.lit(True))
+
+
 # --- 4 top-k -------------------------------------------------------------------------------------
 
 
