@@ -31,7 +31,7 @@ END = np.uint64(0x656E64)
 FREQUENT = 300_000  # tokens whose codes and counts every task holds
 PRIOR = 4.0
 FLUSH = 2_000_000
-GROUP = 1_500_000  # tokens of a group of texts; a longer text is a group by itself
+GROUP = 1_000_000  # tokens of a group of texts; a longer text is a group by itself
 PIECE = 256  # tokens read at a stretch, many stretches side by side
 RARE = np.uint64(1 << 63)
 
@@ -336,6 +336,12 @@ def read_group(held_by_tasks, buckets: int, unit: float):
     return run
 
 
+def freed(run):
+    """A function of one table, after which its worker gives freed memory back."""
+    batchwise = released(lambda tables: map(run, tables))
+    return lambda table: list(batchwise([table]))[0]
+
+
 def most_frequent(counts: DataFrame) -> Frequent:
     """Up to FREQUENT tokens: all that occur at least so often."""
     room, least = FREQUENT, None
@@ -369,8 +375,8 @@ def score_texts(docs: DataFrame, trains: Column) -> DataFrame:
     buckets = total // (1 << 20) + 1
     held_by_tasks = docs.sparkSession.sparkContext.broadcast(most_frequent(counts))
     asked = marked.mapInArrow(ask_batches(held_by_tasks, buckets), BLOCKS).repartition(buckets, "bucket")
-    answers = asked.groupBy("bucket").applyInArrow(answer, BLOCKS)
+    answers = asked.groupBy("bucket").applyInArrow(freed(answer), BLOCKS)
     texts = marked.mapInArrow(text_batches(held_by_tasks), BLOCKS)
     grouped = answers.unionByName(texts).repartition(buckets, "grp").groupBy("grp")
-    return grouped.applyInArrow(read_group(held_by_tasks, buckets, unit), SCORES).select(
+    return grouped.applyInArrow(freed(read_group(held_by_tasks, buckets, unit)), SCORES).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
