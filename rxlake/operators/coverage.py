@@ -59,6 +59,84 @@ def tier_from_stems(molecules: DataFrame, rules: list[tuple[str, str]]) -> DataF
     )
 
 
+#: A rule whose pattern names no text that every match must hold is tested on every name; more such rules are an error.
+OPEN_RULES = 200
+#: Pieces by which rules with a required text meet names.
+PIECE = 4
+
+
+def required_texts(pattern: Column) -> Column:
+    """Array of lower-case texts of which every match of the regular expression holds at least one; null if none is known.
+
+    One outer group of plain alternatives is written out (``(rod|ring)$`` holds ``rod`` or ``ring``); other groups,
+    classes, escapes, optional and repeated characters are skipped. What is skipped only shortens a text.
+    """
+    gap = "\u0001"
+    # Escapes and flags that change how later characters read: nothing is known.
+    unread = pattern.rlike(r"\\[QEpPxukcN0-9]|\(\?[a-zA-Z-]*[xu]")
+    p = F.regexp_replace(pattern, r"\\.", gap)
+    p = F.regexp_replace(p, r"\[[^\]]*\]([?*+]|\{[^}]*\})*", gap)
+    # A group of plain alternatives without a quantifier, and nothing else that branches.
+    inner = F.regexp_extract(p, r"^[^()|\[\]]*\(([a-zA-Z0-9 |-]+)\)(?![?*+{])[^()|\[\]]*$", 1)
+    rest = p
+    for _ in range(4):
+        rest = F.regexp_replace(rest, r"\([^()]*\)([?*+]|\{[^}]*\})*", gap)
+    rest = F.when(rest.rlike(r"[()\[\]]"), gap).otherwise(rest)
+    runs = lambda text: F.split(
+        F.lower(F.regexp_replace(text, r".[?*]|.\{[^}]*\}|[^a-zA-Z0-9 -]", gap)), gap
+    )
+    longest = lambda text: F.aggregate(
+        runs(text), F.lit(""), lambda best, r: F.when(F.char_length(r) > F.char_length(best), r).otherwise(best)
+    )
+    outer = F.when(F.contains(rest, F.lit("|")), F.transform(F.split(rest, r"\|"), longest)).otherwise(F.array(longest(rest)))
+    grouped = F.transform(F.split(inner, r"\|"), longest)
+    shortest = lambda texts: F.array_min(F.transform(texts, F.char_length))
+    chosen = F.when((inner != "") & (shortest(grouped) > shortest(outer)), grouped).otherwise(outer)
+    return F.when(~unread & (shortest(chosen) > 0), chosen)
+
+
+def _pieces(text: Column, size: int) -> Column:
+    n = F.char_length(text)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def tier_from_stem_table(molecules: DataFrame, rules: DataFrame) -> DataFrame:
+    """Group of the first matching rule of a table ``rule_no, pattern, atc_group``, per ``molecule_id``.
+
+    Rules with a blank pattern or group, or for a covered group, are refused as in :func:`accepted_stem_rules`. A rule
+    meets only names that hold the first letters of a text its pattern requires (an equi-join on that piece, then the
+    pattern itself), so thousands of rules cost what they match. Rules without such a text become one expression over
+    the names; more than ``OPEN_RULES`` of them raise an error. Rules of equal number count in the order of their
+    patterns. Names that are null match nothing.
+    """
+    clean = rules.select(
+        F.col("rule_no").cast("bigint").alias("rule_no"), F.trim("pattern").alias("pattern"), F.upper(F.trim("atc_group")).alias("atc_group")
+    ).filter((F.col("pattern") != "") & (F.col("atc_group") != "") & ~F.col("atc_group").isin(sorted(V.COVERED_ATC_GROUPS)))
+    known = clean.withColumn("texts", required_texts(F.col("pattern")))
+    keyed = known.filter("texts IS NOT NULL").select(
+        "rule_no", "pattern", "atc_group", F.explode(F.array_distinct(F.transform("texts", lambda t: F.substring(t, 1, PIECE)))).alias("piece")
+    )
+    open_rules = known.filter("texts IS NULL").orderBy("rule_no", "pattern", "atc_group").drop("texts").limit(OPEN_RULES + 1).collect()  # bounded
+    if len(open_rules) > OPEN_RULES:
+        raise ValueError(f"more than {OPEN_RULES} rules name no text that a match must hold")
+    named = molecules.select("molecule_id", "inn_name").filter("inn_name IS NOT NULL")
+    lowered = F.lower("inn_name")
+    pieces = F.array_distinct(F.concat(*[_pieces(lowered, size) for size in range(1, PIECE + 1)]))
+    met = named.select("molecule_id", "inn_name", F.explode(pieces).alias("piece")).join(keyed, "piece").filter(
+        F.expr("inn_name RLIKE concat('(?i)', pattern)")
+    ).select("molecule_id", F.struct("rule_no", "pattern", "atc_group").alias("rule"))
+    if open_rules:
+        first = F.coalesce(*[
+            F.when(F.col("inn_name").rlike(f"(?i){r['pattern']}"), F.struct(
+                F.lit(r["rule_no"]).cast("bigint").alias("rule_no"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["atc_group"]).alias("atc_group")))
+            for r in open_rules
+        ])
+        met = met.unionByName(named.select("molecule_id", first.alias("rule")).filter("rule IS NOT NULL"))
+    return met.groupBy("molecule_id").agg(F.min("rule").alias("rule")).select("molecule_id", "rule.atc_group", "rule.rule_no")
+
+
 def coverage_groups(molecules: DataFrame, anchored: DataFrame, stems: DataFrame) -> DataFrame:
     """``molecule_id, atc_group, evidence``: anchor evidence first. Covered groups only from anchors."""
     tiers = anchored.select("molecule_id", "atc_group", F.lit(0).alias("t"), F.lit(V.TIER_ANCHOR).alias("evidence")).unionByName(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,8 +11,10 @@ from pyspark.sql import Window
 from rxlake import vocab_constants as V
 from rxlake.functions.normalize import with_normalized
 from rxlake.operators.fuzzy import confusable_partners
+from rxlake.sources.artifacts import stored
 
-GRAM = 3
+#: Fragments up to this length are answered from ranked lists.
+DEPTH = 6
 
 
 def suggestion_labels(surfaces: DataFrame, combinations: DataFrame) -> DataFrame:
@@ -49,62 +53,98 @@ def _grams(text, size: int):
     ).otherwise(F.array().cast("array<string>"))
 
 
-def matches(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct query keys with the labels that contain them.
+@dataclass
+class SuggestionIndex:
+    """Labels by the pieces of their keys, with the best labels of every short piece.
+
+    ``ranked`` (piece, rank, label fields) answers fragments of up to ``DEPTH`` characters: the order of a fragment's
+    labels depends on the fragment and the label alone, so the first ``SUGGEST_MAX_LIMIT`` labels of a piece are the
+    answer to that fragment and the cut is exact. ``long`` (piece, folded, label_key) holds all labels of every piece of
+    ``DEPTH`` characters, for fragments that are longer; ``sizes`` says how many. ``alike`` (label_key, partner_key,
+    other) holds the look-alikes of every label, whether or not they are ever shown.
+    """
+
+    labels: DataFrame
+    ranked: DataFrame
+    long: DataFrame
+    sizes: DataFrame
+    alike: DataFrame
+
+    def prepare(self, folder: str) -> SuggestionIndex:
+        """The same index stored in ``folder``, for many queries."""
+        return SuggestionIndex(**{f.name: stored(getattr(self, f.name), folder, f"suggest-{f.name}") for f in fields(self)})
+
+
+def label_order(fragment):
+    """Labels that start with the fragment go first, then shorter ones, then by their folded form."""
+    return [F.when(F.startswith("label_key", fragment), 0).otherwise(1), F.char_length("label"), F.col("folded")]
+
+
+def suggestion_index(labels: DataFrame, pairs: DataFrame) -> SuggestionIndex:
+    """Index of ``suggestion_labels`` and of the look-alike pairs.
 
-    The join key is a piece of the query of up to three characters that every containing label must
-    hold; of the pieces of a query the one found in the fewest labels is used.
+    A piece that many labels hold costs a task of the ranking at most the limit times the tasks before it: Spark cuts
+    each partition to the first ranks before it shuffles. An empty key has no piece and is never offered.
     """
     key = F.col("label_key")
-    pieces = labels.select(
-        "folded", "label_key",
-        F.explode_outer(F.concat(_grams(key, 1), _grams(key, 2), _grams(key, GRAM))).alias("piece"),
+    cut = F.concat(*[_grams(key, size) for size in range(1, DEPTH + 1)])
+    order = Window.partitionBy("piece").orderBy(*label_order(F.col("piece")))
+    pieces = labels.withColumn("piece", F.explode(cut)).withColumn("rank", F.row_number().over(order))
+    long = labels.select("folded", "label_key", F.explode(_grams(key, DEPTH)).alias("piece"))
+    alike = confusable_partners(pairs).join(
+        labels.select(F.col("label_key").alias("partner"), F.col("label").alias("other")), "partner"
     )
-    frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    return SuggestionIndex(
+        labels=labels, ranked=pieces.filter(F.col("rank") <= V.SUGGEST_MAX_LIMIT), long=long,
+        sizes=long.groupBy("piece").agg(F.count("*").alias("n")),
+        alike=alike.select(F.col("key").alias("label_key"), F.col("partner").alias("partner_key"), "other"),
+    )
+
+
+def matches(queries: DataFrame, index: SuggestionIndex, limit: int) -> DataFrame:
+    """Distinct query keys with their first labels and ranks.
+
+    Keys of up to ``DEPTH`` characters read their ranked list. Longer ones take the piece of ``DEPTH`` characters that
+    the fewest labels hold and test those labels.
+    """
     q = F.col("query_key")
-    size = F.least(F.char_length(q), F.lit(GRAM))
     wanted = queries.select("query_key").filter("query_key <> ''").distinct()
-    cut = F.when(size == 1, _grams(q, 1)).when(size == 2, _grams(q, 2)).otherwise(_grams(q, GRAM))
+    short = wanted.filter(F.char_length(q) <= DEPTH).join(
+        index.ranked.filter(F.col("rank") <= limit).withColumnRenamed("piece", "query_key"), "query_key"
+    )
     rarest = (
-        wanted.select("query_key", F.explode_outer(cut).alias("piece"))
-        .join(frequency, "piece", "left")
+        wanted.filter(F.char_length(q) > DEPTH).select("query_key", F.explode(_grams(q, DEPTH)).alias("piece"))
+        .join(index.sizes, "piece", "left")
         .groupBy("query_key")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
         .select("query_key", F.col("p.piece").alias("piece"))
     )
-    return rarest.join(pieces, "piece").filter(F.contains("label_key", "query_key")).select(
-        "query_key", "folded", "label_key"
-    )
+    held = rarest.join(index.long, "piece").filter(F.contains("label_key", "query_key")).select("query_key", "folded")
+    order = Window.partitionBy("query_key").orderBy(*label_order(q))
+    tested = held.join(index.labels, "folded").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    columns = ["query_key", "rank", *index.labels.columns]
+    return short.select(*columns).unionByName(tested.select(*columns))
 
 
 def suggest(
-    queries: DataFrame, labels: DataFrame, pairs: DataFrame, limit: int = V.SUGGEST_DEFAULT_LIMIT
+    queries: DataFrame, labels: DataFrame, pairs: DataFrame, limit: int = V.SUGGEST_DEFAULT_LIMIT,
+    index: SuggestionIndex | None = None,
 ) -> DataFrame:
     """Ranked suggestions per query with the look-alikes that the same query also finds.
 
     ``queries`` has ``q``. Prefix matches come before inner matches, shorter labels before longer.
     A look-alike counts when it matches the query too, shown or not, so it is tested against the label
-    table rather than against the limited list.
+    table rather than against the limited list. ``index`` is a ``suggestion_index`` of the same labels and pairs; it is
+    built here when it is not given.
     """
     if not 1 <= limit <= V.SUGGEST_MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {V.SUGGEST_MAX_LIMIT}")
+    index = index or suggestion_index(labels, pairs)
     asked = with_normalized(queries.select("q").distinct(), "q", prefix="__").withColumnRenamed("__normalized", "query_key")
-    found = matches(asked, labels).join(labels.drop("label_key"), "folded")
-    rank = F.when(F.startswith("label_key", "query_key"), 0).otherwise(1)
-    order = Window.partitionBy("query_key").orderBy("match_rank", F.char_length("label"), "folded")
-    shown = (
-        found.withColumn("match_rank", rank)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
-    alike = (
-        confusable_partners(pairs)
-        .join(labels.select(F.col("label_key").alias("partner"), F.col("label").alias("other")), "partner")
-        .select(F.col("key").alias("label_key"), F.col("partner").alias("partner_key"), "other")
-    )
+    shown = matches(asked, index, limit)
     flagged = (
-        shown.select("query_key", "label", "label_key").distinct()
-        .join(alike, "label_key")
+        shown.select("query_key", "label", "label_key")
+        .join(index.alike, "label_key")
         .filter(F.contains("partner_key", "query_key") & (F.col("other") != F.col("label")))
         .groupBy("query_key", "label")
         .agg(F.array_join(F.array_sort(F.collect_set("other")), "|").alias("confusable_with"))

@@ -103,10 +103,14 @@ def outcome_index(requests: DataFrame, vocabulary: Vocabulary, threshold: float
     """
     index = vocabulary.index()
     guarded = guarded_candidates(vocabulary, missed_keys(requests, index), threshold)
-    similar = guarded.groupBy(F.col("normalized").alias("key")).agg(
+    return index.unionByName(candidate_counts(guarded), allowMissingColumns=True)
+
+
+def candidate_counts(guarded: DataFrame) -> DataFrame:
+    """Surviving and suppressed candidates of every key that has any."""
+    return guarded.groupBy(F.col("normalized").alias("key")).agg(
         F.count(F.when(F.col("reason").isNull(), 1)).alias("n_kept"), F.count("reason").alias("n_dropped")
     )
-    return index.unionByName(similar, allowMissingColumns=True)
 
 
 def resolve(
@@ -121,12 +125,17 @@ def resolve(
     outcomes = outcome_index(requests, vocabulary, threshold)
     if vocabulary.folder is not None:
         outcomes = stored(outcomes, vocabulary.folder, f"outcomes-{uuid.uuid4().hex}")
+    return answer(requests, outcomes, vocabulary.blocklist_missing)
+
+
+def answer(requests: DataFrame, outcomes: DataFrame, blocklist_missing: bool = False) -> DataFrame:
+    """Requests with what an ``outcome_index`` says of their keys."""
     joined = identify(requests, outcomes)
     zero = F.lit(0).cast("bigint")
     kept = F.coalesce("n_kept", zero)
     open_ = F.col("status").isNull()
     status = F.coalesce("status", F.when(kept > 0, "needs_review").otherwise("unresolved"))
-    guard = F.when(open_ & (F.col("normalized") != "") & F.lit(vocabulary.blocklist_missing), UNGUARDED_NOTE)
+    guard = F.when(open_ & (F.col("normalized") != "") & F.lit(blocklist_missing), UNGUARDED_NOTE)
     note = F.nullif(
         F.concat_ws(
             "; ", F.col("note"), F.when(F.col("normalized") == "", EMPTY_NOTE), F.when(open_ & (kept > 0), REVIEW_NOTE), guard

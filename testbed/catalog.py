@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import uuid
 from collections.abc import Callable
@@ -573,9 +574,15 @@ fragment("f_suggest", """
         FROM n_q q JOIN f_labels l ON contains(l.label_key, q.normalized) WHERE q.normalized <> '') x WHERE rank <= 8""", ["n_q", "f_labels", "f_partners"])
 
 
-def suggestions(d: Domain) -> DataFrame:
+@functools.cache
+def suggestion_index(d: Domain) -> suggest.SuggestionIndex:
     v = vocabulary(d)
-    return suggest.suggest(d.fragments, suggest.suggestion_labels(v.surfaces(), v.combinations), v.pairs)
+    return suggest.suggestion_index(suggest.suggestion_labels(v.surfaces(), v.combinations), v.pairs).prepare(work_folder(d.spark))
+
+
+def suggestions(d: Domain) -> DataFrame:
+    index = suggestion_index(d)
+    return suggest.suggest(d.fragments, index.labels, vocabulary(d).pairs, index=index)
 
 
 @query("suggest", "SELECT q, rank, label, kind, ingredient, molecule_id FROM f_suggest", ["f_suggest"])
@@ -866,6 +873,25 @@ def _(d):
     return d.spark.read.parquet(f"{root}/out")
 
 
+fragment("f_pieces", """
+  SELECT DISTINCT substr(label_key, i, n) AS piece, folded, label, label_key FROM (SELECT *, lower(label) AS folded, unnest(generate_series(1, length(label_key))) AS i FROM f_labels), generate_series(1, 6) g(n) WHERE i + n - 1 <= length(label_key)""", ["f_labels"])
+
+
+@query("suggestion_lists", """SELECT piece, CAST(rank AS INTEGER) AS rank, label FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY CASE WHEN starts_with(label_key, piece) THEN 0 ELSE 1 END, length(label), folded) AS rank FROM f_pieces) WHERE rank <= 25""", ["f_pieces"])
+def _(d):
+    return suggestion_index(d).ranked.select("piece", "rank", "label")
+
+
+norm_fragment("n_typed", "SELECT q AS s FROM d_typed", ["d_typed"])
+
+
+@query("suggest_typed", """SELECT q, rank, label FROM (SELECT q.s AS q, label, row_number() OVER (PARTITION BY q.s ORDER BY CASE WHEN starts_with(l.label_key, q.normalized) THEN 0 ELSE 1 END, length(l.label), lower(l.label)) AS rank
+  FROM n_typed q JOIN f_labels l ON contains(l.label_key, q.normalized) WHERE q.normalized <> '') WHERE rank <= 25""", ["n_typed", "f_labels"])
+def _(d):
+    index = suggestion_index(d)
+    return suggest.suggest(d.typed, index.labels, vocabulary(d).pairs, limit=25, index=index).select("q", "rank", "label")
+
+
 # --- coverage ------------------------------------------------------------------------------------
 
 fragment("f_partners_of", "SELECT drug_a AS drug, drug_b AS partner, f FROM (SELECT a AS drug_a, b AS drug_b, source_file AS f FROM f_canonical WHERE usable UNION ALL SELECT b, a, source_file FROM f_canonical WHERE usable)", ["f_canonical"])
@@ -894,6 +920,13 @@ def manifest(d: Domain) -> tuple[DataFrame, DataFrame]:
     return coverage.coverage_groups(d.molecules, tier1, coverage.tier_from_stems(d.molecules, STEM_RULES)), rejected
 
 
+@query("stem_rule_table", """SELECT molecule_id, arg_min(g, (rule_no, p)) AS atc_group, min(rule_no) AS rule_no FROM d_molecules JOIN (
+    SELECT rule_no, trim(pattern) AS p, upper(trim(atc_group)) AS g FROM d_stem_table WHERE upper(trim(atc_group)) NOT IN ('A', 'B', 'D', 'H', 'L', 'P', 'R', 'V')) ON regexp_matches(inn_name, '(?i)' || p) GROUP BY 1""", ["d_molecules", "d_stem_table"])
+def _(d):
+    """Stem rules from a table that grows with the names, the first matching one in file order."""
+    return coverage.tier_from_stem_table(d.molecules, d.stem_table)
+
+
 @query("coverage_manifest", "SELECT molecule_id, atc_group, evidence FROM f_groups", ["f_groups"])
 def _(d):
     root = work_folder(d.spark)
@@ -1507,6 +1540,50 @@ def _(d):
     return d.spark.read.parquet(f"{root}/out").select("query", "normalized", "status", "path", "molecule_id", "n_candidates", "n_suppressed", "note")
 
 
+# Three rounds of requests: orders of even number, all orders, then every third with a vocabulary that has no blocklist.
+fragment("f_rounds", """
+  SELECT r.query, n.normalized, s.step FROM d_requests r JOIN n_query n ON n.s = r.query, (VALUES (0), (1), (2)) s(step)
+  WHERE CASE s.step WHEN 0 THEN l_orderkey % 2 = 0 WHEN 1 THEN TRUE ELSE l_orderkey % 3 = 0 END""", ["d_requests", "n_query"])
+fragment("f_met", """
+  SELECT normalized, max(step = 2) AS last, CASE WHEN max(step) = 2 THEN 2 ELSE min(step) END AS computed_in
+  FROM f_rounds WHERE normalized IN (SELECT normalized FROM f_missed WHERE normalized <> '') GROUP BY 1""", ["f_rounds", "f_missed"])
+fragment("f_counts", """
+  SELECT v, normalized, count(*) FILTER (reason IS NULL) AS n_kept, count(reason) AS n_dropped FROM (
+    SELECT 'v1' AS v, normalized, reason FROM f_guarded UNION ALL SELECT 'v2', normalized, NULL FROM f_scored) GROUP BY 1, 2""", ["f_guarded", "f_scored"])
+
+
+@functools.cache
+def resolved_rounds(d: Domain) -> str:
+    """Runs the rounds as three micro-batches, then delivers the last one once more."""
+    from rxlake.streaming import jobs
+
+    root = work_folder(d.spark)
+    guarded = vocabulary(d)
+    unguarded = dataclasses.replace(guarded, pairs=guarded.pairs.limit(0))
+    jobs.missed_state(d.spark, f"{root}/keys")
+    for step, chosen in enumerate(["l_orderkey % 2 = 0", "TRUE", "l_orderkey % 3 = 0"]):
+        d.requests.filter(chosen).select("query").write.mode("append").parquet(f"{root}/in")
+        current = (unguarded, "v2") if step == 2 else (guarded, "v1")
+        stream = d.spark.readStream.schema("query string").parquet(f"{root}/in")
+        jobs.stream_resolve_once(stream, lambda: current, f"{root}/out", f"{root}/keys", f"{root}/state").awaitTermination()
+    jobs.resolve_batch(d.requests.filter("l_orderkey % 3 = 0").select("query"), 2, unguarded, "v2", f"{root}/keys").write.mode("overwrite").parquet(f"{root}/out/batch=2")
+    return root
+
+
+@query("stream_missed_keys", """SELECT m.normalized AS key, CASE WHEN last THEN 'v2' ELSE 'v1' END AS vocabulary, m.computed_in, coalesce(n_kept, 0) AS n_kept, coalesce(n_dropped, 0) AS n_dropped
+  FROM f_met m LEFT JOIN f_counts c ON c.normalized = m.normalized AND c.v = CASE WHEN last THEN 'v2' ELSE 'v1' END""", ["f_met", "f_counts"])
+def _(d):
+    """What the state holds in the end: every key compared once per vocabulary version it arrived under."""
+    return artifacts.read_parts(d.spark, f"{resolved_rounds(d)}/keys", 3)
+
+
+@query("stream_resolve_once", """SELECT r.query, r.step AS batch, coalesce(i.status, CASE WHEN c.n_kept > 0 THEN 'needs_review' ELSE 'unresolved' END) AS status, i.molecule_id,
+    coalesce(c.n_kept, 0) AS n_candidates, coalesce(c.n_dropped, 0) AS n_suppressed
+  FROM f_rounds r LEFT JOIN f_index i ON i.key = r.normalized LEFT JOIN f_counts c ON c.normalized = r.normalized AND c.v = CASE WHEN r.step = 2 THEN 'v2' ELSE 'v1' END""", ["f_rounds", "f_index", "f_counts"])
+def _(d):
+    return d.spark.read.parquet(f"{resolved_rounds(d)}/out").select("query", "batch", "status", "molecule_id", "n_candidates", "n_suppressed")
+
+
 # Three rounds of price changes: every second product dearer by one, then every fifth cheaper, then two prices for every
 # seventh, the later of which counts. Last, the first molecules are found that no round touches.
 fragment("f_round", """

@@ -207,6 +207,18 @@ TABLES = {
         SELECT DISTINCT substr(p_name, 1 + CAST(l_linenumber % 3 AS INT), 1 + CAST(l_quantity % 6 AS INT)) AS q
         FROM {{lineitem}} JOIN {{items}} ON l_partkey = p_partkey
         UNION SELECT '10''s' UNION SELECT 'combo a'""",
+    "typed": """
+        SELECT DISTINCT substr(p_name, 1 + CAST(l_linenumber % 3 AS INT), 1 + CAST((l_quantity + l_linenumber) % 10 AS INT)) AS q
+        FROM {lineitem} JOIN {items} ON l_partkey = p_partkey""",
+    "stem_table": """
+        SELECT rule_no, pattern, atc_group FROM (
+          SELECT DISTINCT p_partkey - p_partkey % 8 AS rule_no, substr('CJBNMGS', CAST(CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) % 7 AS INT) + 1, 1) AS atc_group,
+                 CASE CAST(CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) % 6 AS INT)
+                   WHEN 0 THEN '^' || substr(p_name, 1, 5) WHEN 1 THEN '(' || substr(p_name, 3, 4) || '|' || substr(p_name, 5, 3) || ')'
+                   WHEN 2 THEN upper(substr(p_name, 4, 4)) || '|' || substr(p_name, 2, 4) || 'x' WHEN 3 THEN substr(p_name, 1, 4) || '[a-m]+.*' || substr(p_name, 7, 2) || '?'
+                   WHEN 4 THEN ' ' || substr(p_name, 2, 5) || ' ' ELSE '(' || substr(p_name, 2, 2) || ')?' || substr(p_name, 4, 4) END AS pattern
+          FROM {items})
+        UNION ALL SELECT 9000000000, '[xyz]{{2}}|^.{{9}}$', 'N' UNION ALL SELECT 9000000001, '(rod|ring)$', 'M'""",
     "stems": """
         SELECT molecule_id, inn_name FROM {molecules}""",
 }
