@@ -65,34 +65,38 @@ OPEN_RULES = 200
 PIECE = 4
 
 
-def required_texts(pattern: Column) -> Column:
-    """Array of lower-case texts of which every match of the regular expression holds at least one; null if none is known.
+def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that leave through a generator, so that the optimizer does not copy them into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_required_texts(rules: DataFrame) -> DataFrame:
+    """Adds ``texts``: lower-case texts of which every match of ``pattern`` holds at least one; null if none is known.
 
     One outer group of plain alternatives is written out (``(rod|ring)$`` holds ``rod`` or ``ring``); other groups,
     classes, escapes, optional and repeated characters are skipped. What is skipped only shortens a text.
     """
     gap = "\u0001"
     # Escapes and flags that change how later characters read: nothing is known.
-    unread = pattern.rlike(r"\\[QEpPxukcN0-9]|\(\?[a-zA-Z-]*[xu]")
-    p = F.regexp_replace(pattern, r"\\.", gap)
-    p = F.regexp_replace(p, r"\[[^\]]*\]([?*+]|\{[^}]*\})*", gap)
-    # A group of plain alternatives without a quantifier, and nothing else that branches.
-    inner = F.regexp_extract(p, r"^[^()|\[\]]*\(([a-zA-Z0-9 |-]+)\)(?![?*+{])[^()|\[\]]*$", 1)
-    rest = p
+    unread = F.col("pattern").rlike(r"\\[QEpPxukcN0-9]|\(\?[a-zA-Z-]*[xu]")
+    bare = F.regexp_replace(F.regexp_replace("pattern", r"\\.", gap), r"\[[^\]]*\]([?*+]|\{[^}]*\})*", gap)
+    rest = F.col("__bare")
     for _ in range(4):
         rest = F.regexp_replace(rest, r"\([^()]*\)([?*+]|\{[^}]*\})*", gap)
-    rest = F.when(rest.rlike(r"[()\[\]]"), gap).otherwise(rest)
-    runs = lambda text: F.split(
-        F.lower(F.regexp_replace(text, r".[?*]|.\{[^}]*\}|[^a-zA-Z0-9 -]", gap)), gap
-    )
+    # A group of plain alternatives without a quantifier, and nothing else that branches.
+    inner = F.regexp_extract("__bare", r"^[^()|\[\]]*\(([a-zA-Z0-9 |-]+)\)(?![?*+{])[^()|\[\]]*$", 1)
+    runs = lambda text: F.split(F.lower(F.regexp_replace(text, r".[?*]|.\{[^}]*\}|[^a-zA-Z0-9 -]", gap)), gap)
     longest = lambda text: F.aggregate(
         runs(text), F.lit(""), lambda best, r: F.when(F.char_length(r) > F.char_length(best), r).otherwise(best)
     )
-    outer = F.when(F.contains(rest, F.lit("|")), F.transform(F.split(rest, r"\|"), longest)).otherwise(F.array(longest(rest)))
-    grouped = F.transform(F.split(inner, r"\|"), longest)
     shortest = lambda texts: F.array_min(F.transform(texts, F.char_length))
-    chosen = F.when((inner != "") & (shortest(grouped) > shortest(outer)), grouped).otherwise(outer)
-    return F.when(~unread & (shortest(chosen) > 0), chosen)
+    cut = _staged(_staged(rules, __bare=bare), __rest=rest, __inner=inner)
+    whole = F.when(F.col("__rest").rlike(r"[()\[\]]"), F.array(F.lit(gap))).otherwise(F.split("__rest", r"\|"))
+    read = _staged(cut, __outer=F.transform(whole, longest), __grouped=F.transform(F.split("__inner", r"\|"), longest))
+    better = (F.col("__inner") != "") & (shortest(F.col("__grouped")) > shortest(F.col("__outer")))
+    chosen = _staged(read, __texts=F.when(better, F.col("__grouped")).otherwise(F.col("__outer")))
+    texts = F.when(~unread & (shortest(F.col("__texts")) > 0), F.col("__texts"))
+    return _staged(chosen, texts=texts).select(*rules.columns, "texts")
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -114,7 +118,7 @@ def tier_from_stem_table(molecules: DataFrame, rules: DataFrame) -> DataFrame:
     clean = rules.select(
         F.col("rule_no").cast("bigint").alias("rule_no"), F.trim("pattern").alias("pattern"), F.upper(F.trim("atc_group")).alias("atc_group")
     ).filter((F.col("pattern") != "") & (F.col("atc_group") != "") & ~F.col("atc_group").isin(sorted(V.COVERED_ATC_GROUPS)))
-    known = clean.withColumn("texts", required_texts(F.col("pattern")))
+    known = with_required_texts(clean)
     keyed = known.filter("texts IS NOT NULL").select(
         "rule_no", "pattern", "atc_group", F.explode(F.array_distinct(F.transform("texts", lambda t: F.substring(t, 1, PIECE)))).alias("piece")
     )

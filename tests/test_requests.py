@@ -1,7 +1,6 @@
 """Type-ahead lists, stem rules from a table and the state of missed keys against plain versions."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,8 +60,8 @@ def test_stem_rules_equal_sequential_matching(spark):
         tested = molecules.crossJoin(spark.createDataFrame(usable, "rule_no long, pattern string, g string"))  # a small fixture
         hits = tested.filter(F.expr("inn_name RLIKE concat('(?i)', pattern)")).groupBy("molecule_id").agg(F.min(F.struct("rule_no", "pattern", "g")).alias("r"))
         assert got == {r.molecule_id: (r.r.g, r.r.rule_no) for r in hits.collect()}
-    texts = spark.createDataFrame([(p,) for p in ["(rod|ring)$", "^red", "a|", "[]abc]x", "abc|Def", "(ab)?cd"]], "p string")
-    found = {r.p: r.t for r in texts.select("p", coverage.required_texts(F.col("p")).alias("t")).collect()}
+    texts = spark.createDataFrame([(p,) for p in ["(rod|ring)$", "^red", "a|", "[]abc]x", "abc|Def", "(ab)?cd"]], "pattern string")
+    found = {r.pattern: r.texts for r in coverage.with_required_texts(texts).collect()}
     assert found == {"(rod|ring)$": ["rod", "ring"], "^red": ["red"], "a|": None, "[]abc]x": None, "abc|Def": ["abc", "def"], "(ab)?cd": ["cd"]}
 
 
