@@ -1,13 +1,17 @@
 """Similarity joins: candidates for human review, look-alike scans, and the confusable-pair guard.
 
-The join never compares everything with everything. A string of length ``v`` that may differ in at most
-``d`` edits is cut in ``d + 1`` segments, of which any partner must contain one unchanged and shifted by
-at most ``d`` (the Pass-Join filter, Li et al., VLDB 2011). Segment text is an equi-join key, the edit
-distance is checked inside the join condition, and only verified pairs leave it.
+The join never compares everything with everything. Two strings within ``d`` edits have a text in common that
+each becomes when at most ``d`` of its characters are dropped; the hash of that text is an equi-join key, which
+only near strings share, however many strings begin or end alike. Where a string is too long, or too many edits
+are allowed, to list all those texts, it is cut in ``d + 1`` segments instead, of which any partner must contain
+one unchanged and shifted by at most ``d`` (the Pass-Join filter, Li et al., VLDB 2011). The edit distance is
+checked inside the join condition, and only verified pairs leave it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -62,14 +66,55 @@ def _probe(text: Column, length: Column, other: Column, parts: Column, shift: Co
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), one)))
 
 
-def _join_on_segments(left: DataFrame, right: DataFrame, forms: DataFrame, probes: DataFrame, verify: Column) -> DataFrame:
+# For so many edits, the longest string whose shortened texts are listed (a few hundred of them at most).
+LISTED_LENGTH = {0: 256, 1: 256, 2: 32}
+
+
+def _shortened(text: Column, drops: Column, most: int) -> Column:
+    """Hashes of every text left when up to ``drops`` (at most ``most``) characters of ``text`` are dropped.
+
+    Characters are dropped from left to right, so no choice of positions comes twice.
+    """
+    none = F.array().cast("array<struct<text:string,at:int>>")
+
+    def less(s):
+        positions = F.when(s["at"] <= F.char_length(s["text"]), F.sequence(s["at"], F.greatest(s["at"], F.char_length(s["text"]))))
+        dropped = lambda i: F.struct(
+            F.concat(F.substr(s["text"], F.lit(1), i - 1), F.substr(s["text"], i + 1)).alias("text"), i.alias("at")
+        )
+        return F.transform(F.coalesce(positions, F.array().cast("array<int>")), dropped)
+
+    levels = [F.array(F.struct(text.alias("text"), F.lit(1).alias("at")))]
+    for _ in range(most):
+        levels.append(F.flatten(F.transform(levels[-1], less)))
+    kept = [F.when(drops >= i, level).otherwise(none) for i, level in enumerate(levels)]
+    return F.array_distinct(F.transform(F.concat(*kept), lambda s: F.xxhash64(s["text"])))
+
+
+def _join_on_shortened(left: DataFrame, right: DataFrame, most: int, drops_of, verify: Column) -> DataFrame:
+    """Verified pairs of the tables ``left_text`` and ``right_text``; ``drops_of(length)`` bounds the edits of a string."""
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        hashes = _shortened(F.col(name), drops_of(F.char_length(name)), most)
+        return df.select(name, F.explode_outer(hashes).alias("key"))
+
+    return _merged(keyed(left, "left_text").alias("l"), keyed(right, "right_text").alias("r"), (F.col("l.key") == F.col("r.key")) & verify)
+
+
+def _join_on_segments(forms: DataFrame, probes: DataFrame, verify: Column) -> DataFrame:
     on = (
         (F.col("l.form_length") == F.col("r.form_length"))
         & (F.col("l.no") == F.col("r.no"))
         & (F.col("l.text") == F.col("r.text"))
         & verify
     )
-    return probes.alias("l").join(forms.alias("r"), on).select("left_text", "right_text").distinct()
+    return _merged(probes.alias("l"), forms.alias("r"), on)
+
+
+def _merged(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Both sides list many keys per string, which Spark's sizes leave out (a generator counts as its input), so it would
+    broadcast either side through the driver, whatever its length; hence the sort-merge join."""
+    return left.join(right.hint("merge"), on).select("left_text", "right_text")
 
 
 def similar_strings(queries: DataFrame, forms: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
@@ -97,41 +142,61 @@ def similar_strings(queries: DataFrame, forms: DataFrame, threshold: float = V.F
         return pairs.select("left_text", "right_text", score.alias("score"))
 
     parts_of = lambda size: _allowed(longest_of(size), threshold) + 1
-    keyed = right.select(
+    verify = F.levenshtein(F.col("left_text"), F.col("right_text")) <= _allowed(
+        F.greatest(F.char_length("left_text"), F.char_length("right_text")), threshold
+    )
+    # Pairs of strings of up to ``listed`` characters meet by shortened texts, pairs with a longer one by segments.
+    edits = lambda size: math.floor(size * ((100.0 - threshold + 0.005) / 100.0))
+    listed = max((size for size in range(257) if LISTED_LENGTH.get(edits(size), -1) >= size), default=0)
+    most = max(edits(size) for size in range(listed + 1))
+    near = _join_on_shortened(
+        left.filter(n <= listed), right.filter(v <= listed), most, lambda size: F.least(F.lit(most), parts_of(size) - 1), verify
+    )
+    # The shorter of a pair with a longer one has at least so many characters.
+    least = math.ceil((listed + 1) * (threshold - 0.005) / 100.0) - 1
+    keyed = right.filter(v >= least).select(
         "right_text", v.alias("form_length"), F.explode_outer(_segments(F.col("right_text"), v, parts_of(v))).alias("s")
     ).select("right_text", "form_length", "s.no", "s.text")
     shortest = F.greatest(F.lit(1), F.ceil(n * (1 - slack)).cast("int"))
-    sized = left.select("left_text", F.explode(F.sequence(shortest, longest_of(n))).alias("form_length"))
+    lengths = F.filter(F.sequence(shortest, longest_of(n)), lambda size: (size > listed) | (n > listed))
+    sized = left.filter(n >= least).select("left_text", F.explode(lengths).alias("form_length"))
     other = F.col("form_length")
     shift = _allowed(F.greatest(n, other), threshold)
     probes = sized.select(
         "left_text", "form_length",
         F.explode_outer(_probe(F.col("left_text"), n, other, parts_of(other), shift)).alias("s"),
     ).select("left_text", "form_length", "s.no", "s.text")
-    verify = F.levenshtein(F.col("left_text"), F.col("right_text")) <= _allowed(
-        F.greatest(F.char_length("left_text"), F.char_length("right_text")), threshold
-    )
-    found = _join_on_segments(left, right, keyed, probes, verify)
+    found = near.unionByName(_join_on_segments(keyed, probes, verify)).distinct()
     return found.select("left_text", "right_text", score.alias("score")).filter(F.col("score") >= threshold)
 
 
 def confusable_scan(names: DataFrame, max_distance: int = 2) -> DataFrame:
     """All unordered pairs of distinct names at edit distance 1..max_distance.
 
-    Names of up to ``max_distance`` characters have no unchanged segment and are keyed by length alone;
-    there are few distinct ones.
+    Names of up to ``max_distance`` characters have no unchanged segment; where they are not listed by their shortened
+    texts they are keyed by length alone, and there are few distinct ones.
     """
     base = names.select(F.col(names.columns[0]).alias("name")).filter("name <> ''").distinct()
+    a, b = F.col("left_text"), F.col("right_text")
+    verify = (a < b) & F.levenshtein(a, b, max_distance).between(1, max_distance)
     parts = F.lit(max_distance + 1)
     v = F.char_length("name")
+    # Pairs of names of up to ``listed`` characters meet by shortened texts, pairs with a longer one by segments.
+    listed = LISTED_LENGTH.get(max_distance, 0)
+    short = base.filter(v <= listed)
+    near = _join_on_shortened(
+        short.select(F.col("name").alias("left_text")), short.select(F.col("name").alias("right_text")), max_distance if listed else 0,
+        lambda size: F.lit(max_distance), verify,
+    )
+    long = base.filter(v > listed - max_distance)
     own = F.when(v >= parts, _segments(F.col("name"), v, parts)).otherwise(
         F.array(F.struct(F.lit(-1).alias("no"), F.lit(0).alias("at"), F.lit("").alias("text")))
     )
-    forms = base.select(F.col("name").alias("right_text"), v.alias("form_length"), F.explode_outer(own).alias("s")).select(
+    forms = long.select(F.col("name").alias("right_text"), v.alias("form_length"), F.explode_outer(own).alias("s")).select(
         "right_text", "form_length", "s.no", "s.text"
     )
     lengths = F.sequence(F.greatest(F.lit(1), v - max_distance), v + max_distance)
-    sized = base.select("name", F.explode(lengths).alias("form_length"))
+    sized = long.select("name", F.explode(F.filter(lengths, lambda size: (size > listed) | (v > listed))).alias("form_length"))
     other = F.col("form_length")
     cut = F.when(other >= parts, _probe(F.col("name"), v, other, parts, F.lit(max_distance))).otherwise(
         F.array(F.struct(F.lit(-1).alias("no"), F.lit("").alias("text")))
@@ -139,9 +204,7 @@ def confusable_scan(names: DataFrame, max_distance: int = 2) -> DataFrame:
     probes = sized.select(F.col("name").alias("left_text"), "form_length", F.explode_outer(cut).alias("s")).select(
         "left_text", "form_length", "s.no", "s.text"
     )
-    a, b = F.col("left_text"), F.col("right_text")
-    verify = (a < b) & F.levenshtein(a, b, max_distance).between(1, max_distance)
-    pairs = _join_on_segments(base, base, forms, probes, verify)
+    pairs = near.unionByName(_join_on_segments(forms, probes, verify)).distinct()
     return pairs.select(
         a.alias("name_a"), b.alias("name_b"), F.levenshtein(a, b).alias("edit_distance")
     )

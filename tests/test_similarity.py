@@ -78,3 +78,39 @@ def test_suggest(spark):
     assert by("predniso") == [("prednisone", "prednisolone"), ("prednisolone", "prednisone")]
     assert by("met")[0] == ("metformin", "")
     assert by("augm")[0][0] == "Augmentin" and len(by("o")) == 8
+
+
+@pytest.fixture(scope="module")
+def long_words():
+    """Lengths on both sides of those up to which shortened texts are listed, with ends in common."""
+    rng = random.Random(11)
+    base = ["red" + "".join(rng.choice("abcé") for _ in range(n)) + " rod" for n in (1, 2, 12, 14, 16, 17, 18, 22, 24, 25, 26, 27, 28, 40) for _ in range(2)]
+    return base, sorted({near(rng, w) for w in base * 3} | {"a", "ab", "é"})
+
+
+@pytest.mark.parametrize("threshold", [65, 80, 88, 93])
+def test_long_strings_equal_all_pairs(spark, long_words, threshold):
+    forms, queries = long_words
+    got = fuzzy.similar_strings(
+        spark.createDataFrame([(w,) for w in queries], "q string"), spark.createDataFrame([(w,) for w in forms], "f string"), threshold
+    ).collect()
+    score = lambda q, f: round((1 - distance(q, f) / max(len(q), len(f))) * 100, 2)
+    expected = {(q, f): score(q, f) for q in set(queries) for f in set(forms) if score(q, f) >= threshold}
+    assert len(got) == len(expected) and {(r[0], r[1]): r[2] for r in got} == expected
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_scan_of_long_names_equals_all_pairs(spark, long_words, most):
+    names = sorted(set(long_words[0]) | set(long_words[1]))
+    got = fuzzy.confusable_scan(spark.createDataFrame([(w,) for w in names], "n string"), most).collect()
+    expected = {(a, b): distance(a, b) for a in names for b in names if a < b and distance(a, b) <= most}
+    assert len(got) == len(expected) and {(r[0], r[1]): r[2] for r in got} == expected
+
+
+def test_keys_are_not_broadcast(spark, words):
+    """The many keys of a string never pass through the driver, however small Spark takes their table to be."""
+    names = spark.createDataFrame([(w,) for w in words[0]], "n string")
+    for found in (fuzzy.confusable_scan(names), fuzzy.similar_strings(names, names)):
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
