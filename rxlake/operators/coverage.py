@@ -61,8 +61,8 @@ def tier_from_stems(molecules: DataFrame, rules: list[tuple[str, str]]) -> DataF
 
 #: A rule whose pattern names no text that every match must hold is tested on every name; more such rules are an error.
 OPEN_RULES = 200
-#: Pieces by which rules with a required text meet names.
-PIECE = 4
+#: Most letters of the pieces by which rules with a required text meet names.
+PIECE = 8
 
 
 def _staged(df: DataFrame, **columns: Column) -> DataFrame:
@@ -111,14 +111,15 @@ def tier_from_stem_table(molecules: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules with a blank pattern or group, or for a covered group, are refused as in :func:`accepted_stem_rules`. A rule
     meets only names that hold the first letters of a text its pattern requires (an equi-join on that piece, then the
-    pattern itself), so thousands of rules cost what they match. Rules without such a text become one expression over
+    pattern itself), and of rules with one pattern only the first meets them, so thousands of rules cost what they match. Rules without such a text become one expression over
     the names; more than ``OPEN_RULES`` of them raise an error. Rules of equal number count in the order of their
     patterns. Names that are null match nothing.
     """
     clean = rules.select(
         F.col("rule_no").cast("bigint").alias("rule_no"), F.trim("pattern").alias("pattern"), F.upper(F.trim("atc_group")).alias("atc_group")
     ).filter((F.col("pattern") != "") & (F.col("atc_group") != "") & ~F.col("atc_group").isin(sorted(V.COVERED_ATC_GROUPS)))
-    known = with_required_texts(clean)
+    first_rules = clean.groupBy("pattern").agg(F.min(F.struct("rule_no", "atc_group")).alias("r")).select("r.rule_no", "pattern", "r.atc_group")
+    known = with_required_texts(first_rules)
     keyed = known.filter("texts IS NOT NULL").select(
         "rule_no", "pattern", "atc_group", F.explode(F.array_distinct(F.transform("texts", lambda t: F.substring(t, 1, PIECE)))).alias("piece")
     )
@@ -128,7 +129,8 @@ def tier_from_stem_table(molecules: DataFrame, rules: DataFrame) -> DataFrame:
     named = molecules.select("molecule_id", "inn_name").filter("inn_name IS NOT NULL")
     lowered = F.lower("inn_name")
     pieces = F.array_distinct(F.concat(*[_pieces(lowered, size) for size in range(1, PIECE + 1)]))
-    met = named.select("molecule_id", "inn_name", F.explode(pieces).alias("piece")).join(keyed, "piece").filter(
+    # Sort-merge, since Spark takes the pieces of a name for as small as the name and would broadcast them.
+    met = named.select("molecule_id", "inn_name", F.explode(pieces).alias("piece")).join(keyed.hint("merge"), "piece").filter(
         F.expr("inn_name RLIKE concat('(?i)', pattern)")
     ).select("molecule_id", F.struct("rule_no", "pattern", "atc_group").alias("rule"))
     if open_rules:

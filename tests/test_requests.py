@@ -75,6 +75,17 @@ def test_thousands_of_rules_and_too_many_open_ones(spark):
         coverage.tier_from_stem_table(molecules, rules.withColumn("pattern", F.concat(F.lit("."), F.lit("{"), F.col("rule_no") + 500, F.lit("}"))))
 
 
+def test_rules_with_one_pattern_meet_names_once_and_pieces_are_not_broadcast(spark):
+    molecules = spark.range(20).select(F.concat(F.lit("M"), "id").alias("molecule_id"), F.concat(F.lit("nam"), "id", F.lit("mab")).alias("inn_name"))
+    rules = spark.range(600).select(
+        (F.col("id") + 7).alias("rule_no"), F.when(F.col("id") % 2 == 0, "^nam1.*ab").otherwise("[xyz]a|.mab$").alias("pattern"),
+        F.when(F.col("id") < 2, "N").otherwise("C").alias("atc_group"))
+    found = coverage.tier_from_stem_table(molecules, rules)
+    assert {(r.molecule_id, r.atc_group, r.rule_no) for r in found.collect()} == {(f"M{i}", "N", 7 if str(i)[0] == "1" else 8) for i in range(20)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_missed_keys_meet_the_similarity_join_once(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     vocabulary, known, near = catalogue(spark)[0], "metformin", "metformix"
