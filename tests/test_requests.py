@@ -105,3 +105,16 @@ def test_missed_keys_meet_the_similarity_join_once(spark, tmp_path, monkeypatch)
     assert compared == new
     state = {r.key: (r.vocabulary, r.computed_in) for r in artifacts.read_parts(spark, root, 5).collect()}
     assert state == {near: ("v2", 3), "nothing like it": ("v1", 0), "another one": ("v1", 1)}
+
+
+def test_rows_of_small_files_are_not_broadcast(spark, tmp_path):
+    """A file is far smaller than its rows: upserts and profiles join them without the driver."""
+    rows = spark.range(200).select(F.concat(F.lit("P"), "id").alias("product_id"), (F.col("id") % 7).cast("decimal(12,2)").alias("mrp"), F.lit("tab").alias("form"))
+    links = rows.select("product_id", F.concat(F.lit("M"), F.substring("product_id", 2, 1)).alias("molecule_id"), F.lit(5.0).alias("strength"), F.lit("mg").alias("unit"))
+    contains = artifacts.stored(links, str(tmp_path), "contains")
+    products = artifacts.upsert_parts(spark, f"{tmp_path}/t", 0, rows, ["product_id"], [])
+    found = jobs.affected_substitutes(products.filter("product_id = 'P17'"), products, contains)
+    assert found.count() == 111
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
