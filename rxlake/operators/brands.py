@@ -35,7 +35,7 @@ def validate_brands(pack: DataFrame, names: DataFrame, alias_keys: DataFrame, pa
 
     parts = rows.select("row_no", F.posexplode("listed").alias("at", "ingredient"))
     found = with_normalized(parts, "ingredient", prefix="__").join(
-        names.select(F.col("key").alias("__normalized"), "molecule_id", "inn_name"), "__normalized", "left"
+        names.select(F.col("key").alias("__normalized"), "molecule_id", "inn_name").hint("merge"), "__normalized", "left"
     )
     # Gathers the ingredients of one row, which came out of that row.
     item = F.struct("at", "ingredient", "molecule_id", "inn_name")
@@ -44,14 +44,15 @@ def validate_brands(pack: DataFrame, names: DataFrame, alias_keys: DataFrame, pa
     claimed = alias_keys.select(F.col(alias_keys.columns[0]).alias("brand_key")).filter("brand_key <> ''").distinct()
     partners = (
         confusable_partners(pairs)
-        .join(names.select(F.col("key").alias("partner")), "partner", "left_semi")
+        .join(names.select(F.col("key").alias("partner")).hint("merge"), "partner", "left_semi")
         .groupBy(F.col("key").alias("brand_key")).agg(F.min("partner").alias("look_alike"))
     )
+    # Sort-merge: a row per brand or name in each, and Spark would send every one that it guesses small through the driver.
     checked = (
-        rows.join(per_row, "row_no", "left")
-        .join(molecules, "brand_key", "left")
-        .join(claimed.withColumn("is_alias", F.lit(True)), "brand_key", "left")
-        .join(partners, "brand_key", "left")
+        rows.join(per_row.hint("merge"), "row_no", "left")
+        .join(molecules.hint("merge"), "brand_key", "left")
+        .join(claimed.withColumn("is_alias", F.lit(True)).hint("merge"), "brand_key", "left")
+        .join(partners.hint("merge"), "brand_key", "left")
     )
     missing = F.array_join(
         F.transform(F.filter("parts", lambda p: p["molecule_id"].isNull()), lambda p: p["ingredient"]), ", "
@@ -68,7 +69,7 @@ def validate_brands(pack: DataFrame, names: DataFrame, alias_keys: DataFrame, pa
     )
     eligible = staged.filter("row_reason IS NULL AND is_alias IS NULL AND look_alike IS NULL")
     first = eligible.groupBy("brand_key").agg(F.min_by(F.struct("row_no", "ids"), F.col("row_no")).alias("first"))
-    joined = staged.join(first, "brand_key", "left")
+    joined = staged.join(first.hint("merge"), "brand_key", "left")
     earlier = F.col("row_reason").isNull() & (F.col("first.row_no") < F.col("row_no"))
     reason = (
         F.when(F.col("row_reason").isNotNull(), F.col("row_reason"))

@@ -92,7 +92,7 @@ def suggestion_index(labels: DataFrame, pairs: DataFrame) -> SuggestionIndex:
     pieces = labels.withColumn("piece", F.explode(cut)).withColumn("rank", F.row_number().over(order))
     long = labels.select("folded", "label_key", F.explode(_grams(key, DEPTH)).alias("piece"))
     alike = confusable_partners(pairs).join(
-        labels.select(F.col("label_key").alias("partner"), F.col("label").alias("other")), "partner"
+        labels.select(F.col("label_key").alias("partner"), F.col("label").alias("other")).hint("merge"), "partner"
     )
     return SuggestionIndex(
         labels=labels, ranked=pieces.filter(F.col("rank") <= V.SUGGEST_MAX_LIMIT), long=long,

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rxlake.operators import coverage, suggest
+from rxlake.operators import coverage, suggest, vocab
 from rxlake.plans import resolve as R
 from rxlake.sources import artifacts
 from rxlake.streaming import jobs
@@ -118,3 +118,19 @@ def test_rows_of_small_files_are_not_broadcast(spark, tmp_path):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_lookups_with_many_rows_are_not_broadcast(spark, tmp_path):
+    """Stored lookups by their rows, the vocabulary's own tables in any case; a small stored lookup still is."""
+    executed = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])[1]
+    ids = spark.range(artifacts.BROADCAST_ROWS + 1).select("id", F.lit("x").alias("v"))
+    asked = spark.range(50).select((F.col("id") * 7).alias("id"))
+    large, small = artifacts.stored(ids, str(tmp_path), "large"), artifacts.stored(ids.limit(10), str(tmp_path), "small")
+    assert "BroadcastHashJoin" not in executed(asked.join(large, "id")) and asked.join(large, "id").count() == 50
+    assert "BroadcastHashJoin" in executed(asked.join(small, "id"))
+    molecules = spark.createDataFrame([("M1", "metformin", "s"), ("M2", "glipizide", "s")], "molecule_id string, inn_name string, category string")
+    aliases = spark.createDataFrame([("met", "met", "manual", "M1", 1), ("gone", "gone", "manual", "M9", 2)], "raw_string string, normalized_string string, source string, molecule_id string, row_no int")
+    index = vocab.alias_index(aliases, molecules, ["row_no"])
+    assert [(r.key, r.inn_name) for r in index.collect()] == [("met", "metformin")]
+    plan = executed(index)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
