@@ -95,3 +95,36 @@ def test_canonical_strength(spark, value, unit, expected):
         N.canonical_strength(F.col("v"), F.col("u")).alias("c")
     ).first()["c"]
     assert (None if row is None else tuple(row)) == expected
+
+
+def test_plain_names_skip_no_step(spark):
+    """Names that the short path takes, and others a character or a word away from it, give the fields of the whole chain."""
+    words = ["red", "rod", "sodium", "hydrochloride", "tab", "g", "u", "and", "sulphate", "cephalo", "xceph", "oestr", "aero", "haemo", "thyroxine", "tabs5"]
+    marks = ["", " ", "  ", "-", ".", "'", "\u212a", "\u0130", "\u017f", "\u00e9", "5", "5mg", "%", "\n", "\t", "10's"]
+    texts = [a + m + b for a in ["", *words] for m in marks for b in ["", *words]] + [f" {w}" for w in words] + [f"{w} {w.upper()} x" for w in words]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, raw string")
+    whole = N.clean_text(F.col("raw"))
+    words_left = N.bare_words(whole)
+    chain = df.select("i", N.normalized_key(F.col("raw")).alias("k"), N._squeeze(N.spelling(words_left)).alias("s"), whole.alias("c"))
+    marked = chain.select(
+        "*", F.regexp_extract("c", N.STRENGTH, 1).alias("v"), F.regexp_extract("c", N.BARE_NUMBER, 1).alias("h"), F.regexp_extract_all("s", F.lit(f"({N.SALT})"), F.lit(1)).alias("t"),
+        F.regexp_extract(F.regexp_replace("c", N.STRENGTH, " "), f"({N.FORM})", 1).alias("f"),
+    )
+    want = {r["i"]: r for r in marked.collect()}
+    got = {r["i"]: r for r in N.normalize_names(df, "raw").collect()}
+    assert len(got) == len(want) == len(texts) + 1
+    for i, w in want.items():
+        g = got[i]
+        assert g["normalized"] == w["k"], (g, w)
+        assert g["salts"] == (w["t"] if w["k"] != w["s"] else []), (g, w)
+        assert (g["form"] or "") == (N._FORM_OF[w["f"]] if w["f"] else ""), (g, w)
+        assert (g["strength_value"] is None) == (w["v"] == ""), (g, w)
+        assert (g["strength_hint"] is None) == (w["v"] != "" or w["h"] == ""), (g, w)
+
+
+def test_plain_names_are_tested_once(spark):
+    """Plain names pass one test before the salts: the steps between stand under its condition."""
+    df = N.with_normalized(spark.createDataFrame([("red rod",)], "raw string"), "raw")
+    plan = df._jdf.queryExecution().analyzed().toString()
+    steps = [line for line in plan.splitlines() if "regexp_replace" in line]
+    assert steps and all("CASE WHEN" in line for line in steps)
