@@ -8,6 +8,7 @@ ICU library that ships with Spark; the ASCII arm is a plain ``lower``.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -136,12 +137,18 @@ def _key_of(spelled: Column) -> Column:
     return F.coalesce(F.nullif(base, F.lit("")), _squeeze(spelled), F.lit(""))
 
 
-#: Anything in a lower-cased text that the steps before the salts would change: other characters than ``a`` to ``z`` between
-#: single spaces, a word they drop, a spelling they fold. Text without it is its own cleaned text and its own spelling.
-_CHANGED = "|".join([
-    "[^a-z ]", "^ ", " $", "  ",
-    _whole_word("|".join([_alternatives(V.PACKAGING_WORDS), _alternatives(_UNIT_OF), _alternatives(_FORM_OF)])), _NEEDS_SPELLING,
+#: A lower-cased text that the steps before the salts leave as it is: words of ``a`` to ``z`` between single spaces, none of
+#: them dropped or folded at its start. What they fold anywhere (``_FOLDED``) is looked for apart. One pass over the words
+#: decides; looking for any change at every character costs twice as much.
+_CHANGED_WORD = "|".join([
+    _alternatives([*V.PACKAGING_WORDS, *_UNIT_OF, *_FORM_OF]).join(["(?:", ")(?![^ ])"]),
+    *[re.escape(old) for where, old, _ in V.SPELLING_RULES if where == "start"],
 ])
+_WORDS = r"^(?:(?!{})[a-z]++(?: (?! |\z)|\z))++\z"
+PLAIN = _WORDS.format(_CHANGED_WORD)
+#: Such a text without a salt is its own key.
+PLAIN_KEY = _WORDS.format(f"{_CHANGED_WORD}|(?:{_alternatives(V.SALTS)})(?![^ ])")
+_FOLDED = [*V.WORD_VARIANTS, *[old for where, old, _ in V.SPELLING_RULES if where != "start"]]
 
 
 def normalized_key(text: Column) -> Column:
@@ -179,22 +186,25 @@ def with_normalized(df: DataFrame, source: str, fields=("normalized",), prefix:
     """Add the chosen normaliser fields of column ``source`` as columns ``prefix + field``.
 
     The texts between the steps are separate projections: each is read several times, and a separate projection is
-    computed once per row. Most names are plain words, which one test finds (``_CHANGED``); they skip the steps before
-    the salts. The fields leave through a one-element ``inline``: filters and join conditions on them then stay above
+    computed once per row. Most names are plain words, which one test finds (``PLAIN_KEY``, with salts ``PLAIN``); they
+    skip the steps before the salts, without salts all steps. The fields leave through a one-element ``inline``: filters and join conditions on them then stay above
     it, where the optimizer would otherwise copy the whole chain of expressions into every predicate.
     """
     keep = list(df.columns)
     lower, clean, bare, words, spelled = (F.col(f"__norm_{n}") for n in ("lower", "clean", "bare", "words", "spelled"))
     plain, measured = F.col("__norm_plain"), F.col("__norm_measured")
     step = lambda given, changed: F.when(plain, given).otherwise(changed)
-    staged = df.withColumn("__norm_lower", F.lower(F.coalesce(F.col(source), F.lit("")))).withColumn("__norm_plain", ~lower.rlike(_CHANGED))
+    staged = df.withColumn("__norm_lower", F.lower(F.coalesce(F.col(source), F.lit(""))))
+    folded = functools.reduce(lambda x, y: x | y, [F.contains(lower, F.lit(text)) for text in _FOLDED])
+    staged = staged.withColumn("__norm_key", ~folded & lower.rlike(PLAIN_KEY))
+    staged = staged.withColumn("__norm_plain", F.col("__norm_key") | (~folded & lower.rlike(PLAIN)))
     staged = staged.withColumn("__norm_clean", step(lower, clean_text(F.col(source))))
     staged = staged.withColumn("__norm_bare", step(clean, F.regexp_replace(clean, STRENGTH, " ")))
     texts = {}
     if {"normalized", "tokens", "salts"} & set(fields):
         staged = staged.withColumn("__norm_words", step(bare, F.regexp_replace(bare, DROPPED, "")))
         staged = staged.withColumn("__norm_spelled", step(words, _spelled(words)))
-        texts["__norm_salty"] = spelled.rlike(SALT)
+        texts["__norm_salty"] = ~F.col("__norm_key") & spelled.rlike(SALT)
     # A strength holds a digit, so taking one out always changes the text.
     staged = staged.withColumn("__norm_measured", bare != clean)
     if "form" in fields:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from rxlake import vocab_constants as V
 from rxlake.functions.normalize import lenient_double, with_normalized
@@ -216,14 +217,22 @@ def partners(rows: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
 def anchor_profile(rows: DataFrame, a: str, b: str, file: str) -> DataFrame:
     """Per drug: the file with most of its partners, and the share of its partners found there.
 
-    Partners are made distinct before they are counted, in steps that combine on the map side, so no
-    drug's partner list is held in one place.
+    Pairs are made distinct before they are counted, in steps that combine on the map side, so no drug's partner list is
+    held in one place. The rows are read once: both counts come from the same pairs.
     """
-    seen = partners(rows, a, b, [file]).distinct()
-    per_file = seen.groupBy("drug", F.col(file).alias("file")).agg(F.count("*").alias("n_in_file"))
-    top = per_file.groupBy("drug").agg(F.min(F.struct((-F.col("n_in_file")).alias("n"), "file")).alias("t"))
-    total = seen.select("drug", "partner").distinct().groupBy("drug").agg(F.count("*").alias("n_partners"))
-    return top.join(total, "drug").select(
+    pair = [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(file).alias("file")]
+    seen = rows.filter(F.col(a) != F.col(b)).select(*pair).distinct()
+    # A pair counts once in every file and, by the first of its files, once in all.
+    once = F.row_number().over(Window.partitionBy("a", "b").orderBy("file")) == 1
+    flagged = seen.withColumn("pair", F.when(once, 1))
+    both = flagged.select("file", "pair", F.explode(F.array("a", "b")).alias("drug"))
+    per_file = both.groupBy("drug", "file").agg(
+        F.count("*").alias("n_in_file"), F.count("pair").alias("n_new")
+    )
+    top = per_file.groupBy("drug").agg(
+        F.min(F.struct((-F.col("n_in_file")).alias("n"), "file")).alias("t"), F.sum("n_new").alias("n_partners")
+    )
+    return top.select(
         "drug", F.col("t.file").alias("top_file"), (-F.col("t.n")).alias("n_in_top_file"), "n_partners",
         (-F.col("t.n") / F.col("n_partners")).alias("anchor_concentration"),
     )

@@ -128,3 +128,14 @@ def test_plain_names_are_tested_once(spark):
     plan = df._jdf.queryExecution().analyzed().toString()
     steps = [line for line in plan.splitlines() if "regexp_replace" in line]
     assert steps and all("CASE WHEN" in line for line in steps)
+
+
+def test_plain_names_meet_patterns_from_their_start_alone(spark):
+    """The tests of plain names are anchored, give every word once, and take texts of any length; both profiles agree."""
+    assert all(p.startswith("^") and p.endswith(r"++\z") for p in (N.PLAIN, N.PLAIN_KEY))
+    texts = ["red " * 100_000 + "rod", "red rod\n", "red rod sodium", "red tab rod", "red tabrod", "", " red", "red ", "red  rod", "Red ROD", "sodium", "haemred", "redhaem", "oered", "redoe", "g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    rows = df.select("raw", F.lower("raw").rlike(N.PLAIN).alias("p"), F.lower("raw").rlike(N.PLAIN_KEY).alias("k")).collect()
+    assert [(r["p"], r["k"]) for r in rows][:8] == [(True, True), (False, False), (True, False), (False, False), (True, True), (False, False), (False, False), (False, False)]
+    want = {r["i"]: r["k"] for r in df.select("i", N.normalized_key(F.col("raw")).alias("k")).collect()}
+    assert {r["i"]: r["normalized"] for r in N.with_normalized(df, "raw").collect()} == want

@@ -221,3 +221,28 @@ def test_rows_equal_to_the_header_and_many_groups(spark, tmp_path):
     assert artifacts.read_manifest(spark, str(tmp_path / "m.json"))[1] == groups
     (tmp_path / "t.csv").write_text('a,b\n"\tx\t",y\n')
     assert artifacts.scan_csv(spark, str(tmp_path / "t.csv")).first()["a"] == "x"
+
+
+def test_anchor_profile_reads_its_rows_once(spark):
+    """Partners by file and in all come from one reading, equal to counting by hand; self-pairs and nulls do not count."""
+    from itertools import product
+
+    from rxlake.operators.coverage import anchor_profile
+
+    rows = [(a, b, f) for a, b, f in product(["p", "q", "r", None], ["q", "p", "s", "t"], ["A", "B", "C"]) if hash_of(a, b, f) % 3]
+    table = spark.createDataFrame(rows * 2, "x string, y string, f string")
+    got = anchor_profile(table, "x", "y", "f")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") <= 2  # once in the final and once in the initial plan
+    seen = {(d, e, f) for a, b, f in rows if a and b and a != b for d, e in ((a, b), (b, a))}
+    want = {}
+    for drug in {d for d, _, _ in seen}:
+        files = {f: len({e for d, e, g in seen if d == drug and g == f}) for d, _, f in seen if d == drug}
+        top = min(files, key=lambda f: (-files[f], f))
+        total = len({e for d, e, _ in seen if d == drug})
+        want[drug] = (top, files[top], total, files[top] / total)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def hash_of(*values) -> int:
+    return sum((i + 1) * ord(v or "z") for i, v in enumerate(values))
