@@ -33,6 +33,7 @@ BANDS = 32
 SMALL = 24  # buckets of up to so many members are compared whole at once, larger ones in blocks
 BLOCK = 256
 SPREAD = 1_024  # members of a bucket that look up their bucket's row under one key
+SIEVE = 1 << 23  # bits; more ids than that only let more texts through to the join
 NO_ID = -(1 << 63)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -157,9 +158,38 @@ def freshness(bags: DataFrame) -> DataFrame:
     return totals.join(alone, "id", "left").select("id", "total", F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A table of ``SIEVE`` bits, set at the remainders of the ids: one megabyte, however many ids there are."""
+    bit = F.pmod("id", F.lit(SIEVE))
+    words = ids.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(id, {SIEVE}) % 64 AS INT))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(SIEVE // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def sifted(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids have their bit set: all that the table was made of, and few others."""
+    bit = np.mod(ids, SIEVE).astype(np.uint64)
+    return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def bags_of(keyed: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle bags of the documents with these ids."""
-    found = keyed.join(ids, "id", "left_semi").mapInArrow(released(shingle_batches), "id long, bag binary")
+    """Shingle bags of the documents with these ids.
+
+    Most texts are nobody's partner: they are left out before the join by a bounded table of bits, so that only bags of
+    those wanted are shuffled, and no text. The join decides.
+    """
+    ids = stored(ids, "wanted")
+    table = keyed.sparkSession.sparkContext.broadcast(sieve(ids))
+
+    def wanted_batches(batches):
+        for batch in batches:
+            some = batch.filter(pa.array(sifted(table.value, batch.column("id").to_numpy())))
+            if some.num_rows:
+                yield from shingle_batches([some])
+
+    found = keyed.mapInArrow(released(wanted_batches), "id long, bag binary").join(ids.hint("merge"), "id", "left_semi")
     return stored(found.groupBy("id").agg(F.min("bag").alias("bag")), "bags")
 
 
