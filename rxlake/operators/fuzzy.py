@@ -277,9 +277,14 @@ def score_molecules(keys: DataFrame, surfaces: DataFrame, threshold: float = V.F
     """
     pairs = similar_strings(keys, surfaces.select("surface"), threshold)
     scored = pairs.join(surfaces, pairs["right_text"] == surfaces["surface"])
+    return _best_surfaces(scored.withColumnRenamed("left_text", "normalized"))
+
+
+def _best_surfaces(scored: DataFrame) -> DataFrame:
+    """One row per key and molecule of ``normalized, molecule_id, inn_name, surface, is_alias, score``."""
     best = F.struct((-F.col("score")).alias("s"), "is_alias", "surface")
     return (
-        scored.groupBy(F.col("left_text").alias("normalized"), "molecule_id", "inn_name")
+        scored.groupBy("normalized", "molecule_id", "inn_name")
         .agg(F.min(best).alias("b"))
         .select(
             "normalized", "molecule_id", "inn_name",
@@ -290,6 +295,21 @@ def score_molecules(keys: DataFrame, surfaces: DataFrame, threshold: float = V.F
     )
 
 
+def rule_one_candidates(keys: DataFrame, surfaces: DataFrame, pairs: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
+    """The candidates that Rule 1 of :func:`guard_candidates` drops, without looking for any others.
+
+    They are molecules that the blocklist pairs with the key itself, so keys meet them over the blocklist in equi-joins
+    and only such pairs are compared.
+    """
+    asked = keys.select(F.col(keys.columns[0]).alias("normalized")).filter("normalized <> ''").distinct()
+    direct = confusable_partners(pairs).select(F.col("key").alias("normalized"), F.col("partner").alias("inn_name"))
+    met = asked.join(direct.hint("merge"), "normalized").join(surfaces.filter("surface <> ''").hint("merge"), "inn_name")
+    score = similarity_score(F.col("normalized"), F.col("surface"))
+    return _best_surfaces(met.withColumn("score", score).filter(F.col("score") >= threshold)).select(
+        "normalized", "molecule_id", "inn_name", "score", F.lit(RULE_ONE).alias("reason"), F.col("normalized").alias("confusable_with")
+    )
+
+
 def guard_candidates(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Apply both blocklist rules; adds ``reason`` and ``confusable_with`` (null for survivors).
 

@@ -114,3 +114,19 @@ def test_keys_are_not_broadcast(spark, words):
         assert found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rule_one_alone_equals_the_guard(spark, words):
+    """Rule 1 is answered over the blocklist, without the candidates that it does not drop."""
+    rng = random.Random(3)
+    forms, queries = (sorted(set(w)) for w in words)
+    surfaces = [(f"M{i}", w, w, False) for i, w in enumerate(forms)] + [(f"M{i}", w, near(rng, w) or "a", True) for i, w in enumerate(forms)] + [("X1", forms[0], forms[0], False)]
+    surfaces = spark.createDataFrame(surfaces, "molecule_id string, inn_name string, surface string, is_alias boolean")
+    pairs = {tuple(sorted((q, f))) for q in queries for f in forms if q != f and distance(q, f) <= 4}
+    pairs = spark.createDataFrame(sorted(pairs), "key_a string, key_b string")
+    keys = spark.createDataFrame([(w,) for w in queries], "q string")
+    alone = fuzzy.rule_one_candidates(keys, surfaces, pairs, 70)
+    guarded = fuzzy.suppressed_candidates(fuzzy.guard_candidates(fuzzy.score_molecules(keys, surfaces, 70), pairs))
+    expected = sorted(map(tuple, guarded.filter(guarded.reason == fuzzy.RULE_ONE).collect()))
+    assert expected and sorted(map(tuple, alone.collect())) == expected
+    assert "Generate" not in alone._jdf.queryExecution().executedPlan().toString()
