@@ -130,3 +130,30 @@ def test_rule_one_alone_equals_the_guard(spark, words):
     expected = sorted(map(tuple, guarded.filter(guarded.reason == fuzzy.RULE_ONE).collect()))
     assert expected and sorted(map(tuple, alone.collect())) == expected
     assert "Generate" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("threshold", [0, 45, 60, 70, 79.9])
+def test_tiles_equal_all_pairs(spark, words, long_words, monkeypatch, threshold):
+    """Several shards and blocks, queries and forms beyond a machine word, characters of one side only."""
+    monkeypatch.setattr(fuzzy.tiles, "SHARD", 20)
+    monkeypatch.setattr(fuzzy.tiles, "BLOCK", 30)
+    rng = random.Random(2)
+    huge = ["".join(rng.choice("ab💊") for _ in range(n)) for n in (60, 63, 64, 65, 66, 70, 90)]
+    forms = words[0][:25] + long_words[0][:6] + huge + ["z", "\u0101b"]
+    queries = words[1][:35] + long_words[1][:9] + [near(rng, w) for w in huge] + ["q", "\u0102b"]
+    got = fuzzy.similar_strings(
+        spark.createDataFrame([(w,) for w in queries], "q string"), spark.createDataFrame([(w,) for w in forms], "f string"), threshold
+    ).collect()
+    score = lambda q, f: round((1 - distance(q, f) / max(len(q), len(f))) * 100, 2)
+    expected = {(q, f): score(q, f) for q in set(queries) - {""} for f in set(forms) if score(q, f) >= threshold}
+    assert len(got) == len(expected) and {(r[0], r[1]): r[2] for r in got} == expected
+
+
+def test_low_thresholds_have_no_segment_keys(spark, words):
+    """Of 300 names that begin and end alike the keys would list nearly all pairs several times over."""
+    names = spark.range(300).selectExpr("'red' || lpad(conv(id * 7919 % 65536, 10, 16), 4, 'g') || ' rod' AS n")
+    found = fuzzy.similar_strings(names, names, 70)
+    rows = found.collect()
+    assert len({(r[0], r[1]) for r in rows}) == len(rows)
+    tiled = found.filter("length(left_text) <= 64")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tiled
