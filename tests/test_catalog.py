@@ -28,3 +28,10 @@ def test_reads_stored_profile(spark, name):
     """The products, their molecules and the drug strings are derived once, not in every branch of the plan."""
     files = queries()[name](spark, SF).inputFiles()
     assert files and not any(f.endswith(("/part.parquet", "/lineitem.parquet")) or "/part.parquet/" in f for f in files)
+
+
+def test_stages_of_a_run_are_planned_apart(spark):
+    """One plan with the broadcasts of all stages did not fit the driver."""
+    run = queries()["eval_run"](spark, "/root/testdata/sf0.001")
+    assert len({r["stage"] for r in run.collect()}) == 3
+    assert "Join" not in run._jdf.queryExecution().optimizedPlan().toString()
