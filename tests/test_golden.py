@@ -133,3 +133,15 @@ def test_oversized_prescriptions_are_reported(spark):
     rows = spark.range(60).select(F.lit(1).alias("rx_id"), F.col("id").alias("pos"), F.lit("x").alias("query"))
     valid, rejected = I.split_prescriptions(rows)
     assert valid.count() == 0 and rejected.first()["n_drugs"] == 60
+
+
+def test_only_pairs_that_can_have_an_edge_are_moved(spark, world):
+    """Pairs without two different molecules take no part in the join with the edges; a repeated id is two prescriptions."""
+    vocabulary, _, _, edges, coverage = world
+    pairs = check.check_pairs(lines(spark), vocabulary, edges.hint("merge"), coverage)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met = [i for i, line in enumerate(plan) if "Join LeftOuter" in line and "least(" in line]
+    assert len(met) == 1  # the ids are the keys, with no key for pairs that have none
+    assert any("Union" in line for line in plan[: met[0]])
+    twice = spark.createDataFrame([(1, ["Warfarin", "Aspirin"]), (1, ["Warfarin", "Aspirin"])], "rx_id bigint, drugs array<string>")
+    assert check.check_arrays(twice, check.prescription_lookup(vocabulary, coverage), edges).count() == 2
